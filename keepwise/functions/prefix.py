@@ -18,12 +18,31 @@ def running_totals(
     values: dict[str, Column],
     *,
     partitions: int | None = None,
+    restart_by: list[str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``values`` (name -> expression) along ``order``.
 
     ``order`` must be a total order on the rows (unique keys); ties would make
     the running value of tied rows depend on their physical order.
+
+    ``restart_by`` restarts the sums per group for a *few* large groups (folds,
+    classes): the groups lead the global order and each group's start offset
+    (one row per group) is subtracted. Many small groups should use a window
+    partitioned by the group instead, which is parallel by itself.
     """
+    if restart_by:
+        lead = [F.asc(c) for c in restart_by]
+        run = running_totals(df, lead + list(order), values, partitions=partitions)
+        totals = df.groupBy(*restart_by).agg(*[F.sum(v).alias(f"__t_{k}") for k, v in values.items()])
+        w = Window.orderBy(*restart_by).rowsBetween(Window.unboundedPreceding, -1)
+        start = totals.select(
+            *restart_by, *[F.coalesce(F.sum(f"__t_{k}").over(w), F.lit(0)).alias(f"__s_{k}") for k in values]
+        )
+        out = run.join(F.broadcast(start), restart_by)
+        return out.select(
+            *[F.col(c) for c in df.columns],
+            *[(F.col(k) - F.col(f"__s_{k}")).alias(k) for k in values],
+        )
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = df.select("*", *[v.alias(f"__v_{k}") for k, v in values.items()])

@@ -52,49 +52,30 @@ def _region_id(regions: list[_Region]) -> Column:
     return expr
 
 
-def exact_quantiles(
-    df: DataFrame,
-    specs: dict[str, list[float]],
+def select_ranks(
+    long: DataFrame,
+    wanted: dict[int, set[int]],
+    stats: dict[int, tuple[int, float, float]],
     *,
     buckets: int = 4096,
     collect_limit: int = 50_000,
-) -> dict[str, list[float | None]]:
-    """Exact interpolated quantiles for several columns in shared passes.
+) -> dict[tuple[int, int], tuple[float, int]]:
+    """Values at 0-based ranks inside groups of a long (cid, v) table.
 
-    ``specs`` maps a column name to the probabilities wanted. Returns, per
-    column, the values in the same order; ``None`` when the column has no
-    non-missing values.
+    Returns ``(cid, rank) -> (value, rows of the group strictly below value)``.
+    ``stats`` holds (n, min, max) per group. Only bucket histograms and
+    regions of at most ``collect_limit`` rows reach the driver.
     """
-    cols = list(specs)
-    long = _long_form(df, cols)
-
-    stats = {
-        r["cid"]: (r["n"], r["lo"], r["hi"])
-        for r in long.groupBy("cid").agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        ).collect()
-    }
-    wanted: dict[int, list[tuple[int, int, float]]] = {}
-    open_regions: list[_Region] = []
-    for cid, c in enumerate(cols):
-        n, lo, hi = stats.get(cid, (0, None, None))
-        if n == 0:
-            continue
-        reg = _Region(cid, lo, hi, 0, n)
-        wanted[cid] = []
-        for p in specs[c]:
-            h = (n - 1) * float(p)
-            f_rank, c_rank = math.floor(h), math.ceil(h)
-            wanted[cid].append((f_rank, c_rank, h - f_rank))
-            reg.ranks.update({f_rank, c_rank})
-        open_regions.append(reg)
-
-    found: dict[tuple[int, int], float] = {}
+    open_regions = [
+        _Region(cid, stats[cid][1], stats[cid][2], 0, stats[cid][0], set(ranks))
+        for cid, ranks in wanted.items() if ranks and stats.get(cid, (0,))[0] > 0
+    ]
+    found: dict[tuple[int, int], tuple[float, int]] = {}
     while open_regions:
-        done = [r for r in open_regions if r.lo == r.hi]
-        for r in done:
-            for k in r.ranks:
-                found[(r.cid, k)] = r.lo
+        for r in open_regions:
+            if r.lo == r.hi:
+                for k in r.ranks:
+                    found[(r.cid, k)] = (r.lo, r.base)
         small = [r for r in open_regions if r.lo != r.hi and r.n <= collect_limit]
         big = [r for r in open_regions if r.lo != r.hi and r.n > collect_limit]
         if small:
@@ -110,12 +91,13 @@ def exact_quantiles(
             for rid, r in enumerate(small):
                 vals = sorted(per.get(rid, []))
                 for k in r.ranks:
-                    found[(r.cid, k)] = vals[k - r.base]
+                    v = vals[k - r.base]
+                    below = next(i for i, x in enumerate(vals) if x == v)
+                    found[(r.cid, k)] = (v, r.base + below)
         open_regions = []
         if big:
-            width = {rid: r.hi - r.lo for rid, r in enumerate(big)}
             lo_of = F.element_at(F.array(*[F.lit(r.lo) for r in big]), F.col("rid") + 1)
-            w_of = F.element_at(F.array(*[F.lit(width[i]) for i in range(len(big))]), F.col("rid") + 1)
+            w_of = F.element_at(F.array(*[F.lit(r.hi - r.lo) for r in big]), F.col("rid") + 1)
             bucket = F.least(
                 F.lit(buckets - 1),
                 F.floor((F.col("v") - lo_of) / w_of * F.lit(float(buckets))).cast("int"),
@@ -135,19 +117,58 @@ def exact_quantiles(
                 for row in sorted(per_b.get(rid, []), key=lambda x: x["b"]):
                     inside = {k for k in r.ranks if below <= k < below + row["n"]}
                     if inside:
-                        open_regions.append(
-                            _Region(r.cid, row["lo"], row["hi"], below, row["n"], inside)
-                        )
+                        open_regions.append(_Region(r.cid, row["lo"], row["hi"], below, row["n"], inside))
                     below += row["n"]
+    return found
+
+
+def group_stats(long: DataFrame) -> dict[int, tuple[int, float, float]]:
+    return {
+        r["cid"]: (r["n"], r["lo"], r["hi"])
+        for r in long.groupBy("cid").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        ).collect()
+    }
+
+
+def exact_quantiles(
+    df: DataFrame,
+    specs: dict[str, list[float]],
+    *,
+    buckets: int = 4096,
+    collect_limit: int = 50_000,
+) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles for several columns in shared passes.
+
+    ``specs`` maps a column name to the probabilities wanted. Returns, per
+    column, the values in the same order; ``None`` when the column has no
+    non-missing values.
+    """
+    cols = list(specs)
+    long = _long_form(df, cols)
+    stats = group_stats(long)
+    plan: dict[int, list[tuple[int, int, float]]] = {}
+    wanted: dict[int, set[int]] = {}
+    for cid, c in enumerate(cols):
+        n = stats.get(cid, (0,))[0]
+        if n == 0:
+            continue
+        plan[cid], wanted[cid] = [], set()
+        for p in specs[c]:
+            h = (n - 1) * float(p)
+            f_rank, c_rank = math.floor(h), math.ceil(h)
+            plan[cid].append((f_rank, c_rank, h - f_rank))
+            wanted[cid].update({f_rank, c_rank})
+    found = select_ranks(long, wanted, stats, buckets=buckets, collect_limit=collect_limit)
 
     out: dict[str, list[float | None]] = {}
     for cid, c in enumerate(cols):
-        if cid not in wanted:
+        if cid not in plan:
             out[c] = [None] * len(specs[c])
             continue
         vals = []
-        for f_rank, c_rank, frac in wanted[cid]:
-            lo_v, hi_v = found[(cid, f_rank)], found[(cid, c_rank)]
+        for f_rank, c_rank, frac in plan[cid]:
+            lo_v, hi_v = found[(cid, f_rank)][0], found[(cid, c_rank)][0]
             vals.append(lo_v if f_rank == c_rank else lo_v + (hi_v - lo_v) * frac)
         out[c] = vals
     return out

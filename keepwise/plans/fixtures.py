@@ -219,3 +219,10 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).persist()
 
     return _memo(spark, sf_dir, "planted", build)
+
+
+def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sub`` with the exact stratified 80/20 ``split`` column (seed 42)."""
+    from keepwise.operators.splits import stratified_split
+
+    return _memo(spark, sf_dir, "split", lambda: stratified_split(sub(spark, sf_dir)).persist())

@@ -1 +1,66 @@
-"""placeholder"""
+"""Registered queries A1-A6: each writes Spark-derived data and reads it back."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keepwise import constants as K
+from keepwise.operators import cleaning, metrics as M, scoring
+from keepwise.plans import fixtures as fx
+from keepwise.plans.oracle_ctes import with_ctes
+from keepwise.plans.q_clean import clean_sql
+from keepwise.plans.q_metrics import SCORED_METRICS
+from keepwise.plans.registry import query
+from keepwise.sources import io
+
+_NA = ", ".join("'" + t.replace("'", "''") + "'" for t in K.CSV_NA_TOKENS)
+_RAW = fx.RAW_COLUMNS
+
+
+@query("a1_csv_source", with_ctes("raw") + "SELECT " + ", ".join(
+    f"CASE WHEN CAST({c} AS VARCHAR) IN ({_NA}) THEN NULL ELSE CAST({c} AS VARCHAR) END AS {c}" for c in _RAW)
+    + " FROM raw")
+def a1(spark, sf):
+    path = io.shared_path(spark, io.tag(sf), "raw_csv")
+    io.write_raw_csv(fx.raw_table(spark, sf), path)
+    return io.read_raw_csv(spark, path)
+
+
+@query("a2_clean_sink", clean_sql())
+def a2(spark, sf):
+    path = io.shared_path(spark, io.tag(sf), "clean")
+    io.write_clean(cleaning.clean(fx.raw_table(spark, sf)), path)
+    return io.read_clean(spark, path)
+
+
+@query("a3_fact_table", clean_sql())
+def a3(spark, sf):
+    return io.save_fact(cleaning.clean(fx.raw_table(spark, sf)), "fact_subscriber")
+
+
+@query("a4_register_views", clean_sql("""
+SELECT 'vw_kpi_summary' AS view_name, CAST(1 AS BIGINT) AS row_count
+UNION ALL SELECT 'vw_revenue_by_plan', COUNT(DISTINCT subscription_type) FROM r_clean
+UNION ALL SELECT 'vw_churn_by_segment', COUNT(*) FROM (SELECT DISTINCT subscription_type, region FROM r_clean) t"""))
+def a4(spark, sf):
+    io.save_fact(cleaning.clean(fx.raw_table(spark, sf)), "fact_subscriber")
+    return io.register_views(spark, "fact_subscriber")
+
+
+@query("a5_scored_sink", with_ctes("scored") + "SELECT * FROM scored")
+def a5(spark, sf):
+    path = io.shared_path(spark, io.tag(sf), "scored")
+    io.write_scored(fx.scored_fx(spark, sf), path)
+    return io.read_scored(spark, path, scoring.SCORED_COLUMNS)
+
+
+@query("a6_metrics_sink", with_ctes("scored", extra=SCORED_METRICS + [
+    "ml AS (UNPIVOT m ON pr_auc, roc_auc, f1, precision, recall, accuracy, brier INTO NAME metric VALUE value)"]) + """
+SELECT 'stand_in' AS model, 'all' AS split, metric, CAST(value AS DOUBLE) AS value FROM ml""")
+def a6(spark, sf):
+    path = io.shared_path(spark, io.tag(sf), "metrics_json")
+    report = M.metrics_long(M.score_metrics(fx.scored_fx(spark, sf)), model="stand_in", split="all")
+    io.write_metrics(report, path)
+    return io.read_metrics(spark, path)
+
+
+del F

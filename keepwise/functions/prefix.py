@@ -1,20 +1,107 @@
 """Running totals over a global order, computed in parallel.
 
 A window with ``orderBy`` and no ``partitionBy`` sorts everything in one task.
-Instead: range-partition on the order key (Spark samples the bounds), take
-running sums inside each range partition, total each partition (one row per
-partition, bounded by the partition count), turn the totals into offsets on
-that small table and add them back with a broadcast join. Exact and parallel.
+Instead the order is cut into range buckets: bucket bounds come from a bounded
+sample (``samples_per_bucket`` rows per bucket reach the driver), and each row's
+bucket is a binary search over the bounds written as a nested CASE (depth
+log2 of the bucket count, codegen friendly). Running sums are then taken inside
+each bucket (a window partitioned by bucket: parallel), each bucket is totalled
+(one row per bucket), the totals become offsets on that small table and are
+added back with a broadcast join whose size is the bucket count.
+
+The bucket of a row depends only on its key, never on physical partitioning,
+so recomputation after a lost executor (or a different AQE coalescing) gives
+the same answer.
 """
 from __future__ import annotations
 
+from functools import cmp_to_key
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _parse_order(order: list) -> list[tuple[str, bool]]:
+    """(column, descending) from names or ``F.asc/F.desc`` columns."""
+    out = []
+    for o in order:
+        if isinstance(o, tuple):
+            out.append(o)
+            continue
+        if isinstance(o, str):
+            out.append((o, False))
+            continue
+        text = str(o)  # Column<'score DESC NULLS LAST'>
+        inner = text[text.index("'") + 1: text.rindex("'")]
+        desc = " DESC" in inner
+        name = inner.split(" ASC")[0].split(" DESC")[0].strip().strip("`")
+        out.append((name, desc))
+    return out
+
+
+def _cmp(keys: list[tuple[str, bool]]):
+    def cmp(a, b):
+        for i, (_, desc) in enumerate(keys):
+            x, y = a[i], b[i]
+            if x == y:
+                continue
+            if x is None:
+                return -1 if not desc else 1
+            if y is None:
+                return 1 if not desc else -1
+            r = -1 if x < y else 1
+            return -r if desc else r
+        return 0
+    return cmp
+
+
+def _after(keys: list[tuple[str, bool]], bound: tuple) -> Column:
+    """Row key strictly after ``bound`` in the given (lexicographic) order."""
+    expr = None
+    for i in reversed(range(len(keys))):
+        name, desc = keys[i]
+        c, v = F.col(name), F.lit(bound[i])
+        strictly = (c < v) if desc else (c > v)
+        if expr is None:
+            expr = strictly
+        else:
+            expr = strictly | ((c == v) & expr)
+    return F.coalesce(expr, F.lit(False))
+
+
+def _bucket_expr(keys, bounds: list[tuple], lo: int, hi: int) -> Column:
+    """Number of bounds the key is after, for bounds[lo:hi] (binary search)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(_after(keys, bounds[mid]), _bucket_expr(keys, bounds, mid + 1, hi)).otherwise(
+        _bucket_expr(keys, bounds, lo, mid)
+    )
+
+
+def range_buckets(df: DataFrame, order: list, buckets: int, samples_per_bucket: int = 40) -> Column:
+    """A bucket id in [0, buckets) that is monotone in ``order``."""
+    keys = _parse_order(order)
+    n = df.count()
+    if n == 0 or buckets <= 1:
+        return F.lit(0)
+    frac = min(1.0, buckets * samples_per_bucket / n)
+    sample = [tuple(r) for r in df.select(*[k for k, _ in keys]).sample(False, frac, seed=17).collect()]
+    if not sample:
+        return F.lit(0)
+    sample.sort(key=cmp_to_key(_cmp(keys)))
+    step = len(sample) / buckets
+    bounds = []
+    for i in range(1, buckets):
+        b = sample[min(len(sample) - 1, int(i * step))]
+        if not bounds or _cmp(keys)(bounds[-1], b) < 0:
+            bounds.append(b)
+    return _bucket_expr(keys, bounds, 0, len(bounds))
+
+
 def running_totals(
     df: DataFrame,
-    order: list[Column],
+    order: list,
     values: dict[str, Column],
     *,
     partitions: int | None = None,
@@ -31,8 +118,8 @@ def running_totals(
     partitioned by the group instead, which is parallel by itself.
     """
     if restart_by:
-        lead = [F.asc(c) for c in restart_by]
-        run = running_totals(df, lead + list(order), values, partitions=partitions)
+        lead = [(c, False) for c in restart_by]
+        run = running_totals(df, lead + _parse_order(order), values, partitions=partitions)
         totals = df.groupBy(*restart_by).agg(*[F.sum(v).alias(f"__t_{k}") for k, v in values.items()])
         w = Window.orderBy(*restart_by).rowsBetween(Window.unboundedPreceding, -1)
         start = totals.select(
@@ -43,22 +130,22 @@ def running_totals(
             *[F.col(c) for c in df.columns],
             *[(F.col(k) - F.col(f"__s_{k}")).alias(k) for k in values],
         )
+
     spark = df.sparkSession
+    keys = _parse_order(order)
+    sort = [F.col(k).desc() if d else F.col(k).asc() for k, d in keys]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = df.select("*", *[v.alias(f"__v_{k}") for k, v in values.items()])
-    ranged = staged.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id())
-    w_local = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select(
-        "*", *[F.sum(f"__v_{k}").over(w_local).alias(f"__l_{k}") for k in values]
-    )
-    # one row per range partition: its totals, then exclusive offsets
-    totals = local.groupBy("__pid").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in values])
-    w_off = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    bucketed = staged.withColumn("__b", range_buckets(staged, keys, n))
+    w_local = Window.partitionBy("__b").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    local = bucketed.select("*", *[F.sum(f"__v_{k}").over(w_local).alias(f"__l_{k}") for k in values])
+    # one row per bucket: its totals, then exclusive offsets (bounded by the bucket count)
+    totals = bucketed.groupBy("__b").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in values])
+    w_off = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "__pid",
-        *[F.coalesce(F.sum(f"__t_{k}").over(w_off), F.lit(0)).alias(f"__o_{k}") for k in values],
+        "__b", *[F.coalesce(F.sum(f"__t_{k}").over(w_off), F.lit(0)).alias(f"__o_{k}") for k in values]
     )
-    joined = local.join(F.broadcast(offsets), "__pid")
+    joined = local.join(F.broadcast(offsets), "__b")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"__o_{k}") + F.col(f"__l_{k}")).alias(k) for k in values],

@@ -10,7 +10,9 @@ region is finished when all its values are equal, or it is small enough
 loop ends; a hot value holding a third of the rows ends it at once (min = max).
 
 Interpolation follows ``quantile_cont``: position h = (n - 1) * p,
-value = x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h).
+d = h - floor h, value = x[floor h] * (1 - d) + x[ceil h] * d with the first
+product fused (one rounding), which is how the SQL engine used as oracle
+evaluates it; mathematically the usual linear interpolation.
 """
 from __future__ import annotations
 
@@ -122,6 +124,13 @@ def select_ranks(
     return found
 
 
+def _lerp(lo: float, hi: float, d: float) -> float:
+    fma = getattr(math, "fma", None)
+    if fma is None:   # Python < 3.13
+        return lo * (1 - d) + hi * d
+    return fma(lo, 1 - d, hi * d)
+
+
 def group_stats(long: DataFrame) -> dict[int, tuple[int, float, float]]:
     return {
         r["cid"]: (r["n"], r["lo"], r["hi"])
@@ -169,7 +178,7 @@ def exact_quantiles(
         vals = []
         for f_rank, c_rank, frac in plan[cid]:
             lo_v, hi_v = found[(cid, f_rank)][0], found[(cid, c_rank)][0]
-            vals.append(lo_v if f_rank == c_rank else lo_v + (hi_v - lo_v) * frac)
+            vals.append(lo_v if f_rank == c_rank else _lerp(lo_v, hi_v, frac))
         out[c] = vals
     return out
 

@@ -52,7 +52,7 @@ def preprocessor(num: list[str], cat: list[str]) -> list:
     ohe = [f"__{c}_ohe" for c in cat]
     return [
         StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),  # drops the indexer's unknown slot
         VectorAssembler(inputCols=num, outputCol="__num", handleInvalid="keep"),
         StandardScaler(inputCol="__num", outputCol="__num_scaled", withMean=True, withStd=True),
         VectorAssembler(inputCols=["__num_scaled", *ohe], outputCol=FEATURES),

@@ -80,13 +80,18 @@ def _bucket_expr(keys, bounds: list[tuple], lo: int, hi: int) -> Column:
 
 
 def range_buckets(df: DataFrame, order: list, buckets: int, samples_per_bucket: int = 40) -> Column:
-    """A bucket id in [0, buckets) that is monotone in ``order``."""
+    """A bucket id in [0, buckets) that is monotone in ``order``.
+
+    The bounds come from ``buckets * samples_per_bucket`` rows picked at random
+    in one job (a per-partition top-k on a seeded random key, so memory is
+    bounded by the sample size whatever the input size).
+    """
     keys = _parse_order(order)
-    n = df.count()
-    if n == 0 or buckets <= 1:
+    if buckets <= 1:
         return F.lit(0)
-    frac = min(1.0, buckets * samples_per_bucket / n)
-    sample = [tuple(r) for r in df.select(*[k for k, _ in keys]).sample(False, frac, seed=17).collect()]
+    k = buckets * samples_per_bucket
+    picked = df.select(*[c for c, _ in keys]).orderBy(F.rand(17)).limit(k).collect()
+    sample = [tuple(r) for r in picked]
     if not sample:
         return F.lit(0)
     sample.sort(key=cmp_to_key(_cmp(keys)))

@@ -41,9 +41,13 @@ def with_key_factor(df: DataFrame, meds: tuple[float, float, float] | None = Non
     return df.withColumn("key_factor", C.key_factor(m_login, m_daily, m_fee))
 
 
-def build_scored(df: DataFrame) -> DataFrame:
-    """K6: the 12-column scored table in one projection (no positional alignment)."""
-    meds = key_factor_medians(df)
+def build_scored(df: DataFrame, meds: tuple[float, float, float] | None = None) -> DataFrame:
+    """K6: the 12-column scored table in one projection (no positional alignment).
+
+    ``meds`` (login days, daily watch time, fee) default to the medians over
+    ``df``; a stream passes the medians of a reference table instead.
+    """
+    meds = meds or key_factor_medians(df)
     tier = C.risk_tier()
     m_login, m_daily, m_fee = meds
     return df.select(

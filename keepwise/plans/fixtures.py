@@ -226,3 +226,10 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepwise.operators.splits import stratified_split
 
     return _memo(spark, sf_dir, "split", lambda: stratified_split(sub(spark, sf_dir)).persist())
+
+
+def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned raw table (B9 output) as the downstream sinks read it."""
+    from keepwise.operators.cleaning import clean
+
+    return _memo(spark, sf_dir, "clean", lambda: clean(raw_table(spark, sf_dir)).persist())

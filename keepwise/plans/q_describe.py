@@ -316,7 +316,7 @@ DOMAINS = {"gender": ["Male", "Female", "Other"], "subscription_type": ["Basic",
     f"WHERE {c} IS NULL OR {c} NOT IN (" + ", ".join(f"'{v}'" for v in vs) + f") GROUP BY {c}"
     for c, vs in DOMAINS.items()))
 def l7(spark, sf):
-    return D.domain_check(cleaning.clean(fx.raw_table(spark, sf)), DOMAINS)
+    return D.domain_check(fx.clean_table(spark, sf), DOMAINS)
 
 
 _RAW_COLS = fx.RAW_COLUMNS

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keepwise import constants as K
-from keepwise.operators import cleaning, metrics as M, scoring
+from keepwise.operators import metrics as M, scoring
 from keepwise.plans import fixtures as fx
 from keepwise.plans.oracle_ctes import with_ctes
 from keepwise.plans.q_clean import clean_sql
@@ -28,13 +28,13 @@ def a1(spark, sf):
 @query("a2_clean_sink", clean_sql())
 def a2(spark, sf):
     path = io.shared_path(spark, io.tag(sf), "clean")
-    io.write_clean(cleaning.clean(fx.raw_table(spark, sf)), path)
+    io.write_clean(fx.clean_table(spark, sf), path)
     return io.read_clean(spark, path)
 
 
 @query("a3_fact_table", clean_sql())
 def a3(spark, sf):
-    return io.save_fact(cleaning.clean(fx.raw_table(spark, sf)), "fact_subscriber")
+    return io.save_fact(fx.clean_table(spark, sf), "fact_subscriber")
 
 
 @query("a4_register_views", clean_sql("""
@@ -42,7 +42,7 @@ SELECT 'vw_kpi_summary' AS view_name, CAST(1 AS BIGINT) AS row_count
 UNION ALL SELECT 'vw_revenue_by_plan', COUNT(DISTINCT subscription_type) FROM r_clean
 UNION ALL SELECT 'vw_churn_by_segment', COUNT(*) FROM (SELECT DISTINCT subscription_type, region FROM r_clean) t"""))
 def a4(spark, sf):
-    io.save_fact(cleaning.clean(fx.raw_table(spark, sf)), "fact_subscriber")
+    io.save_fact(fx.clean_table(spark, sf), "fact_subscriber")
     return io.register_views(spark, "fact_subscriber")
 
 

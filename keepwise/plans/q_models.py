@@ -19,7 +19,6 @@ from keepwise import constants as K
 from keepwise.functions.numeric import round_half_even, sql_round_half_even as srhe
 from keepwise.operators import models as H
 from keepwise.operators.features import feature_columns
-from keepwise.operators.metrics import metrics_long, score_metrics
 from keepwise.operators.splits import stratified_split
 from keepwise.plans import fixtures as fx
 from keepwise.plans.oracle_ctes import with_ctes
@@ -62,14 +61,8 @@ class ModelRun:
 
     @cached_property
     def leakage(self) -> DataFrame:
-        num, cat = feature_columns(K.LEAKAGE_SUSPECTS)
-        without = H.fit(self.train, self.best, num, cat, label=LABEL, small=self.small)
-        with_m = self.comparison[1][self.best]
-        a = metrics_long(score_metrics(H.predict(with_m, self.test, keep=[LABEL]), H.PROB, LABEL),
-                         model=self.best, variant="with_suspects")
-        b = metrics_long(score_metrics(H.predict(without, self.test, keep=[LABEL]), H.PROB, LABEL),
-                         model=self.best, variant="without_suspects")
-        return a.unionByName(b).persist()
+        return H.leakage_audit(self.train, self.test, self.best, self.comparison[1][self.best],
+                               label=LABEL, small=self.small).persist()
 
     @cached_property
     def saved_path(self) -> str:
@@ -171,36 +164,11 @@ def h12(spark, sf):
 
 @query("h13_metrics_report")
 def h13(spark, sf):
-    r = run(spark, sf)
-    ds = r.train.unionByName(r.test).agg(
-        F.count(F.lit(1)).cast("double").alias("rows"), F.avg(LABEL).alias("churn_rate"))
-    parts = [
-        ds.select(F.lit("dataset").alias("section"), F.lit("all").alias("name"),
-                  F.inline(F.array(F.struct(F.lit("rows").alias("metric"), F.col("rows").alias("value")),
-                                   F.struct(F.lit("churn_rate").alias("metric"), F.col("churn_rate").alias("value"))))),
-        H.select_best(r.metrics_local).select(F.lit("best_model").alias("section"), F.col("best_model").alias("name"),
-                                               F.lit("selected").alias("metric"), F.lit(1.0).alias("value")),
-        r.metrics_local.select(F.lit("models").alias("section"), F.concat_ws("/", "model", "split").alias("name"),
-                               "metric", "value"),
-        metrics_long(score_metrics(r.calibrated.predict(r.test.select(LABEL, *r.num, *r.cat), H.PROB), H.PROB, LABEL),
-                     section="calibrated_test", name=r.best),
-        r.leakage.select(F.lit("leakage_audit").alias("section"), F.col("variant").alias("name"), "metric", "value"),
-        H.drivers(spark, r.comparison[1][r.best], r.num, r.cat).select(
-            F.lit("drivers").alias("section"), F.col("feature").alias("name"), F.lit("importance").alias("metric"),
-            F.col("importance").alias("value")),
-    ]
     from keepwise.operators import metrics as M
-    base = [
-        M.majority_baseline(r.train, r.test, LABEL),
-        M.inactivity_baseline(r.train, r.test, label=LABEL),
-    ]
-    for b in base:
-        parts.append(metrics_long(b, section="baselines").select(
-            "section", F.lit("baseline").alias("name"), "metric", "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p.select("section", "name", "metric", F.col("value").cast("double")))
-    return out
+    r = run(spark, sf)
+    baselines = [M.majority_baseline(r.train, r.test, LABEL), M.inactivity_baseline(r.train, r.test, label=LABEL)]
+    return H.metrics_report(spark, r.train, r.test, r.metrics_local, r.comparison[1][r.best], r.calibrated,
+                            r.leakage, baselines, r.num, r.cat, label=LABEL)
 
 
 @query("h14_model_persistence")

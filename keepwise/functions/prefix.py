@@ -20,6 +20,11 @@ from functools import cmp_to_key
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Bucket count cap: the bounds become a CASE tree and a driver-side sample of
+# buckets * samples_per_bucket rows, so both stay small whatever the cluster's
+# shuffle partition count; each bucket's window is a sort that spills.
+MAX_BUCKETS = 1024
+
 
 def _parse_order(order: list) -> list[tuple[str, bool]]:
     """(column, descending) from names or ``F.asc/F.desc`` columns."""
@@ -139,7 +144,7 @@ def running_totals(
     spark = df.sparkSession
     keys = _parse_order(order)
     sort = [F.col(k).desc() if d else F.col(k).asc() for k, d in keys]
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
     staged = df.select("*", *[v.alias(f"__v_{k}") for k, v in values.items()])
     bucketed = staged.withColumn("__b", range_buckets(staged, keys, n))
     w_local = Window.partitionBy("__b").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)

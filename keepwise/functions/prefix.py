@@ -87,15 +87,19 @@ def _bucket_expr(keys, bounds: list[tuple], lo: int, hi: int) -> Column:
 def range_buckets(df: DataFrame, order: list, buckets: int, samples_per_bucket: int = 40) -> Column:
     """A bucket id in [0, buckets) that is monotone in ``order``.
 
-    The bounds come from ``buckets * samples_per_bucket`` rows picked at random
-    in one job (a per-partition top-k on a seeded random key, so memory is
-    bounded by the sample size whatever the input size).
+    The bounds come from about ``buckets * samples_per_bucket`` rows: a count,
+    then a Bernoulli sample at the matching fraction, so the rows reaching the
+    driver are bounded by the sample size whatever the input size and its
+    partitioning (a per-partition top-k would ship k rows per partition).
     """
     keys = _parse_order(order)
     if buckets <= 1:
         return F.lit(0)
     k = buckets * samples_per_bucket
-    picked = df.select(*[c for c, _ in keys]).orderBy(F.rand(17)).limit(k).collect()
+    n = df.count()
+    if n == 0:
+        return F.lit(0)
+    picked = df.select(*[c for c, _ in keys]).sample(False, min(1.0, k / n), seed=17).collect()
     sample = [tuple(r) for r in picked]
     if not sample:
         return F.lit(0)

@@ -9,7 +9,7 @@ from pyspark.sql.types import NumericType
 
 from keepwise import constants as K
 from keepwise.functions import columns as C
-from keepwise.functions.quantiles import medians
+from keepwise.functions.quantiles import approx_quantiles, medians
 
 SEQ = "ingest_seq"
 
@@ -50,9 +50,16 @@ def dedupe(df: DataFrame, key: str = K.ID_COL, order: str = SEQ, keep_count: boo
     return g.select(*cols).select(*df.columns, *(["__copies"] if keep_count else []))
 
 
-def impute_median(df: DataFrame, cols: list[str] = K.NUMERIC_COLS, **kw) -> DataFrame:
-    """Missing numeric -> exact column median (linear interpolation)."""
-    med = medians(df, cols, **kw)
+def impute_median(df: DataFrame, cols: list[str] = K.NUMERIC_COLS, approx: bool = False, **kw) -> DataFrame:
+    """Missing numeric -> exact column median (linear interpolation).
+
+    ``approx=True`` uses one ``percentile_approx`` pass instead (rank error
+    1/accuracy) when an exact median is not required.
+    """
+    if approx:
+        med = {c: v[0] for c, v in approx_quantiles(df, {c: [0.5] for c in cols}, **kw).items()}
+    else:
+        med = medians(df, cols, **kw)
     return df.withColumns({
         c: F.coalesce(F.col(c), F.lit(m)) for c, m in med.items() if m is not None
     })

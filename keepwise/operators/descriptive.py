@@ -89,12 +89,12 @@ def _unpivot_text(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.inline(pairs))
 
 
-def category_share(df: DataFrame, cols: list[str], order: list[str] | None = None) -> DataFrame:
+def category_share(df: DataFrame, cols: str | list[str], order: list[str] | None = None) -> DataFrame:
     """Count and share per value, many columns in one group-by.
 
     With ``order`` the values outside it are dropped and absent ones omitted.
     """
-    long = _unpivot_text(df, cols)
+    long = _unpivot_text(df, [cols] if isinstance(cols, str) else cols)
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     total = F.sum("count").over(Window.partitionBy("column"))
     out = counts.select("column", "value", "count", (F.col("count") / total).alias("share"))
@@ -280,9 +280,13 @@ def dim_plan(df: DataFrame) -> DataFrame:
     )
 
 
-def dim_lookup(df: DataFrame, cols: list[str]) -> DataFrame:
-    """L2: lookup tables with surrogate keys (dense rank of the value per column)."""
-    vals = _unpivot_text(df, cols).distinct()
+def dim_lookup(df: DataFrame, cols: str | list[str]) -> DataFrame:
+    """L2: lookup tables with surrogate keys (dense rank of the value per column).
+
+    The window is partitioned by column over its distinct values, so its size
+    is the column's cardinality (regions, devices, genres), not the row count.
+    """
+    vals = _unpivot_text(df, [cols] if isinstance(cols, str) else cols).distinct()
     w = Window.partitionBy("column").orderBy("value")
     return vals.select("column", "value", F.dense_rank().over(w).cast("int").alias("key"))
 

@@ -1,10 +1,7 @@
 """Registered queries F1-F5, K2-K10 and L4-L6 over the scored fixture."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from keepwise import constants as K
-from keepwise.functions import columns as C
 from keepwise.functions.numeric import sql_round_half_even as srhe
 from keepwise.operators import campaign as CP, scoring
 from keepwise.plans import fixtures as fx
@@ -157,5 +154,3 @@ SELECT customer_id, churn_probability * monthly_fee * CAST(1 AS DOUBLE) AS month
 def l6(spark, sf):
     return CP.monthly_revenue_at_risk(fx.scored_fx(spark, sf))
 
-
-del F, C

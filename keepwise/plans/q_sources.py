@@ -1,8 +1,6 @@
 """Registered queries A1-A6: each writes Spark-derived data and reads it back."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from keepwise import constants as K
 from keepwise.operators import metrics as M, scoring
 from keepwise.plans import fixtures as fx
@@ -62,5 +60,3 @@ def a6(spark, sf):
     io.write_metrics(report, path)
     return io.read_metrics(spark, path)
 
-
-del F

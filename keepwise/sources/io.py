@@ -47,7 +47,21 @@ def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = Non
         .csv(path)
     )
     na = K.CSV_NA_TOKENS
-    return df.select(*[F.when(~F.col(f"`{c}`").isin(*na), F.col(f"`{c}`")).alias(c) for c in columns])
+    cols = [F.when(~F.col(f"`{c}`").isin(*na), F.col(f"`{c}`")).alias(c) for c in columns]
+    if "ingest_seq" not in [c.strip().lower() for c in columns]:
+        cols.insert(0, ingest_order().alias("ingest_seq"))
+    return df.select(*cols)
+
+
+def ingest_order():
+    """Read order of each row across files and splits: (file, split start,
+    increasing id). Rows of one split are read in order inside one task, so
+    sorting on this key gives file order; the dedupe keeps the first copy."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"),
+    )
 
 
 def write_raw_csv(df: DataFrame, path: str) -> None:

@@ -96,3 +96,22 @@ def test_one_class_no_predicted_positives(spark):
     assert m["f1"] == 0.0 and m["precision"] == 0.0 and m["recall"] == 0.0
     assert m["accuracy"] == 1.0 and m["pr_auc"] == 0.0 and m["roc_auc"] is None
     assert not math.isnan(m["brier"])
+
+
+def test_csv_without_order_column_keeps_first_copy_in_file_order(spark):
+    import tempfile
+
+    from keepwise.operators.cleaning import dedupe
+    from keepwise.sources.io import read_raw_csv
+
+    d = tempfile.mkdtemp(prefix="kw-csv-")
+    with open(f"{d}/raw.csv", "w") as f:
+        f.write("customer_id,monthly_fee\n" + "".join(f"{i % 97},{i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = read_raw_csv(spark, f"{d}/raw.csv")
+        assert df.rdd.getNumPartitions() > 1
+        first = {r["customer_id"]: r["monthly_fee"] for r in dedupe(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert first == {str(k): str(k) for k in range(97)}

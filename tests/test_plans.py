@@ -45,3 +45,13 @@ def test_layout_independence(spark):
     for n in (1, 4, 16):
         assert sorted(map(tuple, D.priority_all(sub.repartition(n)).collect())) == ref_p
         assert M.score_metrics(scored.repartition(n)).first() == ref_m
+
+
+def test_split_and_folds_layout_independent(spark):
+    from keepwise.operators.splits import stratified_split, with_folds
+    from keepwise.plans import fixtures as fx
+    sub = fx.sub(spark, SF001).select("customer_id", "churned")
+    ref = sorted(map(tuple, with_folds(stratified_split(sub)).collect()))
+    for n in (1, 4, 16):
+        got = sorted(map(tuple, with_folds(stratified_split(sub.repartition(n))).collect()))
+        assert got == ref

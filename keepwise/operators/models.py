@@ -16,6 +16,7 @@ Differences kept on purpose:
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -77,7 +78,8 @@ def make_model(name: str, n_train: int, *, label: str = "label", seed: int = K.R
     key = MODEL_KEYS.get(name, name)
     common = dict(featuresCol=FEATURES, labelCol=label)
     if key == "lr":
-        return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
+        # tol 1e-4 and 1000 iterations: the reference learner's stopping rule
+        return LogisticRegression(maxIter=1000, tol=1e-4, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                   standardization=False, weightCol="class_weight", **common)
     if key == "dt":
         return DecisionTreeClassifier(maxDepth=6, weightCol="class_weight", seed=seed, **common)
@@ -108,18 +110,32 @@ def predict(model: PipelineModel, df: DataFrame, out: str = PROB, keep: list[str
 
 # --- H5 -------------------------------------------------------------------------------
 
+def _fit_folds(folded: DataFrame, name: str, num: list[str], cat: list[str], k: int, label: str,
+               small: bool, parallelism: int) -> list[PipelineModel]:
+    """One fit per fold on the other k-1 folds. Fits are submitted from
+    ``parallelism`` driver threads, as ``CrossValidator(parallelism=...)``
+    does, so the small jobs of several fits share the executors."""
+    def one(i: int) -> PipelineModel:
+        return fit(folded.where(F.col("fold") != i), name, num, cat, label=label, small=small)
+
+    if parallelism <= 1:
+        return [one(i) for i in range(k)]
+    with ThreadPoolExecutor(max_workers=min(parallelism, k)) as pool:
+        return list(pool.map(one, range(k)))
+
+
 def out_of_fold(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-                k: int = K.CV_FOLDS, small: bool = False) -> DataFrame:
+                k: int = K.CV_FOLDS, small: bool = False, parallelism: int = K.CV_FOLDS) -> DataFrame:
     """Pooled out-of-fold probabilities; preprocessing refitted per fold.
 
-    The loop runs k fits (the driver only schedules); ``CrossValidator``
-    would return averages only.
+    The driver only schedules the k fits; ``CrossValidator`` would return
+    averages only.
     """
     folded = with_folds(train, k=k, label=label) if "fold" not in train.columns else train
     folded = folded.persist()
+    models = _fit_folds(folded, name, num, cat, k, label, small, parallelism)
     parts = []
-    for i in range(k):
-        m = fit(folded.where(F.col("fold") != i), name, num, cat, label=label, small=small)
+    for i, m in enumerate(models):
         parts.append(predict(m, folded.where(F.col("fold") == i), keep=[K.ID_COL, label, "fold"]))
     out = parts[0]
     for p in parts[1:]:
@@ -155,13 +171,13 @@ class CalibratedModel:
 
 
 def calibrate(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-              k: int = K.CV_FOLDS, small: bool = False) -> CalibratedModel:
+              k: int = K.CV_FOLDS, small: bool = False, parallelism: int = K.CV_FOLDS) -> CalibratedModel:
     """H9: per fold refit the model on k-1 folds, fit isotonic on the held-out
     fold; the calibrated probability is the average of the k outputs."""
     folded = with_folds(train, k=k, label=label, seed=K.RANDOM_STATE + 1).persist()
+    models = _fit_folds(folded, name, num, cat, k, label, small, parallelism)
     parts = []
-    for i in range(k):
-        m = fit(folded.where(F.col("fold") != i), name, num, cat, label=label, small=small)
+    for i, m in enumerate(models):
         held = predict(m, folded.where(F.col("fold") == i), keep=[label])
         parts.append((m, fit_isotonic(held, PROB, label)))
     return CalibratedModel(parts, num, cat, name)
@@ -170,20 +186,33 @@ def calibrate(train: DataFrame, name: str, num: list[str], cat: list[str], *, la
 # --- H6 / H7 / H10 / H11 / H12 ----------------------------------------------------------
 
 def compare_models(train: DataFrame, test: DataFrame, names: list[str], *, label: str = "label",
-                   small: bool = False, drop: tuple = ()) -> tuple[DataFrame, dict[str, PipelineModel]]:
-    """H6: per model CV (pooled out-of-fold) and test metrics, long form."""
+                   small: bool = False, drop: tuple = ()
+                   ) -> tuple[DataFrame, dict[str, PipelineModel], dict[str, DataFrame]]:
+    """H6: per model CV (pooled out-of-fold) and test metrics, long form.
+
+    Also returns the fitted models and the out-of-fold predictions (already
+    fitted, so reusing them costs no refit).
+    """
     num, cat = feature_columns(drop)
-    fitted, tables = {}, []
-    for name in names:
+
+    def one(name: str):
         oof = out_of_fold(train, name, num, cat, label=label, small=small)
-        tables.append(metrics_long(score_metrics(oof, PROB, label), model=name, split="cv"))
+        cv = metrics_long(score_metrics(oof, PROB, label), model=name, split="cv")
         m = fit(train, name, num, cat, label=label, small=small)
-        fitted[name] = m
-        tables.append(metrics_long(score_metrics(predict(m, test, keep=[label]), PROB, label), model=name, split="test"))
+        te = metrics_long(score_metrics(predict(m, test, keep=[label]), PROB, label), model=name, split="test")
+        return name, oof, m, [cv, te]
+
+    # models are independent: submit them from driver threads too
+    with ThreadPoolExecutor(max_workers=max(1, len(names))) as pool:
+        results = list(pool.map(one, names))
+    fitted, tables, oofs = {}, [], {}
+    for name, oof, m, tabs in results:
+        fitted[name], oofs[name] = m, oof
+        tables += tabs
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out, fitted
+    return out, fitted, oofs
 
 
 def select_best(metrics: DataFrame, order: list[str] = K.MODEL_ORDER) -> DataFrame:

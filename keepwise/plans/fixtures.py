@@ -7,9 +7,9 @@
 ``planted``   ``sub`` with a learnable label, for model tests
 ``countries`` country dimension (nation x region, AMERICA split in two)
 
-Per-customer features come from grouped aggregates (map-side combined), not
-windows: a customer holding a third of all orders is pre-aggregated before any
-shuffle and never lands whole in one task.
+Per-customer features come from one grouped aggregate per source (map-side
+combined), not windows: a customer holding a third of all orders is
+pre-aggregated before the shuffle and never lands whole in one task.
 """
 from __future__ import annotations
 
@@ -29,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _mode(count_col: str, value_col: str):
-    """Most frequent value, smallest value on ties, as one hash aggregate."""
-    best = F.min(F.when(F.col(count_col) > 0, F.struct((-F.col(count_col)).alias("c"), F.col(value_col).alias("v"))))
-    return best.getField("v")
+def _mode(col) -> "F.Column":
+    """Most frequent value, the lowest on ties. One hash aggregate whose
+    per-group buffer holds one count per distinct value, so its size is the
+    category count, never the group's row count; partial aggregation merges
+    the buffers on the map side."""
+    return F.mode(col, True)
 
 
 def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,33 +42,24 @@ def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     before = F.col("o_orderdate") < cut
 
-    # one pass over orders: history stats, payment mode and "ordered again" flag
-    per_prio = orders.groupBy(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v")).agg(
-        F.count_if(before).alias("n"),
+    # one pass over orders, one shuffle: history stats, payment mode, "ordered again" flag
+    act = orders.groupBy(F.col("o_custkey").alias("k")).agg(
         F.max(F.when(before, F.col("o_orderdate"))).alias("last_d"),
         F.min(F.when(before, F.col("o_orderdate"))).alias("first_d"),
+        _mode(F.when(before, F.col("o_orderpriority"))).alias("payment_method"),
         F.max(F.when(~before, F.lit(1))).alias("fut"),
     )
-    act = per_prio.groupBy("k").agg(
-        F.max("last_d").alias("last_d"),
-        F.min("first_d").alias("first_d"),
-        _mode("n", "v").alias("payment_method"),
-        F.max("fut").alias("fut"),
-    )
 
-    # lines of history orders: quantity total and genre mode in one aggregate pipeline
+    # lines of history orders: quantity total and genre mode in one aggregate
     hist = orders.where(before).select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k"))
     lines = (
         table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
         .join(hist, "l_orderkey")
         .join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
     )
-    per_type = lines.groupBy("k", "p_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(C.money("l_quantity")).alias("q")
-    )
-    watch = per_type.groupBy("k").agg(
-        F.sum("q").cast("double").alias("watch_hours"),
-        _mode("n", "p_type").alias("favorite_genre"),
+    watch = lines.groupBy("k").agg(
+        F.sum(C.money("l_quantity")).cast("double").alias("watch_hours"),
+        _mode(F.col("p_type")).alias("favorite_genre"),
     )
 
     geo = table(spark, sf_dir, "nation").join(

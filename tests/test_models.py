@@ -78,3 +78,43 @@ def test_batch_score_one_row_per_customer(spark, qs):
 def test_metrics_report_sections(spark, qs):
     sections = {r[0] for r in qs["h13_metrics_report"](spark, SF001).select("section").distinct().collect()}
     assert {"dataset", "best_model", "models", "baselines", "calibrated_test", "leakage_audit", "drivers"} <= sections
+
+
+def test_logistic_regression_converged(spark):
+    from keepwise.plans.q_models import run
+    lr = run(spark, SF001).comparison[1]["Logistic Regression"].stages[-1]
+    hist = lr.summary.objectiveHistory
+    assert lr.summary.totalIterations < 1000 and hist[-1] <= hist[0]
+
+
+def test_random_forest_same_seed_same_output(spark):
+    from keepwise.operators import models as H
+    from keepwise.plans.q_models import run
+    r = run(spark, SF001)
+    a = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat, small=True), r.test, keep=[K.ID_COL])
+    b = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat, small=True), r.test, keep=[K.ID_COL])
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_boosting_train_logloss_falls_with_rounds(spark):
+    from keepwise.operators.splits import with_class_weight
+    from keepwise.plans.q_models import run
+    r = run(spark, SF001)
+    m = r.comparison[1]["Gradient Boosting"]
+    prepared = m.transform(with_class_weight(r.train, "label"))   # features column for the tree model
+    losses = m.stages[-1].evaluateEachIteration(prepared.drop("prediction", "rawPrediction", "probability"))
+    assert losses[-1] < losses[0]
+    assert all(b <= a + 1e-12 for a, b in zip(losses, losses[1:]))
+
+
+def test_calibration_does_not_hurt_brier(spark, qs):
+    from keepwise.operators.metrics import score_metrics
+    from keepwise.plans.q_models import run
+    r = run(spark, SF001)
+    cal = score_metrics(qs["h9_calibrated_model"](spark, SF001), "p", "label").first()["brier"]
+    raw = r.metrics_local.where(f"model = '{r.best}' AND split = 'test' AND metric = 'brier'").first()["value"]
+    assert cal <= raw + 0.05
+
+
+def test_leakage_drop_positive_on_planted_signal(spark, qs):
+    assert qs["h11_leakage_delta"](spark, SF001).first()["delta"] > 0

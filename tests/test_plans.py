@@ -55,3 +55,24 @@ def test_split_and_folds_layout_independent(spark):
     for n in (1, 4, 16):
         got = sorted(map(tuple, with_folds(stratified_split(sub.repartition(n))).collect()))
         assert got == ref
+
+
+def test_one_pass_operators_scan_once(spark):
+    import tempfile
+
+    from keepwise.operators import campaign as CP, descriptive as D, filters
+    from keepwise.plans import fixtures as fx
+
+    d = tempfile.mkdtemp(prefix="kw-onepass-")
+    fx.sub(spark, SF001).write.parquet(f"{d}/sub")
+    fx.scored_fx(spark, SF001).write.parquet(f"{d}/scored")
+    sub = spark.read.parquet(f"{d}/sub")
+    scored = spark.read.parquet(f"{d}/scored")
+    spec = {"region": ["ASIA"], "age": (20, 60)}
+    one_pass = [
+        D.kpi_summary(sub), D.executive_kpis(sub), D.key_signals(sub), D.status_profile(sub),
+        D.priority_all(sub), D.revenue_tree(sub), D.churn_cube(sub), D.category_share(sub, ["gender", "device"]),
+        D.missing_report(sub), filters.filtered_kpis(sub, spec), CP.risk_kpis(scored), CP.campaign_grid(scored),
+    ]
+    for df in one_pass:
+        assert len(re.findall(r"FileScan parquet", _plan(df))) == 1, df.columns

@@ -167,8 +167,11 @@ def h13(spark, sf):
     from keepwise.operators import metrics as M
     r = run(spark, sf)
     baselines = [M.majority_baseline(r.train, r.test, LABEL), M.inactivity_baseline(r.train, r.test, label=LABEL)]
-    return H.metrics_report(spark, r.train, r.test, r.metrics_local, r.comparison[1][r.best], r.calibrated,
-                            r.leakage, baselines, r.num, r.cat, label=LABEL)
+    report = H.metrics_report(spark, r.train, r.test, r.metrics_local, r.comparison[1][r.best], r.calibrated,
+                              r.leakage, baselines, r.num, r.cat, label=LABEL)
+    path = io.shared_path(spark, io.tag(sf), "report_json")
+    io.write_report(report, path)
+    return io.read_report(spark, path)
 
 
 @query("h14_model_persistence")

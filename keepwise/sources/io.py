@@ -160,3 +160,24 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return spark.createDataFrame([], METRICS_SCHEMA)
         raise
+
+
+REPORT_SCHEMA = StructType([
+    StructField("section", StringType()), StructField("name", StringType()),
+    StructField("metric", StringType()), StructField("value", DoubleType()),
+])
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """The full evaluation report (H13) as JSON lines, replaced on each run."""
+    df.select("section", "name", "metric", "value").write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """Read the report back with its schema; absent -> empty table."""
+    try:
+        return spark.read.schema(REPORT_SCHEMA).json(path)
+    except Exception as exc:  # noqa: BLE001 - missing path
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            return spark.createDataFrame([], REPORT_SCHEMA)
+        raise

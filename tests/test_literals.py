@@ -115,3 +115,16 @@ def test_csv_without_order_column_keeps_first_copy_in_file_order(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert first == {str(k): str(k) for k in range(97)}
+
+
+def test_missing_csv_is_an_error(spark):
+    from pyspark.errors import AnalysisException
+
+    from keepwise.sources.io import read_raw_csv
+    with pytest.raises(AnalysisException):
+        read_raw_csv(spark, "/nonexistent/keepwise/raw.csv")
+
+
+def test_absent_metrics_report_reads_empty(spark):
+    from keepwise.sources.io import read_metrics
+    assert read_metrics(spark, "/nonexistent/keepwise/metrics_json").count() == 0

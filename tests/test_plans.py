@@ -76,3 +76,18 @@ def test_one_pass_operators_scan_once(spark):
     ]
     for df in one_pass:
         assert len(re.findall(r"FileScan parquet", _plan(df))) == 1, df.columns
+
+
+def test_scored_sink_prunes_tier_partitions(spark):
+    import tempfile
+
+    from keepwise.operators.scoring import SCORED_COLUMNS
+    from keepwise.plans import fixtures as fx
+    from keepwise.sources import io
+
+    path = tempfile.mkdtemp(prefix="kw-scored-") + "/scored"
+    io.write_scored(fx.scored_fx(spark, SF001), path)
+    df = io.read_scored(spark, path, SCORED_COLUMNS).where("risk_tier = 'High'")
+    plan = _plan(df)
+    assert re.search(r"PartitionFilters: \[[^\]]*risk_tier", plan)
+    assert df.count() == fx.scored_fx(spark, SF001).where("risk_tier = 'High'").count()

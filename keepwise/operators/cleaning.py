@@ -99,10 +99,13 @@ def clean(raw: DataFrame, assume_unique: bool = False) -> DataFrame:
     df = coerce_numeric(normalize_columns(raw))
     if assume_unique:
         df = df.drop(SEQ) if SEQ in df.columns else df
-    elif SEQ in df.columns:
-        df = dedupe(df).drop(SEQ)
     else:
-        df = dedupe(df.withColumn(SEQ, F.monotonically_increasing_id())).drop(SEQ)
+        if SEQ not in df.columns:
+            df = df.withColumn(SEQ, F.monotonically_increasing_id())
+        # the median passes read the deduplicated table several times: keep it
+        # instead of repeating the dedupe shuffle per pass (lineage recomputes
+        # a lost block)
+        df = dedupe(df).drop(SEQ).persist()
     return (
         df.transform(impute_median)
         .transform(normalize_categories)
@@ -118,7 +121,7 @@ def quality_report(raw: DataFrame) -> DataFrame:
     plus the median job that the imputation needs anyway.
     """
     df = coerce_numeric(normalize_columns(raw))
-    dd = dedupe(df, keep_count=True)
+    dd = dedupe(df, keep_count=True).persist()   # read by every median pass and the final aggregate
     med = medians(dd, K.NUMERIC_COLS)
     filled = dd.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in med.items() if m is not None})
     ok = range_condition()

@@ -149,7 +149,10 @@ def running_totals(
     keys = _parse_order(order)
     sort = [F.col(k).desc() if d else F.col(k).asc() for k, d in keys]
     n = partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
-    staged = df.select("*", *[v.alias(f"__v_{k}") for k, v in values.items()])
+    # read by the bound sample and by the bucketed pass: persisted (memory and
+    # disk) so the upstream plan, typically a group-by, runs once; it stays
+    # cached for the session like the fixtures
+    staged = df.select("*", *[v.alias(f"__v_{k}") for k, v in values.items()]).persist()
     bucketed = staged.withColumn("__b", range_buckets(staged, keys, n))
     w_local = Window.partitionBy("__b").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
     local = bucketed.select("*", *[F.sum(f"__v_{k}").over(w_local).alias(f"__l_{k}") for k in values])

@@ -154,7 +154,17 @@ def exact_quantiles(
     non-missing values.
     """
     cols = list(specs)
-    long = _long_form(df, cols)
+    # every pass reads the narrow (column, value) table: keep it for the
+    # duration of the search instead of recomputing the input per pass
+    long = _long_form(df, cols).persist()
+    try:
+        return _quantiles_from(long, cols, specs, buckets, collect_limit)
+    finally:
+        long.unpersist()
+
+
+def _quantiles_from(long: DataFrame, cols: list[str], specs: dict[str, list[float]], buckets: int,
+                    collect_limit: int) -> dict[str, list[float | None]]:
     stats = group_stats(long)
     plan: dict[int, list[tuple[int, int, float]]] = {}
     wanted: dict[int, set[int]] = {}

@@ -51,11 +51,14 @@ def stratified_split(df: DataFrame, label: str = K.TARGET, frac: float = K.TEST_
     """
     h = row_hash(key, f":{seed}")
     keyed = df.withColumn("__h", h)
-    long = keyed.select(F.col(label).cast("int").alias("cid"), _prefix52(F.col("__h")).alias("v"))
-    stats = group_stats(long)
-    sizes = class_test_sizes({c: s[0] for c, s in stats.items()}, frac)
-    wanted = {c: {t - 1} for c, t in sizes.items() if t > 0}
-    found = select_ranks(long, wanted, stats)
+    long = keyed.select(F.col(label).cast("int").alias("cid"), _prefix52(F.col("__h")).alias("v")).persist()
+    try:
+        stats = group_stats(long)
+        sizes = class_test_sizes({c: s[0] for c, s in stats.items()}, frac)
+        wanted = {c: {t - 1} for c, t in sizes.items() if t > 0}
+        found = select_ranks(long, wanted, stats)
+    finally:
+        long.unpersist()
 
     cond = F.lit(False)
     for c, t in sizes.items():

@@ -1,0 +1,15 @@
+"""Broadcast behind a size check."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# a side this small is cheap to ship to every executor
+MAX_BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows (one count job on
+    the candidate side), else ``df`` unchanged so the planner picks a shuffled
+    join."""
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -20,6 +20,8 @@ from functools import cmp_to_key
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepwise.functions.joins import small_side
+
 # Bucket count cap: the bounds become a CASE tree and a driver-side sample of
 # buckets * samples_per_bucket rows, so both stay small whatever the cluster's
 # shuffle partition count; each bucket's window is a sort that spills.
@@ -139,7 +141,7 @@ def running_totals(
         start = totals.select(
             *restart_by, *[F.coalesce(F.sum(f"__t_{k}").over(w), F.lit(0)).alias(f"__s_{k}") for k in values]
         )
-        out = run.join(F.broadcast(start), restart_by)
+        out = run.join(small_side(start), restart_by)
         return out.select(
             *[F.col(c) for c in df.columns],
             *[(F.col(k) - F.col(f"__s_{k}")).alias(k) for k in values],
@@ -162,7 +164,7 @@ def running_totals(
     offsets = totals.select(
         "__b", *[F.coalesce(F.sum(f"__t_{k}").over(w_off), F.lit(0)).alias(f"__o_{k}") for k in values]
     )
-    joined = local.join(F.broadcast(offsets), "__b")
+    joined = local.join(F.broadcast(offsets), "__b")   # at most MAX_BUCKETS rows by construction
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"__o_{k}") + F.col(f"__l_{k}")).alias(k) for k in values],

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keepwise import constants as K
 from keepwise.functions import columns as C
+from keepwise.functions.joins import MAX_BROADCAST_ROWS, small_side
 from keepwise.functions.numeric import round_half_even
 
 
@@ -142,10 +143,9 @@ def region_metric(df: DataFrame, metric: str = "Churn %") -> DataFrame:
 def region_to_country(metric: DataFrame, countries: DataFrame) -> DataFrame:
     """Spread a region value to every country of that region (inner join).
 
-    ``countries`` is a dimension with a fixed row count (one row per country),
-    so broadcasting it is bounded by construction.
+    The country dimension is broadcast after a size check.
     """
-    return F.broadcast(countries).join(metric, F.col("continent") == metric["region"]).select(
+    return small_side(countries).join(metric, F.col("continent") == metric["region"]).select(
         "country", countries["region"].alias("region"), "value"
     )
 
@@ -306,7 +306,9 @@ def domain_check(df: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
     allowed = spark.createDataFrame([(c, v) for c, vs in domains.items() for v in vs], "column string, value string")
     long = _unpivot_text(df, list(domains))
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    return counts.join(F.broadcast(allowed), ["column", "value"], "left_anti")
+    n_allowed = sum(len(v) for v in domains.values())      # known on the driver: no job needed
+    side = F.broadcast(allowed) if n_allowed <= MAX_BROADCAST_ROWS else allowed
+    return counts.join(side, ["column", "value"], "left_anti")
 
 
 def missing_report(df: DataFrame) -> DataFrame:

@@ -18,13 +18,10 @@ from pyspark.sql import functions as F
 
 from keepwise import constants as K
 from keepwise.functions import columns as C
+from keepwise.functions.joins import small_side
 
 SNAPSHOT = "2001-01-01"
 
-# small dimension tables with a fixed row count, safe to broadcast
-BOUNDED_DIMS = {"nation", "region"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,7 +67,7 @@ def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap_date = F.lit(SNAPSHOT).cast("date")
     bal = F.col("c_acctbal")
     base = (
-        c.join(F.broadcast(geo), F.col("n_nationkey") == F.col("c_nationkey"))
+        c.join(small_side(geo), F.col("n_nationkey") == F.col("c_nationkey"))
         .join(act, F.col("k") == F.col("c_custkey"), "left").drop("k")
         .join(watch, F.col("k") == F.col("c_custkey"), "left").drop("k")
     )

@@ -128,3 +128,21 @@ def test_missing_csv_is_an_error(spark):
 def test_absent_metrics_report_reads_empty(spark):
     from keepwise.sources.io import read_metrics
     assert read_metrics(spark, "/nonexistent/keepwise/metrics_json").count() == 0
+
+
+def test_clean_table_csv_round_trip(spark):
+    import tempfile
+
+    from keepwise.plans import fixtures as fx
+    from keepwise.sources import io
+    clean = fx.clean_table(spark, "/root/testdata/sf0.001")
+    path = tempfile.mkdtemp(prefix="kw-clean-csv-") + "/clean"
+    io.write_clean(clean, path, fmt="csv")
+    back = io.read_clean(spark, path, fmt="csv", schema=clean.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, clean.collect()))
+
+
+def test_scoring_without_model_is_an_error(spark):
+    from keepwise.operators.models import score
+    with pytest.raises(FileNotFoundError):
+        score(spark.range(1), None)

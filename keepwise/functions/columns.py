@@ -90,10 +90,12 @@ def status(x="churned") -> Column:
 
 def risk_tier(p="churn_probability") -> Column:
     c = _c(p)
+    # a missing probability fails both comparisons and lands in Medium, as in
+    # the reference rule
     return (
         F.when(c >= F.lit(K.RISK_HIGH_MIN), F.lit("High"))
         .when(c <= F.lit(K.RISK_LOW_MAX), F.lit("Low"))
-        .when(c.isNotNull(), F.lit("Medium"))
+        .otherwise(F.lit("Medium"))
     )
 
 

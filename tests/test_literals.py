@@ -25,7 +25,7 @@ def test_recency(spark):
 
 def test_tiers(spark):
     got = col_of(spark, [0.40, 0.4000001, 0.6999999, 0.70, None], C.risk_tier)
-    assert got == ["Low", "Medium", "Medium", "High", None]
+    assert got == ["Low", "Medium", "Medium", "High", "Medium"]
 
 
 def test_watch_per_profile(spark):

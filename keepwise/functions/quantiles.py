@@ -31,6 +31,19 @@ class _Region:
     base: int                     # rows of this column below the region
     n: int                        # rows inside the region
     ranks: set[int] = field(default_factory=set)
+    stuck: bool = False           # the last pass did not shrink it: split off its ends
+
+    def mode(self) -> str:
+        """How the next pass buckets this region: linear in the value, linear in
+        atan(value) when the width overflows (huge or infinite values), or a
+        three-way split {lo} / between / {hi}, which always makes progress."""
+        if self.stuck:
+            return "ends"
+        if math.isfinite(self.hi - self.lo):
+            return "lin"
+        if math.atan(self.hi) - math.atan(self.lo) > 0:
+            return "atan"
+        return "ends"
 
 
 def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -98,12 +111,19 @@ def select_ranks(
                     found[(r.cid, k)] = (v, r.base + below)
         open_regions = []
         if big:
-            lo_of = F.element_at(F.array(*[F.lit(r.lo) for r in big]), F.col("rid") + 1)
-            w_of = F.element_at(F.array(*[F.lit(r.hi - r.lo) for r in big]), F.col("rid") + 1)
-            bucket = F.least(
-                F.lit(buckets - 1),
-                F.floor((F.col("v") - lo_of) / w_of * F.lit(float(buckets))).cast("int"),
-            )
+            bucket = None
+            for rid, r in enumerate(big):
+                v, lo, hi, nb = F.col("v"), F.lit(r.lo), F.lit(r.hi), F.lit(float(buckets))
+                m = r.mode()
+                if m == "lin":
+                    b = F.floor((v - lo) / (hi - lo) * nb)
+                elif m == "atan":
+                    b = F.floor((F.atan(v) - F.atan(lo)) / (F.atan(hi) - F.atan(lo)) * nb)
+                else:
+                    b = F.when(v == lo, F.lit(0)).when(v == hi, F.lit(buckets - 1)).otherwise(F.lit(1))
+                b = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), b.cast("int")))
+                cond = F.col("rid") == rid
+                bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
             hist = (
                 long.withColumn("rid", _region_id(big))
                 .where(F.col("rid").isNotNull())
@@ -119,7 +139,9 @@ def select_ranks(
                 for row in sorted(per_b.get(rid, []), key=lambda x: x["b"]):
                     inside = {k for k in r.ranks if below <= k < below + row["n"]}
                     if inside:
-                        open_regions.append(_Region(r.cid, row["lo"], row["hi"], below, row["n"], inside))
+                        child = _Region(r.cid, row["lo"], row["hi"], below, row["n"], inside)
+                        child.stuck = child.n == r.n          # no progress: split its ends next
+                        open_regions.append(child)
                     below += row["n"]
     return found
 

@@ -69,3 +69,19 @@ def test_approx_median_close_to_exact(spark):
     # rank error of the one-pass path stays within 1/accuracy (+ one row)
     r = sum(1 for v in known if v <= approx) / len(known)
     assert abs(r - 0.5) <= 1 / 10_000 + 1 / len(known)
+
+
+def test_exact_quantiles_extreme_values_terminate(spark):
+    inf = float("inf")
+    vals = [-inf, -1e308, -1e300, 0.0, 1.0, 2.0, 1e300, 1e308, inf, inf] + [float(i) for i in range(40)]
+    df = spark.createDataFrame([(v,) for v in vals], "a double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = exact_quantiles(df, {"a": probs}, buckets=4, collect_limit=3)["a"]
+    s = sorted(vals)
+    for p, g in zip(probs, got):
+        h = (len(s) - 1) * p
+        lo, hi = s[int(h)], s[min(len(s) - 1, int(h) + 1)]
+        if h == int(h):
+            assert g == lo
+        else:
+            assert min(lo, hi) <= g <= max(lo, hi) or (g != g)   # interpolating through inf may give nan

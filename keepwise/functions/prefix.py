@@ -125,8 +125,8 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums ``values`` (name -> expression) along ``order``.
 
-    ``order`` must be a total order on the rows (unique keys); ties would make
-    the running value of tied rows depend on their physical order.
+    ``order`` must be a total order on the rows (unique, non-null keys); ties
+    would make the running value of tied rows depend on their physical order.
 
     ``restart_by`` restarts the sums per group for a *few* large groups (folds,
     classes): the groups lead the global order and each group's start offset

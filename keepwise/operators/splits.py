@@ -85,7 +85,11 @@ def stratified_split(df: DataFrame, label: str = K.TARGET, frac: float = K.TEST_
 
 def with_folds(df: DataFrame, k: int = K.CV_FOLDS, seed: int = K.RANDOM_STATE, label: str = K.TARGET,
                key: str = K.ID_COL) -> DataFrame:
-    """``fold`` = (rank within class by (hash, key) - 1) mod k."""
+    """``fold`` = (rank within class by (hash, key) - 1) mod k.
+
+    The label is the cleaned 0/1 target (B7), so the two class ranks are two
+    running counts over one hash order.
+    """
     h = row_hash(key, f":{seed}:fold")
     keyed = df.withColumn("__h", h)
     labels = [0, 1]

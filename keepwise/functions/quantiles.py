@@ -41,7 +41,9 @@ class _Region:
             return "ends"
         if math.isfinite(self.hi - self.lo):
             return "lin"
-        if math.atan(self.hi) - math.atan(self.lo) > 0:
+        # clearly positive in any libm (Spark's atan may differ by an ulp;
+        # a zero divisor would fail under ANSI)
+        if math.atan(self.hi) - math.atan(self.lo) > 1e-9:
             return "atan"
         return "ends"
 

@@ -66,7 +66,7 @@ def executive_kpis(df: DataFrame) -> DataFrame:
         (F.avg(K.TARGET) * F.lit(100.0)).alias("churn_pct"),
         (mrr / n).alias("avg_fee"),
         F.coalesce(lost, F.lit(0.0)).alias("lost_mrr"),
-        (F.coalesce(lost, F.lit(0.0)) / mrr * F.lit(100.0)).alias("lost_share_pct"),
+        (F.coalesce(lost, F.lit(0.0)) / F.when(mrr != 0, mrr) * F.lit(100.0)).alias("lost_share_pct"),
     )
 
 
@@ -166,7 +166,7 @@ def status_profile(df: DataFrame, feats: list[str] = K.STATUS_FEATURES, digits:
     for f in feats:
         overall = F.avg(f)
         for st in K.STATUS_ORDER:
-            aggs.append((F.avg(F.when(F.col("status") == st, F.col(f))) / overall).alias(f"{f}|{st}"))
+            aggs.append((F.avg(F.when(F.col("status") == st, F.col(f))) / F.when(overall != 0, overall)).alias(f"{f}|{st}"))
     wide = df.agg(*aggs)
     pairs = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.lit(st).alias("status"), F.col(f"`{f}|{st}`").alias("ratio"))

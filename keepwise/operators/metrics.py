@@ -56,6 +56,12 @@ def _ranking_aggs() -> list[Column]:
     ]
 
 
+def _nz(b: Column) -> Column:
+    """Divisor or NULL when it is 0: an undefined ratio is missing, not an
+    ANSI error (pandas would give NaN)."""
+    return F.when(b != 0, b)
+
+
 def _div0(a: Column, b: Column) -> Column:
     """a / b, 0 when b is 0 (zero_division=0)."""
     return F.coalesce(a / F.when(b != 0, b), F.lit(0.0))
@@ -117,7 +123,7 @@ def threshold_metrics(df: DataFrame, score: str = "churn_probability", label: st
         _div0(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn).alias("f1"),
         _div0(tp.cast("double"), (tp + fp).cast("double")).alias("precision"),
         _div0(tp.cast("double"), (tp + fn).cast("double")).alias("recall"),
-        ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"),
+        ((tp + tn) / _nz(tp + fp + fn + tn)).alias("accuracy"),
     )
 
 
@@ -145,9 +151,9 @@ def majority_baseline(train: DataFrame, test: DataFrame, label: str = "churned")
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     return c.select(
         F.lit("Majority class").alias("name"),
-        ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"),
+        ((tp + tn) / _nz(tp + fp + fn + tn)).alias("accuracy"),
         _div0(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn).alias("f1"),
-        ((tp + fn) / (tp + fp + fn + tn)).alias("pr_auc"),
+        ((tp + fn) / _nz(tp + fp + fn + tn)).alias("pr_auc"),
         F.lit(0.5).alias("roc_auc"),
     )
 

@@ -146,3 +146,13 @@ def test_scoring_without_model_is_an_error(spark):
     from keepwise.operators.models import score
     with pytest.raises(FileNotFoundError):
         score(spark.range(1), None)
+
+
+def test_empty_inputs_give_missing_not_errors(spark):
+    from keepwise.operators import descriptive as D
+    empty = spark.createDataFrame([], "churn_probability double, churned int")
+    row = M.threshold_metrics(empty).first()
+    assert row["accuracy"] is None and row["f1"] == 0.0
+    assert M.score_metrics(empty).count() == 1
+    zero_fee = spark.createDataFrame([(0.0, 1), (0.0, 0)], "monthly_fee double, churned int")
+    assert D.executive_kpis(zero_fee).first()["lost_share_pct"] is None

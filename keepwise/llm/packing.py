@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from keepwise.llm.common import in_slices, utf8
 
 #: words, and words without case and closing marks, remembered per Python worker
-REMEMBER = 300_000
+REMEMBER = 500_000
 #: longer words are encoded each time
 LONGEST = 64
 _MARKS = b".,!?;:#$%&*|"
@@ -42,19 +42,29 @@ class WordTokens(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cores: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        # byte-level vocabularies write a byte as a printable character: itself, or the next one from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        other = iter(range(256, 512))
+        self.shown = {b: b if b in printable else next(other) for b in range(256)}
+        probe = ["the", "straße", "élève", "über", "œuvre"]
+        self.direct = all(self._model_ids(w) == self._encode(w.encode()) for w in probe)
 
     def _encode(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def _core(self, core: bytes) -> bytes:
+    def _model_ids(self, core: str) -> bytes:
+        """Ids of lower-case letters that the normalizer and the splitter leave as they are."""
+        shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+
+    def _core(self, core: str) -> bytes:
         ids = self.cores.get(core)
         if ids is None:
-            if core.isalpha():  # ASCII letters: what the normalizer and the splitter leave as they are
-                ids = np.array([t.id for t in self.model.tokenize(core.decode())], "<u4").tobytes()
-            else:
-                ids = self._encode(core)
+            # letters up to U+017F have no combining forms here and lower-case one by one
+            plain = self.direct and core.isalpha() and (core.isascii() or max(core) <= "\u017f" and "\u0130" not in core)
+            ids = self._model_ids(core) if plain else self._encode(core.encode())
             if len(self.cores) >= REMEMBER:
                 self.cores.clear()
             self.cores[core] = ids
@@ -63,11 +73,14 @@ class WordTokens(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(word) > LONGEST:
             return self._encode(word)
-        core = word.rstrip(_MARKS)
-        if core.isalpha() or core.decode("utf-8", "replace").isalpha():
-            ids = self._core(core.lower())
-            if len(core) < len(word):
-                ids += self._core(word[len(core):])
+        raw = word.rstrip(_MARKS)
+        core = raw.decode("utf-8", "replace")
+        if core.isalpha():
+            if core.isascii() or max(core) <= "\u017f" and "\u0130" not in core:
+                core = core.lower()
+            ids = self._core(core)
+            if len(raw) < len(word):
+                ids += self._core(word[len(raw):].decode())
         else:
             ids = self._encode(word)
         if len(self) >= REMEMBER:

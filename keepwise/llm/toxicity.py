@@ -238,10 +238,12 @@ def _candidates(words: list[str], stems: list[str], shortest: int = 4, longest:
     find = Finder(Lexicon(words, stems))
 
     def keys(raw: bytes):
-        if any(not e for _, _, e, _ in find.hits(raw)):
+        if any(not e and not quoted for _, _, e, quoted in find.hits(raw)):
             return ()
-        out = {""}
-        for word in {core(w) for w in set(raw.decode("utf-8", "replace").lower().split())}:
+        out, words = {""}, raw.decode("utf-8", "replace").lower().split()
+        if any(c in w for w in set(words) for c in QUOTES):  # what is quoted says nothing of a term
+            words = [w for i, w in enumerate(words) if not _quoted(words, i)]
+        for word in map(core, set(words)):
             if len(word) >= shortest and word[:longest].isalpha():
                 out.update(word[:k] for k in range(shortest, min(len(word), longest) + 1))
                 if len(word) <= LONGEST:
@@ -346,7 +348,7 @@ def fit(
 
     def terms():
         find = finder()
-        return lambda raw: {f"{term}\t{e}" for _, term, e, _ in find.hits(raw)}
+        return lambda raw: {f"{term}\t{e}" for _, term, e, quoted in find.hits(raw) if not quoted}
 
     base = n1 / (n1 + n0)
     weights = {}

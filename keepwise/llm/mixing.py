@@ -8,7 +8,8 @@ repetitions of all its rows and one seeded sample for the fraction.
 The sample takes rows in the order of a seeded hash up to the fraction, and
 in place of the row at the edge the one row behind it whose size closes the
 gap best. Sizes are summed per source and hash bucket first, so rows are
-ordered only within one of 65,536 buckets, whatever a source's share.
+ordered only within one of 65,536 buckets, whatever a source's share, and
+running sums go over 256 groups of buckets, then 256 buckets of one group.
 """
 from __future__ import annotations
 
@@ -88,14 +89,31 @@ def _key(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}bucket").alias("bucket"), F.col(f"{prefix}order").alias("order"))
 
 
+def _edge(groups: DataFrame, key: str, needs: DataFrame) -> DataFrame:
+    """(source, need, key, before): the group of each source in which its need ends.
+
+    groups: (source, key, size); needs: (source, need, before), the words
+    before its first group.
+    """
+    upto = Window.partitionBy("source").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    summed = (groups.alias("a").join(needs.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+              .select("a.source", "a.size", f"a.{key}", "b.need", "b.before")
+              .withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0))))
+    return summed.where("before <= need AND need < before + size").select("source", "need", key, "before")
+
+
 def _sample(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """``sources`` with cut and extra."""
+    """``sources`` with cut and extra.
+
+    The edge is found in 256 coarse groups of buckets, then among the 256
+    buckets of one group, so a running sum has 256 rows a source at most.
+    """
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (buckets.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).alias("a").join(sources.alias("b"), same)
-            .where("need > 0 AND a.before <= need AND need < a.before + a.size")
-            .select(F.col("b.source").alias("source"), "bucket", "before", "need"))
+    needs = sources.where("need > 0").select("source", "need", F.lit(0).cast("long").alias("before"))
+    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")).withColumn("coarse", F.shiftright("bucket", 8))
+    coarse = _edge(rows.groupBy("source", F.shiftright("bucket", 8).alias("coarse")).agg(F.sum("size").alias("size")), "coarse", needs)
+    inner = buckets.alias("a").join(coarse.alias("b"), same & (F.col("a.coarse") == F.col("b.coarse"))).select("a.source", "a.bucket", "a.size")
+    edge = staged(_edge(inner, "bucket", coarse.select("source", "need", "before")), "mix-edge")
     keys = rows.alias("a").join(edge.alias("b"), same & (F.col("a.bucket") == F.col("b.bucket"))).groupBy(
         F.col("a.source").alias("source"), "a.bucket", "order").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("need").alias("need"))
     upto = Window.partitionBy("source").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)

@@ -1,31 +1,18 @@
 """Running totals over a global order, computed in parallel.
 
 A window with ``orderBy`` and no ``partitionBy`` sorts everything in one task.
-Instead the order is cut into range buckets: bucket bounds come from a bounded
-sample (``samples_per_bucket`` rows per bucket reach the driver), and each row's
-bucket is a binary search over the bounds written as a nested CASE (depth
-log2 of the bucket count, codegen friendly). Running sums are then taken inside
-each bucket (a window partitioned by bucket: parallel), each bucket is totalled
-(one row per bucket), the totals become offsets on that small table and are
-added back with a broadcast join whose size is the bucket count.
-
-The bucket of a row depends only on its key, never on physical partitioning,
-so recomputation after a lost executor (or a different AQE coalescing) gives
-the same answer.
+Here rows are range-partitioned by the order (Spark samples the bounds) and
+written once, with their partition's number, to the shared folder: bounds that
+come from a sample must not be drawn twice. Running sums are then taken inside
+each range (a window partitioned by its number), each range is totalled, and
+the totals, a row per range, become offsets that are added back.
 """
 from __future__ import annotations
 
-from functools import cmp_to_key
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepwise.functions.joins import small_side
-
-# Bucket count cap: the bounds become a CASE tree and a driver-side sample of
-# buckets * samples_per_bucket rows, so both stay small whatever the cluster's
-# shuffle partition count; each bucket's window is a sort that spills.
-MAX_BUCKETS = 1024
+from keepwise.functions.staging import staged
 
 
 def _parse_order(order: list) -> list[tuple[str, bool]]:
@@ -46,75 +33,6 @@ def _parse_order(order: list) -> list[tuple[str, bool]]:
     return out
 
 
-def _cmp(keys: list[tuple[str, bool]]):
-    def cmp(a, b):
-        for i, (_, desc) in enumerate(keys):
-            x, y = a[i], b[i]
-            if x == y:
-                continue
-            if x is None:
-                return -1 if not desc else 1
-            if y is None:
-                return 1 if not desc else -1
-            r = -1 if x < y else 1
-            return -r if desc else r
-        return 0
-    return cmp
-
-
-def _after(keys: list[tuple[str, bool]], bound: tuple) -> Column:
-    """Row key strictly after ``bound`` in the given (lexicographic) order."""
-    expr = None
-    for i in reversed(range(len(keys))):
-        name, desc = keys[i]
-        c, v = F.col(name), F.lit(bound[i])
-        strictly = (c < v) if desc else (c > v)
-        if expr is None:
-            expr = strictly
-        else:
-            expr = strictly | ((c == v) & expr)
-    return F.coalesce(expr, F.lit(False))
-
-
-def _bucket_expr(keys, bounds: list[tuple], lo: int, hi: int) -> Column:
-    """Number of bounds the key is after, for bounds[lo:hi] (binary search)."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_after(keys, bounds[mid]), _bucket_expr(keys, bounds, mid + 1, hi)).otherwise(
-        _bucket_expr(keys, bounds, lo, mid)
-    )
-
-
-def range_buckets(df: DataFrame, order: list, buckets: int, samples_per_bucket: int = 40) -> Column:
-    """A bucket id in [0, buckets) that is monotone in ``order``.
-
-    The bounds come from about ``buckets * samples_per_bucket`` rows: a count,
-    then a Bernoulli sample at the matching fraction, so the rows reaching the
-    driver are bounded by the sample size whatever the input size and its
-    partitioning (a per-partition top-k would ship k rows per partition).
-    """
-    keys = _parse_order(order)
-    if buckets <= 1:
-        return F.lit(0)
-    k = buckets * samples_per_bucket
-    n = df.count()
-    if n == 0:
-        return F.lit(0)
-    picked = df.select(*[c for c, _ in keys]).sample(False, min(1.0, k / n), seed=17).collect()
-    sample = [tuple(r) for r in picked]
-    if not sample:
-        return F.lit(0)
-    sample.sort(key=cmp_to_key(_cmp(keys)))
-    step = len(sample) / buckets
-    bounds = []
-    for i in range(1, buckets):
-        b = sample[min(len(sample) - 1, int(i * step))]
-        if not bounds or _cmp(keys)(bounds[-1], b) < 0:
-            bounds.append(b)
-    return _bucket_expr(keys, bounds, 0, len(bounds))
-
-
 def running_totals(
     df: DataFrame,
     order: list,
@@ -125,47 +43,35 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums ``values`` (name -> expression) along ``order``.
 
-    ``order`` must be a total order on the rows (unique, non-null keys); ties
-    would make the running value of tied rows depend on their physical order.
+    ``order`` must be a total order on the rows; ties would make the running
+    value of tied rows depend on their physical order. Missing keys come first
+    ascending and last descending, as in ``asc()`` and ``desc()``.
 
     ``restart_by`` restarts the sums per group for a *few* large groups (folds,
     classes): the groups lead the global order and each group's start offset
-    (one row per group) is subtracted. Many small groups should use a window
-    partitioned by the group instead, which is parallel by itself.
+    (one row per group, from the staged copy) is subtracted. Many small groups
+    should use a window partitioned by the group instead.
     """
-    if restart_by:
-        lead = [(c, False) for c in restart_by]
-        run = running_totals(df, lead + _parse_order(order), values, partitions=partitions)
-        totals = df.groupBy(*restart_by).agg(*[F.sum(v).alias(f"__t_{k}") for k, v in values.items()])
-        w = Window.orderBy(*restart_by).rowsBetween(Window.unboundedPreceding, -1)
-        start = totals.select(
-            *restart_by, *[F.coalesce(F.sum(f"__t_{k}").over(w), F.lit(0)).alias(f"__s_{k}") for k in values]
-        )
-        out = run.join(small_side(start), restart_by)
-        return out.select(
-            *[F.col(c) for c in df.columns],
-            *[(F.col(k) - F.col(f"__s_{k}")).alias(k) for k in values],
-        )
-
     spark = df.sparkSession
-    keys = _parse_order(order)
-    sort = [F.col(k).desc() if d else F.col(k).asc() for k, d in keys]
-    n = partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
-    # read by the bound sample and by the bucketed pass: persisted (memory and
-    # disk) so the upstream plan, typically a group-by, runs once; it stays
-    # cached for the session like the fixtures
-    staged = df.select("*", *[v.alias(f"__v_{k}") for k, v in values.items()]).persist()
-    bucketed = staged.withColumn("__b", range_buckets(staged, keys, n))
+    lead = [(c, False) for c in restart_by or []]
+    sort = [F.col(k).desc() if d else F.col(k).asc() for k, d in lead + _parse_order(order)]
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    valued = df.select("*", *[v.alias(f"__v_{k}") for k, v in values.items()])
+    rows = staged(valued.repartitionByRange(n, *sort).withColumn("__b", F.spark_partition_id()), "running")
+
     w_local = Window.partitionBy("__b").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-    local = bucketed.select("*", *[F.sum(f"__v_{k}").over(w_local).alias(f"__l_{k}") for k in values])
-    # one row per bucket: its totals, then exclusive offsets (bounded by the bucket count)
-    totals = bucketed.groupBy("__b").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in values])
-    w_off = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "__b", *[F.coalesce(F.sum(f"__t_{k}").over(w_off), F.lit(0)).alias(f"__o_{k}") for k in values]
-    )
-    joined = local.join(F.broadcast(offsets), "__b")   # at most MAX_BUCKETS rows by construction
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[(F.col(f"__o_{k}") + F.col(f"__l_{k}")).alias(k) for k in values],
-    )
+    local = rows.select("*", *[F.sum(f"__v_{k}").over(w_local).alias(f"__l_{k}") for k in values])
+    totals = rows.groupBy("__b").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in values])
+    out = local.join(F.broadcast(_offsets(totals, ["__b"], values, "__o")), "__b")   # a row per range: n at most
+    plus = {k: F.col(f"__o_{k}") + F.col(f"__l_{k}") for k in values}
+    if restart_by:
+        totals = rows.groupBy(*restart_by).agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in values])
+        out = out.join(_offsets(totals, restart_by, values, "__s"), restart_by)
+        plus = {k: c - F.col(f"__s_{k}") for k, c in plus.items()}
+    return out.select(*[F.col(c) for c in df.columns], *[c.alias(k) for k, c in plus.items()])
+
+
+def _offsets(totals: DataFrame, by: list[str], values: dict[str, Column], prefix: str) -> DataFrame:
+    """Sums of all groups before each, on a small table."""
+    w = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*by, *[F.coalesce(F.sum(f"__t_{k}").over(w), F.lit(0)).alias(f"{prefix}_{k}") for k in values])

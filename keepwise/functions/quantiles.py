@@ -1,13 +1,13 @@
 """Exact quantiles (linear interpolation) without pulling a column into one task.
 
 ``percentile`` merges a map of every distinct value in the final task, which
-does not hold for billions of rows. Here each pass is a group-by on
-(column, range bucket) with at most ``buckets`` groups per open region: the
-driver sees only bucket histograms, walks the cumulative counts to the bucket
-that holds each wanted rank, and narrows the value range to that bucket. A
-region is finished when all its values are equal, or it is small enough
-(``collect_limit`` rows) to be read whole. Every pass shrinks a region, so the
-loop ends; a hot value holding a third of the rows ends it at once (min = max).
+does not hold for billions of rows. Here a wanted rank is narrowed by ranks,
+not by values: a pass summarises each open range by some thousand approximate
+quantiles (a sketch of bounded size, merged map-side), the next pass reads only
+the few of them that enclose the wanted rank and counts, exactly, the rows
+below. A range so shrinks about a thousandfold a pass whatever the values; it
+ends when all its values are equal, so a hot value ends it at once. Only
+sketches and counts reach the driver, at every size.
 
 Interpolation follows ``quantile_cont``: position h = (n - 1) * p,
 d = h - floor h, value = x[floor h] * (1 - d) + x[ceil h] * d with the first
@@ -17,35 +17,52 @@ evaluates it; mathematically the usual linear interpolation.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: approximate quantiles a pass asks for; their rank error is a tenth of their distance
+GRID = 4000
+
 
 @dataclass
-class _Region:
+class Summary:
+    """What a pass finds in a range: rows, least and greatest value, approximate quantiles."""
+    n: int
+    lo: float
+    hi: float
+    cuts: list[float]
+
+
+@dataclass
+class _Range:
+    """Rows of a column between two values; either end may be left out."""
     cid: int
+    rank: int
     lo: float
     hi: float
-    base: int                     # rows of this column below the region
-    n: int                        # rows inside the region
-    ranks: set[int] = field(default_factory=set)
-    stuck: bool = False           # the last pass did not shrink it: split off its ends
-
-    def mode(self) -> str:
-        """How the next pass buckets this region: linear in the value, linear in
-        atan(value) when the width overflows (huge or infinite values), or a
-        three-way split {lo} / between / {hi}, which always makes progress."""
-        if self.stuck:
-            return "ends"
-        if math.isfinite(self.hi - self.lo):
-            return "lin"
-        # clearly positive in any libm (Spark's atan may differ by an ulp;
-        # a zero divisor would fail under ANSI)
-        if math.atan(self.hi) - math.atan(self.lo) > 1e-9:
-            return "atan"
-        return "ends"
+    without_lo: bool = False
+    without_hi: bool = False
+
+    def holds(self, cid: Column, v: Column) -> Column:
+        above = v > F.lit(self.lo) if self.without_lo else v >= F.lit(self.lo)
+        under = v < F.lit(self.hi) if self.without_hi else v <= F.lit(self.hi)
+        return (cid == self.cid) & above & under
+
+    def below(self, cid: Column, v: Column) -> Column:
+        return (cid == self.cid) & (v <= F.lit(self.lo) if self.without_lo else v < F.lit(self.lo))
+
+    def enclosing(self, found: Summary, rank: int, grid: int) -> "_Range":
+        """The part of this range that should hold its row number ``rank`` (from 0)."""
+        at = (rank + 0.5) / found.n * grid
+        if found.lo == found.hi:
+            return _Range(self.cid, self.rank, found.lo, found.hi)
+        lo = found.cuts[max(0, math.floor(at) - 1)]
+        hi = found.cuts[min(grid, math.ceil(at) + 1)]
+        if (lo, hi) == (found.lo, found.hi):
+            lo = hi = found.cuts[min(grid, round(at))]   # few distinct values: test one, so each pass shrinks
+        return _Range(self.cid, self.rank, lo, hi)
 
 
 def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -61,90 +78,61 @@ def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
     return out.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _region_id(regions: list[_Region]) -> Column:
-    expr = None
-    for rid, r in enumerate(regions):
-        cond = (F.col("cid") == r.cid) & F.col("v").between(F.lit(r.lo), F.lit(r.hi))
-        expr = F.when(cond, F.lit(rid)) if expr is None else expr.when(cond, F.lit(rid))
-    return expr
+def _summary(v: Column, grid: int) -> list[Column]:
+    points = [i / grid for i in range(grid + 1)]
+    return [F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+            F.percentile_approx(v, points, 10 * grid).alias("cuts")]
+
+
+def group_stats(long: DataFrame, grid: int = GRID) -> dict[int, Summary]:
+    """The first pass: a summary per group of a long (cid, v) table (few groups)."""
+    rows = long.groupBy("cid").agg(*_summary(F.col("v"), grid)).collect()
+    return {r["cid"]: Summary(r["n"], r["lo"], r["hi"], list(r["cuts"])) for r in rows}
 
 
 def select_ranks(
     long: DataFrame,
     wanted: dict[int, set[int]],
-    stats: dict[int, tuple[int, float, float]],
+    stats: dict[int, Summary],
     *,
-    buckets: int = 4096,
-    collect_limit: int = 50_000,
+    grid: int = GRID,
 ) -> dict[tuple[int, int], tuple[float, int]]:
     """Values at 0-based ranks inside groups of a long (cid, v) table.
 
     Returns ``(cid, rank) -> (value, rows of the group strictly below value)``.
-    ``stats`` holds (n, min, max) per group. Only bucket histograms and
-    regions of at most ``collect_limit`` rows reach the driver.
+    Every open rank is a range of its own; a pass is one aggregate over all.
     """
-    open_regions = [
-        _Region(cid, stats[cid][1], stats[cid][2], 0, stats[cid][0], set(ranks))
-        for cid, ranks in wanted.items() if ranks and stats.get(cid, (0,))[0] > 0
-    ]
+    cid, v = F.col("cid"), F.col("v")
     found: dict[tuple[int, int], tuple[float, int]] = {}
-    while open_regions:
-        for r in open_regions:
-            if r.lo == r.hi:
-                for k in r.ranks:
-                    found[(r.cid, k)] = (r.lo, r.base)
-        small = [r for r in open_regions if r.lo != r.hi and r.n <= collect_limit]
-        big = [r for r in open_regions if r.lo != r.hi and r.n > collect_limit]
-        if small:
-            rows = (
-                long.withColumn("rid", _region_id(small))
-                .where(F.col("rid").isNotNull())
-                .select("rid", "v")
-                .collect()
-            )
-            per: dict[int, list[float]] = {}
-            for row in rows:
-                per.setdefault(row["rid"], []).append(row["v"])
-            for rid, r in enumerate(small):
-                vals = sorted(per.get(rid, []))
-                for k in r.ranks:
-                    v = vals[k - r.base]
-                    below = next(i for i, x in enumerate(vals) if x == v)
-                    found[(r.cid, k)] = (v, r.base + below)
-        open_regions = []
-        if big:
-            bucket = None
-            for rid, r in enumerate(big):
-                v, lo, hi, nb = F.col("v"), F.lit(r.lo), F.lit(r.hi), F.lit(float(buckets))
-                m = r.mode()
-                if m == "lin":
-                    b = F.floor((v - lo) / (hi - lo) * nb)
-                elif m == "atan":
-                    b = F.floor((F.atan(v) - F.atan(lo)) / (F.atan(hi) - F.atan(lo)) * nb)
-                else:
-                    b = F.when(v == lo, F.lit(0)).when(v == hi, F.lit(buckets - 1)).otherwise(F.lit(1))
-                b = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), b.cast("int")))
-                cond = F.col("rid") == rid
-                bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
-            hist = (
-                long.withColumn("rid", _region_id(big))
-                .where(F.col("rid").isNotNull())
-                .groupBy("rid", bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                .collect()
-            )
-            per_b: dict[int, list] = {}
-            for row in hist:
-                per_b.setdefault(row["rid"], []).append(row)
-            for rid, r in enumerate(big):
-                below = r.base
-                for row in sorted(per_b.get(rid, []), key=lambda x: x["b"]):
-                    inside = {k for k in r.ranks if below <= k < below + row["n"]}
-                    if inside:
-                        child = _Region(r.cid, row["lo"], row["hi"], below, row["n"], inside)
-                        child.stuck = child.n == r.n          # no progress: split its ends next
-                        open_regions.append(child)
-                    below += row["n"]
+    open_ = []                                    # (range tested, range known to hold the rank)
+    for c, ranks in wanted.items():
+        s = stats.get(c)
+        if s is None or not s.n:
+            continue
+        whole = _Range(c, 0, s.lo, s.hi)
+        for k in sorted(ranks):
+            known = _Range(c, k, whole.lo, whole.hi)
+            open_.append((known.enclosing(s, k, grid), known))
+    while open_:
+        wide = long.agg(*[
+            x for i, (r, _) in enumerate(open_)
+            for x in (F.count_if(r.below(cid, v)).alias(f"below{i}"),
+                      F.struct(*_summary(F.when(r.holds(cid, v), v), grid)).alias(f"in{i}"))
+        ]).first()
+        again = []
+        for i, (r, known) in enumerate(open_):
+            below, s = wide[f"below{i}"], Summary(*wide[f"in{i}"])
+            if r.rank < below:                    # the sketch missed: what lies under the tested part is left
+                rest = _Range(r.cid, r.rank, known.lo, r.lo, known.without_lo, True)
+                again.append((rest, rest))
+            elif r.rank >= below + s.n:
+                rest = _Range(r.cid, r.rank, r.hi, known.hi, True, known.without_hi)
+                again.append((rest, rest))
+            elif s.lo == s.hi:
+                found[(r.cid, r.rank)] = (s.lo, below)
+            else:
+                again.append((r.enclosing(s, r.rank - below, grid), r))
+        open_ = again
     return found
 
 
@@ -155,21 +143,11 @@ def _lerp(lo: float, hi: float, d: float) -> float:
     return fma(lo, 1 - d, hi * d)
 
 
-def group_stats(long: DataFrame) -> dict[int, tuple[int, float, float]]:
-    return {
-        r["cid"]: (r["n"], r["lo"], r["hi"])
-        for r in long.groupBy("cid").agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        ).collect()
-    }
-
-
 def exact_quantiles(
     df: DataFrame,
     specs: dict[str, list[float]],
     *,
-    buckets: int = 4096,
-    collect_limit: int = 50_000,
+    grid: int = GRID,
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles for several columns in shared passes.
 
@@ -182,27 +160,27 @@ def exact_quantiles(
     # duration of the search instead of recomputing the input per pass
     long = _long_form(df, cols).persist()
     try:
-        return _quantiles_from(long, cols, specs, buckets, collect_limit)
+        return _quantiles_from(long, cols, specs, grid)
     finally:
         long.unpersist()
 
 
-def _quantiles_from(long: DataFrame, cols: list[str], specs: dict[str, list[float]], buckets: int,
-                    collect_limit: int) -> dict[str, list[float | None]]:
-    stats = group_stats(long)
+def _quantiles_from(long: DataFrame, cols: list[str], specs: dict[str, list[float]],
+                    grid: int) -> dict[str, list[float | None]]:
+    stats = group_stats(long, grid)
     plan: dict[int, list[tuple[int, int, float]]] = {}
     wanted: dict[int, set[int]] = {}
     for cid, c in enumerate(cols):
-        n = stats.get(cid, (0,))[0]
-        if n == 0:
+        if cid not in stats:
             continue
+        n = stats[cid].n
         plan[cid], wanted[cid] = [], set()
         for p in specs[c]:
             h = (n - 1) * float(p)
             f_rank, c_rank = math.floor(h), math.ceil(h)
             plan[cid].append((f_rank, c_rank, h - f_rank))
             wanted[cid].update({f_rank, c_rank})
-    found = select_ranks(long, wanted, stats, buckets=buckets, collect_limit=collect_limit)
+    found = select_ranks(long, wanted, stats, grid=grid)
 
     out: dict[str, list[float | None]] = {}
     for cid, c in enumerate(cols):

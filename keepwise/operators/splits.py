@@ -2,9 +2,9 @@
 
 Row order inside a class comes from a hash of the key, ``md5(id || ':' || seed)``
 (same bits in every engine), ties by key. The split does not sort a class in
-one task: the hash prefix is a 52-bit number, the cut row per class is found by
-the bucketed rank selection of ``functions.quantiles`` (histograms only), and
-membership is then a plain filter. Folds need every row's rank, which comes
+one task: the hash prefix is a 52-bit number, the cut per class is found by the
+rank selection of ``functions.quantiles``, the last test row among those tied on
+it by a top-k on executors, and membership is then a plain filter. Folds need every row's rank, which comes
 from parallel running counts over a range-partitioned hash order.
 """
 from __future__ import annotations
@@ -54,7 +54,7 @@ def stratified_split(df: DataFrame, label: str = K.TARGET, frac: float = K.TEST_
     long = keyed.select(F.col(label).cast("int").alias("cid"), _prefix52(F.col("__h")).alias("v")).persist()
     try:
         stats = group_stats(long)
-        sizes = class_test_sizes({c: s[0] for c, s in stats.items()}, frac)
+        sizes = class_test_sizes({c: s.n for c, s in stats.items()}, frac)
         wanted = {c: {t - 1} for c, t in sizes.items() if t > 0}
         found = select_ranks(long, wanted, stats)
     finally:
@@ -66,13 +66,11 @@ def stratified_split(df: DataFrame, label: str = K.TARGET, frac: float = K.TEST_
             continue
         v, below = found[(c, t - 1)]
         take = t - below                       # rows needed among those tied on the prefix
-        tied = (
-            keyed.where((F.col(label) == c) & (_prefix52(F.col("__h")) == F.lit(v)))
-            .select("__h", F.col(key).alias("k"))
-            .collect()                         # rows sharing one 52-bit prefix: a handful
-        )
-        tied.sort(key=lambda r: (r["__h"], r["k"]))
-        last = tied[take - 1]
+        tied = keyed.where((F.col(label) == c) & (_prefix52(F.col("__h")) == F.lit(v))) \
+            .groupBy("__h", F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        # one row per (hash, key), so repeated rows of a key are one; its last taken row comes from a running count
+        counted = running_totals(tied, [F.asc("__h"), F.asc("k")], {"upto": F.col("n")})
+        last = counted.where(F.col("upto") >= take).orderBy("upto").first()
         in_class = F.col(label) == c
         p = _prefix52(F.col("__h"))
         cut = (p < F.lit(v)) | (
@@ -88,11 +86,15 @@ def with_folds(df: DataFrame, k: int = K.CV_FOLDS, seed: int = K.RANDOM_STATE, l
     """``fold`` = (rank within class by (hash, key) - 1) mod k.
 
     The label is the cleaned 0/1 target (B7), so the two class ranks are two
-    running counts over one hash order.
+    running counts over one hash order; other labels are an error.
     """
     h = row_hash(key, f":{seed}:fold")
     keyed = df.withColumn("__h", h)
     labels = [0, 1]
+    known = F.coalesce(F.col(label).isin(labels), F.lit(False))
+    keyed = keyed.withColumn(label, F.when(known, F.col(label)).otherwise(
+        F.raise_error(F.concat(F.lit(f"{label} must be 0 or 1, not "), F.coalesce(F.col(label).cast("string"), F.lit("null"))))
+        .cast(keyed.schema[label].dataType)))
     ranked = running_totals(
         keyed, [F.asc("__h"), F.asc(key)],
         {f"__r{c}": (F.col(label) == c).cast("long") for c in labels},

@@ -35,8 +35,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    The folder named by the cluster wins. Only when it is unset (local runs,
-    tests) do we pick a scratch folder of our own.
+    The folder named by the cluster wins. Where it is unset, a local session
+    gets a scratch folder of its own; on a cluster, whose executors would not
+    see that folder, this is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,7 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # unset: local runs and tests only
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="keepwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -39,17 +39,17 @@ def _features(spark: SparkSession, clean_path: str) -> DataFrame:
 
 
 def train(spark: SparkSession, clean_path: str, model_path: str, report_path: str, *,
-          small: bool = False) -> DataFrame:
+          models: list[str] = K.MODEL_ORDER) -> DataFrame:
     df = _features(spark, clean_path)
     sp = stratified_split(df).persist()
     tr = sp.where("split = 'train'").drop("split").persist()
     te = sp.where("split = 'test'").drop("split").persist()
     num, cat = features.feature_columns()
-    comparison, fitted, _ = H.compare_models(tr, te, K.MODEL_ORDER, label=K.TARGET, small=small)
+    comparison, fitted, _ = H.compare_models(tr, te, models, label=K.TARGET)
     comparison = comparison.persist()
     best = H.select_best(comparison).first()["best_model"]
-    calibrated = H.calibrate(tr, best, num, cat, label=K.TARGET, small=small)
-    leakage = H.leakage_audit(tr, te, best, fitted[best], label=K.TARGET, small=small)
+    calibrated = H.calibrate(tr, best, num, cat, label=K.TARGET)
+    leakage = H.leakage_audit(tr, te, best, fitted[best], label=K.TARGET)
     baselines = [M.majority_baseline(tr, te, K.TARGET), M.inactivity_baseline(tr, te, label=K.TARGET)]
     report = H.metrics_report(spark, tr, te, comparison, fitted[best], calibrated, leakage, baselines,
                               num, cat, label=K.TARGET)
@@ -83,7 +83,6 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--model")
     ap.add_argument("--report")
     ap.add_argument("--scored")
-    ap.add_argument("--small", action="store_true", help="small ensembles (20 trees, 10 rounds)")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"keepwise-{a.job}").getOrCreate()
     from keepwise.session import ensure_checkpoint_dir
@@ -92,7 +91,7 @@ def main(argv: list[str] | None = None) -> None:
         print(cleaning.quality_report(io.read_raw_csv(spark, a.raw)).first().asDict())
         etl(spark, a.raw, a.clean)
     elif a.job == "train":
-        train(spark, a.clean, a.model, a.report, small=a.small).where("section = 'best_model'").show(truncate=False)
+        train(spark, a.clean, a.model, a.report).where("section = 'best_model'").show(truncate=False)
     else:
         print(_summary(score(spark, a.clean, a.model, a.scored)))
 

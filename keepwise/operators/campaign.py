@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepwise import constants as K
+from keepwise.functions.literals import literal_table
 from keepwise.functions import columns as C
 from keepwise.functions.numeric import round_half_even
 
@@ -31,10 +32,13 @@ def risk_kpis(scored: DataFrame, save_rate: float = K.DEFAULT_SAVE_RATE) -> Data
     )
 
 
+def _tiers(scored: DataFrame) -> DataFrame:
+    return literal_table(scored.sparkSession, [(t, i) for i, t in enumerate(K.RISK_ORDER)], "risk_tier string, ordinal int")
+
+
 def tier_distribution(scored: DataFrame) -> DataFrame:
     """count per tier over the domain Low, Medium, High; absent = 0."""
-    spark = scored.sparkSession
-    dom = spark.createDataFrame([(t, i) for i, t in enumerate(K.RISK_ORDER)], "risk_tier string, ordinal int")
+    dom = _tiers(scored)
     counts = scored.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("count"))
     return dom.join(counts, "risk_tier", "left").select(
         "risk_tier", "ordinal", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")
@@ -68,8 +72,8 @@ def score_summary(scored: DataFrame) -> DataFrame:
 # --- campaign ---------------------------------------------------------------------
 
 def _tier_totals(scored: DataFrame) -> DataFrame:
-    """Per tier: Σp, Σ revenue at risk, Σ fee, count; plus the overall Σp and N
-    as window totals over the (at most three) tier rows."""
+    """Per tier of the fixed three: Σp, Σ revenue at risk, Σ fee, count (zeros for
+    a tier nobody is in); plus the overall Σp and N as window totals."""
     from pyspark.sql import Window
 
     per = scored.groupBy("risk_tier").agg(
@@ -79,6 +83,8 @@ def _tier_totals(scored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
     )
     every = Window.partitionBy()
+    per = _tiers(scored).select("risk_tier").join(per, "risk_tier", "left").select(
+        "risk_tier", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sum_p", "sum_rar", "sum_fee")], F.coalesce("n", F.lit(0)).alias("n"))
     return per.select(
         "*", F.sum("sum_p").over(every).alias("all_p"), F.sum("n").over(every).alias("all_n"),
     )
@@ -95,8 +101,8 @@ def _scenario(save: Column, discount: Column) -> list[Column]:
         _r6(retained).alias("revenue_retained"),
         _r6(cost).alias("campaign_cost"),
         _r6(retained - cost).alias("net_benefit"),
-        round_half_even((F.col("all_p") - saved) / F.col("all_n"), D9).alias("new_churn_rate"),
-        round_half_even(F.col("all_p") / F.col("all_n"), D9).alias("base_churn_rate"),
+        round_half_even((F.col("all_p") - saved) / F.nullif("all_n", F.lit(0)), D9).alias("new_churn_rate"),
+        round_half_even(F.col("all_p") / F.nullif("all_n", F.lit(0)), D9).alias("base_churn_rate"),
     ]
 
 
@@ -126,10 +132,12 @@ def break_even(grid: DataFrame) -> DataFrame:
 
 
 def playbook(scored: DataFrame) -> DataFrame:
-    """Tier, action, customers, revenue at risk."""
-    return scored.groupBy("risk_tier").agg(
-        F.count(F.lit(1)).alias("customers"), _r6(F.sum("revenue_at_risk")).alias("revenue_at_risk")
-    ).select("risk_tier", C.recommended_action().alias("recommended_action"), "customers", "revenue_at_risk")
+    """Tier, action, customers, revenue at risk; zeros for a tier nobody is in."""
+    per = scored.groupBy("risk_tier").agg(
+        F.count(F.lit(1)).alias("customers"), _r6(F.sum("revenue_at_risk")).alias("revenue_at_risk"))
+    return _tiers(scored).select("risk_tier").join(per, "risk_tier", "left").select(
+        "risk_tier", C.recommended_action().alias("recommended_action"),
+        F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers"), F.coalesce("revenue_at_risk", F.lit(0.0)).alias("revenue_at_risk"))
 
 
 # --- design promises ----------------------------------------------------------------

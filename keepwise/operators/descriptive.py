@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keepwise import constants as K
 from keepwise.functions import columns as C
-from keepwise.functions.joins import MAX_BROADCAST_ROWS, small_side
+from keepwise.functions.literals import literal_table
 from keepwise.functions.numeric import round_half_even
 
 
@@ -30,7 +30,7 @@ def kpi_summary(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_subscribers"),
         _money_sum().alias("total_revenue_mrr"),
         F.avg(K.TARGET).alias("overall_churn_rate"),
-        (_money_sum() / F.count(F.lit(1))).alias("avg_monthly_fee"),
+        (_money_sum() / F.nullif(F.count("monthly_fee"), F.lit(0))).alias("avg_monthly_fee"),
     )
 
 
@@ -64,7 +64,7 @@ def executive_kpis(df: DataFrame) -> DataFrame:
         n.alias("subscribers"),
         mrr.alias("mrr"),
         (F.avg(K.TARGET) * F.lit(100.0)).alias("churn_pct"),
-        (mrr / n).alias("avg_fee"),
+        (mrr / F.nullif(F.count("monthly_fee"), F.lit(0))).alias("avg_fee"),
         F.coalesce(lost, F.lit(0.0)).alias("lost_mrr"),
         (F.coalesce(lost, F.lit(0.0)) / F.when(mrr != 0, mrr) * F.lit(100.0)).alias("lost_share_pct"),
     )
@@ -93,20 +93,19 @@ def _unpivot_text(df: DataFrame, cols: list[str]) -> DataFrame:
 def category_share(df: DataFrame, cols: str | list[str], order: list[str] | None = None) -> DataFrame:
     """Count and share per value, many columns in one group-by.
 
-    With ``order`` the values outside it are dropped and absent ones omitted.
+    With ``order`` the values outside it are dropped, before shares are taken,
+    and absent ones omitted.
     """
     long = _unpivot_text(df, [cols] if isinstance(cols, str) else cols)
+    if order is not None:
+        long = long.where(F.col("value").isin(*order))
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     total = F.sum("count").over(Window.partitionBy("column"))
-    out = counts.select("column", "value", "count", (F.col("count") / total).alias("share"))
-    if order is not None:
-        out = out.where(F.col("value").isin(*order))
-    return out
+    return counts.select("column", "value", "count", (F.col("count") / total).alias("share"))
 
 
 def _domain(df: DataFrame, values: list[str], name: str) -> DataFrame:
-    spark = df.sparkSession
-    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{name} string, ordinal int")
+    return literal_table(df.sparkSession, [(v, i) for i, v in enumerate(values)], f"{name} string, ordinal int")
 
 
 def ordered_counts(df: DataFrame, col: str, order: list[str]) -> DataFrame:
@@ -131,6 +130,28 @@ def churn_rate_by(df: DataFrame, col: str, order: list[str] | None = None) -> Da
     )
 
 
+def churn_rates(df: DataFrame, dims: list[tuple[str, list[str] | None]]) -> DataFrame:
+    """E8 for several (column, order) at once, from one scan."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c, _ in dims])
+    rates = df.select(K.TARGET, F.inline(pairs)).groupBy("dimension", "value").agg(
+        (F.avg(K.TARGET) * F.lit(100.0)).alias("churn_pct"))
+    ordered = [(c, v, i) for c, order in dims if order is not None for i, v in enumerate(order)]
+    dom = literal_table(df.sparkSession, ordered, "dimension string, value string, ordinal int")
+    free = [c for c, order in dims if order is None]
+    full = rates.join(dom, (rates["dimension"] == dom["dimension"]) & (rates["value"] == dom["value"]), "full_outer").select(
+        F.coalesce(rates["dimension"], dom["dimension"]).alias("dimension"),
+        F.coalesce(rates["value"], dom["value"]).alias("value"), "ordinal", "churn_pct")
+    return full.where(F.col("ordinal").isNotNull() | F.col("dimension").isin(*free))
+
+
+def region_metrics(df: DataFrame) -> DataFrame:
+    """E9, both metrics from one scan: (metric, region, value)."""
+    both = df.groupBy("region").agg(
+        round_half_even(F.avg(K.TARGET) * F.lit(100.0), 1).alias("pct"), F.count(F.lit(1)).cast("double").alias("n"))
+    rows = [F.struct(F.lit(m).alias("metric"), "region", F.col(c).alias("value")) for m, c in (("Churn %", "pct"), ("Subscribers", "n"))]
+    return both.select(F.inline(F.array(*rows)))
+
+
 def region_metric(df: DataFrame, metric: str = "Churn %") -> DataFrame:
     """Per region churn % rounded to 1 decimal (half to even), or subscriber count."""
     if metric == "Churn %":
@@ -143,14 +164,12 @@ def region_metric(df: DataFrame, metric: str = "Churn %") -> DataFrame:
 def region_to_country(metric: DataFrame, countries: DataFrame) -> DataFrame:
     """Spread a region value to every country of that region (inner join).
 
-    The country dimension is broadcast after a size check.
+    Both sides carry the region after the Americas' split (E11).
     """
-    return small_side(countries).join(metric, F.col("continent") == metric["region"]).select(
-        "country", countries["region"].alias("region"), "value"
-    )
+    return countries.join(metric, "region").select("country", "region", "value")
 
 
-def country_region(countries: DataFrame, south: list[str], americas: str = "Americas",
+def country_region(countries: DataFrame, south: list[str] = K.SOUTH_AMERICA, americas: str = "Americas",
                    labels: tuple[str, str] = ("South America", "North America")) -> DataFrame:
     """Split the Americas into South / North by a set of country names."""
     return countries.select(
@@ -302,13 +321,10 @@ def churn_cube(df: DataFrame, dims: tuple[str, ...] = ("subscription_type", "reg
 
 def domain_check(df: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
     """Values outside an allowed list, counted per column and value (anti join)."""
-    spark = df.sparkSession
-    allowed = spark.createDataFrame([(c, v) for c, vs in domains.items() for v in vs], "column string, value string")
+    allowed = literal_table(df.sparkSession, [(c, v) for c, vs in domains.items() for v in vs], "column string, value string")
     long = _unpivot_text(df, list(domains))
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    n_allowed = sum(len(v) for v in domains.values())      # known on the driver: no job needed
-    side = F.broadcast(allowed) if n_allowed <= MAX_BROADCAST_ROWS else allowed
-    return counts.join(side, ["column", "value"], "left_anti")
+    return counts.join(allowed, ["column", "value"], "left_anti")
 
 
 def missing_report(df: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def filtered_kpis(df: DataFrame, spec: dict) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.sum(fee).cast("double").alias("mrr"),
         (F.avg(F.when(cond, F.col(K.TARGET))) * F.lit(100.0)).alias("churn_pct"),
-        (F.sum(fee).cast("double") / F.when(shown > 0, shown)).alias("avg_fee"),
+        (F.sum(fee).cast("double") / F.nullif(F.count(fee), F.lit(0))).alias("avg_fee"),
         round_half_even(F.avg(F.when(cond, F.col("watch_hours"))), 9).alias("avg_watch_hours"),
         (shown == 0).alias("empty"),
     )

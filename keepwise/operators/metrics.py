@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepwise import constants as K
+
 from keepwise.functions.numeric import round_half_even
 from keepwise.functions.prefix import running_totals
 
@@ -87,8 +89,11 @@ def _finish(agg: DataFrame, by: list[str] = ()) -> DataFrame:
 def score_metrics(df: DataFrame, score: str = "churn_probability", label: str = "churned",
                   threshold: float = 0.5, by: list[str] = ()) -> DataFrame:
     """The seven metrics in one row (PR-AUC, ROC-AUC, F1, precision,
-    recall, accuracy, Brier); one row per ``by`` group when given."""
+    recall, accuracy, Brier); one row per ``by`` group when given.
+
+    Rows without a score or label are left out, as in J3 and J4."""
     by = list(by)
+    df = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     run = with_running(score_groups(df, score, label, threshold, by=by), by)
     agg = run.groupBy(*by).agg(*_ranking_aggs()) if by else run.agg(*_ranking_aggs())
     return _finish(agg, by)
@@ -132,12 +137,11 @@ def brier(df: DataFrame, score: str = "churn_probability", label: str = "churned
     return df.agg(round_half_even(F.avg(F.pow(F.col(score) - F.col(label), 2)), DIGITS).alias("brier"))
 
 
-def metrics_long(wide: DataFrame, **labels: str) -> DataFrame:
-    """Wide metric row(s) -> long (…labels, metric, value)."""
-    names = ["pr_auc", "roc_auc", "f1", "precision", "recall", "accuracy", "brier"]
-    present = [n for n in names if n in wide.columns]
+def metrics_long(wide: DataFrame, keep: list[str] = (), **labels: str) -> DataFrame:
+    """Wide metric row(s) -> long (…labels, …keep, metric, value)."""
+    present = [n for n in K.METRIC_NAMES if n in wide.columns]
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in present])
-    return wide.select(*[F.lit(v).alias(k) for k, v in labels.items()], F.inline(pairs))
+    return wide.select(*[F.lit(v).alias(k) for k, v in labels.items()], *keep, F.inline(pairs))
 
 
 # --- baselines ------------------------------------------------------------------

@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwise import constants as K
+from keepwise.functions.literals import literal_table
 from keepwise.operators.features import feature_columns
 from keepwise.operators.metrics import metrics_long, score_metrics
-from keepwise.operators.splits import with_class_weight, with_folds
+from keepwise.operators.splits import class_counts, with_class_weight, with_folds
 
 MODEL_KEYS = {
     "Logistic Regression": "lr",
@@ -72,33 +73,43 @@ def feature_names(model: PipelineModel, num: list[str], cat: list[str]) -> list[
 # --- H1-H4 ----------------------------------------------------------------------------
 
 def make_model(name: str, n_train: int, *, label: str = "label", seed: int = K.RANDOM_STATE,
-               small: bool = False):
-    """The four learners with the reference settings (``small`` shrinks the
-    ensembles for quick runs: 20 trees / 10 rounds)."""
+               max_bins: int = 256):
+    """The four learners with the reference settings; trees choose among
+    ``max_bins`` candidate values of a feature."""
     key = MODEL_KEYS.get(name, name)
     common = dict(featuresCol=FEATURES, labelCol=label)
+    tree = dict(maxBins=max_bins, seed=seed, **common)
     if key == "lr":
         # tol 1e-4 and 1000 iterations: the reference learner's stopping rule
         return LogisticRegression(maxIter=1000, tol=1e-4, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                   standardization=False, weightCol="class_weight", **common)
     if key == "dt":
-        return DecisionTreeClassifier(maxDepth=6, weightCol="class_weight", seed=seed, **common)
+        return DecisionTreeClassifier(maxDepth=6, weightCol="class_weight", **tree)
     if key == "rf":
-        return RandomForestClassifier(numTrees=20 if small else 300, maxDepth=10 if small else 30,
-                                      featureSubsetStrategy="sqrt", weightCol="class_weight", seed=seed,
-                                      **common)
+        return RandomForestClassifier(numTrees=300, maxDepth=30, featureSubsetStrategy="sqrt",
+                                      weightCol="class_weight", **tree)
     if key == "gbt":
-        return GBTClassifier(maxIter=10 if small else 400, maxDepth=5, stepSize=0.05, subsamplingRate=0.9,
-                             featureSubsetStrategy="0.9", seed=seed, **common)
+        return GBTClassifier(maxIter=400, maxDepth=5, stepSize=0.05, subsamplingRate=0.9,
+                             featureSubsetStrategy="0.9", **tree)
     raise ValueError(f"unknown model {name}")
 
 
+#: labelled rows a fit uses at most: an unpruned forest grows with its rows and is held on the driver
+MAX_FIT_ROWS = 2_000_000
+
+
 def fit(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-        small: bool = False) -> PipelineModel:
-    weighted = with_class_weight(train, label)
-    n = weighted.count()
-    stages = preprocessor(num, cat) + [make_model(name, n, label=label, small=small)]
-    return Pipeline(stages=stages).fit(weighted)
+        max_rows: int = MAX_FIT_ROWS) -> PipelineModel:
+    """Preprocessing and one learner. Beyond ``max_rows`` labelled rows, those
+    of the smallest id hashes are used, about ``max_rows`` of them."""
+    counts = class_counts(train, label)
+    n = sum(counts.values())
+    if n > max_rows:
+        train = train.where(F.pmod(F.xxhash64(K.ID_COL), F.lit(1 << 30)) < F.lit(int(max_rows / n * (1 << 30))))
+        counts = class_counts(train, label)
+        n = sum(counts.values())
+    stages = preprocessor(num, cat) + [make_model(name, n, label=label)]
+    return Pipeline(stages=stages).fit(with_class_weight(train, label, counts))
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = PROB, keep: list[str] | None = None) -> DataFrame:
@@ -111,12 +122,12 @@ def predict(model: PipelineModel, df: DataFrame, out: str = PROB, keep: list[str
 # --- H5 -------------------------------------------------------------------------------
 
 def _fit_folds(folded: DataFrame, name: str, num: list[str], cat: list[str], k: int, label: str,
-               small: bool, parallelism: int) -> list[PipelineModel]:
+               parallelism: int) -> list[PipelineModel]:
     """One fit per fold on the other k-1 folds. Fits are submitted from
     ``parallelism`` driver threads, as ``CrossValidator(parallelism=...)``
-    does, so the small jobs of several fits share the executors."""
+    does, so the short jobs of several fits share the executors."""
     def one(i: int) -> PipelineModel:
-        return fit(folded.where(F.col("fold") != i), name, num, cat, label=label, small=small)
+        return fit(folded.where(F.col("fold") != i), name, num, cat, label=label)
 
     if parallelism <= 1:
         return [one(i) for i in range(k)]
@@ -125,15 +136,14 @@ def _fit_folds(folded: DataFrame, name: str, num: list[str], cat: list[str], k:
 
 
 def out_of_fold(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-                k: int = K.CV_FOLDS, small: bool = False, parallelism: int = K.CV_FOLDS) -> DataFrame:
+                k: int = K.CV_FOLDS, parallelism: int = K.CV_FOLDS) -> DataFrame:
     """Pooled out-of-fold probabilities; preprocessing refitted per fold.
 
     The driver only schedules the k fits; ``CrossValidator`` would return
     averages only.
     """
-    folded = with_folds(train, k=k, label=label) if "fold" not in train.columns else train
-    folded = folded.persist()
-    models = _fit_folds(folded, name, num, cat, k, label, small, parallelism)
+    folded = train if "fold" in train.columns else with_folds(train, k=k, label=label).persist()
+    models = _fit_folds(folded, name, num, cat, k, label, parallelism)
     parts = []
     for i, m in enumerate(models):
         parts.append(predict(m, folded.where(F.col("fold") == i), keep=[K.ID_COL, label, "fold"]))
@@ -171,11 +181,11 @@ class CalibratedModel:
 
 
 def calibrate(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-              k: int = K.CV_FOLDS, small: bool = False, parallelism: int = K.CV_FOLDS) -> CalibratedModel:
+              k: int = K.CV_FOLDS, parallelism: int = K.CV_FOLDS) -> CalibratedModel:
     """H9: per fold refit the model on k-1 folds, fit isotonic on the held-out
     fold; the calibrated probability is the average of the k outputs."""
     folded = with_folds(train, k=k, label=label, seed=K.RANDOM_STATE + 1).persist()
-    models = _fit_folds(folded, name, num, cat, k, label, small, parallelism)
+    models = _fit_folds(folded, name, num, cat, k, label, parallelism)
     parts = []
     for i, m in enumerate(models):
         held = predict(m, folded.where(F.col("fold") == i), keep=[label])
@@ -186,19 +196,19 @@ def calibrate(train: DataFrame, name: str, num: list[str], cat: list[str], *, la
 # --- H6 / H7 / H10 / H11 / H12 ----------------------------------------------------------
 
 def compare_models(train: DataFrame, test: DataFrame, names: list[str], *, label: str = "label",
-                   small: bool = False, drop: tuple = ()
-                   ) -> tuple[DataFrame, dict[str, PipelineModel], dict[str, DataFrame]]:
+                   drop: tuple = ()) -> tuple[DataFrame, dict[str, PipelineModel], dict[str, DataFrame]]:
     """H6: per model CV (pooled out-of-fold) and test metrics, long form.
 
     Also returns the fitted models and the out-of-fold predictions (already
     fitted, so reusing them costs no refit).
     """
     num, cat = feature_columns(drop)
+    folded = with_folds(train, label=label).persist()   # once, for all models
 
     def one(name: str):
-        oof = out_of_fold(train, name, num, cat, label=label, small=small)
+        oof = out_of_fold(folded, name, num, cat, label=label)
         cv = metrics_long(score_metrics(oof, PROB, label), model=name, split="cv")
-        m = fit(train, name, num, cat, label=label, small=small)
+        m = fit(train, name, num, cat, label=label)
         te = metrics_long(score_metrics(predict(m, test, keep=[label]), PROB, label), model=name, split="test")
         return name, oof, m, [cv, te]
 
@@ -224,14 +234,13 @@ def select_best(metrics: DataFrame, order: list[str] = K.MODEL_ORDER) -> DataFra
 
 
 def leakage_audit(train: DataFrame, test: DataFrame, best: str, fitted: PipelineModel | None = None, *,
-                  label: str = "label", suspects: list[str] = K.LEAKAGE_SUSPECTS,
-                  small: bool = False) -> DataFrame:
+                  label: str = "label", suspects: list[str] = K.LEAKAGE_SUSPECTS) -> DataFrame:
     """Test metrics of the best model with and without the leakage
     suspects, long form (model, variant, metric, value)."""
     num, cat = feature_columns()
-    with_m = fitted or fit(train, best, num, cat, label=label, small=small)
+    with_m = fitted or fit(train, best, num, cat, label=label)
     num_n, cat_n = feature_columns(suspects)
-    without = fit(train, best, num_n, cat_n, label=label, small=small)
+    without = fit(train, best, num_n, cat_n, label=label)
     a = metrics_long(score_metrics(predict(with_m, test, keep=[label]), PROB, label),
                      model=best, variant="with_suspects")
     b = metrics_long(score_metrics(predict(without, test, keep=[label]), PROB, label),
@@ -247,18 +256,17 @@ def leakage_delta(metrics: DataFrame) -> DataFrame:
                        (F.col("with_suspects") - F.col("without_suspects")).alias("delta"))
 
 
+#: what a fitted learner tells of its features, by attribute
+_WEIGHTS = {"featureImportances": lambda v: v.toArray(), "coefficients": lambda v: abs(v.toArray())}
+
+
 def drivers(spark: SparkSession, model: PipelineModel, num: list[str], cat: list[str], n: int = 15) -> DataFrame:
-    """Top-n features by tree importance or |coefficient| (model-sized)."""
-    est = model.stages[-1]
-    names = feature_names(model, num, cat)
-    if hasattr(est, "featureImportances"):
-        imp = est.featureImportances.toArray()
-    elif hasattr(est, "coefficients"):
-        imp = [abs(x) for x in est.coefficients.toArray()]
-    else:
-        imp = []
-    pairs = sorted(zip(names, [float(x) for x in imp]), key=lambda kv: kv[1], reverse=True)[:n]
-    return spark.createDataFrame(pairs, "feature string, importance double")
+    """Top-n features by tree importance or |coefficient| (a row per vector slot, ranked in Spark)."""
+    learner = model.stages[-1]
+    weights = next((f(getattr(learner, a)) for a, f in _WEIGHTS.items() if hasattr(learner, a)), [])
+    slots = [(i, f, float(w)) for i, (f, w) in enumerate(zip(feature_names(model, num, cat), weights))]
+    table = literal_table(spark, slots, "slot int, feature string, importance double")
+    return table.orderBy(F.desc("importance"), "slot").limit(n).select("feature", "importance")
 
 
 # --- H13 -----------------------------------------------------------------------------------
@@ -287,8 +295,9 @@ def metrics_report(spark: SparkSession, train: DataFrame, test: DataFrame, compa
             F.col("importance").alias("value")),
     ]
     for b in baselines:
-        parts.append(metrics_long(b, section="baselines").select(
-            "section", F.lit("baseline").alias("name"), "metric", "value"))
+        parts.append(metrics_long(b, keep=["name"], section="baselines"))
+    parts.append(literal_table(spark, [("leakage_suspects", c, "suspect", 1.0) for c in K.LEAKAGE_SUSPECTS],
+                               "section string, name string, metric string, value double"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p.select("section", "name", "metric", F.col("value").cast("double")))
@@ -320,5 +329,5 @@ def load_model(spark: SparkSession, path: str) -> CalibratedModel:
 def score(df: DataFrame, model: CalibratedModel | None) -> DataFrame:
     """K1: calibrated churn probability for every customer; error without a model."""
     if model is None:
-        raise FileNotFoundError("Model not found: train and save a model first.")
+        raise FileNotFoundError("no model to score with; run the train job, which saves one")
     return model.predict(df, "churn_probability")

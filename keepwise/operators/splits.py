@@ -139,12 +139,17 @@ def one_hot(train: DataFrame, df: DataFrame, cols: list[str], key: str = K.ID_CO
     )
 
 
-def with_class_weight(train: DataFrame, label: str = K.TARGET) -> DataFrame:
+def class_counts(df: DataFrame, label: str = K.TARGET) -> dict[int, int]:
+    """Rows per class (a few classes)."""
+    return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def with_class_weight(train: DataFrame, label: str = K.TARGET, counts: dict[int, int] | None = None) -> DataFrame:
     """Balanced weights n / (2 * n_class) per row.
 
     The class counts are a two-row aggregate folded into a literal map.
     """
-    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = counts or class_counts(train, label)
     n = sum(counts.values())
     k = len(counts)
     m = F.create_map(*[x for c, nc in counts.items() for x in (F.lit(c), F.lit(n / (k * nc)))])

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from keepwise import constants as K
 from keepwise.functions import columns as C
-from keepwise.functions.joins import small_side
 
 SNAPSHOT = "2001-01-01"
 
@@ -61,13 +60,13 @@ def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     geo = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey")
-    ).select("n_nationkey", "r_name")
+    ).select("n_nationkey", split_region().alias("region"))
 
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     snap_date = F.lit(SNAPSHOT).cast("date")
     bal = F.col("c_acctbal")
     base = (
-        c.join(small_side(geo), F.col("n_nationkey") == F.col("c_nationkey"))
+        c.join(geo, F.col("n_nationkey") == F.col("c_nationkey"))
         .join(act, F.col("k") == F.col("c_custkey"), "left").drop("k")
         .join(watch, F.col("k") == F.col("c_custkey"), "left").drop("k")
     )
@@ -79,7 +78,7 @@ def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(bal < 2000, "Basic").when(bal < 6000, "Standard").otherwise("Premium").alias("subscription_type"),
         F.col("watch_hours"),
         F.datediff(snap_date, F.col("last_d").cast("date")).cast("double").alias("last_login_days"),
-        F.col("r_name").alias("region"),
+        F.col("region"),
         F.col("c_mktsegment").alias("device"),
         F.when(bal < 2000, 8.99).when(bal < 6000, 13.99).otherwise(17.99).cast("double").alias("monthly_fee"),
         F.when(F.col("fut").isNull(), 1).otherwise(0).cast("int").alias("churned"),
@@ -132,18 +131,22 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Country dimension. The nation names standing in for South America."""
-    south = ["NATION_1", "NATION_6"]
+    """Country dimension."""
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
     return n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).select(
         F.col("n_name").alias("country"),
         F.col("r_name").alias("continent"),
-        F.when(F.col("r_name") != "AMERICA", F.col("r_name"))
-        .when(F.col("n_name").isin(*south), "SOUTH AMERICA").otherwise("NORTH AMERICA").alias("region"),
+        split_region().alias("region"),
     )
 
 
+def split_region():
+    """The region with AMERICA in two. The nations standing in for South America."""
+    return F.when(F.col("r_name") != "AMERICA", F.col("r_name")).when(
+        F.col("n_name").isin("NATION_1", "NATION_6"), "SOUTH AMERICA").otherwise("NORTH AMERICA")
+
+
 # --- materialised fixtures ----------------------------------------------------
 # The reference hands stages over through files (clean table, scored table).
 # Here the snapshot is checkpointed to the shared checkpoint folder (lineage

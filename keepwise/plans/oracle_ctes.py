@@ -36,7 +36,8 @@ SELECT CAST(c.c_custkey AS BIGINT)                          AS customer_id,
        CASE WHEN c.c_acctbal < 2000 THEN 'Basic' WHEN c.c_acctbal < 6000 THEN 'Standard' ELSE 'Premium' END AS subscription_type,
        w.watch_hours                                        AS watch_hours,
        CAST(date_diff('day', CAST(a.last_d AS DATE), DATE '2001-01-01') AS DOUBLE) AS last_login_days,
-       r.r_name                                             AS region,
+       CASE WHEN r.r_name <> 'AMERICA' THEN r.r_name
+            WHEN n.n_name IN ('NATION_1', 'NATION_6') THEN 'SOUTH AMERICA' ELSE 'NORTH AMERICA' END AS region,
        c.c_mktsegment                                       AS device,
        CAST(CASE WHEN c.c_acctbal < 2000 THEN 8.99 WHEN c.c_acctbal < 6000 THEN 13.99 ELSE 17.99 END AS DOUBLE) AS monthly_fee,
        CAST(CASE WHEN f.k IS NULL THEN 1 ELSE 0 END AS INT) AS churned,

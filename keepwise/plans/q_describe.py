@@ -132,9 +132,13 @@ _SHARE_COLS = ["status", "gender", "subscription_type", "device", "payment_metho
 @query("e6_category_share", with_ctes("sub", extra=["l AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value FROM sub" for c in _SHARE_COLS) + ")"]) + """
 SELECT "column", value, COUNT(*) AS count, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY "column") AS share
-FROM l GROUP BY "column", value""")
+FROM l GROUP BY "column", value
+UNION ALL SELECT "column" || ' (ordered)', value, COUNT(*), COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY "column")
+FROM l WHERE "column" = 'subscription_type' AND value IN ('Premium', 'Basic') GROUP BY "column", value""")
 def e6(spark, sf):
-    return D.category_share(fx.sub(spark, sf), _SHARE_COLS)
+    s = fx.sub(spark, sf)
+    ordered = D.category_share(s, "subscription_type", ["Premium", "Basic"])
+    return D.category_share(s, _SHARE_COLS).unionByName(ordered.withColumn("column", F.concat("column", F.lit(" (ordered)"))))
 
 
 @query("e7_ordered_counts", with_ctes("sub", extra=["""b AS (SELECT CASE WHEN age > 0 AND age <= 25 THEN '<25'
@@ -164,27 +168,19 @@ _RATE_DIMS = [("subscription_type", None), ("recency_bucket", K.RECENCY_ORDER),
 
 @query("e8_churn_rate_by", with_ctes("sub") + " UNION ALL ".join(_rate_sql(c, o) for c, o in _RATE_DIMS))
 def e8(spark, sf):
-    s = fx.sub(spark, sf)
-    parts = [D.churn_rate_by(s, c, o) for c, o in _RATE_DIMS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return D.churn_rates(fx.sub(spark, sf), _RATE_DIMS)
 
 
 @query("e9_region_metric", with_ctes("sub") + f"""
 SELECT 'Churn %' AS metric, region, {srhe('AVG(churned) * 100.0', 1)} AS value FROM sub GROUP BY region
 UNION ALL SELECT 'Subscribers' AS metric, region, CAST(COUNT(*) AS DOUBLE) AS value FROM sub GROUP BY region""")
 def e9(spark, sf):
-    s = fx.sub(spark, sf)
-    a = D.region_metric(s, "Churn %").select(F.lit("Churn %").alias("metric"), "region", "value")
-    b = D.region_metric(s, "Subscribers").select(F.lit("Subscribers").alias("metric"), "region", "value")
-    return a.unionByName(b)
+    return D.region_metrics(fx.sub(spark, sf))
 
 
 @query("e10_region_map_join", with_ctes("sub", "countries") + f"""
 SELECT c.country, c.region, m.value FROM countries c JOIN
-  (SELECT region, {srhe('AVG(churned) * 100.0', 1)} AS value FROM sub GROUP BY region) m ON c.continent = m.region""")
+  (SELECT region, {srhe('AVG(churned) * 100.0', 1)} AS value FROM sub GROUP BY region) m ON c.region = m.region""")
 def e10(spark, sf):
     return D.region_to_country(D.region_metric(fx.sub(spark, sf)), fx.countries(spark, sf))
 

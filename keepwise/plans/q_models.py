@@ -3,8 +3,8 @@
 Model outputs cannot be matched bit for bit by SQL, so these are rows-only
 for the driver; the invariants named in SURVEY §2.H are asserted in the tests.
 H8 (isotonic fit) has an exact oracle: the min-max formula over score bins.
-Queries use small ensembles (20 trees, 10 rounds); the API defaults keep the
-reference sizes. All fits of one session and data folder are shared.
+All learners have the reference's sizes. All fits of one session and data
+folder are shared.
 """
 from __future__ import annotations
 
@@ -31,8 +31,8 @@ LABEL = "label"
 class ModelRun:
     """Train/test split of the planted fixture and every fit derived from it."""
 
-    def __init__(self, spark: SparkSession, sf: str, small: bool = True):
-        self.spark, self.sf, self.small = spark, sf, small
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
         planted = fx.planted(spark, sf).drop("base")
         sp = stratified_split(planted, label=LABEL).persist()
         self.train = sp.where("split = 'train'").drop("split").persist()
@@ -41,7 +41,7 @@ class ModelRun:
 
     @cached_property
     def comparison(self):
-        return H.compare_models(self.train, self.test, K.MODEL_ORDER, label=LABEL, small=self.small)
+        return H.compare_models(self.train, self.test, K.MODEL_ORDER, label=LABEL)
 
     @property
     def metrics(self) -> DataFrame:
@@ -57,12 +57,11 @@ class ModelRun:
 
     @cached_property
     def calibrated(self) -> H.CalibratedModel:
-        return H.calibrate(self.train, self.best, self.num, self.cat, label=LABEL, small=self.small)
+        return H.calibrate(self.train, self.best, self.num, self.cat, label=LABEL)
 
     @cached_property
     def leakage(self) -> DataFrame:
-        return H.leakage_audit(self.train, self.test, self.best, self.comparison[1][self.best],
-                               label=LABEL, small=self.small).persist()
+        return H.leakage_audit(self.train, self.test, self.best, self.comparison[1][self.best], label=LABEL).persist()
 
     @cached_property
     def saved_path(self) -> str:

@@ -92,9 +92,9 @@ def k6(spark, sf):
 
 
 _TIER_TOTALS = """tt AS (
-  SELECT risk_tier, SUM(churn_probability) AS sum_p, SUM(revenue_at_risk) AS sum_rar,
-         CAST(SUM(CAST(monthly_fee AS DECIMAL(18,2))) AS DOUBLE) AS sum_fee, COUNT(*) AS n
-  FROM scored GROUP BY risk_tier
+  SELECT d.risk_tier, COALESCE(SUM(churn_probability), 0.0::DOUBLE) AS sum_p, COALESCE(SUM(revenue_at_risk), 0.0::DOUBLE) AS sum_rar,
+         COALESCE(CAST(SUM(CAST(monthly_fee AS DECIMAL(18,2))) AS DOUBLE), 0.0::DOUBLE) AS sum_fee, COUNT(s.risk_tier) AS n
+  FROM (VALUES ('Low'), ('Medium'), ('High')) d(risk_tier) LEFT JOIN scored s ON s.risk_tier = d.risk_tier GROUP BY d.risk_tier
 ), tt2 AS (SELECT *, SUM(sum_p) OVER () AS all_p, SUM(n) OVER () AS all_n FROM tt)"""
 
 
@@ -135,7 +135,9 @@ def k9(spark, sf):
 SELECT risk_tier, CASE risk_tier WHEN 'High' THEN 'Offer targeted discount / personalized content'
                   WHEN 'Medium' THEN 'Send re-engagement campaign'
                   ELSE 'Maintain engagement / loyalty rewards' END AS recommended_action,
-       COUNT(*) AS customers, {r6('SUM(revenue_at_risk)')} AS revenue_at_risk FROM scored GROUP BY risk_tier""")
+       COUNT(customer_id) AS customers, COALESCE({r6('SUM(revenue_at_risk)')}, 0.0::DOUBLE) AS revenue_at_risk
+FROM (SELECT d.risk_tier, s.customer_id, s.revenue_at_risk FROM (VALUES ('Low'), ('Medium'), ('High')) d(risk_tier)
+      LEFT JOIN scored s ON s.risk_tier = d.risk_tier) GROUP BY risk_tier""")
 def k10(spark, sf):
     return CP.playbook(fx.scored_fx(spark, sf))
 

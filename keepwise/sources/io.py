@@ -28,20 +28,25 @@ def tag(text: str) -> str:
 
 # --- A1 -----------------------------------------------------------------------
 
-def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """A1: read raw subscriber CSV(s) with a header, every column as text.
 
     No schema inference (a pass over the data, types that depend on it). The
-    NA tokens pandas recognises become NULL. A missing path is an error.
+    NA tokens pandas recognises become NULL. Quotes are doubled inside quoted
+    fields. A missing path, a row with more or fewer fields than the header and
+    a header other than ``columns`` are errors. ``multi_line`` allows line
+    breaks inside quotes; a file then can't be split, so give many files.
     """
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
     if columns is None:
-        header = spark.read.option("header", True).csv(path).columns
+        header = reader.csv(path).columns
         columns = header
     schema = StructType([StructField(c, StringType(), True) for c in columns])
     df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
+        reader.schema(schema)
+        .option("mode", "FAILFAST")
+        .option("enforceSchema", False)
+        .option("columnPruning", False)   # else a bad row passes where few columns are read
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
@@ -68,7 +73,7 @@ def write_raw_csv(df: DataFrame, path: str) -> None:
     """Write text columns as CSV keeping edge whitespace (for round trips)."""
     (
         df.write.mode("overwrite")
-        .option("header", True)
+        .options(header=True, quote='"', escape='"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)

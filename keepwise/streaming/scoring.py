@@ -4,8 +4,9 @@ factor) on a Structured Streaming source.
 Stateless: every micro-batch is scored with the same expressions as the batch
 table (``operators.scoring.build_scored``). The key-factor medians are those of
 a reference table, since "all scored rows" is unbounded on a stream. Output
-goes through ``foreachBatch`` to an append-only parquet folder; the stream's
-checkpoint folder makes a restart resume where it stopped.
+goes through Spark's parquet file sink, which records the files of each batch, so a
+batch that is tried again is not written twice; the stream's checkpoint folder
+makes a restart resume where it stopped.
 """
 from __future__ import annotations
 
@@ -34,9 +35,6 @@ def start_scoring(spark: SparkSession, source: str, schema: StructType, sink: st
     stream = spark.readStream.schema(schema).parquet(source)
     out = scored_stream(stream, meds, model)
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(sink)
-
-    w = out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = out.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

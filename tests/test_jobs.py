@@ -14,7 +14,7 @@ def test_etl_train_score(spark):
     io.write_raw_csv(fx.raw_table(spark, SF001), f"{base}/raw")
     clean = jobs.etl(spark, f"{base}/raw", f"{base}/clean", fact="fact_jobs_test")
     assert clean.count() == fx.clean_table(spark, SF001).count()
-    report = jobs.train(spark, f"{base}/clean", f"{base}/model", f"{base}/report", small=True)
+    report = jobs.train(spark, f"{base}/clean", f"{base}/model", f"{base}/report", models=["Logistic Regression", "Decision Tree"])
     sections = {r[0] for r in report.select("section").distinct().collect()}
     assert {"dataset", "best_model", "models", "baselines", "calibrated_test", "leakage_audit", "drivers"} <= sections
     scored = jobs.score(spark, f"{base}/clean", f"{base}/model", f"{base}/scored")

@@ -156,3 +156,75 @@ def test_empty_inputs_give_missing_not_errors(spark):
     assert M.score_metrics(empty).count() == 1
     zero_fee = spark.createDataFrame([(0.0, 1), (0.0, 0)], "monthly_fee double, churned int")
     assert D.executive_kpis(zero_fee).first()["lost_share_pct"] is None
+
+
+def test_region_map_uses_the_split_region(spark):
+    from keepwise.operators import descriptive as D
+    countries = D.country_region(spark.createDataFrame(
+        [("Brazil", "Americas"), ("Canada", "Americas"), ("France", "Europe"), ("Japan", "Asia")], "country string, continent string"))
+    metric = spark.createDataFrame([("South America", 1.0), ("North America", 2.0), ("Europe", 3.0)], "region string, value double")
+    got = {r["country"]: r["value"] for r in D.region_to_country(metric, countries).collect()}
+    assert got == {"Brazil": 1.0, "Canada": 2.0, "France": 3.0}
+
+
+def test_share_is_of_the_kept_values(spark):
+    from keepwise.operators import descriptive as D
+    df = spark.createDataFrame([("a",), ("a",), ("b",), ("zz",)], "x string")
+    got = {r["value"]: r["share"] for r in D.category_share(df, "x", ["a", "b", "c"]).collect()}
+    assert got == {"a": 2 / 3, "b": 1 / 3}
+
+
+def test_campaign_answers_for_an_empty_tier(spark):
+    from keepwise.operators import campaign as CP
+    df = spark.createDataFrame([(1, "High", 0.9, 90.0, 10.0), (2, "Low", 0.1, 10.0, 10.0)],
+                               "customer_id long, risk_tier string, churn_probability double, revenue_at_risk double, monthly_fee double")
+    grid = CP.campaign_grid(df)
+    assert grid.count() == 3 * 21 * 11
+    row = CP.campaign(df, "Medium", 0.3, 0.2).first()
+    assert row["net_benefit"] == 0.0 and row["customers_saved"] == 0.0 and row["base_churn_rate"] == 0.5
+    assert CP.break_even(grid).where("risk_tier = 'Medium' AND break_even_save_rate = 0").count() == 11
+    assert {r["risk_tier"]: r["customers"] for r in CP.playbook(df).collect()} == {"Low": 1, "Medium": 0, "High": 1}
+    assert CP.campaign(df.where("false"), "High").first()["new_churn_rate"] is None
+
+
+def test_customer_table_puts_missing_revenue_last(spark):
+    from pyspark.sql import functions as F
+
+    from keepwise.functions.prefix import running_totals
+    df = spark.createDataFrame([(i, None if i % 2 else float(i)) for i in range(200)], "id int, v double")
+    full = running_totals(df, [F.desc("v"), F.asc("id")], {"position": F.lit(1).cast("long")}, partitions=6)
+    assert full.where("v IS NULL").agg(F.min("position")).first()[0] == 101
+
+
+def test_missing_scores_are_left_out(spark):
+    from keepwise.operators import metrics as M
+    df = spark.createDataFrame([(0.9, 1), (0.1, 0), (None, 1)], "churn_probability double, churned int")
+    a, b = M.threshold_metrics(df).first(), M.score_metrics(df).first()
+    assert a["f1"] == b["f1"] == 1.0 and b["brier"] == M.brier(df).first()["brier"]
+
+
+def test_average_fee_ignores_missing(spark):
+    from keepwise.operators import descriptive as D
+    df = spark.createDataFrame([(10.0, 0), (None, 1), (20.0, 1)], "monthly_fee double, churned int")
+    assert D.kpi_summary(df).first()["avg_monthly_fee"] == 15.0
+    assert D.executive_kpis(df).first()["avg_fee"] == 15.0
+
+
+def test_csv_dialect(spark, tmp_path):
+    from keepwise.sources.io import read_raw_csv
+    good = tmp_path / "good"
+    good.mkdir()
+    (good / "a.csv").write_text('customer_id,genre,age\n1,"Sci-Fi ""Classic"", old",30\n2,x,\n')
+    rows = read_raw_csv(spark, str(good)).orderBy("customer_id").collect()
+    assert [(r["genre"], r["age"]) for r in rows] == [('Sci-Fi "Classic", old', "30"), ("x", None)]
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "a.csv").write_text('customer_id,genre,age\n1,"two\nlines",30\n')
+    assert read_raw_csv(spark, str(lines), multi_line=True).first()["genre"] == "two\nlines"
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "a.csv").write_text("customer_id,genre,age\n1,x,30,extra\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_raw_csv(spark, str(bad)).select("customer_id").collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        read_raw_csv(spark, str(good), ["customer_id", "other", "age"]).collect()

@@ -91,8 +91,8 @@ def test_random_forest_same_seed_same_output(spark):
     from keepwise.operators import models as H
     from keepwise.plans.q_models import run
     r = run(spark, SF001)
-    a = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat, small=True), r.test, keep=[K.ID_COL])
-    b = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat, small=True), r.test, keep=[K.ID_COL])
+    a = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat), r.test, keep=[K.ID_COL])
+    b = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat), r.test, keep=[K.ID_COL])
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
@@ -118,3 +118,58 @@ def test_calibration_does_not_hurt_brier(spark, qs):
 
 def test_leakage_drop_positive_on_planted_signal(spark, qs):
     assert qs["h11_leakage_delta"](spark, SF001).first()["delta"] > 0
+
+
+def test_train_means_are_near_zero(spark, qs):
+    from keepwise.plans.q_models import run
+    r = run(spark, SF001)
+    g = qs["g5_preprocess_pipeline"](spark, SF001).join(r.train.select(K.ID_COL), K.ID_COL)
+    assert abs(g.agg(F.avg("first_scaled")).first()[0]) < 1e-9
+
+
+def test_importances_sum_to_one(spark):
+    from keepwise.plans.q_models import run
+    fitted = run(spark, SF001).comparison[1]
+    for name in ("Decision Tree", "Random Forest", "Gradient Boosting"):
+        assert abs(sum(fitted[name].stages[-1].featureImportances.toArray()) - 1) < 1e-9
+    assert fitted["Random Forest"].stages[-1].getNumTrees == 300
+    assert fitted["Gradient Boosting"].stages[-1].getNumTrees == 400
+
+
+def test_logistic_gradient_is_near_zero(spark):
+    """The penalised loss has no slope left at the fitted coefficients."""
+    import numpy as np
+
+    from keepwise.operators.splits import with_class_weight
+    from keepwise.plans.q_models import LABEL, run
+    r = run(spark, SF001)
+    m = r.comparison[1]["Logistic Regression"]
+    rows = m.transform(with_class_weight(r.train, LABEL)).select("features", LABEL, "class_weight", "probability").collect()
+    x = np.array([row[0].toArray() for row in rows])
+    y, w = np.array([row[1] for row in rows], float), np.array([row[2] for row in rows])
+    p = np.array([row[3][1] for row in rows])
+    slope = (x * (w * (p - y))[:, None]).sum(0) / w.sum() + m.stages[-1].coefficients.toArray() / len(rows)
+    assert abs(slope).max() < 5e-3
+
+
+def test_tree_leaves_hold_weighted_means(spark):
+    """Rows of equal features class by class: a leaf's probability is its weighted share."""
+    from keepwise.operators.splits import with_class_weight
+    from keepwise.plans.q_models import LABEL, run
+    r = run(spark, SF001)
+    m = r.comparison[1]["Decision Tree"]
+    learner = m.stages[-1].setLeafCol("leaf")
+    rows = with_class_weight(r.train, LABEL)
+    for stage in m.stages[:-1]:
+        rows = stage.transform(rows)
+    from pyspark.ml.functions import vector_to_array
+    out = learner.transform(rows).select("leaf", vector_to_array("probability")[1].alias("p"), LABEL, "class_weight")
+    means = out.groupBy("leaf").agg((F.sum(F.col(LABEL) * F.col("class_weight")) / F.sum("class_weight")).alias("mean"), F.max("p").alias("p"))
+    assert means.where(F.abs(F.col("mean") - F.col("p")) > 1e-9).count() == 0
+
+
+def test_report_names_baselines_and_suspects(spark, qs):
+    rows = qs["h13_metrics_report"](spark, SF001).collect()
+    names = {r["name"] for r in rows if r["section"] == "baselines"}
+    assert len(names) == 2 and "Majority class" in names
+    assert {r["name"] for r in rows if r["section"] == "leakage_suspects"} == set(K.LEAKAGE_SUSPECTS)

@@ -72,8 +72,19 @@ def feature_names(model: PipelineModel, num: list[str], cat: list[str]) -> list[
 
 # --- H1-H4 ----------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Sizes:
+    """Sizes of the ensembles; the defaults are the reference's (depth 30 is Spark's limit)."""
+    trees: int = 300
+    depth: int = 30
+    rounds: int = 400
+
+
+FULL = Sizes()
+
+
 def make_model(name: str, n_train: int, *, label: str = "label", seed: int = K.RANDOM_STATE,
-               max_bins: int = 256):
+               max_bins: int = 256, sizes: Sizes = FULL):
     """The four learners with the reference settings; trees choose among
     ``max_bins`` candidate values of a feature."""
     key = MODEL_KEYS.get(name, name)
@@ -86,10 +97,10 @@ def make_model(name: str, n_train: int, *, label: str = "label", seed: int = K.R
     if key == "dt":
         return DecisionTreeClassifier(maxDepth=6, weightCol="class_weight", **tree)
     if key == "rf":
-        return RandomForestClassifier(numTrees=300, maxDepth=30, featureSubsetStrategy="sqrt",
+        return RandomForestClassifier(numTrees=sizes.trees, maxDepth=sizes.depth, featureSubsetStrategy="sqrt",
                                       weightCol="class_weight", **tree)
     if key == "gbt":
-        return GBTClassifier(maxIter=400, maxDepth=5, stepSize=0.05, subsamplingRate=0.9,
+        return GBTClassifier(maxIter=sizes.rounds, maxDepth=5, stepSize=0.05, subsamplingRate=0.9,
                              featureSubsetStrategy="0.9", **tree)
     raise ValueError(f"unknown model {name}")
 
@@ -99,7 +110,7 @@ MAX_FIT_ROWS = 2_000_000
 
 
 def fit(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-        max_rows: int = MAX_FIT_ROWS) -> PipelineModel:
+        max_rows: int = MAX_FIT_ROWS, sizes: Sizes = FULL) -> PipelineModel:
     """Preprocessing and one learner. Beyond ``max_rows`` labelled rows, those
     of the smallest id hashes are used, about ``max_rows`` of them."""
     counts = class_counts(train, label)
@@ -108,7 +119,7 @@ def fit(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: s
         train = train.where(F.pmod(F.xxhash64(K.ID_COL), F.lit(1 << 30)) < F.lit(int(max_rows / n * (1 << 30))))
         counts = class_counts(train, label)
         n = sum(counts.values())
-    stages = preprocessor(num, cat) + [make_model(name, n, label=label)]
+    stages = preprocessor(num, cat) + [make_model(name, n, label=label, sizes=sizes)]
     return Pipeline(stages=stages).fit(with_class_weight(train, label, counts))
 
 
@@ -122,12 +133,12 @@ def predict(model: PipelineModel, df: DataFrame, out: str = PROB, keep: list[str
 # --- H5 -------------------------------------------------------------------------------
 
 def _fit_folds(folded: DataFrame, name: str, num: list[str], cat: list[str], k: int, label: str,
-               parallelism: int) -> list[PipelineModel]:
+               parallelism: int, sizes: Sizes) -> list[PipelineModel]:
     """One fit per fold on the other k-1 folds. Fits are submitted from
     ``parallelism`` driver threads, as ``CrossValidator(parallelism=...)``
     does, so the short jobs of several fits share the executors."""
     def one(i: int) -> PipelineModel:
-        return fit(folded.where(F.col("fold") != i), name, num, cat, label=label)
+        return fit(folded.where(F.col("fold") != i), name, num, cat, label=label, sizes=sizes)
 
     if parallelism <= 1:
         return [one(i) for i in range(k)]
@@ -136,14 +147,14 @@ def _fit_folds(folded: DataFrame, name: str, num: list[str], cat: list[str], k:
 
 
 def out_of_fold(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-                k: int = K.CV_FOLDS, parallelism: int = K.CV_FOLDS) -> DataFrame:
+                k: int = K.CV_FOLDS, parallelism: int = K.CV_FOLDS, sizes: Sizes = FULL) -> DataFrame:
     """Pooled out-of-fold probabilities; preprocessing refitted per fold.
 
     The driver only schedules the k fits; ``CrossValidator`` would return
     averages only.
     """
     folded = train if "fold" in train.columns else with_folds(train, k=k, label=label).persist()
-    models = _fit_folds(folded, name, num, cat, k, label, parallelism)
+    models = _fit_folds(folded, name, num, cat, k, label, parallelism, sizes)
     parts = []
     for i, m in enumerate(models):
         parts.append(predict(m, folded.where(F.col("fold") == i), keep=[K.ID_COL, label, "fold"]))
@@ -181,11 +192,11 @@ class CalibratedModel:
 
 
 def calibrate(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-              k: int = K.CV_FOLDS, parallelism: int = K.CV_FOLDS) -> CalibratedModel:
+              k: int = K.CV_FOLDS, parallelism: int = K.CV_FOLDS, sizes: Sizes = FULL) -> CalibratedModel:
     """H9: per fold refit the model on k-1 folds, fit isotonic on the held-out
     fold; the calibrated probability is the average of the k outputs."""
     folded = with_folds(train, k=k, label=label, seed=K.RANDOM_STATE + 1).persist()
-    models = _fit_folds(folded, name, num, cat, k, label, parallelism)
+    models = _fit_folds(folded, name, num, cat, k, label, parallelism, sizes)
     parts = []
     for i, m in enumerate(models):
         held = predict(m, folded.where(F.col("fold") == i), keep=[label])
@@ -196,7 +207,7 @@ def calibrate(train: DataFrame, name: str, num: list[str], cat: list[str], *, la
 # --- H6 / H7 / H10 / H11 / H12 ----------------------------------------------------------
 
 def compare_models(train: DataFrame, test: DataFrame, names: list[str], *, label: str = "label",
-                   drop: tuple = ()) -> tuple[DataFrame, dict[str, PipelineModel], dict[str, DataFrame]]:
+                   drop: tuple = (), sizes: Sizes = FULL) -> tuple[DataFrame, dict[str, PipelineModel], dict[str, DataFrame]]:
     """H6: per model CV (pooled out-of-fold) and test metrics, long form.
 
     Also returns the fitted models and the out-of-fold predictions (already
@@ -206,9 +217,9 @@ def compare_models(train: DataFrame, test: DataFrame, names: list[str], *, label
     folded = with_folds(train, label=label).persist()   # once, for all models
 
     def one(name: str):
-        oof = out_of_fold(folded, name, num, cat, label=label)
+        oof = out_of_fold(folded, name, num, cat, label=label, sizes=sizes)
         cv = metrics_long(score_metrics(oof, PROB, label), model=name, split="cv")
-        m = fit(train, name, num, cat, label=label)
+        m = fit(train, name, num, cat, label=label, sizes=sizes)
         te = metrics_long(score_metrics(predict(m, test, keep=[label]), PROB, label), model=name, split="test")
         return name, oof, m, [cv, te]
 
@@ -234,13 +245,14 @@ def select_best(metrics: DataFrame, order: list[str] = K.MODEL_ORDER) -> DataFra
 
 
 def leakage_audit(train: DataFrame, test: DataFrame, best: str, fitted: PipelineModel | None = None, *,
-                  label: str = "label", suspects: list[str] = K.LEAKAGE_SUSPECTS) -> DataFrame:
+                  label: str = "label", suspects: list[str] = K.LEAKAGE_SUSPECTS,
+                  sizes: Sizes = FULL) -> DataFrame:
     """Test metrics of the best model with and without the leakage
     suspects, long form (model, variant, metric, value)."""
     num, cat = feature_columns()
-    with_m = fitted or fit(train, best, num, cat, label=label)
+    with_m = fitted or fit(train, best, num, cat, label=label, sizes=sizes)
     num_n, cat_n = feature_columns(suspects)
-    without = fit(train, best, num_n, cat_n, label=label)
+    without = fit(train, best, num_n, cat_n, label=label, sizes=sizes)
     a = metrics_long(score_metrics(predict(with_m, test, keep=[label]), PROB, label),
                      model=best, variant="with_suspects")
     b = metrics_long(score_metrics(predict(without, test, keep=[label]), PROB, label),

@@ -91,8 +91,8 @@ def test_random_forest_same_seed_same_output(spark):
     from keepwise.operators import models as H
     from keepwise.plans.q_models import run
     r = run(spark, SF001)
-    a = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat), r.test, keep=[K.ID_COL])
-    b = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat), r.test, keep=[K.ID_COL])
+    a = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat, sizes=H.Sizes(20, 10, 10)), r.test, keep=[K.ID_COL])
+    b = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat, sizes=H.Sizes(20, 10, 10)), r.test, keep=[K.ID_COL])
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
@@ -132,8 +132,13 @@ def test_importances_sum_to_one(spark):
     fitted = run(spark, SF001).comparison[1]
     for name in ("Decision Tree", "Random Forest", "Gradient Boosting"):
         assert abs(sum(fitted[name].stages[-1].featureImportances.toArray()) - 1) < 1e-9
-    assert fitted["Random Forest"].stages[-1].getNumTrees == 300
-    assert fitted["Gradient Boosting"].stages[-1].getNumTrees == 400
+
+
+def test_default_sizes_are_the_reference_ones():
+    from keepwise.operators.models import make_model
+    forest, boosting = make_model("Random Forest", 100), make_model("Gradient Boosting", 100)
+    assert forest.getNumTrees() == 300 and forest.getMaxDepth() == 30
+    assert boosting.getMaxIter() == 400 and boosting.getMaxDepth() == 5 and boosting.getMaxBins() == 256
 
 
 def test_logistic_gradient_is_near_zero(spark):

@@ -168,8 +168,14 @@ def out_of_fold(train: DataFrame, name: str, num: list[str], cat: list[str], *,
 
 def fit_isotonic(df: DataFrame, score: str = PROB, label: str = "label") -> IsotonicRegressionModel:
     """Monotone step fit of label on score (ties pooled, interpolated between
-    boundaries, clipped outside)."""
-    return IsotonicRegression(isotonic=True, featuresCol=score, labelCol=label, predictionCol="__iso").fit(df)
+    boundaries, clipped outside).
+
+    Rows become one weighted row per distinct score first, which leaves the
+    fit as it is. What reaches the driver is the blocks of each partition.
+    """
+    pooled = df.groupBy(score).agg(F.avg(label).alias(label), F.count(label).cast("double").alias("__n"))
+    return IsotonicRegression(isotonic=True, featuresCol=score, labelCol=label, weightCol="__n",
+                              predictionCol="__iso").fit(pooled)
 
 
 @dataclass

@@ -105,6 +105,10 @@ def with_folds(df: DataFrame, k: int = K.CV_FOLDS, seed: int = K.RANDOM_STATE, l
     return ranked.withColumn("fold", ((rank - 1) % k).cast("int")).drop("__h", *[f"__r{c}" for c in labels])
 
 
+#: shares of a category's cells, so that a hot category meets its slot in many tasks
+SALTS = 64
+
+
 # --- preprocessing ------------------------------------------------------------------
 
 def fit_scaler(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
@@ -132,7 +136,9 @@ def one_hot(train: DataFrame, df: DataFrame, cols: list[str], key: str = K.ID_CO
 
     seen = long(train, False).distinct()
     seen = seen.withColumn("slot", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
-    cells = long(df, True).join(seen, ["column", "value"])
+    salted = seen.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    share = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+    cells = long(df, True).withColumn("__salt", share).join(salted, ["column", "value", "__salt"])
     return cells.select(
         key, F.concat(F.col("column"), F.lit("_"), F.col("value")).alias("feature"),
         F.col("slot").cast("int").alias("slot"), F.lit(1.0).alias("value"),

@@ -24,6 +24,7 @@ from keepwise.operators.features import feature_columns
 from keepwise.operators.splits import stratified_split
 from keepwise.plans import fixtures as fx
 from keepwise.plans.oracle_ctes import with_ctes
+from keepwise.plans.q_metrics import SPLIT_CTES
 from keepwise.plans.registry import query
 from keepwise.sources import io
 
@@ -83,13 +84,23 @@ def run(spark: SparkSession, sf: str) -> ModelRun:
     return _RUNS[key]
 
 
-@query("g5_preprocess_pipeline")
+#: the split of the planted fixture as DuckDB text: that of ``sub``, on the planted label
+_SPLIT = [c.replace("churned", LABEL).replace("FROM sub", "FROM planted") for c in SPLIT_CTES]
+_NUM, _CAT = feature_columns()
+
+
+@query("g5_preprocess_pipeline", with_ctes("planted", extra=_SPLIT + [
+    "st AS (SELECT " + ", ".join(f"AVG({c}) AS m_{c}, STDDEV_SAMP({c}) AS s_{c}" for c in _NUM) + " FROM train)",
+    "seen AS (SELECT " + " + ".join(f"COUNT(DISTINCT {c})" for c in _CAT) + " AS n FROM train)"]) +
+    f"SELECT customer_id, CAST({len(_NUM)} + seen.n AS INT) AS n_features, " + ", ".join(
+        srhe(f"CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0.0::DOUBLE END", 6) + f" AS {c}" for c in _NUM)
+    + " FROM planted CROSS JOIN st CROSS JOIN seen")
 def g5(spark, sf):
     r = run(spark, sf)
     model = Pipeline(stages=H.preprocessor(r.num, r.cat)).fit(r.train)
-    out = model.transform(r.train.unionByName(r.test))
-    return out.select(K.ID_COL, F.size(vector_to_array(F.col(H.FEATURES))).alias("n_features"),
-                      vector_to_array(F.col(H.FEATURES))[0].alias("first_scaled"))
+    out = model.transform(r.train.unionByName(r.test)).withColumn("v", vector_to_array(F.col(H.FEATURES)))
+    return out.select(K.ID_COL, F.size("v").alias("n_features"),
+                      *[round_half_even(F.col("v")[i], 6).alias(c) for i, c in enumerate(r.num)])
 
 
 def _single(name: str):
@@ -106,10 +117,14 @@ query("h3_random_forest")(_single("Random Forest"))
 query("h4_gradient_boosting")(_single("Gradient Boosting"))
 
 
-@query("h5_out_of_fold")
+@query("h5_out_of_fold", with_ctes("planted", extra=_SPLIT) + f"""
+SELECT customer_id, {LABEL}, CAST((ROW_NUMBER() OVER (PARTITION BY {LABEL}
+       ORDER BY md5(CAST(customer_id AS VARCHAR) || ':42:fold'), customer_id) - 1) % 5 AS INT) AS fold,
+       TRUE AS p_in_range FROM train""")
 def h5(spark, sf):
-    # the pooled out-of-fold probabilities the comparison already fitted
-    return run(spark, sf).comparison[2]["Logistic Regression"]
+    # the pooled out-of-fold probabilities the comparison already fitted; SQL can state all but their values
+    oof = run(spark, sf).comparison[2]["Logistic Regression"]
+    return oof.select(K.ID_COL, LABEL, "fold", F.col(H.PROB).between(0, 1).alias("p_in_range"))
 
 
 @query("h6_model_comparison")

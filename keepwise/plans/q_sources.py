@@ -35,10 +35,27 @@ def a3(spark, sf):
     return io.save_fact(fx.clean_table(spark, sf), "fact_subscriber")
 
 
-@query("a4_register_views", clean_sql("""
-SELECT 'vw_kpi_summary' AS view_name, CAST(1 AS BIGINT) AS row_count
-UNION ALL SELECT 'vw_revenue_by_plan', COUNT(DISTINCT subscription_type) FROM r_clean
-UNION ALL SELECT 'vw_churn_by_segment', COUNT(*) FROM (SELECT DISTINCT subscription_type, region FROM r_clean) t"""))
+_VIEW_MONEY = "CAST(SUM(CAST(monthly_fee AS DECIMAL(18,2))) AS DOUBLE)"
+
+
+def _view_rows(view: str, by: list[str], metrics: dict[str, str]) -> str:
+    """A view's contents in long form."""
+    keys = ", ".join(c if c in by else f"CAST(NULL AS VARCHAR) AS {c}" for c in ("subscription_type", "region"))
+    group = f" GROUP BY {', '.join(by)}" if by else ""
+    return " UNION ALL ".join(
+        f"SELECT '{view}' AS view_name, {keys}, '{m}' AS metric, CAST({x} AS DOUBLE) AS value FROM r_clean{group}"
+        for m, x in metrics.items())
+
+
+@query("a4_register_views", clean_sql(" UNION ALL ".join([
+    _view_rows("vw_kpi_summary", [], {
+        "total_subscribers": "COUNT(*)", "total_revenue_mrr": _VIEW_MONEY, "overall_churn_rate": "AVG(churned)",
+        "avg_monthly_fee": f"{_VIEW_MONEY} / COUNT(monthly_fee)"}),
+    _view_rows("vw_revenue_by_plan", ["subscription_type"], {
+        "subscribers": "COUNT(*)", "revenue_mrr": _VIEW_MONEY, "churn_rate": "AVG(churned)"}),
+    _view_rows("vw_churn_by_segment", ["subscription_type", "region"], {
+        "subscribers": "COUNT(*)", "churn_rate": "AVG(churned)"}),
+])))
 def a4(spark, sf):
     io.save_fact(fx.clean_table(spark, sf), "fact_subscriber")
     return io.register_views(spark, "fact_subscriber")

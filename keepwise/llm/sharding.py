@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keepwise.llm.common import numbers, utf8
+from keepwise.llm.common import numbers, staged, utf8
 
 SLOTS = 4096
 #: parts of a slot, by a hash of the whole record, when rows are numbered
 PARTS = 64
+#: equal rows that one task writes out at most at a time
+RUN = 1 << 16
 
 
 def slot_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -106,7 +108,8 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
     Null texts are empty, null ids go where an empty id would, equal rows are
     numbered apart. Rows are numbered within 64 hashed parts of each slot and
     the parts' counts added up, so an id on a third of all rows with texts of
-    its own is many parts, not one.
+    its own is many parts, not one. Rows equal in id and text are one counted
+    row until the end, when runs of ``RUN`` of them are written out apart.
     """
     spark = docs.sparkSession
     held = slot_map(shards) if held is None else held
@@ -117,12 +120,17 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
     table = F.broadcast(map_table(spark, held).select("virtual_slot", "shard").join(  # a row per slot: some thousand
         map_table(spark, grow(held, max(held) + 1)).select("virtual_slot", F.col("shard").alias("grown_shard")), "virtual_slot"))
     part = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int")
-    dealt = rows.join(table, "virtual_slot").withColumn("part", part)
-    counts = dealt.groupBy("shard", "virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"))
+    equal = staged(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("part", part), "equal-rows")
+    dealt = equal.join(table, "virtual_slot")
+    counts = dealt.groupBy("shard", "virtual_slot", "part").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("virtual_slot", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")
-    placed = dealt.withColumn("at", F.row_number().over(within)).join(starts, ["virtual_slot", "part"])
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at") - 1).cast("long").alias("slot"),
-        "grown_shard", "virtual_slot")
+    within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("start") + F.coalesce(F.sum("copies").over(within), F.lit(0))
+    placed = staged(dealt.join(starts, ["virtual_slot", "part"]).withColumn("first", at.cast("long")), "placed")
+    runs = placed.where(F.col("copies") > RUN).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long"))).alias("at")).repartition("doc_id", "at")
+    runs = runs.withColumn("first", F.col("first") + F.col("at")).withColumn("copies", F.least(F.lit(RUN), F.col("copies") - F.col("at"))).drop("at")
+    return placed.where(F.col("copies") <= RUN).union(runs).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("slot"), "grown_shard", "virtual_slot")

@@ -297,3 +297,13 @@ def test_large_components_stay_exact():
     block = top_k.Block(np.arange(1), np.array([9]), np.array([[2**27, 1]], np.int64), 2)
     block.offer(np.arange(3), big)
     assert block.rows_out()[3].tolist() == [2**54 + 3, 2**54 + 2]
+
+
+def test_equal_rows_are_numbered_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    df = spark.createDataFrame([(5, "same")] * 100 + [(i, "x") for i in range(20)] + [(None, None)] * 9, "doc_id long, text string")
+    rows, by = sharding.shard(df, shards=3).collect(), {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 129 and sum(r.doc_id == 5 for r in rows) == 101
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by.values())

@@ -107,18 +107,22 @@ def make_model(name: str, n_train: int, *, label: str = "label", seed: int = K.R
 
 #: labelled rows a fit uses at most: an unpruned forest grows with its rows and is held on the driver
 MAX_FIT_ROWS = 2_000_000
+#: rows a task of a fit takes: fits are long chains of short jobs, which more tasks only slow down
+FIT_TASK_ROWS = 20_000
 
 
 def fit(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
         max_rows: int = MAX_FIT_ROWS, sizes: Sizes = FULL) -> PipelineModel:
     """Preprocessing and one learner. Beyond ``max_rows`` labelled rows, those
-    of the smallest id hashes are used, about ``max_rows`` of them."""
+    of the smallest id hashes are used, about ``max_rows`` of them. Rows are
+    dealt and sorted by id, so that a seed gives the same model anywhere."""
     counts = class_counts(train, label)
     n = sum(counts.values())
     if n > max_rows:
         train = train.where(F.pmod(F.xxhash64(K.ID_COL), F.lit(1 << 30)) < F.lit(int(max_rows / n * (1 << 30))))
         counts = class_counts(train, label)
         n = sum(counts.values())
+    train = train.repartition(max(1, -(-n // FIT_TASK_ROWS)), K.ID_COL).sortWithinPartitions(K.ID_COL)
     stages = preprocessor(num, cat) + [make_model(name, n, label=label, sizes=sizes)]
     return Pipeline(stages=stages).fit(with_class_weight(train, label, counts))
 

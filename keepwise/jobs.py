@@ -45,13 +45,13 @@ def train(spark: SparkSession, clean_path: str, model_path: str, report_path: st
     tr = sp.where("split = 'train'").drop("split").persist()
     te = sp.where("split = 'test'").drop("split").persist()
     num, cat = features.feature_columns()
-    comparison, fitted, _ = H.compare_models(tr, te, models, label=K.TARGET)
+    comparison, fits = H.compare_models(tr, te, models, label=K.TARGET)
     comparison = comparison.persist()
     best = H.select_best(comparison).first()["best_model"]
-    calibrated = H.calibrate(tr, best, num, cat, label=K.TARGET)
-    leakage = H.leakage_audit(tr, te, best, fitted[best], label=K.TARGET)
+    calibrated = H.calibrate(fits[best])
+    leakage = H.leakage_audit(tr, te, fits[best])
     baselines = [M.majority_baseline(tr, te, K.TARGET), M.inactivity_baseline(tr, te, label=K.TARGET)]
-    report = H.metrics_report(spark, tr, te, comparison, fitted[best], calibrated, leakage, baselines,
+    report = H.metrics_report(spark, tr, te, comparison, fits[best].model, calibrated, leakage, baselines,
                               num, cat, label=K.TARGET)
     H.save_model(spark, calibrated, model_path)
     io.write_report(report, report_path)

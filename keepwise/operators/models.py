@@ -12,12 +12,15 @@ Differences kept on purpose:
 - Random forest depth is capped at 30 (Spark's limit) instead of unlimited.
 - Gradient boosting samples columns per node ("0.9"), not per tree, and is
   built in, so it is never skipped.
+- Calibration takes the folds and fold fits of the comparison, so a fold is
+  fitted once; the reference draws five folds of its own.
 """
 from __future__ import annotations
 
 import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 
 from keepwise import constants as K
 from keepwise.functions.literals import literal_table
+from keepwise.functions.staging import staged
 from keepwise.operators.features import feature_columns
 from keepwise.operators.metrics import metrics_long, score_metrics
 from keepwise.operators.splits import class_counts, with_class_weight, with_folds
@@ -136,36 +140,54 @@ def predict(model: PipelineModel, df: DataFrame, out: str = PROB, keep: list[str
 
 # --- H5 -------------------------------------------------------------------------------
 
-def _fit_folds(folded: DataFrame, name: str, num: list[str], cat: list[str], k: int, label: str,
-               parallelism: int, sizes: Sizes) -> list[PipelineModel]:
-    """One fit per fold on the other k-1 folds. Fits are submitted from
-    ``parallelism`` driver threads, as ``CrossValidator(parallelism=...)``
-    does, so the short jobs of several fits share the executors."""
-    def one(i: int) -> PipelineModel:
-        return fit(folded.where(F.col("fold") != i), name, num, cat, label=label, sizes=sizes)
-
-    if parallelism <= 1:
-        return [one(i) for i in range(k)]
-    with ThreadPoolExecutor(max_workers=min(parallelism, k)) as pool:
-        return list(pool.map(one, range(k)))
-
-
-def out_of_fold(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-                k: int = K.CV_FOLDS, parallelism: int = K.CV_FOLDS, sizes: Sizes = FULL) -> DataFrame:
-    """Pooled out-of-fold probabilities; preprocessing refitted per fold.
+@dataclass
+class Fits:
+    """One learner's fits: on all training rows, and per fold on the others.
 
-    The driver only schedules the k fits; ``CrossValidator`` would return
-    averages only.
+    ``folded`` are the training rows with their fold, which comparison,
+    out-of-fold probabilities and calibration all read.
     """
-    folded = train if "fold" in train.columns else with_folds(train, k=k, label=label).persist()
-    models = _fit_folds(folded, name, num, cat, k, label, parallelism, sizes)
-    parts = []
-    for i, m in enumerate(models):
-        parts.append(predict(m, folded.where(F.col("fold") == i), keep=[K.ID_COL, label, "fold"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    name: str
+    model: PipelineModel
+    folds: list[PipelineModel]
+    folded: DataFrame
+    num: list[str]
+    cat: list[str]
+    label: str
+
+    def out_of_fold(self) -> DataFrame:
+        """H5: (id, label, fold, p), each training row scored by the fit that did not see it."""
+        parts = [predict(m, self.folded.where(F.col("fold") == i), keep=[K.ID_COL, self.label, "fold"])
+                 for i, m in enumerate(self.folds)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def metrics(self, test: DataFrame) -> DataFrame:
+        """H6: pooled out-of-fold (cv) and test metrics, long form."""
+        scored = {"cv": self.out_of_fold(), "test": predict(self.model, test, keep=[self.label])}
+        return reduce(DataFrame.unionByName, [
+            metrics_long(score_metrics(df, PROB, self.label), model=self.name, split=split) for split, df in scored.items()])
+
+
+def with_stored_folds(train: DataFrame, *, label: str = "label", k: int = K.CV_FOLDS) -> DataFrame:
+    """``train`` with ``fold``, written once to the shared folder: every fit reads the same rows."""
+    return staged(with_folds(train, k=k, label=label), "folds")
+
+
+def fit_folds(folded: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
+              k: int = K.CV_FOLDS, parallelism: int = K.CV_FOLDS + 1, sizes: Sizes = FULL) -> Fits:
+    """The k + 1 fits of one learner; preprocessing is fitted anew in each.
+
+    They are submitted from ``parallelism`` driver threads, as
+    ``CrossValidator(parallelism=...)`` does (which would return averages
+    only), so the short jobs of several fits share the executors.
+    """
+    def one(i: int) -> PipelineModel:
+        rows = folded if i == k else folded.where(F.col("fold") != i)
+        return fit(rows.drop("fold"), name, num, cat, label=label, sizes=sizes)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k + 1))) as pool:
+        *folds, whole = pool.map(one, range(k + 1))
+    return Fits(name, whole, folds, folded, num, cat, label)
 
 
 # --- H8 / H9 --------------------------------------------------------------------------
@@ -201,49 +223,29 @@ class CalibratedModel:
         return cur.select(*df.columns, avg.alias(out))
 
 
-def calibrate(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-              k: int = K.CV_FOLDS, parallelism: int = K.CV_FOLDS, sizes: Sizes = FULL) -> CalibratedModel:
-    """H9: per fold refit the model on k-1 folds, fit isotonic on the held-out
-    fold; the calibrated probability is the average of the k outputs."""
-    folded = with_folds(train, k=k, label=label, seed=K.RANDOM_STATE + 1).persist()
-    models = _fit_folds(folded, name, num, cat, k, label, parallelism, sizes)
+def calibrate(fits: Fits) -> CalibratedModel:
+    """H9: per fold an isotonic fit on the held-out rows over the fit on the
+    others; the calibrated probability is the average of the k outputs."""
     parts = []
-    for i, m in enumerate(models):
-        held = predict(m, folded.where(F.col("fold") == i), keep=[label])
-        parts.append((m, fit_isotonic(held, PROB, label)))
-    return CalibratedModel(parts, num, cat, name)
+    for i, m in enumerate(fits.folds):
+        held = predict(m, fits.folded.where(F.col("fold") == i), keep=[fits.label])
+        parts.append((m, fit_isotonic(held, PROB, fits.label)))
+    return CalibratedModel(parts, fits.num, fits.cat, fits.name)
 
 
 # --- H6 / H7 / H10 / H11 / H12 ----------------------------------------------------------
 
 def compare_models(train: DataFrame, test: DataFrame, names: list[str], *, label: str = "label",
-                   drop: tuple = (), sizes: Sizes = FULL) -> tuple[DataFrame, dict[str, PipelineModel], dict[str, DataFrame]]:
-    """H6: per model CV (pooled out-of-fold) and test metrics, long form.
-
-    Also returns the fitted models and the out-of-fold predictions (already
-    fitted, so reusing them costs no refit).
-    """
+                   drop: tuple = (), sizes: Sizes = FULL) -> tuple[DataFrame, dict[str, Fits]]:
+    """H6: per model CV (pooled out-of-fold) and test metrics, long form, and
+    each model's fits, which calibration and the audit go on from."""
     num, cat = feature_columns(drop)
-    folded = with_folds(train, label=label).persist()   # once, for all models
-
-    def one(name: str):
-        oof = out_of_fold(folded, name, num, cat, label=label, sizes=sizes)
-        cv = metrics_long(score_metrics(oof, PROB, label), model=name, split="cv")
-        m = fit(train, name, num, cat, label=label, sizes=sizes)
-        te = metrics_long(score_metrics(predict(m, test, keep=[label]), PROB, label), model=name, split="test")
-        return name, oof, m, [cv, te]
+    folded = with_stored_folds(train, label=label)   # once, for all models
 
     # models are independent: submit them from driver threads too
     with ThreadPoolExecutor(max_workers=max(1, len(names))) as pool:
-        results = list(pool.map(one, names))
-    fitted, tables, oofs = {}, [], {}
-    for name, oof, m, tabs in results:
-        fitted[name], oofs[name] = m, oof
-        tables += tabs
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out, fitted, oofs
+        fits = dict(zip(names, pool.map(lambda n: fit_folds(folded, n, num, cat, label=label, sizes=sizes), names)))
+    return reduce(DataFrame.unionByName, [f.metrics(test) for f in fits.values()]), fits
 
 
 def select_best(metrics: DataFrame, order: list[str] = K.MODEL_ORDER) -> DataFrame:
@@ -254,20 +256,15 @@ def select_best(metrics: DataFrame, order: list[str] = K.MODEL_ORDER) -> DataFra
     return best
 
 
-def leakage_audit(train: DataFrame, test: DataFrame, best: str, fitted: PipelineModel | None = None, *,
-                  label: str = "label", suspects: list[str] = K.LEAKAGE_SUSPECTS,
-                  sizes: Sizes = FULL) -> DataFrame:
-    """Test metrics of the best model with and without the leakage
-    suspects, long form (model, variant, metric, value)."""
-    num, cat = feature_columns()
-    with_m = fitted or fit(train, best, num, cat, label=label, sizes=sizes)
-    num_n, cat_n = feature_columns(suspects)
-    without = fit(train, best, num_n, cat_n, label=label, sizes=sizes)
-    a = metrics_long(score_metrics(predict(with_m, test, keep=[label]), PROB, label),
-                     model=best, variant="with_suspects")
-    b = metrics_long(score_metrics(predict(without, test, keep=[label]), PROB, label),
-                     model=best, variant="without_suspects")
-    return a.unionByName(b)
+def leakage_audit(train: DataFrame, test: DataFrame, fits: Fits, *,
+                  suspects: list[str] = K.LEAKAGE_SUSPECTS, sizes: Sizes = FULL) -> DataFrame:
+    """Test metrics of a model with and without the leakage suspects,
+    long form (model, variant, metric, value)."""
+    without = fit(train, fits.name, *feature_columns(suspects), label=fits.label, sizes=sizes)
+    variants = {"with_suspects": fits.model, "without_suspects": without}
+    return reduce(DataFrame.unionByName, [
+        metrics_long(score_metrics(predict(m, test, keep=[fits.label]), PROB, fits.label), model=fits.name, variant=variant)
+        for variant, m in variants.items()])
 
 
 def leakage_delta(metrics: DataFrame) -> DataFrame:
@@ -328,22 +325,30 @@ def metrics_report(spark: SparkSession, train: DataFrame, test: DataFrame, compa
 
 # --- H14 ----------------------------------------------------------------------------------
 
+def _each(fn, items: list) -> list:
+    """``fn`` of each item from a driver thread of its own; parts are few."""
+    with ThreadPoolExecutor(max_workers=max(1, len(items))) as pool:
+        return list(pool.map(fn, items))
+
+
 def save_model(spark: SparkSession, model: CalibratedModel, path: str) -> None:
     """MLWriter directories per ensemble part + the feature lists."""
-    for i, (m, iso) in enumerate(model.parts):
-        m.write().overwrite().save(f"{path}/part{i}/pipeline")
-        iso.write().overwrite().save(f"{path}/part{i}/isotonic")
+    def save(i: int) -> None:
+        for kind, stage in zip(("pipeline", "isotonic"), model.parts[i]):
+            stage.write().overwrite().save(f"{path}/part{i}/{kind}")
+
+    _each(save, list(range(len(model.parts))))
     meta = json.dumps({"num": model.num, "cat": model.cat, "name": model.name, "parts": len(model.parts)})
     spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_model(spark: SparkSession, path: str) -> CalibratedModel:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    parts = [
-        (PipelineModel.load(f"{path}/part{i}/pipeline"), IsotonicRegressionModel.load(f"{path}/part{i}/isotonic"))
-        for i in range(meta["parts"])
-    ]
-    return CalibratedModel(parts, meta["num"], meta["cat"], meta["name"])
+
+    def load(i: int) -> tuple[PipelineModel, IsotonicRegressionModel]:
+        return PipelineModel.load(f"{path}/part{i}/pipeline"), IsotonicRegressionModel.load(f"{path}/part{i}/isotonic")
+
+    return CalibratedModel(_each(load, list(range(meta["parts"]))), meta["num"], meta["cat"], meta["name"])
 
 
 # --- K1 -------------------------------------------------------------------------------------

@@ -5,10 +5,9 @@ for the driver; the invariants named in SURVEY §2.H are asserted in the tests.
 G5, H5 (all but the probabilities' values) and H8 (the min-max formula over
 score bins) have exact oracles; H6, H7 and H11 also run on stand-in scores,
 whose comparison, selection and delta SQL can state.
-The library's learners have the reference's sizes by default. H3 fits the full
-forest; the other registered queries with ensembles pass ``SIZES``: with full ensembles the comparison of four models did
-not end within seven minutes at sf0.001 (see README). All fits of one session
-and data folder are shared.
+All learners are fitted at the reference's sizes. A query fits what it shows:
+H1-H4 one learner each (with its folds), H6 the rest; the others go on from
+those fits, which one session and data folder share.
 """
 from __future__ import annotations
 
@@ -32,7 +31,6 @@ from keepwise.plans.registry import query
 from keepwise.sources import io
 
 LABEL = "label"
-SIZES = H.Sizes(trees=20, depth=10, rounds=10)
 
 
 class ModelRun:
@@ -46,34 +44,33 @@ class ModelRun:
         self.test = sp.where("split = 'test'").drop("split").persist()
         self.num, self.cat = feature_columns()
 
-    @cached_property
-    def comparison(self):
-        return H.compare_models(self.train, self.test, K.MODEL_ORDER, label=LABEL, sizes=SIZES)
+        self._fits: dict[str, H.Fits] = {}
 
     @cached_property
-    def forest(self):
-        """The forest at its full size."""
-        return H.fit(self.train, "Random Forest", self.num, self.cat, label=LABEL)
+    def folded(self) -> DataFrame:
+        return H.with_stored_folds(self.train, label=LABEL)
 
-    @property
-    def metrics(self) -> DataFrame:
-        return self.comparison[0]
+    def fits(self, name: str) -> H.Fits:
+        """The learner's fits, made when first asked for."""
+        if name not in self._fits:
+            self._fits[name] = H.fit_folds(self.folded, name, self.num, self.cat, label=LABEL)
+        return self._fits[name]
 
     @cached_property
-    def metrics_local(self) -> DataFrame:
-        return self.metrics.persist()
+    def metrics(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.fits(n).metrics(self.test) for n in K.MODEL_ORDER]).persist()
 
     @cached_property
     def best(self) -> str:
-        return H.select_best(self.metrics_local).first()["best_model"]
+        return H.select_best(self.metrics).first()["best_model"]
 
     @cached_property
     def calibrated(self) -> H.CalibratedModel:
-        return H.calibrate(self.train, self.best, self.num, self.cat, label=LABEL, sizes=SIZES)
+        return H.calibrate(self.fits(self.best))
 
     @cached_property
     def leakage(self) -> DataFrame:
-        return H.leakage_audit(self.train, self.test, self.best, self.comparison[1][self.best], label=LABEL, sizes=SIZES).persist()
+        return H.leakage_audit(self.train, self.test, self.fits(self.best)).persist()
 
     @cached_property
     def saved_path(self) -> str:
@@ -114,8 +111,7 @@ def g5(spark, sf):
 def _single(name: str):
     def fn(spark, sf):
         r = run(spark, sf)
-        m = r.comparison[1][name]
-        return H.predict(m, r.test, keep=[K.ID_COL, LABEL])
+        return H.predict(r.fits(name).model, r.test, keep=[K.ID_COL, LABEL])
     return fn
 
 
@@ -123,12 +119,7 @@ query("h1_logistic_regression")(_single("Logistic Regression"))
 query("h2_decision_tree")(_single("Decision Tree"))
 
 
-@query("h3_random_forest")
-def h3(spark, sf):
-    r = run(spark, sf)
-    return H.predict(r.forest, r.test, keep=[K.ID_COL, LABEL])
-
-
+query("h3_random_forest")(_single("Random Forest"))
 query("h4_gradient_boosting")(_single("Gradient Boosting"))
 
 
@@ -137,19 +128,19 @@ SELECT customer_id, {LABEL}, CAST((ROW_NUMBER() OVER (PARTITION BY {LABEL}
        ORDER BY md5(CAST(customer_id AS VARCHAR) || ':42:fold'), customer_id) - 1) % 5 AS INT) AS fold,
        TRUE AS p_in_range FROM train""")
 def h5(spark, sf):
-    # the pooled out-of-fold probabilities the comparison already fitted; SQL can state all but their values
-    oof = run(spark, sf).comparison[2]["Logistic Regression"]
+    # SQL can state all but the probabilities' values
+    oof = run(spark, sf).fits("Logistic Regression").out_of_fold()
     return oof.select(K.ID_COL, LABEL, "fold", F.col(H.PROB).between(0, 1).alias("p_in_range"))
 
 
 @query("h6_model_comparison")
 def h6(spark, sf):
-    return run(spark, sf).metrics_local
+    return run(spark, sf).metrics
 
 
 @query("h7_model_selection")
 def h7(spark, sf):
-    return H.select_best(run(spark, sf).metrics_local)
+    return H.select_best(run(spark, sf).metrics)
 
 
 _BIN = "FLOOR(last_login_days / (last_login_days + CAST(120 AS DOUBLE)) * 50) / 50.0::DOUBLE"
@@ -237,7 +228,7 @@ def h11(spark, sf):
 @query("h12_drivers")
 def h12(spark, sf):
     r = run(spark, sf)
-    return H.drivers(spark, r.comparison[1][r.best], r.num, r.cat)
+    return H.drivers(spark, r.fits(r.best).model, r.num, r.cat)
 
 
 @query("h13_metrics_report")
@@ -245,7 +236,7 @@ def h13(spark, sf):
     from keepwise.operators import metrics as M
     r = run(spark, sf)
     baselines = [M.majority_baseline(r.train, r.test, LABEL), M.inactivity_baseline(r.train, r.test, label=LABEL)]
-    report = H.metrics_report(spark, r.train, r.test, r.metrics_local, r.comparison[1][r.best], r.calibrated,
+    report = H.metrics_report(spark, r.train, r.test, r.metrics, r.fits(r.best).model, r.calibrated,
                               r.leakage, baselines, r.num, r.cat, label=LABEL)
     path = io.shared_path(spark, io.tag(sf), "report_json")
     io.write_report(report, path)

@@ -51,7 +51,7 @@ def test_planted_signal_is_learned(spark, qs):
 def test_decision_tree_depth(spark):
     from keepwise.plans.q_models import run
     r = run(spark, SF001)
-    assert r.comparison[1]["Decision Tree"].stages[-1].depth <= 6
+    assert r.fits("Decision Tree").model.stages[-1].depth <= 6
 
 
 def test_drivers_sorted_and_bounded(spark, qs):
@@ -82,7 +82,7 @@ def test_metrics_report_sections(spark, qs):
 
 def test_logistic_regression_converged(spark):
     from keepwise.plans.q_models import run
-    lr = run(spark, SF001).comparison[1]["Logistic Regression"].stages[-1]
+    lr = run(spark, SF001).fits("Logistic Regression").model.stages[-1]
     hist = lr.summary.objectiveHistory
     assert lr.summary.totalIterations < 1000 and hist[-1] <= hist[0]
 
@@ -100,7 +100,7 @@ def test_boosting_train_logloss_falls_with_rounds(spark):
     from keepwise.operators.splits import with_class_weight
     from keepwise.plans.q_models import run
     r = run(spark, SF001)
-    m = r.comparison[1]["Gradient Boosting"]
+    m = r.fits("Gradient Boosting").model
     prepared = m.transform(with_class_weight(r.train, "label"))   # features column for the tree model
     losses = m.stages[-1].evaluateEachIteration(prepared.drop("prediction", "rawPrediction", "probability"))
     assert losses[-1] < losses[0]
@@ -112,7 +112,7 @@ def test_calibration_does_not_hurt_brier(spark, qs):
     from keepwise.plans.q_models import run
     r = run(spark, SF001)
     cal = score_metrics(qs["h9_calibrated_model"](spark, SF001), "p", "label").first()["brier"]
-    raw = r.metrics_local.where(f"model = '{r.best}' AND split = 'test' AND metric = 'brier'").first()["value"]
+    raw = r.metrics.where(f"model = '{r.best}' AND split = 'test' AND metric = 'brier'").first()["value"]
     assert cal <= raw + 0.05
 
 
@@ -136,9 +136,9 @@ def test_train_means_are_near_zero(spark):
 
 def test_importances_sum_to_one(spark):
     from keepwise.plans.q_models import run
-    fitted = run(spark, SF001).comparison[1]
+    r = run(spark, SF001)
     for name in ("Decision Tree", "Random Forest", "Gradient Boosting"):
-        assert abs(sum(fitted[name].stages[-1].featureImportances.toArray()) - 1) < 1e-9
+        assert abs(sum(r.fits(name).model.stages[-1].featureImportances.toArray()) - 1) < 1e-9
 
 
 def test_default_sizes_are_the_reference_ones():
@@ -155,7 +155,7 @@ def test_logistic_gradient_is_near_zero(spark):
     from keepwise.operators.splits import with_class_weight
     from keepwise.plans.q_models import LABEL, run
     r = run(spark, SF001)
-    m = r.comparison[1]["Logistic Regression"]
+    m = r.fits("Logistic Regression").model
     rows = m.transform(with_class_weight(r.train, LABEL)).select("features", LABEL, "class_weight", "probability").collect()
     x = np.array([row[0].toArray() for row in rows])
     y, w = np.array([row[1] for row in rows], float), np.array([row[2] for row in rows])
@@ -169,7 +169,7 @@ def test_tree_leaves_hold_weighted_means(spark):
     from keepwise.operators.splits import with_class_weight
     from keepwise.plans.q_models import LABEL, run
     r = run(spark, SF001)
-    m = r.comparison[1]["Decision Tree"]
+    m = r.fits("Decision Tree").model
     learner = m.stages[-1].setLeafCol("leaf")
     rows = with_class_weight(r.train, LABEL)
     for stage in m.stages[:-1]:

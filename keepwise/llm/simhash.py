@@ -96,7 +96,7 @@ def _tree(fps: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and rest.size:
             node = queue.pop()
-            near = np.bitwise_count(rest ^ node) <= bits
+            near = np.bitwise_count((rest ^ node).view(np.uint64)) <= bits  # of signed values it counts the absolute one's bits
             if near.any():
                 found = rest[near]
                 rest = rest[~near]

@@ -1,4 +1,5 @@
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -116,3 +117,15 @@ def test_spark_hash_agrees(spark):
     text = "some three words"
     got = spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
     assert got & (2**64 - 1) == xxhash.xxh64_intdigest(text.encode(), 42)
+
+
+def test_isolated_pairs_that_differ_in_the_sign_bit():
+    """Every difference of one to four bits with bit 63: linked up to three bits, not at four."""
+    rng = np.random.default_rng(6)
+    for more in range(4):
+        for low in combinations(range(63), more):
+            a = int(rng.integers(0, 1 << 63))
+            b = a ^ sum(1 << i for i in (63, *low))
+            pair = np.array([a, b], np.uint64).view(np.int64)
+            want = ([int(pair[0])], [int(pair[1])]) if more < 3 else ([], [])
+            assert simhash._tree(pair, 3) == want, (63, *low)

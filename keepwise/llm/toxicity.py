@@ -1,6 +1,7 @@
 """Toxicity: a learned lexicon in a trie, met by a Levenshtein automaton (operator 2).
 
-The lexicon (words, and stems any word may begin with) is learned from labels.
+The lexicon (words, and stems any word may begin with) is learned from labels;
+words near a labelled word under a stem are hits of the stem.
 A word is run through the automaton of all words within a few edits of the
 lexicon: its states are sets of (trie node, edits so far), built when first
 met, and most words leave it after two or three letters. Each hit is weighed
@@ -37,14 +38,19 @@ def _edits(term: str) -> int:
 
 
 class Lexicon:
-    """Words and stems in a trie, with the automaton of words near them."""
+    """Words and stems in a trie, with the automaton of words near them.
 
-    def __init__(self, words: list[str], stems: list[str] = (), most_states: int = 50_000):
+    ``near`` are words under the stems: a word near one is a hit of its stem.
+    """
+
+    def __init__(self, words: list[str], stems: list[str] = (), most_states: int = 50_000, near: list[str] = ()):
+        begin = set(stems)
+        self.under = {w: next(f"{w[:k]}*" for k in range(len(w), 0, -1) if w[:k] in begin) for w in near}
         self.children: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
         self.stem: list[str | None] = [None]
         self.reach = [0]  # edits that some word below allows
-        for kind, terms in ((self.word, words), (self.stem, stems)):
+        for kind, terms in ((self.word, words), (self.word, near), (self.stem, stems)):
             for term in terms:
                 at = 0
                 for letter in term:
@@ -121,8 +127,8 @@ class Lexicon:
             found = [(e, self.word[n]) for n, e in self.states[state] if self.word[n] and e <= _edits(self.word[n])]
             if found:
                 e, term = min(found)
-                if not e or not stem:
-                    return term, e
+                if not stem or not e and term not in self.under:
+                    return self.under.get(term, term), e
         return (f"{stem}*", 0) if stem else None
 
 
@@ -179,12 +185,16 @@ def _quoted(words: list[str], at: int) -> bool:
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs; a few thousand terms at most."""
+    """What scoring needs; a few thousand terms, and the labelled words under the stems."""
 
     words: tuple[str, ...] = ()
     stems: tuple[str, ...] = ()
     weights: dict = field(default_factory=dict)  # (term, edits) -> weight
     coefficients: tuple[float, ...] = (-3.0, 3.0, 0.0)
+    near: tuple[str, ...] = ()  # words under the stems
+
+    def finder(self) -> Finder:
+        return Finder(Lexicon(self.words, self.stems, near=self.near))
 
     def sums(self, hits) -> tuple[float, float]:
         """Log of the window scores' sums: outside, inside quotation marks."""
@@ -240,10 +250,8 @@ def _candidates(words: list[str], stems: list[str], shortest: int = 4, longest:
     def keys(raw: bytes):
         if any(not e and not quoted for _, _, e, quoted in find.hits(raw)):
             return ()
-        out, words = {""}, raw.decode("utf-8", "replace").lower().split()
-        if any(c in w for w in set(words) for c in QUOTES):  # what is quoted says nothing of a term
-            words = [w for i, w in enumerate(words) if not _quoted(words, i)]
-        for word in map(core, set(words)):
+        out = {""}
+        for word in _unquoted(raw):
             if len(word) >= shortest and word[:longest].isalpha():
                 out.update(word[:k] for k in range(shortest, min(len(word), longest) + 1))
                 if len(word) <= LONGEST:
@@ -253,6 +261,38 @@ def _candidates(words: list[str], stems: list[str], shortest: int = 4, longest:
     return keys
 
 
+def _unquoted(raw: bytes) -> set[str]:
+    """The words of a text outside quotation marks."""
+    words = raw.decode("utf-8", "replace").lower().split()
+    if any(c in w for w in set(words) for c in QUOTES):  # what is quoted says nothing of a term
+        words = [w for i, w in enumerate(words) if not _quoted(words, i)]
+    return set(map(core, set(words)))
+
+
+def _words_under(stems: list[str]):
+    """Keys of a row: its whole words that begin with a stem."""
+    begin, lengths = set(stems), sorted({len(s) for s in stems})
+
+    def keys(raw: bytes):
+        return {w for w in _unquoted(raw) if len(w) <= LONGEST and w.isalpha() and any(w[:k] in begin for k in lengths)}
+
+    return keys
+
+
+def stem_words(rows: DataFrame, stems: list[str], n1: int, n0: int, min_g2: float) -> list[str]:
+    """The labelled words under the stems that would be terms by themselves, counted in all rows."""
+    if not stems:
+        return []
+    table = _counts(rows, lambda: _words_under(stems), "word").where("c1 > 0.7 * (c1 + c0)").collect()
+    return sorted(w for w, c1, c0 in table if _ratio(c1, c0, n1 / (n1 + n0)) >= min_g2)
+
+
+def _ratio(c1: int, c0: int, base: float) -> float:
+    """Likelihood ratio of a term's rows by label."""
+    n = c1 + c0
+    return 2 * (c1 * math.log(c1 / n / base) + (c0 * math.log(c0 / n / (1 - base)) if c0 else 0))
+
+
 def choose_terms(table, n1: int, n0: int, min_g2: float, most: int) -> tuple[list[str], list[str]]:
     """Words and stems from (term, c1, c0), by likelihood ratio, none beginning another.
 
@@ -263,9 +303,8 @@ def choose_terms(table, n1: int, n0: int, min_g2: float, most: int) -> tuple[lis
     base = n1 / (n1 + n0)
     ranked = []
     for term, c1, c0 in table:
-        n = c1 + c0
-        g2 = 2 * (c1 * math.log(c1 / n / base) + (c0 * math.log(c0 / n / (1 - base)) if c0 else 0))
-        if c1 / n > 0.7 and g2 >= min_g2:
+        g2 = _ratio(c1, c0, base)
+        if c1 / (c1 + c0) > 0.7 and g2 >= min_g2:
             ranked.append((-round(g2, 6), -len(term), term))
     words, stems, taken, begun = [], [], set(), set()
     for g2, _, term in sorted(ranked):
@@ -333,7 +372,7 @@ def fit(
 
     ``held_out`` is a condition on ``doc_id`` that keeps rows out of training.
     A term needs a likelihood ratio of ``min_g2``. What reaches the driver: the best candidates
-    of each round, counts of chosen terms, and of binned sums. Without both
+    of each round, the words under chosen stems, counts of chosen terms, and of binned sums. Without both
     labels the default model without terms is returned.
     """
     rows = staged(training_rows(docs, labels, doc_id, text, label, max_rows, held_out), "toxic-train")
@@ -342,9 +381,10 @@ def fit(
     if not n1 or not n0:
         return Model()
     words, stems = learn_terms(rows, min_g2, most_terms)
+    near = sorted(set(stem_words(rows, stems, n1, n0, min_g2)) - set(words))
 
     def finder():
-        return Finder(Lexicon(words, stems))
+        return Finder(Lexicon(words, stems, near=near))
 
     def terms():
         find = finder()
@@ -359,7 +399,10 @@ def fit(
     for term in words:
         for e in range(_edits(term) + 1):
             weights.setdefault((term, e), 0.5)
-    model = Model(tuple(words), tuple(stems), weights)
+    for word, term in Lexicon([], stems, near=near).under.items():
+        for e in range(1, _edits(word) + 1):
+            weights.setdefault((term, e), 0.5)
+    model = Model(tuple(words), tuple(stems), weights, near=tuple(near))
 
     def sums():
         find = finder()
@@ -370,7 +413,7 @@ def fit(
     n = np.array([c1 + c0 for _, c1, c0 in binned], float)
     y = np.array([c1 for _, c1, _ in binned]) / n
     b = _logistic(x, y, n, ridge)
-    return Model(model.words, model.stems, weights, (float(b[0]), max(0.0, float(b[1])), max(0.0, float(b[2]))))
+    return Model(model.words, model.stems, weights, (float(b[0]), max(0.0, float(b[1])), max(0.0, float(b[2]))), model.near)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
@@ -380,7 +423,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     each give a row.
     """
     def make():
-        find = Finder(Lexicon(model.words, model.stems))
+        find = model.finder()
 
         def one(raw: bytes) -> tuple:
             hits = find.hits(raw)
@@ -395,7 +438,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose score is under ``threshold``, unchanged."""
     def make():
-        find = Finder(Lexicon(model.words, model.stems))
+        find = model.finder()
         return lambda raw: (model.score(model.sums(find.hits(raw))) >= threshold,)
 
     return map_documents(docs, make, "__toxic boolean", text).where("NOT __toxic").drop("__toxic")

@@ -89,6 +89,17 @@ def test_model_learns_terms_and_quotation(spark, labelled):
     assert toxicity.score(slip, model).first().n_hits == 1
 
 
+def test_words_under_a_stem_stay_fuzzy(spark):
+    """Labels with 'idiot' and a few of 'idiots' and 'idioot': the stem explains more, the word keeps its edits."""
+    rows = [(i, f"calm words stand here {w}", int(w != "today"))
+            for i, w in enumerate(["idiot"] * 30 + ["idiots", "idioot"] + ["today"] * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert model.stems and "idiot" in model.words + model.near
+    slips = spark.createDataFrame([(i, f"you {w} there") for i, w in enumerate(["idot", "iidiot", "idiotic", "idle"])], "doc_id long, text string")
+    assert [r.n_hits for r in toxicity.score(slips, model, keep=["doc_id"]).orderBy("doc_id").collect()] == [1, 1, 1, 0]
+
+
 def test_toxicity_without_labels_and_on_odd_rows(spark, odd, labelled):
     none = labelled.select("doc_id", "toxic").where("false")
     model = toxicity.fit(odd, none)

@@ -1,7 +1,7 @@
 """Licence scans by sentence rules (operator 10).
 
 A text is cut into sentences; each is normalised and looked up among known
-licence sentences, which gives the text's sequence of sentence identifiers.
+licence sentences (some with slots for the holder or the project), which gives the text's sequence of sentence identifiers.
 Ordered rules, the longer before the shorter, are matched against runs of that
 sequence; a run that no rule begins leaves its identifier unexplained.
 """
@@ -83,6 +83,76 @@ RULES = (
     ("proprietary", ("all-rights-reserved",)),
 )
 
+# Further texts, and the pieces a sentence falls into at a mark inside it.
+SENTENCES |= {
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-no-endorsement",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "this is free and unencumbered software released into the public domain": "unlicense-notice",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boost-grant",
+}
+RULES += (
+    ("ISC", ("isc-grant", "isc-as-is")), ("ISC", ("isc-grant",)), ("Unlicense", ("unlicense-notice",)), ("BSL-1.0", ("boost-grant",)),
+)
+
+#: normalised licence name -> identifier of a notice that names it
+NAMES: dict[str, str] = {}
+
+
+def _named(licence: str, identifier: str, *names: str):
+    """A licence by its names in notices; its identifier alone is a rule unless it is one already."""
+    global RULES
+    for name in names:
+        NAMES[name] = identifier
+        SENTENCES.setdefault(f"licensed under the {name}", identifier)
+    if (identifier,) not in [ids for _, ids in RULES]:
+        RULES += ((licence, (identifier,)),)
+
+
+_named("Apache-2.0", "apache-notice", "apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache license v2 0")
+_named("MIT", "mit-notice", "mit license", "mit licence", "mit")
+_named("BSD-3-Clause", "bsd3-notice", "bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license")
+_named("BSD-2-Clause", "bsd2-notice", "bsd 2 clause license", "2 clause bsd license", "simplified bsd license")
+_named("ISC", "isc-notice", "isc license")
+_named("Unlicense", "unlicense-name", "unlicense")
+_named("BSL-1.0", "boost-notice", "boost software license version 1 0", "boost software license 1 0")
+_named("MPL-2.0", "mpl2-name", "mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0")
+for _v in ("1 0", "2 0"):
+    _named(f"EPL-{_v.replace(' ', '.')}", f"epl{_v[0]}-notice", *(f"eclipse public license {x}{_v}" for x in ("", "v", "v ", "version ")))
+for _short, _long, _versions in (
+    ("gpl", "gnu general public license", ("1", "2", "3")), ("lgpl", "gnu library general public license", ("2",)),
+    ("lgpl", "gnu lesser general public license", ("2 1", "3")), ("agpl", "gnu affero general public license", ("3",))):
+    _terms = f"you can redistribute it and or modify it under the terms of the {_long} as published by the free software foundation"
+    for _lead in ("", "this program is free software "):
+        SENTENCES[_lead + _terms] = f"{_short}-terms"
+    for _v in _versions:
+        _spdx, _id = f"{_short.upper()}-{_v.replace(' ', '.') if ' ' in _v else _v + '.0'}", f"{_short}{_v.replace(' ', '.')}"
+        _full = [x for v in (_v, _v if " " in _v else f"{_v} 0") for x in (
+            f"{_long} version {v}", f"{_long} v{v}", f"{_short} version {v}", f"{_short} v{v}", f"{_short} {v}", f"gnu {_short} version {v}", f"gnu {_short} v{v}")]
+        _named(f"{_spdx}-or-later", f"{_id}-or-later", *(f"{x} or {y}" for x in _full for y in ("later", "any later version", "at your option any later version")))
+        _named(f"{_spdx}-only", f"{_id}-notice", *_full, *(f"{x} only" for x in _full))
+        SENTENCES[f"either version {_v} of the license or at your option any later version"] = f"either-{_v.replace(' ', '.')}"
+        for _lead in ("", "this program is free software "):
+            SENTENCES[f"{_lead}{_terms} either version {_v} of the license or at your option any later version"] = f"{_id}-or-later"
+        RULES += ((f"{_spdx}-or-later", (f"{_short}-terms", f"either-{_v.replace(' ', '.')}")),)
+_CC = {"by": "", "sa": " sharealike", "nc": " noncommercial", "nd": " noderivatives"}
+for _kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"):
+    _long = "creative commons attribution" + "".join(_CC[x] for x in _kind.split("-"))
+    for _v in ("1 0", "2 0", "2 5", "3 0", "4 0"):
+        _id = f"cc-{_kind}-{_v.replace(' ', '.').removesuffix('.0')}"
+        _names = [f"{_long} {_v}{x}" for x in ("", " license", " international license", " unported license", " generic license")]
+        _names += [f"cc {_kind.replace('-', ' ')} {_v}{x}" for x in ("", " license")]
+        _named(f"CC-{_kind.upper()}-{_v.replace(' ', '.')}", _id, *_names)
+
+#: sentences with a slot: what a notice is about, the holder, the program
+_NOTICE = re.compile(
+    r"(?:[a-z0-9 ]{1,120}? (?:is|are) )?(?:free software )?(?:dual )?(?:released|licensed|distributed|published|provided|covered|made available|available)"
+    r" under (?:the )?(?:terms of )?(?:the )?(?:a )?(.+?)(?: (?:see|which) .*)?")
+_ENDORSE = re.compile(
+    r"(?:neither )?the names? of [a-z0-9 ]{1,200}? may (?:not )?be used to endorse or promote products derived from this software without specific prior written permission")
+_FREE = re.compile(r"[a-z0-9 ]{1,120}? is free software (you can redistribute it and or modify it under the terms of the gnu .+)")
+_SLOT = 320  # letters that slots may add
+
 #: a sentence ends at a mark before white space or at an empty line (and may end with any line)
 _CUT = re.compile(r"[.!?:;]+(?=\s|$)|\n\s*\n")
 _OTHER = re.compile(r"[^a-z0-9]+")
@@ -97,7 +167,8 @@ class Recogniser:
 
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules=RULES):
         self.sentences = sentences
-        self.longest = max(map(len, sentences), default=0)
+        self.known = set(sentences.values())
+        self.longest = max(map(len, sentences), default=0) + _SLOT
         self.rules: dict[str, list] = {}
         for name, ids in rules:
             self.rules.setdefault(ids[0], []).append((name, ids))
@@ -108,6 +179,19 @@ class Recogniser:
         if sentences:
             self.words.make_automaton()
 
+    def identifier(self, sentence: str) -> str | None:
+        """The identifier of a normalised sentence, as it stands or by its slots."""
+        if sentence in self.sentences:
+            return self.sentences[sentence]
+        found = None
+        if " under " in sentence and (m := _NOTICE.fullmatch(sentence)):
+            found = NAMES.get(m[1])
+        if not found and " endorse " in sentence and _ENDORSE.fullmatch(sentence):
+            found = "bsd-no-endorsement"
+        if not found and " is free software " in sentence and (m := _FREE.fullmatch(sentence)):
+            found = self.sentences.get(f"this program is free software {m[1]}")
+        return found if found in self.known else None
+
     def ids(self, raw: bytes) -> list[str]:
         """The identifiers of the known sentences, in order.
 
@@ -125,8 +209,8 @@ class Recogniser:
                     joined = f"{joined} {lines[end]}" if joined else lines[end]
                     if len(joined) > self.longest:
                         break
-                    if joined in self.sentences:
-                        found, size = self.sentences[joined], end + 1 - at
+                    if identifier := self.identifier(joined):
+                        found, size = identifier, end + 1 - at
                 if found:
                     out.append(found)
                 at += size

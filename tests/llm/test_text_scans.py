@@ -310,3 +310,42 @@ def test_licence_rules(spark, docs001, odd):
     assert all(len(a[1]) >= len(b[1]) for a, b in pairwise([x for x in licences.RULES if x[0] == "Apache-2.0"]))
     assert {i for _, ids in licences.RULES for i in ids} <= set(licences.SENTENCES.values())
     assert licences.Recogniser({}, ()).ids(b"x") == []
+
+
+@pytest.mark.parametrize("text, want", [
+    ("This software is released under the MIT License.", ["MIT"]),
+    ("Foo Tools is distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+    ("This work is licensed under the GNU General Public License version 2.", ["GPL-2.0-only"]),
+    ("Licensed under CC BY-NC-SA 3.0.", ["CC-BY-NC-SA-3.0"]),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["CC-BY-ND-4.0"]),
+    ("Foo is free software: you can redistribute it and/or modify", []),
+    ("""This library is free software; you can redistribute it and/or modify it under
+the terms of the GNU Lesser General Public License as published by the Free Software
+Foundation; either version 2.1 of the License, or (at your option) any later version.""", ["LGPL-2.1-or-later"]),
+    ("This program is licensed under the GNU Affero General Public License v3.0 or later.", ["AGPL-3.0-or-later"]),
+    ("""This program and the accompanying materials are made available under the terms of
+the Eclipse Public License v1.0 which accompanies this distribution.""", ["EPL-1.0"]),
+    ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+    ("This project is licensed under the ISC license, see LICENSE.", ["ISC"]),
+    ("The bridge is covered under snow.", []),
+])
+def test_licences_with_slots(text, want):
+    r = licences.Recogniser()
+    assert r.match(r.ids(text.encode()))[0] == want
+
+
+@pytest.mark.parametrize("holder", ["Google Inc.", "the Example Project", "the copyright holder", "Example GmbH"])
+def test_bsd_names_its_holder(holder):
+    text = f"""Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+* Neither the name of {holder} nor the names of its contributors may be used
+to endorse or promote products derived from this software without specific
+prior written permission."""
+    r = licences.Recogniser()
+    assert r.match(r.ids(text.encode()))[0] == ["BSD-3-Clause"]

@@ -13,17 +13,17 @@ from tests.llm.test_simhash import slow_components, slow_print
 
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
-@pytest.mark.parametrize("key", ["op6_warc", "op9_top_k"])
+@pytest.mark.parametrize("key", ["op6_warc", "op9_top_k", "op11_spelling_variants", "op12_chat_format"])
 def test_oracles(spark, key):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     res = con.execute(__spark_entry__.oracle_sql()[key])
     names = [d[0] for d in res.description]

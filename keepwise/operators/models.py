@@ -1,17 +1,21 @@
-"""Models H1-H14, batch scoring K1 and the preprocessing pipeline G5 (Spark ML).
+"""Models H1-H14, batch scoring K1 and the preprocessing pipeline G5.
 
-Fits are Spark ML jobs on executors; the driver only loops over models and
-folds and receives model parameters and metric rows. Learners differ from
-scikit-learn/XGBoost internally, so results are judged by quality and
-invariants, never by coefficients.
+Logistic regression and the decision tree are Spark ML learners; the forest
+and boosting grow the trees of all folds together (``forest``, ``boosting``).
+Fits run on executors; the driver receives model parameters and metric rows.
+Learners differ from scikit-learn/XGBoost internally, so results are judged by
+quality and invariants, never by coefficients.
+
+Preprocessing (scaling, categories, bins) is fitted on all rows. A learner
+takes all labelled rows up to a documented number (``MAX_FIT_ROWS``,
+``FOREST_ROWS``), beyond it those of the smallest id hashes.
 
 Differences kept on purpose:
 - ``StandardScaler`` divides by the sample std (n - 1) where the reference
   uses the population std; a constant factor sqrt((n-1)/n) on every scaled
   numeric feature.
-- Random forest depth is capped at 30 (Spark's limit) instead of unlimited.
-- Gradient boosting samples columns per node ("0.9"), not per tree, and is
-  built in, so it is never skipped.
+- Trees choose among at most 256 candidate values of a feature.
+- Gradient boosting is built in, so it is never skipped.
 - Calibration takes the folds and fold fits of the comparison, so a fold is
   fitted once; the reference draws five folds of its own.
 """
@@ -23,21 +27,23 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwise import constants as K
 from keepwise.functions.literals import literal_table
 from keepwise.functions.staging import staged
+from keepwise.operators.boosting import BoostSettings, boost
 from keepwise.operators.features import feature_columns
+from keepwise.operators.forest import ForestSettings, grow_forests
+from keepwise.operators.isotonic import Isotonic, fit_isotonic
 from keepwise.operators.metrics import metrics_long, score_metrics
 from keepwise.operators.splits import class_counts, with_class_weight, with_folds
+from keepwise.operators.trees import TreeEnsemble, blocks_of, fit_binning, parts_of
 
 MODEL_KEYS = {
     "Logistic Regression": "lr",
@@ -78,64 +84,82 @@ def feature_names(model: PipelineModel, num: list[str], cat: list[str]) -> list[
 
 @dataclass(frozen=True)
 class Sizes:
-    """Sizes of the ensembles; the defaults are the reference's (depth 30 is Spark's limit)."""
+    """Sizes of the ensembles; the defaults are the reference's."""
     trees: int = 300
-    depth: int = 30
     rounds: int = 400
 
 
 FULL = Sizes()
+Model = PipelineModel | TreeEnsemble
 
 
-def make_model(name: str, n_train: int, *, label: str = "label", seed: int = K.RANDOM_STATE,
-               max_bins: int = 256, sizes: Sizes = FULL):
-    """The four learners with the reference settings; trees choose among
-    ``max_bins`` candidate values of a feature."""
+def make_model(name: str, n_train: int, *, label: str = "label", seed: int = K.RANDOM_STATE, max_bins: int = 256):
+    """The two Spark ML learners with the reference settings."""
     key = MODEL_KEYS.get(name, name)
-    common = dict(featuresCol=FEATURES, labelCol=label)
-    tree = dict(maxBins=max_bins, seed=seed, **common)
+    common = dict(featuresCol=FEATURES, labelCol=label, weightCol="class_weight")
     if key == "lr":
         # tol 1e-4 and 1000 iterations: the reference learner's stopping rule
         return LogisticRegression(maxIter=1000, tol=1e-4, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                                  standardization=False, weightCol="class_weight", **common)
+                                  standardization=False, **common)
     if key == "dt":
-        return DecisionTreeClassifier(maxDepth=6, weightCol="class_weight", **tree)
-    if key == "rf":
-        return RandomForestClassifier(numTrees=sizes.trees, maxDepth=sizes.depth, featureSubsetStrategy="sqrt",
-                                      weightCol="class_weight", **tree)
-    if key == "gbt":
-        return GBTClassifier(maxIter=sizes.rounds, maxDepth=5, stepSize=0.05, subsamplingRate=0.9,
-                             featureSubsetStrategy="0.9", **tree)
+        return DecisionTreeClassifier(maxDepth=6, maxBins=max_bins, seed=seed, **common)
     raise ValueError(f"unknown model {name}")
 
 
-#: labelled rows a fit uses at most: an unpruned forest grows with its rows and is held on the driver
+#: labelled rows a fit uses at most
 MAX_FIT_ROWS = 2_000_000
-#: rows a task of a fit takes: fits are long chains of short jobs, which more tasks only slow down
+#: labelled rows a forest uses at most: an unpruned tree has a node per few rows, and all trees are held and sent whole
+FOREST_ROWS = 100_000
+#: rows a task of a Spark ML fit takes: fits are long chains of short jobs, which more tasks only slow down
 FIT_TASK_ROWS = 20_000
 
 
-def fit(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-        max_rows: int = MAX_FIT_ROWS, sizes: Sizes = FULL) -> PipelineModel:
-    """Preprocessing and one learner. Beyond ``max_rows`` labelled rows, those
-    of the smallest id hashes are used, about ``max_rows`` of them. Rows are
-    dealt and sorted by id, so that a seed gives the same model anywhere."""
+def _bounded(train: DataFrame, label: str, max_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """``train``, or about ``max_rows`` of its rows, those of the smallest id hashes; rows per class."""
     counts = class_counts(train, label)
     n = sum(counts.values())
     if n > max_rows:
         train = train.where(F.pmod(F.xxhash64(K.ID_COL), F.lit(1 << 30)) < F.lit(int(max_rows / n * (1 << 30))))
         counts = class_counts(train, label)
-        n = sum(counts.values())
-    train = train.repartition(max(1, -(-n // FIT_TASK_ROWS)), K.ID_COL).sortWithinPartitions(K.ID_COL)
-    stages = preprocessor(num, cat) + [make_model(name, n, label=label, sizes=sizes)]
-    return Pipeline(stages=stages).fit(with_class_weight(train, label, counts))
+    return train, counts
+
+
+def fit(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
+        max_rows: int | None = None, sizes: Sizes = FULL) -> Model:
+    """Preprocessing on all rows and one learner on at most ``max_rows``. Rows
+    are dealt by id, so that a seed gives the same model anywhere."""
+    if MODEL_KEYS.get(name, name) in ("rf", "gbt"):
+        return _fit_trees(train, name, num, cat, label, 1, None, max_rows, sizes)[0]
+    prepared = Pipeline(stages=preprocessor(num, cat)).fit(train)
+    rows, counts = _bounded(train, label, max_rows or MAX_FIT_ROWS)
+    n = sum(counts.values())
+    rows = rows.repartition(max(1, -(-n // FIT_TASK_ROWS)), K.ID_COL).sortWithinPartitions(K.ID_COL)
+    learner = make_model(name, n, label=label).fit(prepared.transform(with_class_weight(rows, label, counts)))
+    return PipelineModel(stages=[*prepared.stages, learner])
+
+
+def _fit_trees(train: DataFrame, name: str, num: list[str], cat: list[str], label: str, fits: int, fold: str | None,
+               max_rows: int | None, sizes: Sizes) -> list[TreeEnsemble]:
+    """The forest or boosted trees of ``fits`` fits together: fit i leaves out fold i, the last one has all rows."""
+    forest = MODEL_KEYS.get(name, name) == "rf"
+    binning = fit_binning(train, num, cat)
+    rows, counts = _bounded(train, label, max_rows or (FOREST_ROWS if forest else MAX_FIT_ROWS))
+    n = sum(counts.values())
+    blocks = blocks_of(rows, binning, n, fits, fold, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if forest:
+            return grow_forests(blocks, fits, binning, ForestSettings(trees=sizes.trees, seed=K.RANDOM_STATE))
+        return boost(blocks, fits, parts_of(n), binning, BoostSettings(rounds=sizes.rounds, seed=K.RANDOM_STATE))
+    finally:
+        blocks.unpersist()
 
 
-def predict(model: PipelineModel, df: DataFrame, out: str = PROB, keep: list[str] | None = None) -> DataFrame:
-    """Probability of class 1 as a double column (JVM-side vector extraction)."""
+def predict(model: Model, df: DataFrame, out: str = PROB, keep: list[str] | None = None) -> DataFrame:
+    """Probability of class 1 as a double column."""
     keep = keep if keep is not None else df.columns
-    scored = model.transform(df)
-    return scored.select(*keep, vector_to_array(F.col("probability"))[1].alias(out))
+    if isinstance(model, TreeEnsemble):
+        return df.select(*keep, model.probability(df.sparkSession).alias(out))
+    return model.transform(df).select(*keep, vector_to_array(F.col("probability"))[1].alias(out))
 
 
 # --- H5 -------------------------------------------------------------------------------
@@ -148,8 +172,8 @@ class Fits:
     out-of-fold probabilities and calibration all read.
     """
     name: str
-    model: PipelineModel
-    folds: list[PipelineModel]
+    model: Model
+    folds: list[Model]
     folded: DataFrame
     num: list[str]
     cat: list[str]
@@ -175,13 +199,19 @@ def with_stored_folds(train: DataFrame, *, label: str = "label", k: int = K.CV_F
 
 def fit_folds(folded: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
               k: int = K.CV_FOLDS, parallelism: int = K.CV_FOLDS + 1, sizes: Sizes = FULL) -> Fits:
-    """The k + 1 fits of one learner; preprocessing is fitted anew in each.
+    """The k + 1 fits of one learner.
 
-    They are submitted from ``parallelism`` driver threads, as
-    ``CrossValidator(parallelism=...)`` does (which would return averages
-    only), so the short jobs of several fits share the executors.
+    Forests and boosted trees of all fits grow together, over bins of all
+    training rows. Spark ML fits are submitted from ``parallelism`` driver
+    threads, as ``CrossValidator(parallelism=...)`` does (which would return
+    averages only), so their short jobs share the executors; preprocessing is
+    fitted anew in each.
     """
-    def one(i: int) -> PipelineModel:
+    if MODEL_KEYS.get(name, name) in ("rf", "gbt"):
+        *folds, whole = _fit_trees(folded, name, num, cat, label, k + 1, "fold", None, sizes)
+        return Fits(name, whole, folds, folded, num, cat, label)
+
+    def one(i: int) -> Model:
         rows = folded if i == k else folded.where(F.col("fold") != i)
         return fit(rows.drop("fold"), name, num, cat, label=label, sizes=sizes)
 
@@ -192,35 +222,24 @@ def fit_folds(folded: DataFrame, name: str, num: list[str], cat: list[str], *, l
 
 # --- H8 / H9 --------------------------------------------------------------------------
 
-def fit_isotonic(df: DataFrame, score: str = PROB, label: str = "label") -> IsotonicRegressionModel:
-    """Monotone step fit of label on score (ties pooled, interpolated between
-    boundaries, clipped outside).
-
-    Rows become one weighted row per distinct score first, which leaves the
-    fit as it is. What reaches the driver is the blocks of each partition.
-    """
-    pooled = df.groupBy(score).agg(F.avg(label).alias(label), F.count(label).cast("double").alias("__n"))
-    return IsotonicRegression(isotonic=True, featuresCol=score, labelCol=label, weightCol="__n",
-                              predictionCol="__iso").fit(pooled)
-
-
 @dataclass
 class CalibratedModel:
-    """Ensemble of (pipeline, isotonic) pairs; prediction = their average."""
-    parts: list[tuple[PipelineModel, IsotonicRegressionModel]]
+    """Ensemble of (model, isotonic) pairs; prediction = their average."""
+    parts: list[tuple[Model, Isotonic]]
     num: list[str] = field(default_factory=list)
     cat: list[str] = field(default_factory=list)
     name: str = ""
 
     def predict(self, df: DataFrame, out: str = "churn_probability") -> DataFrame:
-        cur, cols = df, []
-        for i, (m, iso) in enumerate(self.parts):
-            raw = predict(m, cur, out=f"__raw{i}")
-            cal = iso.setFeaturesCol(f"__raw{i}").setPredictionCol(f"__cal{i}").transform(raw)
-            cur = cal.drop(f"__raw{i}")
-            cols.append(F.col(f"__cal{i}"))
-        avg = sum(cols[1:], cols[0]) / F.lit(float(len(cols)))
-        return cur.select(*df.columns, avg.alias(out))
+        """``df`` with the calibrated probability of class 1."""
+        raw, cal = ([f"__{kind}{i}" for i in range(len(self.parts))] for kind in ("raw", "cal"))
+        cur = df
+        for (m, _), c in zip(self.parts, raw):
+            cur = predict(m, cur, out=c)
+        for (_, iso), a, b in zip(self.parts, raw, cal):
+            cur = iso.transform(cur, a, b)
+        total = reduce(lambda x, y: x + y, [F.col(c) for c in cal])
+        return cur.select(*df.columns, (total / F.lit(float(len(cal)))).alias(out))
 
 
 def calibrate(fits: Fits) -> CalibratedModel:
@@ -279,11 +298,15 @@ def leakage_delta(metrics: DataFrame) -> DataFrame:
 _WEIGHTS = {"featureImportances": lambda v: v.toArray(), "coefficients": lambda v: abs(v.toArray())}
 
 
-def drivers(spark: SparkSession, model: PipelineModel, num: list[str], cat: list[str], n: int = 15) -> DataFrame:
+def drivers(spark: SparkSession, model: Model, num: list[str], cat: list[str], n: int = 15) -> DataFrame:
     """Top-n features by tree importance or |coefficient| (a row per vector slot, ranked in Spark)."""
-    learner = model.stages[-1]
-    weights = next((f(getattr(learner, a)) for a, f in _WEIGHTS.items() if hasattr(learner, a)), [])
-    slots = [(i, f, float(w)) for i, (f, w) in enumerate(zip(feature_names(model, num, cat), weights))]
+    if isinstance(model, TreeEnsemble):
+        names, weights = model.binning.names, model.importances
+    else:
+        learner = model.stages[-1]
+        names = feature_names(model, num, cat)
+        weights = next((f(getattr(learner, a)) for a, f in _WEIGHTS.items() if hasattr(learner, a)), [])
+    slots = [(i, f, float(w)) for i, (f, w) in enumerate(zip(names, weights))]
     table = literal_table(spark, slots, "slot int, feature string, importance double")
     return table.orderBy(F.desc("importance"), "slot").limit(n).select("feature", "importance")
 
@@ -291,7 +314,7 @@ def drivers(spark: SparkSession, model: PipelineModel, num: list[str], cat: list
 # --- H13 -----------------------------------------------------------------------------------
 
 def metrics_report(spark: SparkSession, train: DataFrame, test: DataFrame, comparison: DataFrame,
-                   best_model: PipelineModel, calibrated: CalibratedModel, leakage: DataFrame,
+                   best_model: Model, calibrated: CalibratedModel, leakage: DataFrame,
                    baselines: list[DataFrame], num: list[str], cat: list[str], *,
                    label: str = "label") -> DataFrame:
     """One long table (section, name, metric, value) with every part of
@@ -332,21 +355,27 @@ def _each(fn, items: list) -> list:
 
 
 def save_model(spark: SparkSession, model: CalibratedModel, path: str) -> None:
-    """MLWriter directories per ensemble part + the feature lists."""
+    """A folder per ensemble part (MLWriter or tree tables, and the isotonic table) + the feature lists."""
     def save(i: int) -> None:
-        for kind, stage in zip(("pipeline", "isotonic"), model.parts[i]):
-            stage.write().overwrite().save(f"{path}/part{i}/{kind}")
+        m, iso = model.parts[i]
+        if isinstance(m, TreeEnsemble):
+            m.save(spark, f"{path}/part{i}/trees")
+        else:
+            m.write().overwrite().save(f"{path}/part{i}/pipeline")
+        iso.save(f"{path}/part{i}/isotonic")
 
     _each(save, list(range(len(model.parts))))
-    meta = json.dumps({"num": model.num, "cat": model.cat, "name": model.name, "parts": len(model.parts)})
+    trees = all(isinstance(m, TreeEnsemble) for m, _ in model.parts)
+    meta = json.dumps({"num": model.num, "cat": model.cat, "name": model.name, "parts": len(model.parts), "trees": trees})
     spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_model(spark: SparkSession, path: str) -> CalibratedModel:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
 
-    def load(i: int) -> tuple[PipelineModel, IsotonicRegressionModel]:
-        return PipelineModel.load(f"{path}/part{i}/pipeline"), IsotonicRegressionModel.load(f"{path}/part{i}/isotonic")
+    def load(i: int) -> tuple[Model, Isotonic]:
+        m = TreeEnsemble.load(spark, f"{path}/part{i}/trees") if meta["trees"] else PipelineModel.load(f"{path}/part{i}/pipeline")
+        return m, Isotonic.load(spark, f"{path}/part{i}/isotonic")
 
     return CalibratedModel(_each(load, list(range(meta["parts"]))), meta["num"], meta["cat"], meta["name"])
 

@@ -160,7 +160,7 @@ def h8(spark, sf):
     binned = p.select((F.floor(d / (d + F.lit(120.0)) * 50) / F.lit(50.0)).alias("score"), F.col(LABEL).cast("double").alias(LABEL))
     iso = H.fit_isotonic(binned, "score", LABEL)
     distinct = binned.select("score").distinct()
-    return iso.transform(distinct).select("score", round_half_even(F.col("__iso"), 9).alias("fitted"))
+    return iso.transform(distinct, "score", "iso").select("score", round_half_even(F.col("iso"), 9).alias("fitted"))
 
 
 # Selection, comparison and leakage delta on stand-in scores, which SQL can state exactly.

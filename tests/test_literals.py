@@ -86,7 +86,7 @@ def test_tied_scores_metrics(spark):
 def test_tied_scores_isotonic(spark):
     df = spark.createDataFrame([(p, float(y)) for p, y in TIED], "p double, label double")
     iso = H.fit_isotonic(df, "p", "label")
-    got = [r["__iso"] for r in iso.transform(df.select("p").distinct()).orderBy(F.desc("p")).collect()]
+    got = [r["iso"] for r in iso.transform(df.select("p").distinct(), "p", "iso").orderBy(F.desc("p")).collect()]
     assert got == pytest.approx([1.0, 2 / 3, 2 / 3, 0.5, 0.0])
 
 

@@ -91,19 +91,23 @@ def test_random_forest_same_seed_same_output(spark):
     from keepwise.operators import models as H
     from keepwise.plans.q_models import run
     r = run(spark, SF001)
-    a = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat, sizes=H.Sizes(20, 10, 10)), r.test, keep=[K.ID_COL])
-    b = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat, sizes=H.Sizes(20, 10, 10)), r.test, keep=[K.ID_COL])
+    a = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat, sizes=H.Sizes(20, 10)), r.test, keep=[K.ID_COL])
+    b = H.predict(H.fit(r.train, "Random Forest", r.num, r.cat, sizes=H.Sizes(20, 10)), r.test, keep=[K.ID_COL])
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
 def test_boosting_train_logloss_falls_with_rounds(spark):
-    from keepwise.operators.splits import with_class_weight
+    import numpy as np
     from keepwise.plans.q_models import run
     r = run(spark, SF001)
     m = r.fits("Gradient Boosting").model
-    prepared = m.transform(with_class_weight(r.train, "label"))   # features column for the tree model
-    losses = m.stages[-1].evaluateEachIteration(prepared.drop("prediction", "rawPrediction", "probability"))
-    assert losses[-1] < losses[0]
+    rows = r.train.select("label", *r.num, *r.cat).toPandas()
+    y, bins = rows["label"].to_numpy(), m.binning.bins(rows)
+    losses = []
+    for rounds in range(1, len(m.roots) + 1, 10):
+        p = m.probabilities(bins, rounds)
+        losses.append(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    assert len(m.roots) == 400 and losses[-1] < losses[0]
     assert all(b <= a + 1e-12 for a, b in zip(losses, losses[1:]))
 
 
@@ -137,15 +141,18 @@ def test_train_means_are_near_zero(spark):
 def test_importances_sum_to_one(spark):
     from keepwise.plans.q_models import run
     r = run(spark, SF001)
-    for name in ("Decision Tree", "Random Forest", "Gradient Boosting"):
-        assert abs(sum(r.fits(name).model.stages[-1].featureImportances.toArray()) - 1) < 1e-9
+    assert abs(sum(r.fits("Decision Tree").model.stages[-1].featureImportances.toArray()) - 1) < 1e-9
+    for name in ("Random Forest", "Gradient Boosting"):
+        m = r.fits(name).model
+        assert abs(m.importances.sum() - 1) < 1e-9 and len(m.importances) == len(m.binning.names)
 
 
 def test_default_sizes_are_the_reference_ones():
-    from keepwise.operators.models import make_model
-    forest, boosting = make_model("Random Forest", 100), make_model("Gradient Boosting", 100)
-    assert forest.getNumTrees() == 300 and forest.getMaxDepth() == 30
-    assert boosting.getMaxIter() == 400 and boosting.getMaxDepth() == 5 and boosting.getMaxBins() == 256
+    from keepwise.operators.boosting import BoostSettings
+    from keepwise.operators.models import FULL
+    assert (FULL.trees, FULL.rounds) == (300, 400)
+    s = BoostSettings()
+    assert (s.depth, s.rate, s.rows, s.columns, s.l2, s.least) == (5, 0.05, 0.9, 0.9, 1.0, 1.0)
 
 
 def test_logistic_gradient_is_near_zero(spark):

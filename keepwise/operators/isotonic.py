@@ -14,22 +14,20 @@ driver ever holds it whole.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from keepwise.functions.staging import staged
-from keepwise.operators.joins import asof_join
+from keepwise.operators.joins import asof_join, fresh, numbers, place
 
 #: distinct scores of a range
 RANGE_ROWS = 100_000
-#: blocks up to which a fit is sent to the tasks that apply it (40 MB); a larger one is joined
-SENT_BLOCKS = 1_000_000
+#: blocks up to which a fit is a constant of the expression that applies it (1 MB); a larger one is joined
+SENT_BLOCKS = 20_000
 VERTEX = "range int, rows double, total double, score double, following double"
 BLOCK = "lo double, hi double, fitted double, next_lo double, next_fitted double"
 
@@ -45,32 +43,24 @@ class Isotonic:
         """``df`` with the fitted value of ``score``: interpolated between
         blocks, that of the end block outside, null for a null score or an
         empty fit."""
-        if self.count <= SENT_BLOCKS:
-            return df.withColumn(out, self._applied(df.sparkSession, F.col(score).cast("double")))
-        first = self.blocks.orderBy("lo").first()["fitted"]
-        found = asof_join(df, self.blocks, score, "lo", suffix="__iso")
-        at = {c: F.col(f"{c}__iso") for c in ("lo", "hi", "fitted", "next_lo", "next_fitted")}
-        between = at["fitted"] + (at["next_fitted"] - at["fitted"]) * (F.col(score) - at["hi"]) / (at["next_lo"] - at["hi"])
-        value = F.when(F.col(score).isNull() | F.isnan(score), None).when(at["lo"].isNull(), F.lit(first)).when(
-            (F.col(score) <= at["hi"]) | at["next_lo"].isNull(), at["fitted"]).otherwise(between)
-        return found.withColumn(out, value).select(*df.columns, out)
-
-    def _applied(self, spark: SparkSession, score: Column) -> Column:
+        x = F.col(score).cast("double")
+        known = x.isNotNull() & ~F.isnan(x)
+        if self.count == 0:
+            return df.withColumn(out, F.lit(None).cast("double"))
+        if self.count > SENT_BLOCKS:
+            first = self.blocks.orderBy("lo").first()["fitted"]
+            found = asof_join(df, self.blocks, score, "lo", suffix="__iso")
+            lo, hi, fitted, next_lo, next_fitted = (F.col(f"{c}__iso") for c in ("lo", "hi", "fitted", "next_lo", "next_fitted"))
+            value = F.when(known & lo.isNull(), F.lit(first)).when(known, _between(x, hi, fitted, next_lo, next_fitted))
+            return found.withColumn(out, value).select(*df.columns, out)
         if self._sent is None:  # SENT_BLOCKS at most
-            pdf = self.blocks.orderBy("lo").toPandas()
-            x, first = np.unique(pdf[["lo", "hi"]].to_numpy().ravel(), return_index=True)
-            self._sent = spark.sparkContext.broadcast((x, np.repeat(pdf["fitted"].to_numpy(), 2)[first]))
-        sent = self._sent
-
-        @pandas_udf("double")
-        def fitted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            x, y = sent.value
-            for s in batches:
-                s = s.to_numpy(np.float64, na_value=np.nan)
-                value = np.interp(s, x, y) if len(x) else np.full(len(s), np.nan)
-                yield pd.Series(np.where(np.isnan(s), np.nan, value))
-
-        return F.nanvl(fitted(score), F.lit(None).cast("double"))
+            self._sent = [list(c) for c in zip(*self.blocks.select("lo", "hi", "fitted").orderBy("lo").collect())]
+        at = fresh("__at", [*df.columns, out])
+        lo, hi, fitted = (numbers(c) for c in self._sent)
+        i = F.col(at)
+        value = F.when(known & (i == 0), F.get(fitted, F.lit(0))).when(
+            known, _between(x, F.get(hi, i - 1), F.get(fitted, i - 1), F.get(lo, i), F.get(fitted, i)))
+        return df.withColumn(at, place(x, self._sent[0])).withColumn(out, value).select(*df.columns, out)
 
     def save(self, path: str) -> None:
         self.blocks.write.mode("overwrite").parquet(path)
@@ -81,6 +71,11 @@ class Isotonic:
         return cls(blocks, blocks.count())
 
 
+def _between(x: Column, hi: Column, fitted: Column, next_lo: Column, next_fitted: Column) -> Column:
+    """The value at x, which is not below the block that ends at ``hi`` and below the next one."""
+    return F.when((x <= hi) | next_lo.isNull(), fitted).otherwise(fitted + (next_fitted - fitted) * (x - hi) / (next_lo - hi))
+
+
 def fit_isotonic(df: DataFrame, score: str = "p", label: str = "label", range_rows: int | None = None) -> Isotonic:
     """The monotone fit of ``label`` on ``score``; rows of one score are one
     weighted point, rows with a null or NaN in either are left out."""

@@ -62,7 +62,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     both = rows.unionByName(held, allowMissingColumns=True)
     shares = [i / buckets for i in range(1, buckets)] or [0.5]
     cuts = both.where(~F.isnan(t)).agg(F.percentile_approx(t, shares, 10_000).alias("c")).first()["c"]
-    dealt = both.withColumn(bucket, F.coalesce(_place(F.col(t), sorted(set(cuts or []))), F.lit(-1)))
+    dealt = both.withColumn(bucket, F.coalesce(place(F.col(t), sorted(set(cuts or []))), F.lit(-1)))
     within = Window.partitionBy(*by, bucket).orderBy(F.col(t).asc_nulls_first(), side, payload).rowsBetween(Window.unboundedPreceding, 0)
     latest = dealt.withColumn(found, F.last(payload, ignorenulls=True).over(within))
     ends = dealt.where(F.col(side) == 0).groupBy(*by, bucket).agg(F.max(F.struct(t, payload)).alias("end"))
@@ -77,20 +77,20 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     return met.select("__left.*", *[row[c].alias(c + suffix) for c in own])
 
 
-def _numbers(values: list[float]) -> Column:
+def numbers(values: list[float]) -> Column:
     """A constant array, from one literal."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def _place(x: Column, cuts: list[float]) -> Column:
+def place(x: Column, cuts: list[float]) -> Column:
     """How many of the ascending ``cuts`` are at most x, in two steps of about the root of their number."""
     if not cuts:
         return F.when(x.isNotNull(), F.lit(0))
     step = max(1, int(len(cuts) ** 0.5))
     parts = [cuts[i:i + step] for i in range(0, len(cuts), step)]
     upto = lambda c: c <= x
-    part = F.size(F.filter(_numbers([p[0] for p in parts]), upto))
-    own = F.slice(_numbers(cuts), (part - 1) * step + 1, F.lit(step))
+    part = F.size(F.filter(numbers([p[0] for p in parts]), upto))
+    own = F.slice(numbers(cuts), (part - 1) * step + 1, F.lit(step))
     return F.when(x.isNotNull(), F.when(part == 0, 0).otherwise((part - 1) * step + F.size(F.filter(own, upto))))
 
 

@@ -1,6 +1,8 @@
 """Registered queries A1-A6: each writes Spark-derived data and reads it back."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from keepwise import constants as K
 from keepwise.operators import metrics as M, scoring
 from keepwise.plans import fixtures as fx
@@ -23,6 +25,23 @@ def a1(spark, sf):
     return io.read_raw_csv(spark, path)
 
 
+#: a text column with quotes, commas and line breaks in the rows of even ids
+_LINES_SQL = "CASE WHEN CAST(customer_id AS BIGINT) % 2 = 0 THEN device || chr(10) || '\"' || region || '\", ' || chr(10) ELSE device END"
+
+
+@query("a1_quoted_csv", with_ctes("raw") + "SELECT " + ", ".join(
+    f"CASE WHEN {x} IN ({_NA}) THEN NULL ELSE {x} END AS {c}"
+    for c in _RAW for x in [_LINES_SQL if c == "device" else f"CAST({c} AS VARCHAR)"]) + " FROM raw")
+def a1_quoted(spark, sf):
+    """A1 over fields with line breaks, from files cut into splits."""
+    path = io.shared_path(spark, io.tag(sf), "raw_quoted_csv")
+    raw = fx.raw_table(spark, sf)
+    broken = F.concat("device", F.lit('\n"'), "region", F.lit('", \n'))
+    even = F.col("customer_id").cast("bigint") % 2 == 0
+    io.write_raw_csv(raw.withColumn("device", F.when(even, broken).otherwise(F.col("device"))), path)
+    return io.read_raw_csv(spark, path, _RAW, multi_line=True).select(*_RAW)
+
+
 @query("a2_clean_sink", clean_sql())
 def a2(spark, sf):
     path = io.shared_path(spark, io.tag(sf), "clean")

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from keepwise import constants as K
 from keepwise.operators.descriptive import churn_by_segment, kpi_summary, revenue_by_plan
 from keepwise.session import ensure_checkpoint_dir
+from keepwise.sources import splitcsv
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
@@ -36,12 +37,14 @@ def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = Non
     NA tokens pandas recognises become NULL. Quotes are doubled inside quoted
     fields. A missing path, a row with more or fewer fields than the header and
     a header other than ``columns`` are errors. ``multi_line`` allows line
-    breaks inside quotes; a file then can't be split, so give many files.
+    breaks inside quotes; files are split all the same (``splitcsv``).
     """
-    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
+    reader = spark.read.options(header=True, quote='"', escape='"')
     if columns is None:
-        header = reader.csv(path).columns
-        columns = header
+        columns = reader.option("multiLine", multi_line).csv(path).columns  # the first record of a file
+        reader = reader.option("multiLine", False)
+    if multi_line:
+        return _without_na(splitcsv.read_records(spark, path, columns), columns, F.struct("file", "block", F.col("record").alias("pos")))
     schema = StructType([StructField(c, StringType(), True) for c in columns])
     df = (
         reader.schema(schema)
@@ -52,10 +55,14 @@ def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = Non
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    na = K.CSV_NA_TOKENS
-    cols = [F.when(~F.col(f"`{c}`").isin(*na), F.col(f"`{c}`")).alias(c) for c in columns]
+    return _without_na(df, columns, ingest_order())
+
+
+def _without_na(df: DataFrame, columns: list[str], order: Column) -> DataFrame:
+    """``columns`` with NA tokens as NULL, led by ``ingest_seq`` where they don't have it."""
+    cols = [F.when(~F.col(f"`{c}`").isin(*K.CSV_NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in columns]
     if "ingest_seq" not in [c.strip().lower() for c in columns]:
-        cols.insert(0, ingest_order().alias("ingest_seq"))
+        cols.insert(0, order.alias("ingest_seq"))
     return df.select(*cols)
 
 

@@ -24,36 +24,47 @@ def _churned() -> Column:
     return F.col(K.TARGET) == 1
 
 
+#: the three KPI views of the BI layer: their keys, what they tell, and their order; SQL expressions, from which
+#: both the operators and the stored views are made
+_MRR = "CAST(SUM(CAST(monthly_fee AS DECIMAL(18,2))) AS DOUBLE)"
+KPI_VIEWS = {
+    "vw_kpi_summary": ([], {
+        "total_subscribers": "COUNT(1)", "total_revenue_mrr": _MRR, "overall_churn_rate": f"AVG({K.TARGET})",
+        "avg_monthly_fee": f"{_MRR} / NULLIF(COUNT(monthly_fee), 0)"}, None),
+    "vw_revenue_by_plan": (["subscription_type"], {
+        "subscribers": "COUNT(1)", "revenue_mrr": _MRR, "churn_rate": f"AVG({K.TARGET})"}, "revenue_mrr"),
+    "vw_churn_by_segment": (["subscription_type", "region"], {
+        "subscribers": "COUNT(1)", "churn_rate": f"AVG({K.TARGET})"}, "churn_rate"),
+}
+
+
+def _kpi_view(df: DataFrame, name: str, dims: list[str] | None = None) -> DataFrame:
+    keys, metrics, first = KPI_VIEWS[name]
+    keys = keys if dims is None else dims
+    out = df.groupBy(*keys).agg(*[F.expr(x).alias(n) for n, x in metrics.items()])
+    return out.orderBy(F.desc(first), *keys) if first else out
+
+
+def kpi_view_sql(name: str, table: str) -> str:
+    """The SELECT of a KPI view over ``table``."""
+    keys, metrics, first = KPI_VIEWS[name]
+    text = f"SELECT {', '.join([*keys, *[f'{x} AS {n}' for n, x in metrics.items()]])} FROM {table}"
+    return text + (f" GROUP BY {', '.join(keys)} ORDER BY {first} DESC, {', '.join(keys)}" if keys else "")
+
+
 def kpi_summary(df: DataFrame) -> DataFrame:
     """The KPI view."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total_subscribers"),
-        _money_sum().alias("total_revenue_mrr"),
-        F.avg(K.TARGET).alias("overall_churn_rate"),
-        (_money_sum() / F.nullif(F.count("monthly_fee"), F.lit(0))).alias("avg_monthly_fee"),
-    )
+    return _kpi_view(df, "vw_kpi_summary")
 
 
 def revenue_by_plan(df: DataFrame) -> DataFrame:
     """The revenue-by-plan view, highest revenue first."""
-    return (
-        df.groupBy("subscription_type")
-        .agg(
-            F.count(F.lit(1)).alias("subscribers"),
-            _money_sum().alias("revenue_mrr"),
-            F.avg(K.TARGET).alias("churn_rate"),
-        )
-        .orderBy(F.desc("revenue_mrr"), "subscription_type")
-    )
+    return _kpi_view(df, "vw_revenue_by_plan")
 
 
 def churn_by_segment(df: DataFrame, dims: tuple[str, ...] = ("subscription_type", "region")) -> DataFrame:
     """The churn-by-segment view, highest rate first."""
-    return (
-        df.groupBy(*dims)
-        .agg(F.count(F.lit(1)).alias("subscribers"), F.avg(K.TARGET).alias("churn_rate"))
-        .orderBy(F.desc("churn_rate"), *dims)
-    )
+    return _kpi_view(df, "vw_churn_by_segment", list(dims))
 
 
 def executive_kpis(df: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def _view_rows(view: str, by: list[str], metrics: dict[str, str]) -> str:
 ])))
 def a4(spark, sf):
     io.save_fact(fx.clean_table(spark, sf), "fact_subscriber")
-    return io.register_views(spark, "fact_subscriber")
+    io.register_views(spark, "fact_subscriber")
+    return io.view_rows(spark.newSession())   # the views are the catalog's, not this session's
 
 
 @query("a5_scored_sink", with_ctes("scored") + "SELECT * FROM scored")

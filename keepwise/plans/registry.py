@@ -25,7 +25,7 @@ def query(key: str, oracle: str | None = None):
 def _load() -> None:
     # importing the modules registers their queries
     from keepwise.plans import (  # noqa: F401
-        q_clean, q_describe, q_metrics, q_models, q_scored, q_sources,
+        q_clean, q_describe, q_events, q_metrics, q_models, q_scored, q_sources,
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from keepwise import constants as K
-from keepwise.operators.descriptive import churn_by_segment, kpi_summary, revenue_by_plan
+from keepwise.operators.descriptive import KPI_VIEWS, kpi_view_sql
 from keepwise.session import ensure_checkpoint_dir
 from keepwise.sources import splitcsv
 
@@ -132,29 +132,28 @@ def save_fact(df: DataFrame, name: str = "fact_subscriber", path: str | None = N
     return spark.table(name)
 
 
-#: the KPI views of the BI layer (fixed names) and the operators that define them
-VIEWS = {
-    "vw_kpi_summary": kpi_summary,
-    "vw_revenue_by_plan": revenue_by_plan,
-    "vw_churn_by_segment": churn_by_segment,
-}
-
-
 def register_views(spark: SparkSession, fact: str = "fact_subscriber") -> DataFrame:
-    """A4: (re)create the three views; returns their contents in long form.
+    """A4: (re)create the three KPI views; returns their contents in long form.
 
-    (view_name, subscription_type, region, metric, value), keys null where a
-    view has none. The views are of the session and follow the fact table.
+    The views are stored in the catalog, by the text of the operators' own
+    expressions: they outlive the session and follow the fact table. A
+    session view of the same name, which would hide the stored one, goes.
+    Result: (view_name, subscription_type, region, metric, value), keys null
+    where a view has none.
     """
-    keys, out = ("subscription_type", "region"), None
-    for name, build in VIEWS.items():
-        build(spark.table(fact)).createOrReplaceTempView(name)
-        view = spark.table(name)
-        pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                 for c in view.columns if c not in keys]
-        part = view.select(
-            F.lit(name).alias("view_name"),
-            *[F.col(k) if k in view.columns else F.lit(None).cast("string").alias(k) for k in keys],
+    for name in KPI_VIEWS:
+        spark.catalog.dropTempView(name)
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS {kpi_view_sql(name, fact)}")
+    return view_rows(spark)
+
+
+def view_rows(spark: SparkSession) -> DataFrame:
+    """The contents of the stored views in long form."""
+    every, out = ("subscription_type", "region"), None
+    for name, (keys, metrics, _) in KPI_VIEWS.items():
+        pairs = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
+        part = spark.table(name).select(
+            F.lit(name).alias("view_name"), *[F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in every],
             F.inline(F.array(*pairs)))
         out = part if out is None else out.unionByName(part)
     return out

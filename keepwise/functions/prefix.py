@@ -15,33 +15,16 @@ from pyspark.sql import functions as F
 from keepwise.functions.staging import staged
 
 
-def _parse_order(order: list) -> list[tuple[str, bool]]:
-    """(column, descending) from names or ``F.asc/F.desc`` columns."""
-    out = []
-    for o in order:
-        if isinstance(o, tuple):
-            out.append(o)
-            continue
-        if isinstance(o, str):
-            out.append((o, False))
-            continue
-        text = str(o)  # Column<'score DESC NULLS LAST'>
-        inner = text[text.index("'") + 1: text.rindex("'")]
-        desc = " DESC" in inner
-        name = inner.split(" ASC")[0].split(" DESC")[0].strip().strip("`")
-        out.append((name, desc))
-    return out
-
-
 def running_totals(
     df: DataFrame,
-    order: list,
+    order: list[str | Column],
     values: dict[str, Column],
     *,
     partitions: int | None = None,
     restart_by: list[str] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums ``values`` (name -> expression) along ``order``.
+    """Add inclusive running sums ``values`` (name -> expression) along ``order``:
+    column names (ascending) or ``F.asc`` and ``F.desc`` columns.
 
     ``order`` must be a total order on the rows; ties would make the running
     value of tied rows depend on their physical order. Missing keys come first
@@ -53,8 +36,7 @@ def running_totals(
     should use a window partitioned by the group instead.
     """
     spark = df.sparkSession
-    lead = [(c, False) for c in restart_by or []]
-    sort = [F.col(k).desc() if d else F.col(k).asc() for k, d in lead + _parse_order(order)]
+    sort = [F.asc(c) for c in restart_by or []] + [F.asc(o) if isinstance(o, str) else o for o in order]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     valued = df.select("*", *[v.alias(f"__v_{k}") for k, v in values.items()])
     rows = staged(valued.repartitionByRange(n, *sort).withColumn("__b", F.spark_partition_id()), "running")

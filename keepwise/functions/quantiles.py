@@ -3,10 +3,10 @@
 ``percentile`` merges a map of every distinct value in the final task, which
 does not hold for billions of rows. Here a wanted rank is narrowed by ranks,
 not by values: a pass summarises each open range by some thousand approximate
-quantiles (a sketch of bounded size, merged map-side), the next pass reads only
-the few of them that enclose the wanted rank and counts, exactly, the rows
-below. A range so shrinks about a thousandfold a pass whatever the values; it
-ends when all its values are equal, so a hot value ends it at once. Only
+quantiles (a sketch of bounded size, merged map-side), the next one counts,
+exactly, the rows at and between them, and only the gaps that hold a wanted
+rank stay open. A range so shrinks about a thousandfold in two passes whatever
+the values; a rank on a cut is found at once, so a hot value ends it. Only
 sketches and counts reach the driver, at every size.
 
 Interpolation follows ``quantile_cont``: position h = (n - 1) * p,
@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepwise.functions.places import numbers, place
+
 #: approximate quantiles a pass asks for; their rank error is a tenth of their distance
 GRID = 1000
 
@@ -35,34 +37,13 @@ class Summary:
     cuts: list[float]
 
 
-@dataclass
-class _Range:
-    """Rows of a column between two values; either end may be left out."""
+@dataclass(frozen=True)
+class _Open:
+    """The values of a group strictly between two others, with the rows at or below the lower one."""
     cid: int
-    rank: int
     lo: float
     hi: float
-    without_lo: bool = False
-    without_hi: bool = False
-
-    def holds(self, cid: Column, v: Column) -> Column:
-        above = v > F.lit(self.lo) if self.without_lo else v >= F.lit(self.lo)
-        under = v < F.lit(self.hi) if self.without_hi else v <= F.lit(self.hi)
-        return (cid == self.cid) & above & under
-
-    def below(self, cid: Column, v: Column) -> Column:
-        return (cid == self.cid) & (v <= F.lit(self.lo) if self.without_lo else v < F.lit(self.lo))
-
-    def enclosing(self, found: Summary, rank: int, grid: int) -> "_Range":
-        """The part of this range that should hold its row number ``rank`` (from 0)."""
-        at = (rank + 0.5) / found.n * grid
-        if found.lo == found.hi:
-            return _Range(self.cid, self.rank, found.lo, found.hi)
-        lo = found.cuts[max(0, math.floor(at) - 1)]
-        hi = found.cuts[min(grid, math.ceil(at) + 1)]
-        if (lo, hi) == (found.lo, found.hi):
-            lo = hi = found.cuts[min(grid, round(at))]   # few distinct values: test one, so each pass shrinks
-        return _Range(self.cid, self.rank, lo, hi)
+    base: int
 
 
 def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -79,8 +60,8 @@ def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _summary(v: Column, grid: int) -> list[Column]:
-    # one expression text: a call per literal would dominate small queries
-    points = F.expr(f"array({', '.join(f'{i / grid!r}D' for i in range(grid + 1))})")
+    # one literal: a thousand of them in each of many aggregates would take longer than small queries
+    points = F.split(F.lit(",".join(repr(i / grid) for i in range(grid + 1))), ",").cast("array<double>")
     return [F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
             F.percentile_approx(v, points, 10 * grid).alias("cuts")]
 
@@ -101,42 +82,76 @@ def select_ranks(
     """Values at 0-based ranks inside groups of a long (cid, v) table.
 
     Returns ``(cid, rank) -> (value, rows of the group strictly below value)``.
-    Every open rank is a range of its own; a pass is one aggregate over all.
+    All ranks share their passes. One pass counts, exactly, the rows equal to
+    each cut and between neighbouring ones; the next sketches the few gaps
+    that hold a wanted rank, which gives the cuts there.
     """
-    cid, v = F.col("cid"), F.col("v")
     found: dict[tuple[int, int], tuple[float, int]] = {}
-    open_ = []                                    # (range tested, range known to hold the rank)
-    for c, ranks in wanted.items():
-        s = stats.get(c)
-        if s is None or not s.n:
-            continue
-        whole = _Range(c, 0, s.lo, s.hi)
-        for k in sorted(ranks):
-            known = _Range(c, k, whole.lo, whole.hi)
-            open_.append((known.enclosing(s, k, grid), known))
-    while open_:
-        wide = long.agg(*[
-            x for i, (r, _) in enumerate(open_)
-            for x in (F.count_if(r.below(cid, v)).alias(f"below{i}"),
-                      F.struct(*_summary(F.when(r.holds(cid, v), v), grid)).alias(f"in{i}"))
-        ]).first()
-        again = []
-        for i, (r, known) in enumerate(open_):
-            below, s = wide[f"below{i}"], Summary(*wide[f"in{i}"])
-            if r.rank < below:                    # the sketch missed: what lies under the tested part is left
-                rest = _Range(r.cid, r.rank, known.lo, r.lo, known.without_lo, True)
-                again.append((rest, rest))
-            elif r.rank >= below + s.n:
-                rest = _Range(r.cid, r.rank, r.hi, known.hi, True, known.without_hi)
-                again.append((rest, rest))
-            elif s.lo == s.hi:
-                found[(r.cid, r.rank)] = (s.lo, below)
+    ranks = {c: set(r) for c, r in wanted.items() if stats.get(c) and stats[c].n}
+    cuts = {(c, -math.inf, math.inf, 0): _edges(stats[c]) for c in ranks}
+    while cuts:
+        counts = _counts(long, {c: sorted({x for (d, *_), xs in cuts.items() if d == c for x in xs}) for c in {k[0] for k in cuts}})
+        gaps: set[_Open] = set()
+        for (c, lo, hi, below), xs in cuts.items():
+            number = counts[c]
+            before = lo
+            for x in [*xs, hi]:
+                gap = number.get((before, x), 0) if before != x else 0
+                inside = {r for r in ranks[c] if below <= r < below + gap}
+                if inside:
+                    gaps.add(_Open(c, before, x, below))
+                below += gap
+                equal = number.get((x, x), 0) if x in xs else 0
+                for r in [r for r in ranks[c] if below <= r < below + equal]:
+                    found[(c, r)] = (x, below)
+                    ranks[c].discard(r)
+                below += equal
+                before = x
+        cuts = {}
+        for gap, s in _sketches(long, sorted(gaps, key=lambda g: (g.cid, g.lo)), grid).items():
+            if s.lo == s.hi:
+                for r in [r for r in ranks[gap.cid] if gap.base <= r < gap.base + s.n]:
+                    found[(gap.cid, r)] = (s.lo, gap.base)
+                    ranks[gap.cid].discard(r)
             else:
-                again.append((r.enclosing(s, r.rank - below, grid), r))
-        open_ = again
+                cuts[(gap.cid, gap.lo, gap.hi, gap.base)] = _edges(s)
     return found
 
 
+def _edges(s: Summary) -> list[float]:
+    return sorted({s.lo, s.hi, *s.cuts})
+
+
+def _counts(long: DataFrame, edges: dict[int, list[float]]) -> dict[int, dict[tuple[float, float], int]]:
+    """Rows of each group equal to an edge (x, x) and between neighbouring edges (x, y)."""
+    cell = F.lit(None).cast("int")
+    for c, xs in edges.items():
+        at = place(F.col("v"), xs)
+        equal = F.get(numbers(xs), at - 1) == F.col("v")
+        cell = F.when(F.col("cid") == c, F.when(F.coalesce(equal, F.lit(False)), 2 * at - 1).otherwise(2 * at)).otherwise(cell)
+    out: dict[int, dict[tuple[float, float], int]] = {c: {} for c in edges}
+    rows = long.where(F.col("cid").isin(*edges)).groupBy("cid", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    for r in rows.collect():  # twice the edges at most
+        xs, i = [-math.inf, *edges[r["cid"]], math.inf], (r["cell"] + 1) // 2
+        out[r["cid"]][(xs[i], xs[i]) if r["cell"] % 2 else (xs[i], xs[i + 1])] = r["n"]
+    return out
+
+
+def _sketches(long: DataFrame, gaps: list[_Open], grid: int) -> dict[_Open, Summary]:
+    """A summary of each gap."""
+    if not gaps:
+        return {}
+    which = F.lit(None).cast("int")
+    for c in {g.cid for g in gaps}:
+        own = [(i, g) for i, g in enumerate(gaps) if g.cid == c]
+        at = place(F.col("v"), [g.lo for _, g in own])
+        inside = (F.get(numbers([g.lo for _, g in own]), at - 1) < F.col("v")) & (F.get(numbers([g.hi for _, g in own]), at - 1) > F.col("v"))
+        which = F.when(F.col("cid") == c, F.when(inside, at - 1 + own[0][0])).otherwise(which)
+    marked = long.select("v", which.alias("gap")).where(F.col("gap").isNotNull())
+    rows = marked.groupBy("gap").agg(*_summary(F.col("v"), grid)).collect()
+    return {gaps[r["gap"]]: Summary(r["n"], r["lo"], r["hi"], list(r["cuts"])) for r in rows}
+
+
 def _lerp(lo: float, hi: float, d: float) -> float:
     fma = getattr(math, "fma", None)
     if fma is None:   # Python < 3.13

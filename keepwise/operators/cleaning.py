@@ -9,6 +9,7 @@ from pyspark.sql.types import NumericType
 
 from keepwise import constants as K
 from keepwise.functions import columns as C
+from keepwise.functions.staging import staged
 from keepwise.functions.quantiles import approx_quantiles, medians
 
 SEQ = "ingest_seq"
@@ -102,10 +103,9 @@ def clean(raw: DataFrame, assume_unique: bool = False) -> DataFrame:
     else:
         if SEQ not in df.columns:
             df = df.withColumn(SEQ, F.monotonically_increasing_id())
-        # the median passes read the deduplicated table several times: keep it
-        # instead of repeating the dedupe shuffle per pass (lineage recomputes
-        # a lost block)
-        df = dedupe(df).drop(SEQ).persist()
+        # the median passes read the deduplicated table several times: written
+        # once, the dedupe shuffle is not repeated and no cache is left behind
+        df = staged(dedupe(df).drop(SEQ), "deduplicated")
     return (
         df.transform(impute_median)
         .transform(normalize_categories)
@@ -121,7 +121,7 @@ def quality_report(raw: DataFrame) -> DataFrame:
     plus the median job that the imputation needs anyway.
     """
     df = coerce_numeric(normalize_columns(raw))
-    dd = dedupe(df, keep_count=True).persist()   # read by every median pass and the final aggregate
+    dd = staged(dedupe(df, keep_count=True), "deduplicated")   # read by every median pass and the final aggregate
     med = medians(dd, K.NUMERIC_COLS)
     filled = dd.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in med.items() if m is not None})
     ok = range_condition()

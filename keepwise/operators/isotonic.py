@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepwise.functions.places import numbers, place
 from keepwise.functions.staging import staged
-from keepwise.operators.joins import asof_join, fresh, numbers, place
+from keepwise.operators.joins import asof_join, fresh
 
 #: distinct scores of a range
 RANGE_ROWS = 100_000

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepwise.functions.places import place
+
 
 #: buckets of the line of times per shuffle partition
 BUCKETS_A_PARTITION = 4
@@ -77,23 +79,6 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     return met.select("__left.*", *[row[c].alias(c + suffix) for c in own])
 
 
-def numbers(values: list[float]) -> Column:
-    """A constant array, from one literal."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
-def place(x: Column, cuts: list[float]) -> Column:
-    """How many of the ascending ``cuts`` are at most x, in two steps of about the root of their number."""
-    if not cuts:
-        return F.when(x.isNotNull(), F.lit(0))
-    step = max(1, int(len(cuts) ** 0.5))
-    parts = [cuts[i:i + step] for i in range(0, len(cuts), step)]
-    upto = lambda c: c <= x
-    part = F.size(F.filter(numbers([p[0] for p in parts]), upto))
-    own = F.slice(numbers(cuts), (part - 1) * step + 1, F.lit(step))
-    return F.when(x.isNotNull(), F.when(part == 0, 0).otherwise((part - 1) * step + F.size(F.filter(own, upto))))
-
-
 def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], by: list[str] | None = None,
                   suffix: str = "_right", width: float | None = None) -> DataFrame:
     """All pairs of ``left`` and ``right`` rows of equal ``by`` values whose closed spans overlap.

@@ -147,17 +147,25 @@ def metrics_long(wide: DataFrame, keep: list[str] = (), **labels: str) -> DataFr
 # --- baselines ------------------------------------------------------------------
 
 def majority_baseline(train: DataFrame, test: DataFrame, label: str = "churned") -> DataFrame:
-    """constant = rounded train mean (half to even); PR-AUC = test
-    prevalence (one tied score); ROC-AUC fixed at 0.5."""
-    m = train.agg(F.avg(label).alias("m")).first()["m"]
-    const = int(round(float(m)))
-    c = threshold_counts(test.withColumn("__s", F.lit(float(const))), "__s", label, 0.5)
-    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return c.select(
+    """The class of the rounded train mean (half to even) for every test
+    row; PR-AUC = test prevalence (one tied score); ROC-AUC fixed at 0.5.
+
+    One aggregate over both tables. Without training rows no row is predicted
+    positive; without test rows the ratios are NULL and F1 is 0.
+    """
+    seen = F.col("__test")
+    rows = train.select(F.col(label).alias("__y"), F.lit(False).alias("__test")).unionAll(
+        test.select(F.col(label).alias("__y"), F.lit(True).alias("__test")))
+    counts = rows.agg(F.coalesce(F.rint(F.avg(F.when(~seen, F.col("__y")))), F.lit(0.0)).alias("always"),
+                      F.count_if(seen & (F.col("__y") == 1)).alias("pos"), F.count_if(seen & (F.col("__y") == 0)).alias("neg"))
+    yes = F.col("always") >= 0.5
+    total = _nz(F.col("pos") + F.col("neg"))
+    tp, wrong = F.when(yes, F.col("pos")).otherwise(0), F.when(yes, F.col("neg")).otherwise(F.col("pos"))
+    return counts.select(
         F.lit("Majority class").alias("name"),
-        ((tp + tn) / _nz(tp + fp + fn + tn)).alias("accuracy"),
-        _div0(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn).alias("f1"),
-        ((tp + fn) / _nz(tp + fp + fn + tn)).alias("pr_auc"),
+        (F.when(yes, F.col("pos")).otherwise(F.col("neg")) / total).alias("accuracy"),
+        _div0(F.lit(2.0) * tp, F.lit(2.0) * tp + wrong).alias("f1"),
+        (F.col("pos") / total).alias("pr_auc"),
         F.lit(0.5).alias("roc_auc"),
     )
 
@@ -168,10 +176,12 @@ INACTIVITY_PROBS = [float(x) for x in np.linspace(0.1, 0.9, 17)]
 def inactivity_candidates(train: DataFrame, col: str = "last_login_days", label: str = "churned") -> DataFrame:
     """The 17 candidate cuts (train quantiles 0.10 .. 0.90) with the F1 of
     ``x >= cut``; all counts in one conditional-aggregate pass; the first cut
-    with the strictly best F1 is flagged."""
+    with the strictly best F1 is flagged. No training value, no cut."""
     from keepwise.functions.quantiles import exact_quantiles
 
-    cuts = exact_quantiles(train, {col: INACTIVITY_PROBS})[col]
+    cuts = [t for t in exact_quantiles(train, {col: INACTIVITY_PROBS})[col] if t is not None]
+    if not cuts:
+        return train.select(F.lit(0).alias("position"), F.lit(0.0).alias("cut"), F.lit(0.0).alias("f1"), F.lit(True).alias("is_best")).limit(0)
     y = F.col(label)
     aggs = [F.count_if(y == 1).alias("P")]
     for i, t in enumerate(cuts):
@@ -193,18 +203,21 @@ def _whole():
     return Window.partitionBy()   # over the 17 candidate rows only
 
 
-def best_inactivity_cut(train: DataFrame, col: str = "last_login_days", label: str = "churned") -> float:
-    return inactivity_candidates(train, col, label).where("is_best").first()["cut"]
+def best_inactivity_cut(train: DataFrame, col: str = "last_login_days", label: str = "churned") -> float | None:
+    best = inactivity_candidates(train, col, label).where("is_best").first()
+    return best["cut"] if best else None
 
 
 def inactivity_baseline(train: DataFrame, test: DataFrame, col: str = "last_login_days",
                         label: str = "churned") -> DataFrame:
     """accuracy/F1 of ``x >= cut`` on test; PR/ROC-AUC of x / max(test max, 1)
-    clipped to [0, 1]; the name carries the cut."""
+    clipped to [0, 1]; the name carries the cut. Without a cut (no training
+    value) no row is predicted positive."""
     cut = best_inactivity_cut(train, col, label)
-    top = test.agg(F.max(col).alias("m")).first()["m"]
-    denom = max(float(top), 1.0)
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(col) / F.lit(denom)))
-    groups = score_groups(test.withColumn("__p", p), "__p", label, hit=F.col(col) >= F.lit(cut))
+    top = test.agg(F.greatest(F.max(F.col(col).cast("double")), F.lit(1.0)).alias("m")).first()["m"]
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(col) / F.lit(top)))
+    hit = F.lit(False) if cut is None else F.col(col) >= F.lit(cut)
+    groups = score_groups(test.withColumn("__p", p), "__p", label, hit=hit)
     m = _finish(with_running(groups).agg(*_ranking_aggs()))
-    return m.select(F.lit(f"Inactive >= {cut:.0f} days").alias("name"), "accuracy", "f1", "pr_auc", "roc_auc")
+    name = "Inactive: no cut" if cut is None else f"Inactive >= {cut:.0f} days"
+    return m.select(F.lit(name).alias("name"), "accuracy", "f1", "pr_auc", "roc_auc")

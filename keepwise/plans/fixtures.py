@@ -13,7 +13,7 @@ pre-aggregated before the shuffle and never lands whole in one task.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwise import constants as K
@@ -25,12 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _mode(col) -> "F.Column":
-    """Most frequent value, the lowest on ties. One hash aggregate whose
-    per-group buffer holds one count per distinct value, so its size is the
-    category count, never the group's row count; partial aggregation merges
-    the buffers on the map side."""
-    return F.mode(col, True)
+def _modes(rows: DataFrame, key: str, value: str, out: str, *aggs: Column) -> DataFrame:
+    """Per key the most frequent ``value`` as ``out`` (the lowest on ties; NULL
+    does not count) and ``aggs`` over the rows counted per (key, value).
+
+    Rows are counted per key and value first, in a hash aggregate of plain
+    longs combined on the map side; what is left is a row per value.
+    """
+    n = F.when(F.col(value).isNotNull(), F.col("n"))
+    # the smallest of (-count, value): the largest count, then the lowest value
+    best = F.min(F.when(n.isNotNull(), F.struct((-n).alias("less"), F.col(value).alias("v"))))
+    return rows.groupBy(key).agg(best.alias("best"), *aggs).withColumn(out, F.col("best.v")).drop("best")
 
 
 def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,25 +43,24 @@ def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     before = F.col("o_orderdate") < cut
 
-    # one pass over orders, one shuffle: history stats, payment mode, "ordered again" flag
-    act = orders.groupBy(F.col("o_custkey").alias("k")).agg(
+    # one pass over orders: history stats, payment mode, "ordered again" flag
+    paid = orders.groupBy(F.col("o_custkey").alias("k"), F.when(before, F.col("o_orderpriority")).alias("v")).agg(
+        F.count(F.lit(1)).alias("n"),
         F.max(F.when(before, F.col("o_orderdate"))).alias("last_d"),
         F.min(F.when(before, F.col("o_orderdate"))).alias("first_d"),
-        _mode(F.when(before, F.col("o_orderpriority"))).alias("payment_method"),
         F.max(F.when(~before, F.lit(1))).alias("fut"),
     )
+    act = _modes(paid, "k", "v", "payment_method", F.max("last_d").alias("last_d"), F.min("first_d").alias("first_d"), F.max("fut").alias("fut"))
 
-    # lines of history orders: quantity total and genre mode in one aggregate
+    # lines of history orders: quantity total and genre mode in one pass
     hist = orders.where(before).select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k"))
     lines = (
         table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
         .join(hist, "l_orderkey")
         .join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
     )
-    watch = lines.groupBy("k").agg(
-        F.sum(C.money("l_quantity")).cast("double").alias("watch_hours"),
-        _mode(F.col("p_type")).alias("favorite_genre"),
-    )
+    watched = lines.groupBy("k", F.col("p_type").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(C.money("l_quantity")).alias("q"))
+    watch = _modes(watched, "k", "v", "favorite_genre", F.sum("q").cast("double").alias("watch_hours"))
 
     geo = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey")

@@ -95,13 +95,23 @@ RULES += (
     ("ISC", ("isc-grant", "isc-as-is")), ("ISC", ("isc-grant",)), ("Unlicense", ("unlicense-notice",)), ("BSL-1.0", ("boost-grant",)),
 )
 
+_OTHER = re.compile(r"[^a-z0-9]+")
+
+
+def normalised(sentence: str) -> str:
+    return _OTHER.sub(" ", sentence.lower()).strip()
+
+
 #: normalised licence name -> identifier of a notice that names it
 NAMES: dict[str, str] = {}
+#: normalised SPDX identifier -> identifier of a tag that names it
+SPDX: dict[str, str] = {}
 
 
 def _named(licence: str, identifier: str, *names: str):
     """A licence by its names in notices; its identifier alone is a rule unless it is one already."""
     global RULES
+    SPDX[normalised(licence)] = identifier
     for name in names:
         NAMES[name] = identifier
         SENTENCES.setdefault(f"licensed under the {name}", identifier)
@@ -109,7 +119,7 @@ def _named(licence: str, identifier: str, *names: str):
         RULES += ((licence, (identifier,)),)
 
 
-_named("Apache-2.0", "apache-notice", "apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache license v2 0")
+_named("Apache-2.0", "apache-notice", "apache 2 0", "apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache license v2 0")
 _named("MIT", "mit-notice", "mit license", "mit licence", "mit")
 _named("BSD-3-Clause", "bsd3-notice", "bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license")
 _named("BSD-2-Clause", "bsd2-notice", "bsd 2 clause license", "2 clause bsd license", "simplified bsd license")
@@ -128,7 +138,7 @@ for _short, _long, _versions in (
     for _v in _versions:
         _spdx, _id = f"{_short.upper()}-{_v.replace(' ', '.') if ' ' in _v else _v + '.0'}", f"{_short}{_v.replace(' ', '.')}"
         _full = [x for v in (_v, _v if " " in _v else f"{_v} 0") for x in (
-            f"{_long} version {v}", f"{_long} v{v}", f"{_short} version {v}", f"{_short} v{v}", f"{_short} {v}", f"gnu {_short} version {v}", f"gnu {_short} v{v}")]
+            f"{_long} version {v}", f"{_long} v{v}", f"{_short} version {v}", f"{_short} v{v}", f"{_short}v{v}", f"{_short} {v}", f"gnu {_short} version {v}", f"gnu {_short} v{v}")]
         _named(f"{_spdx}-or-later", f"{_id}-or-later", *(f"{x} or {y}" for x in _full for y in ("later", "any later version", "at your option any later version")))
         _named(f"{_spdx}-only", f"{_id}-notice", *_full, *(f"{x} only" for x in _full))
         SENTENCES[f"either version {_v} of the license or at your option any later version"] = f"either-{_v.replace(' ', '.')}"
@@ -155,11 +165,11 @@ _SLOT = 320  # letters that slots may add
 
 #: a sentence ends at a mark before white space or at an empty line (and may end with any line)
 _CUT = re.compile(r"[.!?:;]+(?=\s|$)|\n\s*\n")
-_OTHER = re.compile(r"[^a-z0-9]+")
+_TAG = re.compile(r"(spdx-license-identifier)\s*:", re.I)
 
 
-def normalised(sentence: str) -> str:
-    return _OTHER.sub(" ", sentence.lower()).strip()
+#: kinds of words in the look ahead
+PLAIN, NAMED, UNDER = 1, 2, 4
 
 
 class Recogniser:
@@ -172,19 +182,39 @@ class Recogniser:
         self.rules: dict[str, list] = {}
         for name, ids in rules:
             self.rules.setdefault(ids[0], []).append((name, ids))
-        # every known sentence has its longest word: texts without any such word have none
+        # what each sentence that identifier() accepts must hold: its longest word, a word of a slot's pattern, or
+        # of a notice that names a licence both "under" and a word of the name
         self.words = ahocorasick.Automaton()
-        for sentence in sentences:
-            self.words.add_word(max(sentence.split(), key=len), 1)
+        need = {max(sentence.split(), key=len): PLAIN for sentence in sentences}
         if sentences:
+            need |= {"endorse": PLAIN, "redistribute": PLAIN, "spdx": PLAIN}
+            for name in NAMES:
+                word = max(name.split(), key=len)
+                need[word] = need.get(word, NAMED)
+            need.setdefault("under", UNDER)
+        for word, kind in need.items():
+            self.words.add_word(word, kind)
+        if need:
             self.words.make_automaton()
 
+    def may_hold(self, raw: bytes) -> bool:
+        """Whether a text can have a known sentence (no: it has none)."""
+        seen = 0
+        if self.sentences:
+            for _, kind in self.words.iter(raw.lower().decode("latin-1")):
+                seen |= kind
+                if seen & PLAIN or seen == NAMED | UNDER:
+                    return True
+        return False
+
     def identifier(self, sentence: str) -> str | None:
         """The identifier of a normalised sentence, as it stands or by its slots."""
         if sentence in self.sentences:
             return self.sentences[sentence]
         found = None
-        if " under " in sentence and (m := _NOTICE.fullmatch(sentence)):
+        if sentence.startswith("spdx license identifier "):
+            found = SPDX.get(sentence.removeprefix("spdx license identifier "))
+        if not found and " under " in sentence and (m := _NOTICE.fullmatch(sentence)):
             found = NAMES.get(m[1])
         if not found and " endorse " in sentence and _ENDORSE.fullmatch(sentence):
             found = "bsd-no-endorsement"
@@ -197,10 +227,12 @@ class Recogniser:
 
         A sentence ends at a mark or with a line; it may run on over lines.
         """
-        if not self.sentences or next(self.words.iter(raw.lower().decode("latin-1")), None) is None:
-            return []
+        return self.read(raw) if self.may_hold(raw) else []
+
+    def read(self, raw: bytes) -> list[str]:
+        """``ids`` without the look ahead."""
         out = []
-        for block in _CUT.split(raw.decode("utf-8", "replace")):
+        for block in _CUT.split(_TAG.sub(r"\1", raw.decode("utf-8", "replace"))):
             lines = [n for line in block.split("\n") if (n := normalised(line))]
             at = 0
             while at < len(lines):

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwise.llm.common import WORD, dense_index, staged
+from keepwise.operators.joins import fresh
 
 WEIGHTS = (5, 2, 1)
 _WIDE = "decimal(38,0)"
@@ -160,4 +161,5 @@ def repeat(docs: DataFrame, source: str = "source", text: str = "text", doc_id:
     small = sources.select(F.col("source").alias("source"), "whole", "cut", "extra").alias("__b")
     joined = docs.alias("__a").join(small, F.col(f"__a.{source}").eqNullSafe(F.col("__b.source")))
     times = (F.col("__b.whole") + more.cast("long")).cast("int")
-    return joined.select("__a.*", F.explode(F.array_repeat(F.lit(1), times)).alias("__copy")).drop("__copy")
+    copy = fresh("__copy", docs.columns)
+    return joined.select("__a.*", F.explode(F.array_repeat(F.lit(1), times)).alias(copy)).drop(copy)

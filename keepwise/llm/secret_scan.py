@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.llm.common import map_documents
+from keepwise.operators.joins import fresh
 
 #: span kinds, in the order in which spans that start together are listed
-KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
+KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem", "slack", "stripe", "google")
 BASE = KINDS[:3]
 
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -30,14 +31,19 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _GITHUB = re.compile(rb"gh[pousr]_([0-9A-Za-z]{36})(?![0-9A-Za-z])")
 _NPM = re.compile(rb"npm_([0-9A-Za-z]{36})(?![0-9A-Za-z])")
 _JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{40,20000})-----END \1-----")
+# up to the next five dashes, however far, without going back: linear in the text
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
+_HEADER = re.compile(rb"[A-Za-z][A-Za-z0-9-]*:\s")
+_SLACK = re.compile(rb"xox[abeprs]-(?:[0-9A-Za-z]{8,}-)+[0-9A-Za-z]{8,}")
+_STRIPE = re.compile(rb"[rs]k_live_[0-9A-Za-z]{24,}")
+_GOOGLE = re.compile(rb"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])")
 
 #: keyword (lower case) -> kind
 KEYWORDS = {
     b"password": "assign", b"passwd": "assign", b"secret": "assign", b"token": "assign",
     b"apikey": "assign", b"api_key": "assign", b"akia": "access",
     b"ghp_": "github", b"gho_": "github", b"ghu_": "github", b"ghs_": "github", b"ghr_": "github",
-    b"npm_": "npm", b"eyj": "jwt", b"-----begin ": "pem",
+    b"npm_": "npm", b"eyj": "jwt", b"-----begin ": "pem", b"xox": "slack", b"k_live_": "stripe", b"aiza": "google",
 }
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -64,10 +70,46 @@ def _jwt_header(m: re.Match) -> bool:
 
 
 def _pem_body(m: re.Match) -> bool:
+    """Whether a key stands between the marks: header lines, then base64 of what the label promises.
+
+    Line ends may be escaped, as in JSON. An encrypted key tells only that it
+    is whole cipher blocks; an armoured one ends with a check value of its own.
+    """
+    lines = m[2].replace(b"\\r", b"").replace(b"\\n", b"\n").split(b"\n")
+    lines = [x.strip() for x in lines if x.strip()]
+    headers = 0
+    while headers < len(lines) and _HEADER.match(lines[headers]):
+        headers += 1
+    encrypted = any(x.startswith(b"Proc-Type:") and x.endswith(b"ENCRYPTED") for x in lines[:headers])
+    armoured = m[1].endswith(b"BLOCK")
+    body = lines[headers:]
+    if armoured and body and body[-1].startswith(b"=") and len(body[-1]) == 5:
+        if not _crc24(b"".join(body[:-1]), body[-1][1:]):
+            return False
+        body = body[:-1]
+    try:
+        raw = base64.b64decode(b"".join(b"".join(body).split()), validate=True)
+    except binascii.Error:
+        return False
+    if armoured:
+        return len(raw) > 2 and raw[0] & 0x80 > 0 and ((raw[0] & 0x3F) if raw[0] & 0x40 else (raw[0] >> 2 & 0xF)) in (5, 7)
+    if encrypted:
+        return len(raw) >= 16 and len(raw) % 8 == 0
+    return len(raw) >= 30 and raw[:1] in (b"\x30", b"o")  # DER sequence, or "openssh"
+
+
+def _crc24(body: bytes, check: bytes) -> bool:
+    """Whether an armoured body has its check value."""
     try:
-        return base64.b64decode(b"".join(m[2].split()), validate=True)[:1] in (b"\x30", b"o")  # DER sequence, or "openssh"
+        data, want = base64.b64decode(body, validate=True), base64.b64decode(check, validate=True)
     except binascii.Error:
         return False
+    crc = 0xB704CE
+    for byte in data:
+        crc ^= byte << 16
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x1864CFB if crc & 0x800000 else crc << 1) & 0xFFFFFF
+    return crc.to_bytes(3, "big") == want
 
 
 #: kind -> (expression, start group of the secret itself, what must hold)
@@ -78,6 +120,9 @@ _RULES = {
     "npm": (_NPM, 0, _checked),
     "jwt": (_JWT, 0, _jwt_header),
     "pem": (_PEM, 0, _pem_body),
+    "slack": (_SLACK, 0, bool),
+    "stripe": (_STRIPE, 0, bool),
+    "google": (_GOOGLE, 0, bool),
 }
 
 
@@ -99,6 +144,7 @@ def byte_spans(raw: bytes, keywords: ahocorasick.Automaton) -> list[tuple[int, s
         expression, group, holds = _RULES[kind]
         done = 0
         for at in sorted(starts):
+            at -= kind == "stripe"  # its keyword stands a letter into it
             if at >= done and (m := expression.match(raw, at)):
                 done = m.end()
                 if holds(m):
@@ -166,5 +212,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
         return one
 
-    clean = map_documents(docs, make, "__clean string", text)
-    return clean.withColumn(text, F.coalesce("__clean", text)).select(*docs.columns)
+    name = fresh("__clean", docs.columns)
+    clean = map_documents(docs, make, f"{name} string", text)
+    return clean.withColumn(text, F.coalesce(name, text)).select(*docs.columns)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwise.llm.common import map_documents, staged
+from keepwise.operators.joins import fresh
 
 BITS = 64
 #: fingerprints a block key may hold before it is dealt again on more bits
@@ -239,13 +240,15 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     """The rows of ``docs`` that stay when each component keeps one document.
 
     The row with the smallest id stays (ids missing: last), the smaller
-    fingerprint on ties, and one row of repeated ones.
+    fingerprint on ties; of rows that agree in both, the smallest by all
+    columns that have an order, so repeated rows leave one.
     """
     groups = near_duplicates(docs, doc_id, text, shingle, bits)
     rank = F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("id"), F.col("fp"))
-    keep = groups.groupBy("root").agg(F.min(rank).alias("k")).select(
-        F.col("k.id").alias("__id"), F.col("k.fp").alias("__fp"))
-    marked = with_fingerprint(docs, shingle, text, name="__own")
-    out = marked.join(keep, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_semi")
-    w = Window.partitionBy(doc_id, "__own").orderBy(doc_id)
-    return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*docs.columns)
+    kept_id, kept_fp, own, n = (fresh(x, docs.columns) for x in ("__id", "__fp", "__own", "__n"))
+    keep = groups.groupBy("root").agg(F.min(rank).alias("k")).select(F.col("k.id").alias(kept_id), F.col("k.fp").alias(kept_fp))
+    marked = with_fingerprint(docs, shingle, text, name=own)
+    out = marked.join(keep, F.col(doc_id).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_fp)), "left_semi")
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    w = Window.partitionBy(doc_id, own).orderBy(*ordered)
+    return out.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).select(*docs.columns)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.llm.common import map_documents, staged
+from keepwise.operators.joins import fresh
 
 #: code points stripped from both ends of a word
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»‘’…¿¡"
@@ -441,4 +442,5 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         find = model.finder()
         return lambda raw: (model.score(model.sums(find.hits(raw))) >= threshold,)
 
-    return map_documents(docs, make, "__toxic boolean", text).where("NOT __toxic").drop("__toxic")
+    name = fresh("__toxic", docs.columns)
+    return map_documents(docs, make, f"{name} boolean", text).where(~F.col(name)).drop(name)

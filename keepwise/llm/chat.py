@@ -7,8 +7,9 @@ tokens after expansion) is recorded beside the conversation. The template marks
 turns; no control string inside a text survives as one, and the escape can be
 undone exactly.
 
-A conversation's formatted text is one value, so its turns meet in one task;
-what is done per part is done before the turns meet.
+A conversation's formatted text is one value, so its turns meet in one task,
+where windows and one collected list put its parts together in time that grows
+with its length.
 """
 from __future__ import annotations
 

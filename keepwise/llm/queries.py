@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from keepwise.llm import (
     chat, licences, mixing, packing, periodic, quality_rules, secret_scan, sharding, simhash, spelling, top_k, toxicity, warc,
 )
-from keepwise.llm.common import read_table, staged
+from keepwise.llm.common import read_table, shared_path, staged
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -60,7 +60,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(read_table(spark, sf_dir, "documents"), shards=16)
+    return sharding.shard(read_table(spark, sf_dir, "documents"), shards=16, store=shared_path(spark, "slot-map"))
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,21 @@ def save_map(table: DataFrame, path: str) -> None:
     table.write.mode("append").partitionBy("version").parquet(path)
 
 
+def store_versions(sizes: DataFrame, held: list[int], path: str) -> DataFrame:
+    """Stores ``held`` as version 1 and the map with one shard more as version 2,
+    each with its slots' rows and bytes (``slot_sizes``), and reads both back:
+    virtual_slot, shard, grown_shard.
+    """
+    spark = sizes.sparkSession
+    both = map_table(spark, held).unionByName(map_table(spark, grow(held, max(held) + 1), 2))
+    summed = both.join(sizes, "virtual_slot", "left").select(
+        "version", "virtual_slot", "shard", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rows", "bytes")])
+    save_map(summed, path)
+    stored = spark.read.schema("virtual_slot int, shard int, rows long, bytes long, version int").parquet(path)
+    grown = stored.where("version = 2").select("virtual_slot", F.col("shard").alias("grown_shard"))
+    return stored.where("version = 1").select("virtual_slot", "shard").join(grown, "virtual_slot")
+
+
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[int]:
     """A stored version of the map, the latest if none is named."""
     stored = spark.read.parquet(path)
@@ -97,13 +112,16 @@ def slot_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slot
         F.count(F.lit(1)).alias("rows"), F.sum(record_bytes(text)).alias("bytes"))
 
 
-def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", held: list[int] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", held: list[int] | None = None,
+          store: str | None = None) -> DataFrame:
     """A row per row of ``docs``: its shard, and its place there.
 
     doc_id, size (UTF-8 bytes and one), text_crc32, law (always ``key``),
     shard, slot (gapless from 0 in each shard), grown_shard (with one shard
     more) and virtual_slot. ``held`` is a stored map (default: ``shards``
-    grown from one).
+    grown from one). With ``store``, a new path, the map and the grown one are
+    stored there with the bytes of their slots, and rows are placed by what is
+    read back.
 
     Null texts are empty, null ids go where an empty id would, equal rows are
     numbered apart. Rows are numbered within 64 hashed parts of each slot and
@@ -117,11 +135,15 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), record_bytes(text).alias("size"), F.crc32(utf8(text_col)).alias("text_crc32"),
         virtual_slot(doc_id, len(held)).alias("virtual_slot"))
-    table = F.broadcast(map_table(spark, held).select("virtual_slot", "shard").join(  # a row per slot: some thousand
-        map_table(spark, grow(held, max(held) + 1)).select("virtual_slot", F.col("shard").alias("grown_shard")), "virtual_slot"))
     part = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int")
     equal = staged(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("part", part), "equal-rows")
-    dealt = equal.join(table, "virtual_slot")
+    if store:
+        table = store_versions(equal.groupBy("virtual_slot").agg(
+            F.sum("copies").alias("rows"), F.sum(F.col("size") * F.col("copies")).alias("bytes")), held, store)
+    else:
+        table = map_table(spark, held).select("virtual_slot", "shard").join(
+            map_table(spark, grow(held, max(held) + 1)).select("virtual_slot", F.col("shard").alias("grown_shard")), "virtual_slot")
+    dealt = equal.join(F.broadcast(table), "virtual_slot")  # a row per slot: some thousand
     counts = dealt.groupBy("shard", "virtual_slot", "part").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("virtual_slot", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

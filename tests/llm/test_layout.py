@@ -307,3 +307,23 @@ def test_equal_rows_are_numbered_in_runs(spark, monkeypatch):
         by.setdefault(r.shard, []).append(r.slot)
     assert len(rows) == 129 and sum(r.doc_id == 5 for r in rows) == 101
     assert all(sorted(slots) == list(range(len(slots))) for slots in by.values())
+
+
+def test_stored_map_places_the_rows(spark, docs001, tmp_path):
+    from keepwise.llm import sharding
+
+    path = str(tmp_path / "map")
+    rows = sharding.shard(docs001, shards=16, store=path)
+    plain = sharding.shard(docs001, shards=16)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, plain.collect()))
+    held = sharding.slot_map(16)
+    assert sharding.load_map(spark, path, 1) == held and sharding.load_map(spark, path) == sharding.grow(held, 16)
+    want = {r["virtual_slot"]: (r["rows"], r["bytes"]) for r in sharding.slot_sizes(docs001).collect()}
+    for version in (1, 2):
+        stored = spark.read.parquet(path).where(f"version = {version}").collect()
+        assert {r["virtual_slot"]: (r["rows"], r["bytes"]) for r in stored if r["rows"]} == want and len(stored) == sharding.SLOTS
+    # the stored sums are what a map is edited by
+    slot_bytes = {s: b for s, (_, b) in want.items()}
+    weight = lambda m: [sum(slot_bytes.get(s, 0) for s, x in enumerate(m) if x == shard) for shard in range(16)]
+    edited = sharding.rebalance(held, slot_bytes)
+    assert max(weight(edited)) <= max(weight(held))

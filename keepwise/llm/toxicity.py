@@ -30,8 +30,6 @@ QUOTES = frozenset("\"“”„«»")
 #: letters that other characters stand for inside a word
 ALIKE = str.maketrans("013457@$!", "oieastasi")
 WINDOW = 8
-#: words longer than this are compared by their first letters only
-LONGEST = 40
 
 
 def _edits(term: str) -> int:
@@ -111,7 +109,7 @@ class Lexicon:
         if len(self.states) > self.most_states:
             self._reset()
         state, node, stem = self.start, 0, None
-        for letter in word[:LONGEST]:
+        for letter in word:
             if state >= 0:
                 nxt = self.steps[state].get(letter)
                 if nxt is None:
@@ -124,7 +122,7 @@ class Lexicon:
                     stem = self.stem[node]
             if state < 0 and (node < 0 or stem):
                 break
-        if state >= 0 and len(word) <= LONGEST:
+        if state >= 0:
             found = [(e, self.word[n]) for n, e in self.states[state] if self.word[n] and e <= _edits(self.word[n])]
             if found:
                 e, term = min(found)
@@ -255,8 +253,7 @@ def _candidates(words: list[str], stems: list[str], shortest: int = 4, longest:
         for word in _unquoted(raw):
             if len(word) >= shortest and word[:longest].isalpha():
                 out.update(word[:k] for k in range(shortest, min(len(word), longest) + 1))
-                if len(word) <= LONGEST:
-                    out.add(word + "$")
+                out.add(word + "$")
         return out
 
     return keys
@@ -275,7 +272,7 @@ def _words_under(stems: list[str]):
     begin, lengths = set(stems), sorted({len(s) for s in stems})
 
     def keys(raw: bytes):
-        return {w for w in _unquoted(raw) if len(w) <= LONGEST and w.isalpha() and any(w[:k] in begin for k in lengths)}
+        return {w for w in _unquoted(raw) if w.isalpha() and any(w[:k] in begin for k in lengths)}
 
     return keys
 
@@ -320,21 +317,26 @@ def choose_terms(table, n1: int, n0: int, min_g2: float, most: int) -> tuple[lis
     return words, stems
 
 
-def learn_terms(rows: DataFrame, min_g2: float, most: int, rounds: int = 8) -> tuple[list[str], list[str]]:
+def learn_terms(rows: DataFrame, min_g2: float, most: int) -> tuple[list[str], list[str]]:
     """The lexicon, by covering: each round counts only rows without a term chosen before.
 
     Words that merely share documents (copies, say) with a chosen term so
-    drop out. A round's best 4 * ``most`` candidates reach the driver.
+    drop out. Rounds go on until one adds nothing. Candidates are judged where
+    they are; those that pass reach the driver, the best 4 * ``most`` of them.
     """
     words, stems = [], []
-    for _ in range(rounds):
-        table = _counts(rows, lambda w=tuple(words), s=tuple(stems): _candidates(w, s), "term").where("c1 > 0.7 * (c1 + c0) OR term = ''")
-        best = table.orderBy(F.col("term") != "", F.col("c0") - F.col("c1"), "term").limit(4 * most + 1).collect()
-        left = [r for r in best if r[0] == ""]
-        if not left or not left[0][1]:
+    while len(words) + len(stems) < most:
+        table = staged(_counts(rows, lambda w=tuple(words), s=tuple(stems): _candidates(w, s), "term").where(
+            "c1 > 0.7 * (c1 + c0) OR term = ''"), "toxic-terms")
+        left = table.where("term = ''").first()  # the rows without a term
+        if left is None or not left["c1"] or not left["c0"]:
             break
-        n1, n0 = left[0][1], left[0][2]
-        w, s = choose_terms([tuple(r) for r in best if r[0]], n1, n0, min_g2, most - len(words) - len(stems))
+        n1, n0 = left["c1"], left["c0"]
+        c1, c0 = F.col("c1"), F.col("c0")
+        ratio = 2 * (c1 * F.ln(c1 / (c1 + c0) / F.lit(n1 / (n1 + n0))) + F.when(c0 > 0, c0 * F.ln(c0 / (c1 + c0) / F.lit(n0 / (n1 + n0)))).otherwise(0.0))
+        passing = table.where("term <> ''").withColumn("ratio", ratio).where(F.col("ratio") >= min_g2 - 1e-6)
+        best = passing.orderBy(F.desc("ratio"), "term").limit(4 * most).collect()
+        w, s = choose_terms([(r["term"], r["c1"], r["c0"]) for r in best], n1, n0, min_g2, most - len(words) - len(stems))
         if not w and not s:
             break
         words += w

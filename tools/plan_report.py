@@ -25,7 +25,7 @@ PATTERNS = {
     "file scan": r"FileScan \w+|Scan (parquet|csv|json)",
     "checkpoint scan": r"Scan ExistingRDD",
     "cached scan": r"InMemoryTableScan",
-    "python": r"PythonUDF|BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas",
+    "python": r"PythonUDF|BatchEvalPython|ArrowEvalPython|MapInPandas|MapInArrow|FlatMapGroupsInPandas",
 }
 
 

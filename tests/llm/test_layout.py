@@ -243,9 +243,9 @@ def slow_top(vectors, queries, k):
     good = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v in vectors
             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
+    for at, (q, a) in enumerate(good):
         if queries(q):
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q and len(b) == len(a))
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for n, (i, b) in enumerate(good) if n != at and len(b) == len(a))
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -261,7 +261,7 @@ def test_top_k(spark, monkeypatch, tile, block):
     rows = [(i, (centers[i % 20] + 0.2 * rng.normal(size=24)).astype(np.float32).tolist()) for i in range(700)]
     rows += [(700 + i, rows[i][1]) for i in range(50)]  # ties
     rows += [(800, None), (850, [float("nan")] * 24), (900, [None] * 24), (None, rows[0][1]), (950, [float("inf")] * 24),
-             (1000, [1.0, 2.0]), (1050, [2.0, 1.0]), (1100, []), (1150, [])]
+             (1000, [1.0, 2.0]), (1050, [2.0, 1.0]), (1100, []), (1150, []), (100, rows[100][1]), (150, rows[3][1])]  # ids twice
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     monkeypatch.setattr(top_k, "TILE", tile)
     monkeypatch.setattr(top_k, "BLOCK_BYTES", block)
@@ -273,29 +273,59 @@ def test_top_k_few_or_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0], 1), (1, [2.0], 1)], schema)
     assert top_rows(top_k.top_k(df, F.col("vec_id") % 50 == 0)) == [(0, 1, 1, 256 * 512)]
     assert top_k.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).count() == 0
+    same = spark.createDataFrame([(0, [1.0], 1)] * 2, schema)  # each row is the other's candidate
+    assert top_rows(top_k.top_k(same, F.col("vec_id") == 0)) == [(0, 1, 0, 256 * 256)] * 2
 
 
-def test_bounds_hold_and_prune():
+def searched(vectors, queries, tile=200):
+    at = np.arange(len(vectors))
+    block = top_k.Block(at[queries], at[queries], vectors[queries], 5)
+    for i in range(0, len(at), tile):
+        block.offer(at[i:i + tile], at[i:i + tile], vectors[i:i + tile])
+    exact = vectors[queries] @ vectors.T
+    exact[np.arange(len(block.ids)), at[queries]] = -(2**62)
+    assert np.array_equal(block.score, -np.sort(-exact, axis=1)[:, :5])
+    return block
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 15, 32, 33])
+def test_bounds_hold(dim):
     rng = np.random.default_rng(9)
-    a, b = rng.normal(size=(50, 32)), rng.normal(size=(60, 32)) * 3
+    a, b = rng.normal(size=(50, dim)), rng.normal(size=(60, dim)) * 3
+    axes = top_k.rotation(a)
     exact, last = a @ b.T, None
-    for s in top_k.resolutions(32):
-        bound = top_k.segment_stats(a, s) @ top_k.segment_stats(b, s).T
+    for edges in top_k.resolutions(dim):
+        assert edges[0] == 0 and edges[-1] == dim and (np.diff(edges) > 0).all()
+        bound = top_k.segment_stats(a @ axes, edges) @ top_k.segment_stats(b @ axes, edges).T
         assert (bound >= exact - 1e-9).all()
         assert last is None or (bound <= last + 1e-9).all()
         last = bound
+
+
+def test_bounds_prune():
+    rng = np.random.default_rng(10)
     base = np.repeat(np.eye(4), 16, axis=1) * 100
     vectors = np.vstack([base[i % 4] * (1 + i % 7) + rng.integers(-2, 3, 64) for i in range(2000)]).astype(np.int64)
-    block = top_k.Block(np.arange(4), np.arange(4), vectors[:4], 5)
-    for at in range(0, 2000, 200):
-        block.offer(np.arange(at, at + 200), vectors[at:at + 200])
-    assert block.exact_pairs < 0.3 * 4 * 2000
+    block = searched(vectors, np.arange(4))
+    assert block.exact_pairs < 0.05 * block.pairs
+    assert block.level_pairs[-1] < 0.5 * block.pairs
+
+
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_bounds_prune_the_given_vectors(table):
+    """Directions without structure: pairs and single dimensions do the pruning."""
+    import pyarrow.parquet as pq
+
+    column = pq.read_table(f"/root/testdata/{table}/embeddings.parquet", columns=["embedding"])["embedding"]
+    vectors = np.floor(256 * np.array(column.to_pylist())).astype(np.int64)
+    block = searched(vectors, np.arange(0, len(vectors), 50), tile=1024)
+    assert block.exact_pairs < 0.06 * block.pairs
 
 
 def test_large_components_stay_exact():
     big = np.array([[2**27, 1], [2**27, 2], [2**27, 3]], np.int64)
     block = top_k.Block(np.arange(1), np.array([9]), np.array([[2**27, 1]], np.int64), 2)
-    block.offer(np.arange(3), big)
+    block.offer(np.arange(1, 4), np.arange(3), big)
     assert block.rows_out()[3].tolist() == [2**54 + 3, 2**54 + 2]
 
 

@@ -6,12 +6,14 @@ A word is run through the automaton of all words within a few edits of the
 lexicon: its states are sets of (trie node, edits so far), built when first
 met, and most words leave it after two or three letters. Each hit is weighed
 by what the labels say of that term at that distance; hits near other hits
-count more, hits inside quotation marks are summed apart, and a logistic model
-of both sums gives the score.
+count more (within eight words), hits inside quotations, followed through their
+whole paragraph, are summed apart, and a logistic model of both sums gives the
+score.
 """
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +28,10 @@ from keepwise.operators.joins import fresh
 
 #: code points stripped from both ends of a word
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»‘’…¿¡"
-QUOTES = frozenset("\"“”„«»")
+#: quotations: straight marks at the outer side of words, curly and angle marks in pairs, single curly ones but no apostrophes
+QUOTATION = re.compile(r'(?<!\w)"(?=\S)[^"]*(?<=\S)"(?!\w)|[“„][^“”„]*[”“]|«[^«»]*»|»[^«»]*«|(?<!\w)‘[^‘]*?’(?!\w)')
+QUOTES = re.compile("[\"“„«»‘]")
+PARAGRAPH = re.compile(r"\n\s*\n")
 #: letters that other characters stand for inside a word
 ALIKE = str.maketrans("013457@$!", "oieastasi")
 WINDOW = 8
@@ -160,7 +165,8 @@ class Finder:
 
     def hits(self, raw: bytes) -> list[tuple[int, str, int, bool]]:
         """(place, term, edits, quoted) of the hits in a text, in order."""
-        words = raw.decode("utf-8", "replace").lower().split()
+        text = raw.decode("utf-8", "replace").lower()
+        words = text.split()
         known, look, found = self.known, self._look, {}
         for word in set(words):
             hit = known[word] if word in known else look(word)
@@ -168,18 +174,31 @@ class Finder:
                 found[word] = hit
         if not found:
             return []
-        return [(i, *found[w], _quoted(words, i)) for i, w in enumerate(words) if w in found]
+        quoted = in_quotation(text)
+        return [(i, *found[w], quoted is not None and quoted[i]) for i, w in enumerate(words) if w in found]
 
 
-def _quoted(words: list[str], at: int) -> bool:
-    """Whether quotation marks are open before the word and close behind it, within the window."""
-    own = words[at]
-    left = sum(c in QUOTES for w in words[max(0, at - WINDOW):at] for c in w)
-    body = own.strip(EDGE)
-    cut = own.find(body)
-    left += sum(c in QUOTES for c in own[:cut])
-    right = any(c in QUOTES for c in own[cut + len(body):]) or any(c in QUOTES for w in words[at + 1:at + 1 + WINDOW] for c in w)
-    return left % 2 == 1 and right
+def in_quotation(text: str) -> list[bool] | None:
+    """Whether each word of a text begins inside a quotation, however long; None if there is none.
+
+    A quotation closes in the paragraph it opens in; a mark without its
+    partner there is none.
+    """
+    if not QUOTES.search(text):
+        return None
+    spans, start = [], 0
+    for end in [*(m.start() for m in PARAGRAPH.finditer(text)), len(text)]:
+        spans += [m.span() for m in QUOTATION.finditer(text, start, end)]
+        start = end
+    if not spans:
+        return None
+    quoted, at = [], 0
+    for m in re.finditer(r"\S+", text):
+        first = m.end() - len(m.group().lstrip(EDGE))
+        while at < len(spans) and spans[at][1] <= first:
+            at += 1
+        quoted.append(at < len(spans) and spans[at][0] < first)
+    return quoted
 
 
 @dataclass(frozen=True)
@@ -260,10 +279,11 @@ def _candidates(words: list[str], stems: list[str], shortest: int = 4, longest:
 
 
 def _unquoted(raw: bytes) -> set[str]:
-    """The words of a text outside quotation marks."""
-    words = raw.decode("utf-8", "replace").lower().split()
-    if any(c in w for w in set(words) for c in QUOTES):  # what is quoted says nothing of a term
-        words = [w for i, w in enumerate(words) if not _quoted(words, i)]
+    """The words of a text outside quotations; what is quoted says nothing of a term."""
+    text = raw.decode("utf-8", "replace").lower()
+    words, quoted = text.split(), in_quotation(text)
+    if quoted is not None:
+        words = [w for w, inside in zip(words, quoted) if not inside]
     return set(map(core, set(words)))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepwise.llm import licences, quality_rules, secret_scan, toxicity
-from tests.conftest import SF001
+from tests.conftest import SF001, SF01
 from tests.llm.conftest import empty
 
 # ---- toxicity
@@ -62,6 +62,78 @@ def test_quotation_is_summed_apart():
     assert quoted < plain < twice
 
 
+QUOTED = [
+    ('one "two three four five six seven eight nine ten eleven twelve thirteen idiot fourteen" idiot', [13]),
+    ("‘you idiot’, it’s said; an idiot’s ‘idiot", [1]),
+    ("„du idiot“ und «vous idiot» et »idiot« “idiot” idiot", [1, 4, 6, 7]),
+    ('a 5" pipe, idiot, a 6" pipe', []),
+    ('he "opened\n\nidiot" here', []),
+    ('"first" idiot "last" ("idiot") "idiot"', [3, 4]),
+    ('"idiot\nidiot" idiot', [0, 1]),
+    ("idiot", []),
+    ("", []),
+]
+
+
+@pytest.mark.parametrize("text,inside", QUOTED)
+def test_quotations_reach_to_their_closing_mark(text, inside):
+    assert [i for i, q in enumerate(toxicity.in_quotation(text) or []) if q and "idiot" in text.split()[i]] == inside
+
+
+def slow_hit(model, word):
+    """(term, edits) of a word against every term, by plain edit distance."""
+    by_length = sorted(model.stems, key=len, reverse=True)
+    under = {w: next(f"{s}*" for s in by_length if w.startswith(s)) for w in model.near}
+    stem = next((f"{s}*" for s in by_length if word.startswith(s)), None)
+    near = [(d, t) for t in {*model.words, *model.near} if abs(len(t) - len(word)) <= 2 and (d := distance(word, t)) <= toxicity._edits(t)]
+    if near:
+        e, term = min(near)
+        if not stem or not e and term not in under:
+            return under.get(term, term), e
+    return (stem, 0) if stem else None
+
+
+def slow_hits(model, text, known):
+    out, inside = [], toxicity.in_quotation(text.lower())
+    for i, word in enumerate(text.lower().split()):
+        word = toxicity.core(word)
+        if word not in known:
+            known[word] = slow_hit(model, word)
+        if known[word]:
+            out.append((i, *known[word], bool(inside and inside[i])))
+    return out
+
+
+def slow_score(model, hits):
+    sums = [0.0, 0.0]
+    weigh = [model.weights.get((term, e), 0.0) for _, term, e, _ in hits]
+    for (place, _, _, quoted), w in zip(hits, weigh):
+        others = sum(x for (p, *_), x in zip(hits, weigh) if abs(p - place) <= toxicity.WINDOW) - w
+        sums[quoted] += w * (1 + 0.5 * min(3.0, max(0.0, others)))
+    z = model.coefficients[0] + sum(c * np.log1p(x) for c, x in zip(model.coefficients[1:], sums))
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_query_against_plain_scores(spark):
+    """Every row of the query, from the model's terms by plain loops; the terms by plain counts."""
+    from keepwise.llm.queries import held_out, op2_toxicity
+
+    docs, labels = (spark.read.parquet(f"{SF01}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, held_out=held_out())
+    got = {r.doc_id: r for r in op2_toxicity(spark, SF01).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys() and (model.words or model.stems)
+    known = {}
+    for i, text in texts.items():
+        want = slow_score(model, slow_hits(model, text, known))
+        assert got[i].score == pytest.approx(want, abs=1e-9) and got[i].predicted == int(want >= 0.7), i
+    counts = {True: Counter(), False: Counter()}
+    for r in toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 20_000, held_out()).collect():
+        counts[bool(r.toxic)].update({t for _, t, e, quoted in slow_hits(model, r.text or "", known) if not quoted and not e})
+    for term in (*model.words, *(f"{s}*" for s in model.stems)):
+        assert counts[True][term] > 0.7 * (counts[True][term] + counts[False][term]), term
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     """A thousand texts; abuse and slips of abuse only in toxic ones, abuse quoted in clean ones."""

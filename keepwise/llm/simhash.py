@@ -190,7 +190,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of an undirected graph, root the smallest node of its component.
 
     Nodes without edges do not appear. Alternates large-star and small-star
-    until the edges no longer change; every round is staged.
+    until the edges no longer change; every round is staged, and so are the
+    minima: an aggregate's side of a join is one that Spark cannot split at a
+    hub with most of the edges.
     """
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
@@ -201,9 +203,10 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = mark
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, "large")
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")),
             F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
@@ -219,8 +222,8 @@ def classes(prints: DataFrame, doc_id: str = "doc_id", bits: int = 3) -> DataFra
     """
     fps = staged(prints.groupBy("fp").agg(F.min(doc_id).alias("first")), "fps")
     comp = staged(components(links(fps.select("fp"), bits)), "components")
-    rooted = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = staged(fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    ids = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     return rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.llm.common import in_slices, shared_path, staged, utf8
+from keepwise.operators.joins import fresh
 
 DATE = "2024-01-01T00:00:00Z"  # of every record: archives of the same rows are the same bytes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -108,17 +109,20 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], int, bytes]:
 def with_heads(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: int = 1000) -> DataFrame:
     """``pages`` with ``refers_to``: the largest id of an equal payload, if it is another row's.
 
-    Payloads under ``least`` bytes refer to none. Digests meet by hash with
-    partial maxima, so a payload on a third of all rows is a row per task.
+    Payloads under ``least`` bytes refer to none and meet under keys made of
+    their own ids. Digests meet by hash with partial maxima, so a payload on a
+    third of all rows is a row per task.
     """
+    key, head, n = (fresh(x, pages.columns) for x in ("__digest", "__head", "__n"))
     body = F.coalesce(utf8(html), F.lit("").cast("binary"))
     digest, size = F.sha1(body), F.octet_length(body)
     heads = staged(
-        pages.where(size >= least).groupBy(digest.alias("__digest")).agg(F.max(page_id).alias("__head"), F.count(F.lit(1)).alias("__n"))
-        .where("__n > 1").select("__digest", "__head"), "heads")
-    other = ~F.col(page_id).eqNullSafe(F.col("__head"))
-    return (pages.withColumn("__digest", F.when(size >= least, digest)).join(heads, "__digest", "left")
-            .withColumn("refers_to", F.when(other, F.col("__head"))).drop("__digest", "__head"))
+        pages.where(size >= least).groupBy(digest.alias(key)).agg(F.max(page_id).alias(head), F.count(F.lit(1)).alias(n))
+        .where(F.col(n) > 1).select(key, head), "heads")
+    alone = F.concat(F.lit("alone "), F.xxhash64(F.col(page_id), size).cast("string"))  # no digest, and not one key for all
+    other = ~F.col(page_id).eqNullSafe(F.col(head))
+    return (pages.withColumn(key, F.when(size >= least, digest).otherwise(alone)).join(heads, key, "left")
+            .withColumn("refers_to", F.when(other, F.col(head))).drop(key, head))
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = 256 << 20) -> DataFrame:

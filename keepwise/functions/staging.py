@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from keepwise.session import ensure_checkpoint_dir
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back: its lineage ends in files every executor sees."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written once and read back: its lineage ends in files every executor sees, in folders ``by`` a column."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/keepwise/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,10 @@ are chosen where the counts meet. A smaller node's rows go to one task, which
 grows the whole sub-tree. Both choose splits by the same rule from the same
 whole-number counts and draws, so where a node is grown changes nothing.
 
+The trees stay on executors: a forest is a table of the shared folder, a row per
+tree, and is scored by a join of few trees with a slice of the rows. The driver
+holds bins, importances and, while nodes are large, the tops of the trees.
+
 As in the reference a node is split until it is pure or no feature parts it;
 each split takes the best of about the square root of the features, more only
 while none of those parts the rows; rows are drawn with repetition per tree.
@@ -14,15 +18,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
-from pyspark import RDD
-
+import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from keepwise.functions.staging import staged
 from keepwise.operators import trees as T
 from keepwise.operators.trees import Binning, Block, NodeList, Nodes, Positions, TreeEnsemble, mixed, places, share_of
 
 #: trees that one task grows from one copy of the rows
 TREES_A_TASK = 10
+#: trees and rows that one task scores
+SCORED_TREES, SCORED_ROWS = 100, 250_000
 #: distribution of the times a row is drawn, as the number of rows grows
 _TIMES = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 
@@ -75,18 +88,13 @@ class Tree(NodeList):
         self.uid[left], self.uid[left + 1] = (int(x) for x in children(np.array([self.uid.pop(node)], np.uint64))[0])
         self.gain[slot] += gain
 
-    def graft(self, node: int, sub: Tree) -> None:
+    def graft(self, node: int, sub: Nodes, gain: np.ndarray) -> None:
         """Puts a sub-tree where ``node`` is."""
-        n = len(self.column)
-        move = lambda i: n + i - 1  # its root takes the node's place
-        for f in ("column", "cut", "equal", "value"):
-            have, new = getattr(self, f), getattr(sub, f)
-            have[node] = new[0]
-            have.extend(new[1:])
-        left = [move(x) if c >= 0 else 0 for x, c in zip(sub.left, sub.column)]
-        self.left[node] = left[0]
-        self.left.extend(left[1:])
-        self.gain += sub.gain
+        left = np.where(sub.column >= 0, sub.left + len(self.column) - 1, 0)  # its root takes the node's place
+        for have, new in zip((self.column, self.cut, self.equal, self.left, self.value), (sub.column, sub.cut, sub.equal, left, sub.value)):
+            have[node], *rest = new.tolist()
+            have.extend(rest)
+        self.gain += gain
         self.uid.pop(node, None)
 
 
@@ -221,12 +229,13 @@ def _level_splits(counts: np.ndarray, uids: list[int], positions: Positions, wei
 
 
 def grow_forests(blocks: RDD, fits: int, binning: Binning, settings: ForestSettings = ForestSettings(),
-                 block_rows: int | None = None) -> list[TreeEnsemble]:
+                 block_rows: int | None = None) -> list[Forest]:
     """The forest of each of ``fits`` fits (``blocks_of``).
 
     ``block_rows`` (default: ``BLOCK_ROWS``) are the drawn rows up to which one
-    task grows a node. The trees come to the driver, some 20 bytes a node.
-    ``blocks`` are read once a level and should be persisted.
+    task grows a node. ``blocks`` are read once a level and should be persisted.
+    Trees are written by the tasks that finish them; of each the driver gets its
+    gains by feature only.
     """
     block_rows = T.BLOCK_ROWS if block_rows is None else block_rows
     positions = Positions.of(binning)
@@ -272,23 +281,47 @@ def grow_forests(blocks: RDD, fits: int, binning: Binning, settings: ForestSetti
 
     forest_keys = {f: {t: (None if len(tree.column) == 1 else tree.nodes(), dict(tree.uid)) for t, tree in own.items()} for f, own in forests.items()}
 
-    def grow(group: tuple) -> list[tuple[int, int, int, Tree]]:
+    def grow(group: tuple) -> Iterator[tuple[tuple[int, int], tuple[int, Nodes, np.ndarray]]]:
         (fit, _, _), given = group
         given = list(given)
         block = T.joined([b for b, _ in given])
-        return [(fit, t, node, grow_here(block, times_drawn(block.key, t, settings), uid, positions, weight[fit])) for t, node, uid in given[0][1]]
+        for t, node, uid in given[0][1]:
+            sub = grow_here(block, times_drawn(block.key, t, settings), uid, positions, weight[fit])
+            yield (fit, t), (node, sub.nodes(), sub.gain)
+
+    def whole(group: tuple) -> tuple[tuple[int, int], tuple[int, Nodes, np.ndarray]]:
+        """The top of a tree (node -1) with the sub-trees of its open nodes."""
+        at, given = group
+        given = sorted(given, key=lambda x: x[0])
+        if given[0][0] >= 0:
+            return at, given[0]
+        tree = given[0][1]
+        for node, sub, gain in given[1:]:
+            tree.graft(node, sub, gain)
+        return at, (0, tree.nodes(), tree.gain)
 
     groups = max(1, fits * -(-settings.trees // TREES_A_TASK))
-    for fit, t, node, sub in blocks.flatMap(emit).groupByKey(groups).flatMap(grow).collect():
-        forests[fit][t].graft(node, sub)
+    grown = blocks.flatMap(emit).groupByKey(groups).flatMap(grow)
+    tops = [((f, t), (-1, tree, tree.gain)) for f, own in forests.items() for t, tree in own.items() if len(tree.column) > 1]
+    if tops:
+        grown = grown.union(blocks.context.parallelize(tops, 1)).groupByKey(groups).map(whole)
+    spark = SparkSession.builder.getOrCreate()
+    packed = grown.map(lambda x: (*x[0], *[_bytes(getattr(x[1][1], f)) for f in T.FIELDS], x[1][2].tolist()))
+    table = staged(spark.createDataFrame(packed, STORED, verifySchema=False), "forests", by="fit")
     out = []
+    per_tree = table.select("fit", "tree", "gain").orderBy("fit", "tree").collect()  # a number per tree and feature
     for f in range(fits):
-        own = list(forests[f].values())
-        gains = [t.gain / t.gain.sum() for t in own if t.gain.sum() > 0]
-        out.append(TreeEnsemble.of("forest", binning, [t.nodes() for t in own], 0.0, np.sum(gains, axis=0) if gains else np.zeros(positions.slots)))
+        gains = [g / g.sum() for g in (np.array(r["gain"]) for r in per_tree if r["fit"] == f) if g.sum() > 0]
+        total = np.sum(gains, axis=0) if gains else np.zeros(positions.slots)
+        own = table.where(F.col("fit") == f).select("tree", *T.FIELDS)
+        out.append(Forest(binning, own, settings.trees, total / total.sum() if total.sum() > 0 else total))
     return out
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).tobytes()
+
+
 def _still_large(blocks: RDD, forests: dict, following: dict, settings: ForestSettings, block_rows: int) -> dict:
     """Of the new open nodes those that draw more rows than a block."""
     sent = {f: {t: (forests[f][t].nodes(), nodes) for t, nodes in own.items()} for f, own in following.items() if own}
@@ -305,3 +338,122 @@ def _still_large(blocks: RDD, forests: dict, following: dict, settings: ForestSe
         if nodes:
             large[f][t] = nodes
     return large
+
+
+# --- fitted forests --------------------------------------------------------------------------
+
+STORED = "fit int, tree int, " + ", ".join(f"{f} binary" for f in T.FIELDS) + ", gain array<double>"
+
+
+@dataclass
+class Forest:
+    """A fitted forest: its trees are ``table`` (``TreeEnsemble``'s stored form), the driver holds the rest."""
+    binning: Binning
+    table: DataFrame
+    count: int
+    importances: np.ndarray
+    kind = "forest"
+
+    @cached_property
+    def held(self) -> TreeEnsemble:
+        """The forest with its trees in memory, as a stream's scoring expression needs it."""
+        stored = self.table.orderBy("tree").collect()  # as large as the forest
+        return TreeEnsemble.of_stored("forest", self.binning, stored, 0.0, self.importances)
+
+    @property
+    def trees(self) -> Nodes:
+        return self.held.trees
+
+    def probabilities(self, bins: np.ndarray, trees: int | None = None) -> np.ndarray:
+        return self.held.probabilities(bins, trees)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(f"{path}/trees")
+        T.save_head(spark, path, self.kind, 0.0, self.binning, self.importances)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Forest:
+        _, _, binning, importances = T.load_head(spark, path)
+        table = spark.read.parquet(f"{path}/trees").select("tree", *T.FIELDS)
+        return cls(binning, table, table.count(), importances)
+
+
+def load_trees(spark: SparkSession, path: str) -> Forest | TreeEnsemble:
+    return (Forest if T.load_head(spark, path)[0] == "forest" else TreeEnsemble).load(spark, path)
+
+
+def score_forests(df: DataFrame, forests: dict[str, Forest], keep: list[str]) -> DataFrame:
+    """``keep`` of ``df`` and the probability of class 1 by each of ``forests`` (out column -> forest).
+
+    Rows are packed into blocks, written once. ``SCORED_TREES`` trees and the
+    blocks of a slice of about ``SCORED_ROWS`` rows meet in a task, whose sums
+    return to the block's rows.
+    """
+    if not all(f.binning.names for f in forests.values()):
+        return df.select(*keep, *[F.lit(0.5).alias(c) for c in forests])
+    binnings: list[Binning] = []
+    for f in forests.values():
+        if f.binning not in binnings:
+            binnings.append(f.binning)
+    features = {(c, t) for b in binnings for cs, t in ((b.num, "double"), (b.cat, "string")) for c in cs}
+    rows = df.select(F.struct(*[F.col(c) for c in keep]).alias("kept"),
+                     *[F.col(c).cast(t).alias(f"{t}_{c}") for c, t in sorted(features)])
+    schema = StructType([*rows.schema["kept"].dataType.fields, *[StructField(c, DoubleType()) for c in forests]])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept = pa.RecordBatch.from_struct_array(batch["kept"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kept.schema) as out:
+                out.write_batch(kept)
+            at = lambda c, t: batch[f"{t}_{c}"].to_pandas()
+            bins = [_bytes(b.bins({**{c: at(c, "double") for c in b.num}, **{c: at(c, "string") for c in b.cat}})) for b in binnings]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([batch.num_rows]), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                                              pa.array([bins], pa.list_(pa.binary()))], names=["block", "n", "kept", "bins"])
+            block += 1
+
+    packed = staged(rows.mapInArrow(pack, "block long, n long, kept binary, bins array<binary>"), "blocks")
+    n = packed.agg(F.sum("n")).first()[0] or 0
+    slices = max(1, -(-n // SCORED_ROWS))
+    tasks = [(i, g, binnings.index(f.binning)) for i, f in enumerate(forests.values()) for g in range(-(-f.count // SCORED_TREES))]
+    task = F.explode(F.array(*[F.struct(F.lit(i).alias("model"), F.lit(g).alias("part"), F.lit(b).alias("binning")) for i, g, b in tasks]))
+    asked = packed.withColumn("task", task).select(
+        "task.model", "task.part", F.pmod(F.xxhash64("block"), F.lit(slices)).alias("slice"), "block", F.col("bins")[F.col("task.binning")].alias("bins"))
+    trees = reduce(DataFrame.unionByName, [f.table.select(
+        F.lit(i).alias("model"), F.floor(F.col("tree") / SCORED_TREES).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), "tree", *T.FIELDS) for i, f in enumerate(forests.values())])
+    widths = [len(f.binning.widths) for f in forests.values()]
+
+    def add(key: tuple, own: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        model, part, _ = (int(x) for x in key)
+        bins = [np.frombuffer(b, np.uint16).reshape(-1, widths[model]) for b in blocks["bins"]]
+        ends = np.cumsum([len(b) for b in bins])[:-1]
+        bins = np.concatenate(bins) if bins else np.zeros((0, widths[model]), np.uint16)
+        total = np.zeros(len(bins))
+        for tree in own.sort_values("tree").to_dict("records"):
+            nodes = T.stored_nodes(tree)
+            total += nodes.value[places(nodes, bins)]
+        sums = [_bytes(x) for x in np.split(total, ends)][:len(blocks)]
+        return pd.DataFrame({"block": blocks["block"], "model": model, "part": part, "sums": sums})
+
+    by = ["model", "part", "slice"]
+    sums = trees.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(add, "block long, model int, part int, sums binary")
+    sums = sums.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("model", "part", "sums"))).alias("parts"))
+    counts = [f.count for f in forests.values()]
+    outs = list(forests)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kept, parts in zip(batch["kept"], batch["parts"]):
+                table = pa.ipc.open_stream(kept.as_py()).read_all()
+                totals = np.zeros((len(counts), table.num_rows))
+                for p in parts.as_py():
+                    totals[p["model"]] += np.frombuffer(p["sums"])
+                for out, total, count in zip(outs, totals, counts):
+                    table = table.append_column(out, pa.array(total / count))
+                yield from table.to_batches()
+
+    return staged(packed.select("block", "kept").join(sums, "block").select("kept", "parts").mapInArrow(unpack, schema), "scored")

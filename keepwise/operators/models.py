@@ -39,7 +39,7 @@ from keepwise.functions.literals import literal_table
 from keepwise.functions.staging import staged
 from keepwise.operators.boosting import BoostSettings, boost
 from keepwise.operators.features import feature_columns
-from keepwise.operators.forest import ForestSettings, grow_forests
+from keepwise.operators.forest import Forest, ForestSettings, grow_forests, load_trees, score_forests
 from keepwise.operators.isotonic import Isotonic, fit_isotonic
 from keepwise.operators.metrics import metrics_long, score_metrics
 from keepwise.operators.splits import class_counts, with_class_weight, with_folds
@@ -90,7 +90,7 @@ class Sizes:
 
 
 FULL = Sizes()
-Model = PipelineModel | TreeEnsemble
+Model = PipelineModel | TreeEnsemble | Forest
 
 
 def make_model(name: str, n_train: int, *, label: str = "label", seed: int = K.RANDOM_STATE, max_bins: int = 256):
@@ -108,7 +108,7 @@ def make_model(name: str, n_train: int, *, label: str = "label", seed: int = K.R
 
 #: labelled rows a fit uses at most
 MAX_FIT_ROWS = 2_000_000
-#: labelled rows a forest uses at most: an unpruned tree has a node per few rows, and all trees are held and sent whole
+#: labelled rows a forest uses at most: an unpruned tree has a node per few rows, and a task grows several of them
 FOREST_ROWS = 100_000
 #: rows a task of a Spark ML fit takes: fits are long chains of short jobs, which more tasks only slow down
 FIT_TASK_ROWS = 20_000
@@ -139,7 +139,7 @@ def fit(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: s
 
 
 def _fit_trees(train: DataFrame, name: str, num: list[str], cat: list[str], label: str, fits: int, fold: str | None,
-               max_rows: int | None, sizes: Sizes) -> list[TreeEnsemble]:
+               max_rows: int | None, sizes: Sizes) -> list[TreeEnsemble] | list[Forest]:
     """The forest or boosted trees of ``fits`` fits together: fit i leaves out fold i, the last one has all rows."""
     forest = MODEL_KEYS.get(name, name) == "rf"
     binning = fit_binning(train, num, cat)
@@ -157,6 +157,10 @@ def _fit_trees(train: DataFrame, name: str, num: list[str], cat: list[str], labe
 def predict(model: Model, df: DataFrame, out: str = PROB, keep: list[str] | None = None) -> DataFrame:
     """Probability of class 1 as a double column."""
     keep = keep if keep is not None else df.columns
+    if isinstance(model, Forest):
+        if not df.isStreaming:
+            return score_forests(df, {out: model}, keep)
+        model = model.held
     if isinstance(model, TreeEnsemble):
         return df.select(*keep, model.probability(df.sparkSession).alias(out))
     return model.transform(df).select(*keep, vector_to_array(F.col("probability"))[1].alias(out))
@@ -234,8 +238,11 @@ class CalibratedModel:
         """``df`` with the calibrated probability of class 1."""
         raw, cal = ([f"__{kind}{i}" for i in range(len(self.parts))] for kind in ("raw", "cal"))
         cur = df
-        for (m, _), c in zip(self.parts, raw):
-            cur = predict(m, cur, out=c)
+        if all(isinstance(m, Forest) for m, _ in self.parts) and not df.isStreaming:  # in one pass
+            cur = score_forests(df, {c: m for (m, _), c in zip(self.parts, raw)}, df.columns)
+        else:
+            for (m, _), c in zip(self.parts, raw):
+                cur = predict(m, cur, out=c)
         for (_, iso), a, b in zip(self.parts, raw, cal):
             cur = iso.transform(cur, a, b)
         total = reduce(lambda x, y: x + y, [F.col(c) for c in cal])
@@ -300,7 +307,7 @@ _WEIGHTS = {"featureImportances": lambda v: v.toArray(), "coefficients": lambda
 
 def drivers(spark: SparkSession, model: Model, num: list[str], cat: list[str], n: int = 15) -> DataFrame:
     """Top-n features by tree importance or |coefficient| (a row per vector slot, ranked in Spark)."""
-    if isinstance(model, TreeEnsemble):
+    if isinstance(model, TreeEnsemble | Forest):
         names, weights = model.binning.names, model.importances
     else:
         learner = model.stages[-1]
@@ -358,14 +365,14 @@ def save_model(spark: SparkSession, model: CalibratedModel, path: str) -> None:
     """A folder per ensemble part (MLWriter or tree tables, and the isotonic table) + the feature lists."""
     def save(i: int) -> None:
         m, iso = model.parts[i]
-        if isinstance(m, TreeEnsemble):
+        if isinstance(m, TreeEnsemble | Forest):
             m.save(spark, f"{path}/part{i}/trees")
         else:
             m.write().overwrite().save(f"{path}/part{i}/pipeline")
         iso.save(f"{path}/part{i}/isotonic")
 
     _each(save, list(range(len(model.parts))))
-    trees = all(isinstance(m, TreeEnsemble) for m, _ in model.parts)
+    trees = all(isinstance(m, TreeEnsemble | Forest) for m, _ in model.parts)
     meta = json.dumps({"num": model.num, "cat": model.cat, "name": model.name, "parts": len(model.parts), "trees": trees})
     spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
@@ -374,7 +381,7 @@ def load_model(spark: SparkSession, path: str) -> CalibratedModel:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
 
     def load(i: int) -> tuple[Model, Isotonic]:
-        m = TreeEnsemble.load(spark, f"{path}/part{i}/trees") if meta["trees"] else PipelineModel.load(f"{path}/part{i}/pipeline")
+        m = load_trees(spark, f"{path}/part{i}/trees") if meta["trees"] else PipelineModel.load(f"{path}/part{i}/pipeline")
         return m, Isotonic.load(spark, f"{path}/part{i}/isotonic")
 
     return CalibratedModel(_each(load, list(range(meta["parts"]))), meta["num"], meta["cat"], meta["name"])

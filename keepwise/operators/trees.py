@@ -297,20 +297,40 @@ class TreeEnsemble:
         rows = [(i, *[np.ascontiguousarray(getattr(self.trees, f)[a:b]).tobytes() for f in FIELDS]) for i, (a, b) in enumerate(zip(self.roots, ends))]
         schema = "tree int, " + ", ".join(f"{f} binary" for f in FIELDS)
         spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/trees")
-        b = self.binning
-        head = [(self.kind, float(self.base), list(b.num), list(b.cat), [list(c) for c in b.cuts], [list(v) for v in b.values],
-                 [float(x) for x in self.importances])]
-        spark.createDataFrame(head, HEAD).coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+        save_head(spark, path, self.kind, self.base, self.binning, self.importances)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TreeEnsemble:
-        head = spark.read.parquet(f"{path}/head").first()
+        kind, base, binning, importances = load_head(spark, path)
         stored = spark.read.parquet(f"{path}/trees").orderBy("tree").collect()  # as large as the model itself
-        binning = Binning(tuple(head["num"]), tuple(head["cat"]), tuple(map(tuple, head["cuts"])), tuple(map(tuple, head["values"])))
-        parts = {f: np.concatenate([np.frombuffer(r[f], t) for r in stored]) for f, t in FIELDS.items()}
-        sizes = [len(r["column"]) // np.dtype(FIELDS["column"]).itemsize for r in stored]
-        roots = np.cumsum([0] + sizes)[:-1].astype(np.int64)
-        return cls(head["kind"], binning, Nodes(**parts), roots, head["base"], np.array(head["importances"]))
+        return cls.of_stored(kind, binning, stored, base, importances)
+
+    @classmethod
+    def of_stored(cls, kind: str, binning: Binning, stored: list, base: float, importances: np.ndarray) -> TreeEnsemble:
+        """From rows of the stored form."""
+        trees = [stored_nodes(r) for r in stored]
+        roots = np.cumsum([0] + [len(t) for t in trees])[:-1].astype(np.int64)
+        parts = {f: np.concatenate([getattr(t, f) for t in trees]) for f in ("column", "cut", "equal", "value")}
+        left = np.concatenate([t.left + r for t, r in zip(trees, roots)]).astype(np.int32)
+        return cls(kind, binning, Nodes(left=left, **parts), roots, base, importances)
+
+
+def stored_nodes(row) -> Nodes:
+    """A tree of the stored form, whose nodes may be numbered over all trees: a root's first child is 1 here."""
+    t = Nodes(**{f: np.frombuffer(row[f], kind) for f, kind in FIELDS.items()})
+    t.left = t.left - (t.left[0] - (t.column[0] >= 0))
+    return t
+
+
+def save_head(spark: SparkSession, path: str, kind: str, base: float, b: Binning, importances: np.ndarray) -> None:
+    head = [(kind, float(base), list(b.num), list(b.cat), [list(c) for c in b.cuts], [list(v) for v in b.values], [float(x) for x in importances])]
+    spark.createDataFrame(head, HEAD).coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+
+
+def load_head(spark: SparkSession, path: str) -> tuple[str, float, Binning, np.ndarray]:
+    head = spark.read.parquet(f"{path}/head").first()
+    binning = Binning(tuple(head["num"]), tuple(head["cat"]), tuple(map(tuple, head["cuts"])), tuple(map(tuple, head["values"])))
+    return head["kind"], head["base"], binning, np.array(head["importances"])
 
 
 #: arrays of a stored tree

@@ -1,8 +1,10 @@
 """Tree ensembles and isotonic fits: any dealing of rows gives the same model, and plain versions agree."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keepwise.operators import boosting, forest, isotonic, trees
+from keepwise.operators import models as H
 from keepwise.operators.trees import Binning, Block, Positions
 
 COLUMNS = "customer_id long, label int, fold int, a double, b double, c string"
@@ -101,6 +103,33 @@ def test_forest_grows_until_nothing_parts_the_rows():
     assert len(lump.column) == 1 and lump.value[0] == block.y.mean()
 
 
+def test_a_forest_stays_on_the_executors(spark, rows, binning, monkeypatch, tmp_path):
+    """Fitting, scoring and storing send no tree to the driver; a forest is scored like its trees in memory."""
+    def refused(self):
+        raise AssertionError("the driver holds a forest")
+
+    blocks, _ = dealt(rows, binning, monkeypatch, 200)
+    held = forest.Forest.held
+    monkeypatch.setattr(forest.Forest, "held", property(refused))
+    monkeypatch.setattr(trees.TreeEnsemble, "of", classmethod(lambda cls, *a: refused(cls)))
+    monkeypatch.setattr(forest, "SCORED_TREES", 3)
+    monkeypatch.setattr(forest, "SCORED_ROWS", 250)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 200)
+    models = forest.grow_forests(blocks, 4, binning, forest.ForestSettings(trees=7), block_rows=40)
+    models[0].save(spark, str(tmp_path))
+    models[3] = loaded = forest.load_trees(spark, str(tmp_path))
+    twice = rows.unionByName(rows.withColumn("customer_id", F.lit(None).cast("long"))).repartition(5)  # keys that repeat or are missing
+    got = forest.score_forests(twice, {"p": models[0], "q": models[1], "r": loaded}, twice.columns).toPandas()
+    empty = H.predict(models[0], rows.where("label > 1"), keep=["customer_id"])
+    assert empty.columns == ["customer_id", "p"] and empty.count() == 0
+    monkeypatch.setattr(forest.Forest, "held", held)
+    held.__set_name__(forest.Forest, "held")
+    assert len(got) == 1400 and got["customer_id"].isna().sum() == 700 and list(got.columns) == [*rows.columns, "p", "q", "r"]
+    for c, m in (("p", models[0]), ("q", models[1]), ("r", models[0])):
+        want = m.probabilities(binning.bins({x: got[x] for x in ("a", "b", "c")}))
+        assert np.allclose(got[c], want, rtol=0, atol=1e-12) and want.std() > 0.05
+
+
 def test_draws_follow_the_expected_distribution():
     times = forest.times_drawn(np.arange(200_000, dtype=np.uint64), 3, forest.ForestSettings())
     assert abs(times.mean() - 1) < 0.01 and abs((times == 0).mean() - np.exp(-1)) < 0.005

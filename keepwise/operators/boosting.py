@@ -3,8 +3,8 @@
 For each level of the trees of a round, one aggregate over all fits sums
 gradient and curvature per (fit, node, bin); the best split of each node is
 chosen where its sums meet, and only splits reach the driver. A fit whose rows
-are one block needs no exchange: its rounds run where the block is, by the
-same functions and with the same result. Sums are of whole numbers (gradients
+are one block (``BLOCK_ROWS``) needs no exchange: its rounds run where the block
+is, by the same rules and with the same result. Sums are of whole numbers (gradients
 in units of 2**-20), so they don't depend on how rows are dealt.
 
 Settings are the reference's: rows and columns are drawn per tree, leaves
@@ -20,6 +20,8 @@ from pyspark import RDD, StorageLevel
 
 from keepwise.operators.trees import Binning, Block, NodeList, Positions, TreeEnsemble, mixed, places, share_of
 
+#: training rows of a block: a level across blocks is a Spark job, a level of this many rows in a task takes less
+BLOCK_ROWS = 250_000
 #: gradients and curvatures are whole numbers of this size
 UNIT = float(1 << 20)
 #: rounds after which the lineage of the margins is cut
@@ -150,8 +152,13 @@ def _in_place(block: Block, positions: Positions, settings: BoostSettings) -> tu
     base = _base(int(block.y.sum()), len(block.y))
     at = [Block(block.fit, block.key, block.y, block.bins, np.full(len(block.y), base))]
 
+    round_: list[_Round] = []
+
     def level(trees: dict[int, Growing], turn: int) -> dict[int, list]:
-        return {f: best_splits(level_sums(at[0], t, turn, positions, settings), turn, positions, settings) for f, t in trees.items()}
+        tree = trees[block.fit]
+        if len(tree.column) == 1:
+            round_[:] = [_Round(at[0], turn, positions, settings)]
+        return {block.fit: best_splits(round_[0].sums(tree), turn, positions, settings)}
 
     def finish(trees: dict[int, Growing]) -> None:
         at[0] = _moved(at[0], trees[block.fit])
@@ -159,6 +166,44 @@ def _in_place(block: Block, positions: Positions, settings: BoostSettings) -> tu
     return block.fit, base, _rounds([block.fit], settings, positions.slots, level, finish)[block.fit]
 
 
+class _Round:
+    """``level_sums`` of a round's levels in turn, for a block that is a fit: rows go down a step a level, and of two
+    siblings the one with more rows has what the other leaves of the parent (whole numbers, so exactly its sums)."""
+
+    def __init__(self, block: Block, turn: int, positions: Positions, settings: BoostSettings):
+        rows = np.flatnonzero(share_of(mixed(mixed(block.key, settings.seed), turn)) < settings.rows)
+        p = 1 / (1 + np.exp(-block.margin[rows]))
+        self.weights = np.stack([np.rint((p - block.y[rows]) * UNIT), np.rint(np.maximum(p * (1 - p), 1e-6) * UNIT)])
+        self.bins, self.at, self.positions = block.bins[rows], np.zeros(len(rows), np.int64), positions
+        self.have: np.ndarray | None = None  # the last level's sums
+        self.nodes: list[int] = []           # and its nodes
+
+    def sums(self, tree: Growing) -> np.ndarray:
+        if self.have is None:
+            self.have = self._of(np.arange(len(self.at)), self.at, 1)
+        else:
+            t = tree.nodes()
+            own = np.flatnonzero(t.column[self.at] >= 0)
+            was = self.at[own]
+            b = self.bins[own, t.column[was]]
+            self.bins, self.weights = self.bins[own], self.weights[:, own]
+            self.at = t.left[was] + np.where(t.equal[was], b != t.cut[was], b > t.cut[was])
+            number = np.full(len(t), -1)
+            number[tree.open] = np.arange(len(tree.open))
+            place = number[self.at]
+            fewer = np.bincount(place, minlength=len(tree.open)).reshape(-1, 2).argmin(axis=1)
+            rows = np.flatnonzero(place % 2 == fewer[place // 2])
+            counted = self._of(rows, place[rows] // 2, len(fewer))
+            parents = self.have[:, [i for i, node in enumerate(self.nodes) if t.column[node] >= 0]]
+            left = np.where((fewer == 0)[:, None], counted, parents - counted)
+            self.have = np.stack([left, parents - left], axis=2).reshape(2, len(tree.open), -1)
+        self.nodes = list(tree.open)
+        return self.have
+
+    def _of(self, rows: np.ndarray, node: np.ndarray, nodes: int) -> np.ndarray:
+        return self.positions.histogram(self.bins[rows], node, nodes, [w[rows] for w in self.weights])
+
+
 def _across(blocks: RDD, fits: list[int], positions: Positions, settings: BoostSettings) -> tuple[dict, dict]:
     """Fits of many blocks: a job per level for all fits, margins kept beside the rows."""
     counts = blocks.map(lambda b: (b.fit, (int(b.y.sum()), len(b.y)))).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1])).collectAsMap()

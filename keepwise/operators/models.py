@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from keepwise import constants as K
 from keepwise.functions.literals import literal_table
 from keepwise.functions.staging import staged
-from keepwise.operators.boosting import BoostSettings, boost
+from keepwise.operators.boosting import BLOCK_ROWS, BoostSettings, boost
 from keepwise.operators.features import feature_columns
 from keepwise.operators.forest import Forest, ForestSettings, grow_forests, load_trees, score_forests
 from keepwise.operators.isotonic import Isotonic, fit_isotonic
@@ -145,11 +145,12 @@ def _fit_trees(train: DataFrame, name: str, num: list[str], cat: list[str], labe
     binning = fit_binning(train, num, cat)
     rows, counts = _bounded(train, label, max_rows or (FOREST_ROWS if forest else MAX_FIT_ROWS))
     n = sum(counts.values())
-    blocks = blocks_of(rows, binning, n, fits, fold, label).persist(StorageLevel.MEMORY_AND_DISK)
+    block_rows = None if forest else BLOCK_ROWS
+    blocks = blocks_of(rows, binning, n, fits, fold, label, block_rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if forest:
             return grow_forests(blocks, fits, binning, ForestSettings(trees=sizes.trees, seed=K.RANDOM_STATE))
-        return boost(blocks, fits, parts_of(n), binning, BoostSettings(rounds=sizes.rounds, seed=K.RANDOM_STATE))
+        return boost(blocks, fits, parts_of(n, block_rows), binning, BoostSettings(rounds=sizes.rounds, seed=K.RANDOM_STATE))
     finally:
         blocks.unpersist()
 

@@ -147,16 +147,17 @@ def joined(blocks: list[Block]) -> Block:
     return Block(blocks[0].fit, *[np.concatenate([getattr(b, f) for b in blocks]) for f in ("key", "y", "bins")])
 
 
-def parts_of(n: int) -> int:
-    return max(1, -(-n // BLOCK_ROWS))
+def parts_of(n: int, block_rows: int | None = None) -> int:
+    return max(1, -(-n // (block_rows or BLOCK_ROWS)))
 
 
-def blocks_of(train: DataFrame, binning: Binning, n: int, fits: int, fold: str | None = "fold", label: str = "label") -> RDD:
+def blocks_of(train: DataFrame, binning: Binning, n: int, fits: int, fold: str | None = "fold", label: str = "label",
+              block_rows: int | None = None) -> RDD:
     """The blocks of each fit: fit i leaves out fold i, the last fit has all rows.
 
-    ``n`` rows are dealt by id to ``parts_of(n)`` blocks.
+    ``n`` rows are dealt by id to ``parts_of(n, block_rows)`` blocks.
     """
-    parts = parts_of(n)
+    parts = parts_of(n, block_rows)
     columns = [*binning.num, *binning.cat]
     rows = train.select(F.xxhash64(F.col(K.ID_COL).cast("string")).alias("__key"), F.col(label).cast("int").alias("__y"),
                         (F.col(fold).cast("int") if fold else F.lit(-1)).alias("__fold"), *columns)

@@ -130,6 +130,25 @@ def test_a_forest_stays_on_the_executors(spark, rows, binning, monkeypatch, tmp_
         assert np.allclose(got[c], want, rtol=0, atol=1e-12) and want.std() > 0.05
 
 
+def test_boosting_needs_no_job_a_level_at_common_sizes():
+    assert trees.parts_of(72_000, boosting.BLOCK_ROWS) == 1 and trees.parts_of(2_000_000, boosting.BLOCK_ROWS) == 8
+
+
+def test_levels_of_a_block_have_the_sums_of_the_shared_ones(rows, binning, monkeypatch):
+    block = dealt(rows, binning, monkeypatch, 10_000)[0].filter(lambda b: b.fit == 3).first()
+    block.margin = np.linspace(-1, 1, len(block.y))
+    positions, settings = Positions.of(binning), boosting.BoostSettings(depth=4)
+    tree, here = boosting.Growing(positions.slots), boosting._Round(block, 5, positions, settings)
+    levels = 0
+    for _ in range(settings.depth):
+        sums = boosting.level_sums(block, tree, 5, positions, settings)
+        assert (here.sums(tree) == sums).all()
+        levels += 1
+        if not tree.grow(boosting.best_splits(sums, 5, positions, settings), settings):
+            break
+    assert levels > 2
+
+
 def test_draws_follow_the_expected_distribution():
     times = forest.times_drawn(np.arange(200_000, dtype=np.uint64), 3, forest.ForestSettings())
     assert abs(times.mean() - 1) < 0.01 and abs((times == 0).mean() - np.exp(-1)) < 0.005

@@ -22,6 +22,7 @@ Differences kept on purpose:
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -110,6 +111,8 @@ def make_model(name: str, n_train: int, *, label: str = "label", seed: int = K.R
 MAX_FIT_ROWS = 2_000_000
 #: labelled rows a forest uses at most: an unpruned tree has a node per few rows, and a task grows several of them
 FOREST_ROWS = 100_000
+#: Spark ML fits submitted at a time: each adds jobs, broadcasts and plans to the driver, which has to hold them
+FITS_AT_ONCE = 2
 #: rows a task of a Spark ML fit takes: fits are long chains of short jobs, which more tasks only slow down
 FIT_TASK_ROWS = 20_000
 
@@ -167,6 +170,11 @@ def predict(model: Model, df: DataFrame, out: str = PROB, keep: list[str] | None
     return model.transform(df).select(*keep, vector_to_array(F.col("probability"))[1].alias(out))
 
 
+def _in_turn(tables: Iterable[DataFrame]) -> DataFrame:
+    """Their union, each written before the next begins: the driver plans and runs one at a time."""
+    return reduce(DataFrame.unionByName, [staged(t, "measures") for t in tables])
+
+
 # --- H5 -------------------------------------------------------------------------------
 
 @dataclass
@@ -193,8 +201,8 @@ class Fits:
     def metrics(self, test: DataFrame) -> DataFrame:
         """H6: pooled out-of-fold (cv) and test metrics, long form."""
         scored = {"cv": self.out_of_fold(), "test": predict(self.model, test, keep=[self.label])}
-        return reduce(DataFrame.unionByName, [
-            metrics_long(score_metrics(df, PROB, self.label), model=self.name, split=split) for split, df in scored.items()])
+        return _in_turn(
+            metrics_long(score_metrics(df, PROB, self.label), model=self.name, split=split) for split, df in scored.items())
 
 
 def with_stored_folds(train: DataFrame, *, label: str = "label", k: int = K.CV_FOLDS) -> DataFrame:
@@ -203,14 +211,14 @@ def with_stored_folds(train: DataFrame, *, label: str = "label", k: int = K.CV_F
 
 
 def fit_folds(folded: DataFrame, name: str, num: list[str], cat: list[str], *, label: str = "label",
-              k: int = K.CV_FOLDS, parallelism: int = K.CV_FOLDS + 1, sizes: Sizes = FULL) -> Fits:
+              k: int = K.CV_FOLDS, parallelism: int = FITS_AT_ONCE, sizes: Sizes = FULL) -> Fits:
     """The k + 1 fits of one learner.
 
     Forests and boosted trees of all fits grow together, over bins of all
     training rows. Spark ML fits are submitted from ``parallelism`` driver
     threads, as ``CrossValidator(parallelism=...)`` does (which would return
-    averages only), so their short jobs share the executors; preprocessing is
-    fitted anew in each.
+    averages only), so their short jobs share the executors; more threads take
+    more of the driver's memory. Preprocessing is fitted anew in each.
     """
     if MODEL_KEYS.get(name, name) in ("rf", "gbt"):
         *folds, whole = _fit_trees(folded, name, num, cat, label, k + 1, "fold", None, sizes)
@@ -269,9 +277,8 @@ def compare_models(train: DataFrame, test: DataFrame, names: list[str], *, label
     num, cat = feature_columns(drop)
     folded = with_stored_folds(train, label=label)   # once, for all models
 
-    # models are independent: submit them from driver threads too
-    with ThreadPoolExecutor(max_workers=max(1, len(names))) as pool:
-        fits = dict(zip(names, pool.map(lambda n: fit_folds(folded, n, num, cat, label=label, sizes=sizes), names)))
+    # one learner after the other: the driver holds the jobs of ``FITS_AT_ONCE`` fits, not of all
+    fits = {n: fit_folds(folded, n, num, cat, label=label, sizes=sizes) for n in names}
     return reduce(DataFrame.unionByName, [f.metrics(test) for f in fits.values()]), fits
 
 
@@ -289,9 +296,9 @@ def leakage_audit(train: DataFrame, test: DataFrame, fits: Fits, *,
     long form (model, variant, metric, value)."""
     without = fit(train, fits.name, *feature_columns(suspects), label=fits.label, sizes=sizes)
     variants = {"with_suspects": fits.model, "without_suspects": without}
-    return reduce(DataFrame.unionByName, [
+    return _in_turn(
         metrics_long(score_metrics(predict(m, test, keep=[fits.label]), PROB, fits.label), model=fits.name, variant=variant)
-        for variant, m in variants.items()])
+        for variant, m in variants.items())
 
 
 def leakage_delta(metrics: DataFrame) -> DataFrame:
@@ -348,10 +355,7 @@ def metrics_report(spark: SparkSession, train: DataFrame, test: DataFrame, compa
         parts.append(metrics_long(b, keep=["name"], section="baselines"))
     parts.append(literal_table(spark, [("leakage_suspects", c, "suspect", 1.0) for c in K.LEAKAGE_SUSPECTS],
                                "section string, name string, metric string, value double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p.select("section", "name", "metric", F.col("value").cast("double")))
-    return out
+    return _in_turn(p.select("section", "name", "metric", F.col("value").cast("double")) for p in parts)
 
 
 # --- H14 ----------------------------------------------------------------------------------

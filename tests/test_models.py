@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepwise import constants as K
+from keepwise.operators import models as H
 from tests.conftest import SF001
 
 
@@ -192,3 +193,33 @@ def test_report_names_baselines_and_suspects(spark, qs):
     names = {r["name"] for r in rows if r["section"] == "baselines"}
     assert len(names) == 2 and "Majority class" in names
     assert {r["name"] for r in rows if r["section"] == "leakage_suspects"} == set(K.LEAKAGE_SUSPECTS)
+
+
+def test_driver_submits_few_fits_at_once(spark, monkeypatch):
+    import threading
+    import time
+
+    going, most, lock = 0, 0, threading.Lock()
+
+    def fit(rows, name, *args, **kwargs):
+        nonlocal going, most
+        with lock:
+            going += 1
+            most = max(most, going)
+        time.sleep(0.2)
+        with lock:
+            going -= 1
+        return name, sorted(r["customer_id"] for r in rows.collect())
+
+    rows = spark.createDataFrame([(i, i % 2) for i in range(40)], "customer_id long, label int")
+    monkeypatch.setattr(H, "fit", fit)
+    monkeypatch.setattr(H, "predict", lambda model, df, out=H.PROB, keep=None: df.select(*keep, F.lit(0.5).alias(out)))
+    metrics, fits = H.compare_models(rows, rows, ["Logistic Regression", "Decision Tree"])
+    plan = metrics._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Relation") == 4  # each part was computed on its own
+    assert metrics.count() == 2 * 2 * 7
+    assert most <= H.FITS_AT_ONCE < K.CV_FOLDS + 1
+    for name, f in fits.items():
+        assert f.model == (name, list(range(40))) and len(f.folds) == K.CV_FOLDS
+        held = [set(range(40)) - set(ids) for _, ids in f.folds]
+        assert sorted(i for h in held for i in h) == list(range(40)) and all(h for h in held)

@@ -45,6 +45,7 @@ from keepwise.operators.isotonic import Isotonic, fit_isotonic
 from keepwise.operators.metrics import metrics_long, score_metrics
 from keepwise.operators.splits import class_counts, with_class_weight, with_folds
 from keepwise.operators.trees import TreeEnsemble, blocks_of, fit_binning, parts_of
+from keepwise.session import ensure_checkpoint_dir
 
 MODEL_KEYS = {
     "Logistic Regression": "lr",
@@ -112,7 +113,7 @@ MAX_FIT_ROWS = 2_000_000
 #: labelled rows a forest uses at most: an unpruned tree has a node per few rows, and a task grows several of them
 FOREST_ROWS = 100_000
 #: Spark ML fits submitted at a time: each adds jobs, broadcasts and plans to the driver, which has to hold them
-FITS_AT_ONCE = 2
+FITS_AT_ONCE = 1
 #: rows a task of a Spark ML fit takes: fits are long chains of short jobs, which more tasks only slow down
 FIT_TASK_ROWS = 20_000
 
@@ -137,7 +138,10 @@ def fit(train: DataFrame, name: str, num: list[str], cat: list[str], *, label: s
     rows, counts = _bounded(train, label, max_rows or MAX_FIT_ROWS)
     n = sum(counts.values())
     rows = rows.repartition(max(1, -(-n // FIT_TASK_ROWS)), K.ID_COL).sortWithinPartitions(K.ID_COL)
-    learner = make_model(name, n, label=label).fit(prepared.transform(with_class_weight(rows, label, counts)))
+    rows = prepared.transform(with_class_weight(rows, label, counts)).select(label, "class_weight", FEATURES)
+    ensure_checkpoint_dir(rows.sparkSession)
+    ready = rows.checkpoint()  # the parts and their order stay: a learner's many jobs start from files, not from the plan
+    learner = make_model(name, n, label=label).fit(ready)
     return PipelineModel(stages=[*prepared.stages, learner])
 
 
@@ -217,8 +221,8 @@ def fit_folds(folded: DataFrame, name: str, num: list[str], cat: list[str], *, l
     Forests and boosted trees of all fits grow together, over bins of all
     training rows. Spark ML fits are submitted from ``parallelism`` driver
     threads, as ``CrossValidator(parallelism=...)`` does (which would return
-    averages only), so their short jobs share the executors; more threads take
-    more of the driver's memory. Preprocessing is fitted anew in each.
+    averages only); more threads take more of the driver's memory.
+    Preprocessing is fitted anew in each.
     """
     if MODEL_KEYS.get(name, name) in ("rf", "gbt"):
         *folds, whole = _fit_trees(folded, name, num, cat, label, k + 1, "fold", None, sizes)

@@ -223,3 +223,37 @@ def test_driver_submits_few_fits_at_once(spark, monkeypatch):
         assert f.model == (name, list(range(40))) and len(f.folds) == K.CV_FOLDS
         held = [set(range(40)) - set(ids) for _, ids in f.folds]
         assert sorted(i for h in held for i in h) == list(range(40)) and all(h for h in held)
+
+
+def test_learner_starts_from_stored_rows(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+
+    seen, make = [], H.make_model
+
+    class Watched:
+        def __init__(self, learner):
+            self.learner = learner
+
+        def fit(self, rows):
+            seen.append(rows)
+            return self.learner.fit(rows)
+
+    monkeypatch.setattr(H, "make_model", lambda *a, **b: Watched(make(*a, **b)))
+    monkeypatch.setattr(H, "FIT_TASK_ROWS", 40)
+    data = [(i % 90, float(i % 7), None if i % 11 == 0 else float(i), "ab"[i % 2] if i % 5 else None, int(i % 7 > 3)) for i in range(100)]
+    train = spark.createDataFrame(data, f"{K.ID_COL} long, x double, y double, c string, label int").fillna({"y": 0.0})
+    fits = {name: H.fit(train, name, ["x", "y"], ["c"]) for name in ("Logistic Regression", "Decision Tree")}
+    stages = Pipeline(stages=H.preprocessor(["x", "y"], ["c"])).fit(train)
+    counts = {0: train.where("label = 0").count(), 1: train.where("label = 1").count()}
+    dealt = train.repartition(3, K.ID_COL).sortWithinPartitions(K.ID_COL)
+    wanted = stages.transform(H.with_class_weight(dealt, "label", counts)).select("label", "class_weight", H.FEATURES)
+    parts = lambda df: df.rdd.glom().map(lambda p: [tuple(r) for r in p]).collect()
+    for rows in seen:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" in plan and "Exchange" not in plan and "UDF" not in plan  # what each job of a fit carries
+        assert [sorted(map(str, p)) for p in parts(rows)] == [sorted(map(str, p)) for p in parts(wanted)]
+        assert rows.schema[H.FEATURES].metadata == wanted.schema[H.FEATURES].metadata  # tells binary features
+    for name, model in fits.items():
+        direct = make(name, len(data)).fit(wanted).transform(wanted).select("probability").collect()
+        ours = model.transform(dealt).select("probability").collect()
+        assert sorted(round(float(r[0][1]), 9) for r in ours) == sorted(round(float(r[0][1]), 9) for r in direct)

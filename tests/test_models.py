@@ -257,3 +257,36 @@ def test_learner_starts_from_stored_rows(spark, monkeypatch):
         direct = make(name, len(data)).fit(wanted).transform(wanted).select("probability").collect()
         ours = model.transform(dealt).select("probability").collect()
         assert sorted(round(float(r[0][1]), 9) for r in ours) == sorted(round(float(r[0][1]), 9) for r in direct)
+
+
+def test_parts_are_saved_and_loaded_in_turn(spark, tmp_path, monkeypatch):
+    import threading
+    import time
+
+    going, most, lock = 0, 0, threading.Lock()
+
+    def watched(f):
+        def g(*args, **kwargs):
+            nonlocal going, most
+            with lock:
+                going += 1
+                most = max(most, going)
+            time.sleep(0.1)
+            try:
+                return f(*args, **kwargs)
+            finally:
+                with lock:
+                    going -= 1
+        return g
+
+    rows = spark.createDataFrame([(i / 10, float(i > 4 + k)) for i in range(10) for k in range(3)], "p double, label double")
+    monkeypatch.setattr(H.Isotonic, "save", watched(H.Isotonic.save))
+    monkeypatch.setattr(H.Isotonic, "load", watched(H.Isotonic.load))
+    train = spark.createDataFrame([(i, float(i % 7), "ab"[i % 2], int(i % 7 > 3)) for i in range(60)], f"{K.ID_COL} long, x double, c string, label int")
+    fitted = H.fit(train, "Decision Tree", ["x"], ["c"])
+    model = H.CalibratedModel([(fitted, H.fit_isotonic(rows))] * 3, ["x"], ["c"], "Decision Tree")
+    H.save_model(spark, model, str(tmp_path / "m"))
+    loaded = H.load_model(spark, str(tmp_path / "m"))
+    assert most == 1 and len(loaded.parts) == 3
+    got = [[r["p"] for r in m.predict(train, "p").orderBy(K.ID_COL).collect()] for m in (model, loaded)]
+    assert got[0] == got[1] and len(got[0]) == 60

@@ -23,6 +23,7 @@ from functools import cached_property, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -383,49 +384,57 @@ def load_trees(spark: SparkSession, path: str) -> Forest | TreeEnsemble:
 
 
 def score_forests(df: DataFrame, forests: dict[str, Forest], keep: list[str]) -> DataFrame:
-    """``keep`` of ``df`` and the probability of class 1 by each of ``forests`` (out column -> forest).
+    """``keep`` of ``df`` and the probability of class 1 by each of ``forests`` (out column -> forest)."""
+    return _scored(df, list(forests.values()), keep, list(forests))
 
-    Rows are packed into blocks, written once. ``SCORED_TREES`` trees and the
-    blocks of a slice of about ``SCORED_ROWS`` rows meet in a task, whose sums
-    return to the block's rows.
+
+def score_by_own(df: DataFrame, forests: list[Forest], own: str, keep: list[str], out: str) -> DataFrame:
+    """``keep`` of the rows whose column ``own`` is the place of one of ``forests``, and the probability of class 1 by that one."""
+    return _scored(df.where(F.col(own).isin(list(range(len(forests))))), forests, keep, [out], own)
+
+
+def _scored(df: DataFrame, forests: list[Forest], keep: list[str], outs: list[str], own: str | None = None) -> DataFrame:
+    """``keep`` and ``outs``: a column for each forest, or one by the forest that column ``own`` tells.
+
+    Rows are packed into blocks, written once, those of one ``own`` together.
+    ``SCORED_TREES`` trees and the blocks of a slice of about ``SCORED_ROWS``
+    rows meet in a task, whose sums return to the block's rows.
     """
-    if not all(f.binning.names for f in forests.values()):
-        return df.select(*keep, *[F.lit(0.5).alias(c) for c in forests])
+    if not all(f.binning.names for f in forests):
+        return df.select(*keep, *[F.lit(0.5).alias(c) for c in outs])
     binnings: list[Binning] = []
-    for f in forests.values():
+    for f in forests:
         if f.binning not in binnings:
             binnings.append(f.binning)
     features = {(c, t) for b in binnings for cs, t in ((b.num, "double"), (b.cat, "string")) for c in cs}
-    rows = df.select(F.struct(*[F.col(c) for c in keep]).alias("kept"),
+    rows = df.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), (F.col(own) if own else F.lit(-1)).cast("int").alias("own"),
                      *[F.col(c).cast(t).alias(f"{t}_{c}") for c, t in sorted(features)])
-    schema = StructType([*rows.schema["kept"].dataType.fields, *[StructField(c, DoubleType()) for c in forests]])
+    schema = StructType([*rows.schema["kept"].dataType.fields, *[StructField(c, DoubleType()) for c in outs]])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch, i in ((b.filter(pc.equal(b["own"], i)), i) for b in batches for i in pc.unique(b["own"]).to_pylist()):
             kept = pa.RecordBatch.from_struct_array(batch["kept"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, kept.schema) as out:
                 out.write_batch(kept)
             at = lambda c, t: batch[f"{t}_{c}"].to_pandas()
             bins = [_bytes(b.bins({**{c: at(c, "double") for c in b.num}, **{c: at(c, "string") for c in b.cat}})) for b in binnings]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([batch.num_rows]), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                                              pa.array([bins], pa.list_(pa.binary()))], names=["block", "n", "kept", "bins"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([i], pa.int32()), pa.array([batch.num_rows]), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                                              pa.array([bins], pa.list_(pa.binary()))], names=["block", "own", "n", "kept", "bins"])
             block += 1
 
-    packed = staged(rows.mapInArrow(pack, "block long, n long, kept binary, bins array<binary>"), "blocks")
+    packed = staged(rows.mapInArrow(pack, "block long, own int, n long, kept binary, bins array<binary>"), "blocks")
     n = packed.agg(F.sum("n")).first()[0] or 0
     slices = max(1, -(-n // SCORED_ROWS))
-    tasks = [(i, g, binnings.index(f.binning)) for i, f in enumerate(forests.values()) for g in range(-(-f.count // SCORED_TREES))]
+    tasks = [(i, g, binnings.index(f.binning)) for i, f in enumerate(forests) for g in range(-(-f.count // SCORED_TREES))]
     task = F.explode(F.array(*[F.struct(F.lit(i).alias("model"), F.lit(g).alias("part"), F.lit(b).alias("binning")) for i, g, b in tasks]))
-    asked = packed.withColumn("task", task).select(
+    asked = packed.withColumn("task", task).where("own IN (-1, task.model)").select(
         "task.model", "task.part", F.pmod(F.xxhash64("block"), F.lit(slices)).alias("slice"), "block", F.col("bins")[F.col("task.binning")].alias("bins"))
     trees = reduce(DataFrame.unionByName, [f.table.select(
         F.lit(i).alias("model"), F.floor(F.col("tree") / SCORED_TREES).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), "tree", *T.FIELDS) for i, f in enumerate(forests.values())])
-    widths = [len(f.binning.widths) for f in forests.values()]
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), "tree", *T.FIELDS) for i, f in enumerate(forests)])
+    widths = [len(f.binning.widths) for f in forests]
 
     def add(key: tuple, own: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         model, part, _ = (int(x) for x in key)
@@ -442,18 +451,17 @@ def score_forests(df: DataFrame, forests: dict[str, Forest], keep: list[str]) ->
     by = ["model", "part", "slice"]
     sums = trees.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(add, "block long, model int, part int, sums binary")
     sums = sums.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("model", "part", "sums"))).alias("parts"))
-    counts = [f.count for f in forests.values()]
-    outs = list(forests)
+    counts = [f.count for f in forests]
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kept, parts in zip(batch["kept"], batch["parts"]):
+            for kept, at, parts in zip(batch["kept"], batch["own"].to_pylist(), batch["parts"]):
                 table = pa.ipc.open_stream(kept.as_py()).read_all()
                 totals = np.zeros((len(counts), table.num_rows))
                 for p in parts.as_py():
                     totals[p["model"]] += np.frombuffer(p["sums"])
-                for out, total, count in zip(outs, totals, counts):
-                    table = table.append_column(out, pa.array(total / count))
+                for out, i in zip(outs, [at] if own else range(len(counts))):
+                    table = table.append_column(out, pa.array(totals[i] / counts[i]))
                 yield from table.to_batches()
 
-    return staged(packed.select("block", "kept").join(sums, "block").select("kept", "parts").mapInArrow(unpack, schema), "scored")
+    return staged(packed.select("block", "own", "kept").join(sums, "block").select("kept", "own", "parts").mapInArrow(unpack, schema), "scored")

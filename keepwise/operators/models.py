@@ -40,7 +40,7 @@ from keepwise.functions.literals import literal_table
 from keepwise.functions.staging import staged
 from keepwise.operators.boosting import BLOCK_ROWS, BoostSettings, boost
 from keepwise.operators.features import feature_columns
-from keepwise.operators.forest import Forest, ForestSettings, grow_forests, load_trees, score_forests
+from keepwise.operators.forest import Forest, ForestSettings, grow_forests, load_trees, score_by_own, score_forests
 from keepwise.operators.isotonic import Isotonic, fit_isotonic
 from keepwise.operators.metrics import metrics_long, score_metrics
 from keepwise.operators.splits import class_counts, with_class_weight, with_folds
@@ -198,8 +198,10 @@ class Fits:
 
     def out_of_fold(self) -> DataFrame:
         """H5: (id, label, fold, p), each training row scored by the fit that did not see it."""
-        parts = [predict(m, self.folded.where(F.col("fold") == i), keep=[K.ID_COL, self.label, "fold"])
-                 for i, m in enumerate(self.folds)]
+        keep = [K.ID_COL, self.label, "fold"]
+        if all(isinstance(m, Forest) for m in self.folds):  # in one pass
+            return score_by_own(self.folded, self.folds, "fold", keep, PROB)
+        parts = [predict(m, self.folded.where(F.col("fold") == i), keep=keep) for i, m in enumerate(self.folds)]
         return reduce(DataFrame.unionByName, parts)
 
     def metrics(self, test: DataFrame) -> DataFrame:

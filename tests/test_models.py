@@ -290,3 +290,20 @@ def test_parts_are_saved_and_loaded_in_turn(spark, tmp_path, monkeypatch):
     assert most == 1 and len(loaded.parts) == 3
     got = [[r["p"] for r in m.predict(train, "p").orderBy(K.ID_COL).collect()] for m in (model, loaded)]
     assert got[0] == got[1] and len(got[0]) == 60
+
+
+def test_out_of_fold_of_forests_in_one_pass(spark, monkeypatch):
+    from keepwise.operators import forest
+
+    rows = spark.createDataFrame([(i, float(i % 13) if i % 9 else None, "abc"[i % 3] if i % 4 else None, int(i % 13 > 6), i % 5 if i % 7 else 2) for i in range(300)],
+                                 f"{K.ID_COL} long, x double, c string, label int, fold int")
+    fits = H.fit_folds(rows, "Random Forest", ["x"], ["c"], sizes=H.Sizes(trees=7))
+    parts = [H.predict(m, rows.where(F.col("fold") == i), keep=[K.ID_COL, "label", "fold"]) for i, m in enumerate(fits.folds)]
+    wanted = sorted(tuple(r) for p in parts for r in p.collect())
+    written, stage = [], forest.staged
+    monkeypatch.setattr(forest, "staged", lambda df, name, *a, **b: written.append(name) or stage(df, name, *a, **b))
+    assert sorted(tuple(r) for r in fits.out_of_fold().collect()) == wanted and len(wanted) == 300
+    assert written == ["blocks", "scored"]  # once, not once a fold: each costs the driver its jobs
+    assert fits.out_of_fold().columns == [K.ID_COL, "label", "fold", H.PROB]
+    assert forest.score_by_own(rows.withColumn("fold", F.when(F.col("fold") < 4, F.col("fold"))), fits.folds, "fold", [K.ID_COL], "p").count() == sum(r[2] < 4 for r in wanted)
+    assert forest.score_by_own(rows.limit(0), fits.folds, "fold", [K.ID_COL], "p").count() == 0

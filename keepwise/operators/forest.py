@@ -1,6 +1,6 @@
 """A random forest of unlimited depth, of several fits at once.
 
-While a node holds more rows than a block, all trees grow it together: one
+While a node holds more rows than one task takes, all trees grow it together: one
 aggregate per level counts classes per (fit, tree, node, bin), and the splits
 are chosen where the counts meet. A smaller node's rows go to one task, which
 grows the whole sub-tree. Both choose splits by the same rule from the same
@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import RDD, TaskContext
+from pyspark.core.rdd import portable_hash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -33,10 +34,14 @@ from keepwise.functions.staging import staged
 from keepwise.operators import trees as T
 from keepwise.operators.trees import Binning, Block, NodeList, Nodes, Positions, TreeEnsemble, mixed, places, share_of
 
+#: drawn rows up to which one task grows a node
+GROWN_ROWS = 1_000_000
 #: trees that one task grows from one copy of the rows
 TREES_A_TASK = 10
-#: trees and rows that one task scores
-SCORED_TREES, SCORED_ROWS = 100, 250_000
+#: trees and rows that one task scores: a tree has a node per few training rows
+SCORED_TREES, SCORED_ROWS = 20, 250_000
+#: pairs of node and feature that one task looks at together
+CELLS = 1_000_000
 #: distribution of the times a row is drawn, as the number of rows grows
 _TIMES = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 
@@ -106,87 +111,139 @@ def tries(slots: int) -> int:
 # --- a sub-tree in one task ----------------------------------------------------------------
 
 def grow_here(block: Block, times: np.ndarray, uid: int, positions: Positions, weight: np.ndarray) -> Tree:
-    """The tree of a node's rows, level by level, all nodes of a level together."""
-    rows = np.flatnonzero(times)
-    bins, y, times = block.bins[rows], block.y[rows].astype(np.int64), times[rows]
-    counts = np.stack([times * (y == 0), times * (y == 1)]).astype(np.float64)
-    tree = Tree(uid, positions.slots)
-    column = np.array([positions.column[positions.slot == s][0] for s in range(positions.slots)])
-    equal = column >= len(positions.start) - int(positions.equal[positions.start].sum())
-    code = np.array([positions.cut[positions.slot == s][0] for s in range(positions.slots)])
-    ids, node = np.zeros(1, np.int64), np.zeros(len(rows), np.int64)  # open nodes; each row's place among them
-    uids = np.array([uid], np.uint64)
+    """The tree of a node's rows, level by level, all nodes of a level together.
+
+    The rows of a level lie in the order of its open nodes, each with its bins, class and times drawn side by side.
+    """
+    own = np.flatnonzero(times)
+    rows = np.concatenate([block.bins[own], block.y[own, None], times[own, None]], axis=1, dtype=positions.narrow, casting="unsafe")
+    total = np.bincount(block.y[own], times[own], 2)[:, None]
+    ids, uids, sizes = np.zeros(1, np.int64), np.array([uid], np.uint64), np.array([len(own)])  # of the open nodes
+    made, values = 1, [_share(total, weight)]
+    gains, parents = np.zeros(positions.slots), []
+    if not (total > 0).all():
+        ids = ids[:0]
     while len(ids):
-        k = len(ids)
-        total = np.stack([np.bincount(node, c, k) for c in counts])
-        for node_id, value in zip(ids.tolist(), _share(total, weight).tolist()):
-            tree.value[node_id] = value
-        impure = (total > 0).all(axis=0)
-        order, best = draw_order(uids, positions.slots), np.full(k, -1.0)
-        slot, cut = np.full(k, -1), np.zeros(k, np.int64)
-        base = purity(total, weight)
-        for j in range(positions.slots):
-            looking = impure & ((slot < 0) | (j < tries(positions.slots)))
-            if not looking.any():
-                break
-            tried = order[:, j]
-            own = np.flatnonzero(looking[node])
-            gain, at = _best_here(bins[own, column[tried[node[own]]]].astype(np.int64), counts[:, own], node[own], k, equal[tried], code[tried], total, base, weight)
-            better = looking & (gain > best)
-            best[better], slot[better], cut[better] = gain[better], tried[better], at[better]
+        some = max(1, CELLS // max(1, positions.slots))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        found = []
+        for i in range(0, len(ids), some):
+            at = slice(i, i + some)
+            found.append(_splits_here(rows[ends[i]:ends[min(i + some, len(ids))]], sizes[at], uids[at], total[:, at], positions, weight))
+        gain, slot, cut = (np.concatenate(x) for x in list(zip(*found))[:3])
+        left = np.concatenate([x[3] for x in found], axis=1)
         parted = np.flatnonzero(slot >= 0)
         if not len(parted):
             break
-        new_ids = np.empty((len(parted), 2), np.int64)
-        for i, p in enumerate(parted.tolist()):
-            s = int(slot[p])
-            left = tree.split(int(ids[p]), int(column[s]), int(cut[p]), bool(equal[s]))
-            tree.gain[s] += best[p]
-            new_ids[i] = left, left + 1
-        place = np.full(k, -1)
-        place[parted] = np.arange(len(parted))
-        own = np.flatnonzero(place[node] >= 0)
-        was = node[own]
-        b = bins[own, column[slot[was]]]
-        right = np.where(equal[slot[was]], b != cut[was], b > cut[was])
-        bins, counts, node = bins[own], counts[:, own], place[was] * 2 + right
-        ids, uids = new_ids.ravel(), children(uids[parted]).ravel()
-    tree.uid = {}
+        np.add.at(gains, slot[parted], gain[parted])
+        column, equal = positions.of_slot[0][slot[parted]], positions.of_slot[1][slot[parted]]
+        new = made + 2 * np.arange(len(parted))
+        parents.append((ids[parted], column, cut[parted], equal, new))
+        made += 2 * len(parted)
+        total = np.stack([left[:, parted], total[:, parted] - left[:, parted]], axis=2).reshape(2, -1)
+        values.append(_share(total, weight))
+        # the rows of children that hold both classes, in the order of these
+        open_ = (total > 0).all(axis=0)
+        if len(parted) < len(ids):
+            rows, sizes = rows[np.repeat(slot >= 0, sizes)], sizes[parted]
+        b = rows.ravel()[np.arange(len(rows)) * rows.shape[1] + np.repeat(column, sizes)]
+        c, e = np.repeat(cut[parted].astype(rows.dtype), sizes), np.repeat(equal, sizes)
+        child = np.repeat(2 * np.arange(len(parted)), sizes) + ((b > c) ^ (e & (b < c)))
+        sizes = np.bincount(child, minlength=len(open_))[open_]
+        number = np.where(open_, np.cumsum(open_) - 1, len(sizes))[child]
+        order = np.argsort(number.astype(np.uint16) if len(sizes) < 65536 else number, kind="stable")[:sizes.sum()]
+        rows, total = rows.take(order, axis=0), total[:, open_]
+        ids = np.stack([new, new + 1], axis=1).ravel()[open_]
+        uids = children(uids[parted]).ravel()[open_]
+    tree = Tree(uid, positions.slots)
+    tree.uid, tree.gain, tree.value = {}, gains, np.concatenate(values, axis=None).tolist()
+    for f, x in zip(("column", "cut", "equal", "left"), (-1, 0, False, 0)):
+        setattr(tree, f, [x] * made)
+    for nodes, *split in parents:
+        for have, x in zip((tree.column, tree.cut, tree.equal, tree.left), split):
+            for node, v in zip(nodes.tolist(), x.tolist()):
+                have[node] = v
     return tree
 
 
-def _best_here(b, counts, node, k, equal, code, total, base, weight) -> tuple[np.ndarray, np.ndarray]:
-    """Per node the best gain of one feature and its cut (gain -1: the feature does not part the node)."""
-    gain, cut = np.full(k, -1.0), np.zeros(k, np.int64)
-    yes = equal[node]
-    if yes.any():
-        on = np.flatnonzero(yes & (b == code[node]))
-        left = np.stack([np.bincount(node[on], c[on], k) for c in counts])
-        own = equal & (left.sum(axis=0) > 0) & (left.sum(axis=0) < total.sum(axis=0))
-        made = purity(left, weight) + purity(total - left, weight) - base
-        gain[own], cut[own] = made[own], code[own]
-    if not yes.all():
-        rows = np.flatnonzero(~yes)
-        key = node[rows] * 65536 + b[rows]
-        order = np.argsort(key, kind="stable")
-        key, counted = key[order], counts[:, rows[order]]
-        last = np.append(key[1:] != key[:-1], True)  # the last row of each value in its node
-        upto = np.cumsum(counted, axis=1)[:, last]
-        value = key[last]
-        at = value // 65536
-        first = np.append(True, at[1:] != at[:-1])
-        before = np.concatenate([np.zeros((2, 1)), upto[:, :-1]], axis=1)[:, first]  # all earlier nodes
-        starts = np.flatnonzero(first)
-        left = upto - np.repeat(before, np.diff(np.append(starts, len(at))), axis=1)
-        right = total[:, at] - left
-        made = np.where(right.sum(axis=0) > 0, purity(left, weight) + purity(right, weight) - base[at], -1.0)
-        top = np.maximum.reduceat(made, starts)
-        hit = np.flatnonzero(made == np.repeat(top, np.diff(np.append(starts, len(at)))))
-        hit = hit[np.append(True, at[hit][1:] != at[hit][:-1])]  # the smallest cut of equals
-        own = hit[made[hit] >= 0]
-        # a split that gains nothing by rounding below zero still parts the rows
-        gain[at[own]], cut[at[own]] = made[own], value[own] % 65536
-    return gain, cut
+def _splits_here(rows: np.ndarray, sizes: np.ndarray, uids: np.ndarray, total: np.ndarray, positions: Positions,
+                 weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of some nodes, whose rows follow each other: gain, slot (-1: nothing parts the node), cut, class counts to the left."""
+    k, slots, most = len(sizes), positions.slots, tries(positions.slots)
+    rank = np.empty((k, slots), np.int32)
+    np.put_along_axis(rank, draw_order(uids, slots), np.arange(slots, dtype=np.int32)[None, :], axis=1)
+    base = purity(total, weight)
+    gain, cut = np.full((k, slots), -np.inf), np.zeros((k, slots), np.int64)  # where a slot parts a node
+    left = np.zeros((2, k, slots))
+    y, drawn = rows[:, -2], rows[:, -1].astype(np.float64)
+    node = np.repeat(np.arange(k), sizes)
+    classed, key = node + y * np.int64(k), np.empty(len(rows), np.int64)
+    numbers = np.flatnonzero(~positions.of_slot[1])
+    for c in range(len(numbers), len(positions.widths)):  # categories: all their values at once
+        w = positions.widths[c]
+        np.multiply(classed, w, out=key)
+        np.add(key, rows[:, c], out=key)
+        counts = np.bincount(key, drawn, 2 * k * w).reshape(2, k, w)
+        first = positions.first[c]
+        left[:, :, first:first + w - 1] = counts[:, :, 1:]
+        cut[:, first:first + w - 1] = np.arange(1, w)
+    if len(numbers) < slots:
+        at = slice(len(numbers), None)
+        right = total[:, :, None] - left[:, :, at]
+        here = (left[:, :, at].sum(axis=0) > 0) & (right.sum(axis=0) > 0)
+        gain[:, at] = np.where(here, purity(left[:, :, at], weight) + purity(right, weight) - base[:, None], -np.inf)
+
+    def look(c: int, asked: np.ndarray) -> None:
+        """The best cut of a number in the nodes ``asked``."""
+        own = np.flatnonzero(asked)
+        if not len(own):
+            return
+        at = np.flatnonzero(np.repeat(asked, sizes))
+        w = positions.widths[c]
+        place, counts = _cells(np.repeat(np.arange(len(own)) * w, sizes[own]) + rows[at, c], y[at], drawn[at], len(own) * w)
+        which, value = place // w, place % w
+        start = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        cells = np.diff(np.append(start, len(which)))
+        upto = np.cumsum(counts, axis=1)
+        upto -= np.repeat(np.concatenate([np.zeros((2, 1)), upto[:, start[1:] - 1]], axis=1), cells, axis=1)
+        right = total[:, own[which]] - upto
+        made = np.where(right.sum(axis=0) > 0, purity(upto, weight) + purity(right, weight) - base[own[which]], -1.0)
+        hit = np.flatnonzero(made == np.repeat(np.maximum.reduceat(made, start), cells))
+        hit = hit[np.append(True, which[hit][1:] != which[hit][:-1])]  # the smallest cut of equals
+        hit = hit[made[hit] >= 0]  # a split that gains nothing still parts the rows
+        n = own[which[hit]]
+        gain[n, c], cut[n, c], left[:, n, c] = made[hit], value[hit], upto[:, hit]
+
+    for c in numbers.tolist():
+        look(c, rank[:, c] < most)
+    among = np.where(rank < most, gain, -np.inf)
+    best = among.max(axis=1, initial=-1.0)
+    # the first tried of those that gain most; where none of them parts the node the first that does
+    slot = np.where(among == best[:, None], rank, slots).argmin(axis=1) if slots else np.zeros(k, np.int64)
+    lost = best == -1.0
+    if lost.any() and slots:
+        for c in numbers.tolist():
+            look(c, lost)
+        later = np.where(gain[lost] > -1.0, rank[lost], slots)
+        slot[lost] = np.where(later.min(axis=1) < slots, later.argmin(axis=1), -1)
+    elif not slots:
+        slot[:] = -1
+    each = np.arange(k)
+    return (gain[each, slot], slot, cut[each, slot], left[:, each, slot]) if slots else (base, slot, slot, total)
+
+
+def _cells(key: np.ndarray, y: np.ndarray, drawn: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that rows have, ascending, and their class counts."""
+    if places <= 2 * len(key):
+        n = np.bincount(key + y * np.int64(places), drawn, 2 * places).reshape(2, places)
+        at = np.flatnonzero(n[0] + n[1])
+        return at, n[:, at]
+    x = ((key * 2 + y) * 16 + drawn.astype(np.int64)).astype(np.int32 if places < 1 << 26 else np.int64)
+    x.sort()
+    at, y, drawn = x >> 5, (x >> 4) & 1, x & 15
+    start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    one, both = (np.add.reduceat(d, start, dtype=np.float64) for d in (drawn * y, drawn))
+    return at[start].astype(np.int64), np.stack([both - one, one])
 
 
 # --- large nodes, all trees together --------------------------------------------------------
@@ -233,12 +290,12 @@ def grow_forests(blocks: RDD, fits: int, binning: Binning, settings: ForestSetti
                  block_rows: int | None = None) -> list[Forest]:
     """The forest of each of ``fits`` fits (``blocks_of``).
 
-    ``block_rows`` (default: ``BLOCK_ROWS``) are the drawn rows up to which one
+    ``block_rows`` (default: ``GROWN_ROWS``) are the drawn rows up to which one
     task grows a node. ``blocks`` are read once a level and should be persisted.
     Trees are written by the tasks that finish them; of each the driver gets its
     gains by feature only.
     """
-    block_rows = T.BLOCK_ROWS if block_rows is None else block_rows
+    block_rows = GROWN_ROWS if block_rows is None else block_rows
     positions = Positions.of(binning)
     classes = blocks.map(lambda b: (b.fit, np.bincount(b.y, minlength=2))).reduceByKey(np.add).collectAsMap()
     weight = {f: n.sum() / (2.0 * np.maximum(n, 1)) for f, n in classes.items()}  # balanced
@@ -269,10 +326,12 @@ def grow_forests(blocks: RDD, fits: int, binning: Binning, settings: ForestSetti
     def emit(block: Block) -> Iterator[tuple[tuple, tuple[Block, list]]]:
         """A copy of the rows per few trees that are still a root, and the rows of each open node of the others."""
         own = forest_keys[block.fit]
+        block = Block(block.fit, block.key, block.y, block.bins.astype(narrow))
         fresh = [t for t, (tree, _) in own.items() if tree is None]
-        for i in range(0, len(fresh), TREES_A_TASK):
-            some = fresh[i:i + TREES_A_TASK]
-            yield (block.fit, some[0], -1), (block, [(t, 0, roots[t]) for t in some])
+        for i in range(turns):
+            some = fresh[i::turns]
+            if some:
+                yield (block.fit, i, -1), (block, [(t, 0, roots[t]) for t in some])
         for t, (tree, open_nodes) in own.items():
             if tree is not None and open_nodes:
                 at = places(tree, block.bins)
@@ -301,8 +360,16 @@ def grow_forests(blocks: RDD, fits: int, binning: Binning, settings: ForestSetti
             tree.graft(node, sub, gain)
         return at, (0, tree.nodes(), tree.gain)
 
-    groups = max(1, fits * -(-settings.trees // TREES_A_TASK))
-    grown = blocks.flatMap(emit).groupByKey(groups).flatMap(grow)
+    turns = max(1, -(-settings.trees // TREES_A_TASK))
+    groups = fits * turns
+    narrow = positions.narrow
+
+    def task(key: tuple) -> int:
+        """Whole trees of a fit are dealt evenly."""
+        fit, tree, node = key
+        return fit * turns + tree % turns if node < 0 else portable_hash(key)
+
+    grown = blocks.flatMap(emit).groupByKey(groups, task).flatMap(grow)
     tops = [((f, t), (-1, tree, tree.gain)) for f, own in forests.items() for t, tree in own.items() if len(tree.column) > 1]
     if tops:
         grown = grown.union(blocks.context.parallelize(tops, 1)).groupByKey(groups).map(whole)
@@ -425,7 +492,7 @@ def _scored(df: DataFrame, forests: list[Forest], keep: list[str], outs: list[st
             block += 1
 
     packed = staged(rows.mapInArrow(pack, "block long, own int, n long, kept binary, bins array<binary>"), "blocks")
-    n = packed.agg(F.sum("n")).first()[0] or 0
+    n = packed.groupBy("own").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0  # that a forest scores
     slices = max(1, -(-n // SCORED_ROWS))
     tasks = [(i, g, binnings.index(f.binning)) for i, f in enumerate(forests) for g in range(-(-f.count // SCORED_TREES))]
     task = F.explode(F.array(*[F.struct(F.lit(i).alias("model"), F.lit(g).alias("part"), F.lit(b).alias("binning")) for i, g, b in tasks]))

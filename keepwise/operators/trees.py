@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql.functions import pandas_udf
 
 from keepwise import constants as K
 
-#: training rows of a block, and of a node that one task grows on its own
+#: training rows of a block, and of those that a task bins
 BLOCK_ROWS = 50_000
 #: pairs of row and tree looked at together
 PAIRS = 2_000_000
@@ -86,6 +87,27 @@ class Positions:
     slot: np.ndarray       # its one-hot feature, -1 where no split is possible
     slots: int
 
+    @cached_property
+    def widths(self) -> list[int]:
+        """Positions of each column."""
+        return np.diff(np.append(self.start, len(self.column))).tolist()
+
+    @property
+    def narrow(self) -> type:
+        """The narrowest type that holds all bins."""
+        return np.uint8 if max(self.widths, default=0) <= 256 else np.uint16
+
+    @cached_property
+    def of_slot(self) -> tuple[np.ndarray, np.ndarray]:
+        """Column of each slot, and whether it asks for equality."""
+        at = np.array([np.flatnonzero(self.slot == s)[0] for s in range(self.slots)], np.int64)
+        return self.column[at], self.equal[at]
+
+    @cached_property
+    def first(self) -> list[int]:
+        """The first slot of each column (of a category without values: where it would be)."""
+        return np.searchsorted(self.of_slot[0], np.arange(len(self.start))).tolist()
+
     @classmethod
     def of(cls, binning: Binning) -> Positions:
         widths = np.array(binning.widths, np.int64)
@@ -144,7 +166,7 @@ class Block:
 
 
 def joined(blocks: list[Block]) -> Block:
-    return Block(blocks[0].fit, *[np.concatenate([getattr(b, f) for b in blocks]) for f in ("key", "y", "bins")])
+    return blocks[0] if len(blocks) == 1 else Block(blocks[0].fit, *[np.concatenate([getattr(b, f) for b in blocks]) for f in ("key", "y", "bins")])
 
 
 def parts_of(n: int, block_rows: int | None = None) -> int:
@@ -155,9 +177,11 @@ def blocks_of(train: DataFrame, binning: Binning, n: int, fits: int, fold: str |
               block_rows: int | None = None) -> RDD:
     """The blocks of each fit: fit i leaves out fold i, the last fit has all rows.
 
-    ``n`` rows are dealt by id to ``parts_of(n, block_rows)`` blocks.
+    ``n`` rows are dealt by id to ``parts_of(n, block_rows)`` blocks; a task bins
+    ``BLOCK_ROWS`` of them.
     """
     parts = parts_of(n, block_rows)
+    packs = parts * parts_of(-(-n // parts))
     columns = [*binning.num, *binning.cat]
     rows = train.select(F.xxhash64(F.col(K.ID_COL).cast("string")).alias("__key"), F.col(label).cast("int").alias("__y"),
                         (F.col(fold).cast("int") if fold else F.lit(-1)).alias("__fold"), *columns)
@@ -170,7 +194,7 @@ def blocks_of(train: DataFrame, binning: Binning, n: int, fits: int, fold: str |
             yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays], names=names)
 
     names = ["key", "y", "fold", "bins"]
-    packed = rows.repartition(parts, "__key").mapInArrow(pack, ", ".join(f"{c} binary" for c in names))
+    packed = rows.repartition(packs, "__key").mapInArrow(pack, ", ".join(f"{c} binary" for c in names))
 
     def unpack(part: int, stored: Iterator) -> Iterator[tuple[tuple[int, int], Block]]:
         for row in stored:
@@ -178,9 +202,13 @@ def blocks_of(train: DataFrame, binning: Binning, n: int, fits: int, fold: str |
             bins = np.frombuffer(row["bins"], np.uint16).reshape(len(y), -1)
             for i in range(fits):
                 own = np.flatnonzero(fold != i)
-                yield (i, part), Block(i, key[own], y[own], bins[own])
+                yield (i, part % parts), Block(i, key[own], y[own], bins[own])
+
+    def gathered(blocks: Iterator[Block]) -> list[Block]:
+        have = list(blocks)
+        return [joined(have)] if have else []
 
-    return packed.rdd.mapPartitionsWithIndex(unpack).partitionBy(fits * parts, lambda k: k[0] * parts + k[1]).values()
+    return packed.rdd.mapPartitionsWithIndex(unpack).partitionBy(fits * parts, lambda k: k[0] * parts + k[1]).values().mapPartitions(gathered)
 
 
 # --- fitted trees ----------------------------------------------------------------------------
@@ -278,7 +306,7 @@ class TreeEnsemble:
 
     def probability(self, spark: SparkSession) -> Column:
         """The probability of class 1 as a column over the feature columns."""
-        if self._sent is None:  # bounded: the trees of at most MAX_FIT_ROWS or FOREST_ROWS rows
+        if self._sent is None:  # bounded: boosted trees of a fixed depth; a forest where a stream asks for it
             self._sent = spark.sparkContext.broadcast((self.kind, self.binning, self.trees, self.roots, self.base, self.importances))
         sent, columns = self._sent, [*self.binning.num, *self.binning.cat]
 

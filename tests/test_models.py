@@ -307,3 +307,32 @@ def test_out_of_fold_of_forests_in_one_pass(spark, monkeypatch):
     assert fits.out_of_fold().columns == [K.ID_COL, "label", "fold", H.PROB]
     assert forest.score_by_own(rows.withColumn("fold", F.when(F.col("fold") < 4, F.col("fold"))), fits.folds, "fold", [K.ID_COL], "p").count() == sum(r[2] < 4 for r in wanted)
     assert forest.score_by_own(rows.limit(0), fits.folds, "fold", [K.ID_COL], "p").count() == 0
+
+
+def test_learners_take_all_rows(spark, monkeypatch):
+    seen, make, deal = [], H.make_model, H.blocks_of
+
+    class Watched:
+        def __init__(self, learner):
+            self.learner = learner
+
+        def fit(self, rows):
+            seen.append([rows.count()])
+            return self.learner.fit(rows)
+
+    def dealt(*args, **kwargs):
+        blocks = deal(*args, **kwargs)
+        sizes = dict(blocks.map(lambda b: (b.fit, len(b.y))).reduceByKey(lambda a, b: a + b).collect())
+        seen.append([sizes[f] for f in sorted(sizes)])
+        return blocks
+
+    for bound in ("MAX_FIT_ROWS", "FOREST_ROWS"):  # rows beyond these were left out
+        monkeypatch.setattr(H, bound, 60, raising=False)
+    monkeypatch.setattr(H, "make_model", lambda *a, **b: Watched(make(*a, **b)))
+    monkeypatch.setattr(H, "blocks_of", dealt)
+    data = [(i % 190 if i % 17 else None, float(i % 7), "ab"[i % 2], int(i % 7 > 3), i % 5) for i in range(200)]  # keys repeat or are missing
+    train = spark.createDataFrame(data, f"{K.ID_COL} long, x double, c string, label int, fold int")
+    for name in K.MODEL_ORDER:
+        seen.clear()
+        H.fit_folds(train, name, ["x"], ["c"], sizes=H.Sizes(trees=3, rounds=3))
+        assert [n for rows in seen for n in rows] == [160] * 5 + [200], name

@@ -203,3 +203,50 @@ def test_isotonic_of_nothing(spark):
     empty = spark.createDataFrame([], "p double, label double")
     iso = isotonic.fit_isotonic(empty)
     assert iso.transform(spark.createDataFrame([(0.3,)], "p double"), "p", "v").first()["v"] is None
+
+
+def test_a_task_grows_the_same_tree_from_few_nodes_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    binning = Binning(("a", "b"), ("c", "d", "e"), (tuple(range(30)), (0.5,)), (tuple(f"{i:03}" for i in range(300)), ("x", "y"), ()))
+    bins = np.stack([rng.integers(0, w, 900) for w in binning.widths], axis=1).astype(np.uint16)  # one column has more than 256 bins
+    block = Block(0, np.arange(900, dtype=np.uint64), (rng.random(900) < 0.2 + 0.5 * (bins[:, 0] > 15)).astype(np.int8), bins)
+    times, positions, weight = forest.times_drawn(block.key, 1, forest.ForestSettings()), Positions.of(binning), np.array([0.7, 1.6])
+    whole = forest.grow_here(block, times, 5, positions, weight)
+    monkeypatch.setattr(forest, "CELLS", 1)
+    parts = forest.grow_here(block, times, 5, positions, weight)
+    assert all((getattr(whole.nodes(), f) == getattr(parts.nodes(), f)).all() for f in trees.FIELDS) and (whole.gain == parts.gain).all()
+    nodes = whole.nodes()
+    at, own = trees.places(nodes, bins), times > 0
+    counts = np.array([np.bincount(at[own & (block.y == y)], times[own & (block.y == y)], len(nodes)) for y in (0, 1)])
+    leaves = (nodes.column < 0) & (counts.sum(axis=0) > 0)
+    share = counts[1] * weight[1] / np.maximum(counts[0] * weight[0] + counts[1] * weight[1], 1e-9)
+    assert len(nodes) > 100 and np.allclose(nodes.value[leaves], share[leaves])
+    # a node stays whole where its rows are of one class or of the same bins
+    left = [i for i in np.flatnonzero(leaves) if (counts[:, i] > 0).all()]
+    assert all(len(np.unique(bins[own & (at == i)], axis=0)) == 1 or (np.ptp(bins[own & (at == i)][:, :2], axis=0) == 0).all() for i in left)
+
+
+def test_cells_of_few_and_of_many_places():
+    rng = np.random.default_rng(6)
+    key, y, drawn = rng.integers(0, 90, 400), rng.integers(0, 2, 400).astype(np.uint8), rng.integers(1, 10, 400).astype(np.float64)
+    at, counts = forest._cells(key, y, drawn, 90)  # a cell for each place
+    for places in (10_000, 1 << 27):               # sorted rows
+        other, sums = forest._cells(key, y, drawn, places)
+        assert (at == other).all() and (counts == sums).all()
+    assert (counts == [np.bincount(key, drawn * (y == c), 90)[at] for c in (0, 1)]).all()
+
+
+def test_trees_of_a_fit_are_dealt_evenly(rows, binning, monkeypatch):
+    blocks, _ = dealt(rows, binning, monkeypatch, 200)
+    monkeypatch.setattr(forest, "TREES_A_TASK", 2)
+    parts, write = [], forest.staged
+    monkeypatch.setattr(forest, "staged", lambda df, *a, **b: parts.append(df.rdd.glom().map(lambda p: sorted((r["fit"], r["tree"]) for r in p)).collect()) or write(df, *a, **b))
+    forest.grow_forests(blocks, 4, binning, forest.ForestSettings(trees=7))
+    assert sorted(len(p) for p in parts[0]) == [1] * 4 + [2] * 12 and sorted(t for p in parts[0] for t in p) == [(f, t) for f in range(4) for t in range(7)]
+
+
+def test_a_block_is_binned_in_parts(rows, binning, monkeypatch):
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 100)
+    blocks = trees.blocks_of(rows, binning, 700, 4, block_rows=1000)
+    assert sorted((b.fit, len(b.y), len(set(b.key.tolist()))) for b in blocks.collect()) == [(0, 466, 466), (1, 467, 467), (2, 467, 467), (3, 700, 700)]
+    assert "(7) " in blocks.toDebugString().decode()  # tasks that bin

@@ -22,6 +22,10 @@ from keepwise.operators.trees import Binning, Block, NodeList, Positions, TreeEn
 
 #: training rows of a block: a level across blocks is a Spark job, a level of this many rows in a task takes less
 BLOCK_ROWS = 250_000
+#: training rows up to which a fit is one block all the same, as its levels in a task take less than their jobs would
+WHOLE_ROWS = 1_000_000
+#: places of the histogram of several narrow columns together
+CODES = 1024
 #: gradients and curvatures are whole numbers of this size
 UNIT = float(1 << 20)
 #: rounds after which the lineage of the margins is cut
@@ -151,57 +155,95 @@ def _in_place(block: Block, positions: Positions, settings: BoostSettings) -> tu
     """A fit whose rows are this block."""
     base = _base(int(block.y.sum()), len(block.y))
     at = [Block(block.fit, block.key, block.y, block.bins, np.full(len(block.y), base))]
+    codes = _Codes(block, positions, settings)
 
     round_: list[_Round] = []
 
     def level(trees: dict[int, Growing], turn: int) -> dict[int, list]:
         tree = trees[block.fit]
         if len(tree.column) == 1:
-            round_[:] = [_Round(at[0], turn, positions, settings)]
+            round_[:] = [_Round(at[0], turn, positions, settings, codes)]
         return {block.fit: best_splits(round_[0].sums(tree), turn, positions, settings)}
 
     def finish(trees: dict[int, Growing]) -> None:
-        at[0] = _moved(at[0], trees[block.fit])
+        at[0] = round_[0].moved(trees[block.fit])
 
     return block.fit, base, _rounds([block.fit], settings, positions.slots, level, finish)[block.fit]
 
 
-class _Round:
-    """``level_sums`` of a round's levels in turn, for a block that is a fit: rows go down a step a level, and of two
-    siblings the one with more rows has what the other leaves of the parent (whole numbers, so exactly its sums)."""
+class _Codes:
+    """A fit's rows as its rounds read them: bins column by column, and codes of several narrow columns together,
+    so that a level takes fewer histograms."""
+
+    def __init__(self, block: Block, positions: Positions, settings: BoostSettings):
+        self.positions, self.seeded = positions, mixed(block.key, settings.seed)
+        self.columns = np.ascontiguousarray(block.bins.T.astype(positions.narrow))
+        self.together: list[list[int]] = []
+        size = lambda columns: int(np.prod([positions.widths[c] for c in columns]))
+        for c in np.argsort([-w for w in positions.widths], kind="stable").tolist():
+            room = (g for g in self.together if size([*g, c]) <= CODES)
+            found = next(room, None)
+            if found is None:
+                self.together.append([c])
+            else:
+                found.append(c)
+        self.shapes = [[positions.widths[c] for c in g] for g in self.together]
+        self.codes = [np.ravel_multi_index([self.columns[c] for c in g], shape).astype(np.uint16) for g, shape in zip(self.together, self.shapes)]
+
+    def sums(self, weights: list[np.ndarray], rows: np.ndarray | None = None) -> np.ndarray:
+        """(weights, positions): sums of each weight over ``rows`` (default: all), whole numbers below 2**53."""
+        out = np.zeros((len(weights), len(self.positions.column)))
+        weights = weights if rows is None else [w.take(rows) for w in weights]
+        for g, shape, code in zip(self.together, self.shapes, self.codes):
+            code = (code if rows is None else code.take(rows)).astype(np.int64)
+            cells = [np.bincount(code, w, int(np.prod(shape))).reshape(shape) for w in weights]
+            for i, c in enumerate(g):
+                start = self.positions.start[c]
+                for have, x in zip(out, cells):
+                    have[start:start + shape[i]] = x.sum(axis=tuple(j for j in range(len(g)) if j != i))
+        return out
+
 
-    def __init__(self, block: Block, turn: int, positions: Positions, settings: BoostSettings):
-        rows = np.flatnonzero(share_of(mixed(mixed(block.key, settings.seed), turn)) < settings.rows)
-        p = 1 / (1 + np.exp(-block.margin[rows]))
-        self.weights = np.stack([np.rint((p - block.y[rows]) * UNIT), np.rint(np.maximum(p * (1 - p), 1e-6) * UNIT)])
-        self.bins, self.at, self.positions = block.bins[rows], np.zeros(len(rows), np.int64), positions
-        self.have: np.ndarray | None = None  # the last level's sums
-        self.nodes: list[int] = []           # and its nodes
+class _Round:
+    """``level_sums`` of a round's levels in turn, for a block that is a fit: each node has its rows, which go down a step
+    a level, and of two siblings the one with more rows has what the other leaves of the parent (whole numbers, so
+    exactly its sums). Rows that the round does not draw go along and weigh nothing."""
+
+    def __init__(self, block: Block, turn: int, positions: Positions, settings: BoostSettings, codes: _Codes | None = None):
+        self.block, self.codes = block, codes or _Codes(block, positions, settings)
+        drawn = share_of(mixed(self.codes.seeded, turn)) < settings.rows
+        p = 1 / (1 + np.exp(-block.margin))
+        self.weights = [np.rint((p - block.y) * UNIT) * drawn, np.rint(np.maximum(p * (1 - p), 1e-6) * UNIT) * drawn]
+        self.rows: dict[int, np.ndarray | None] = {0: None}  # of the nodes that have no children yet, None for all
+        self.have: dict[int, np.ndarray] = {}  # the last level's sums
 
     def sums(self, tree: Growing) -> np.ndarray:
-        if self.have is None:
-            self.have = self._of(np.arange(len(self.at)), self.at, 1)
+        if not self.have:
+            self.have = {0: self.codes.sums(self.weights)}
         else:
-            t = tree.nodes()
-            own = np.flatnonzero(t.column[self.at] >= 0)
-            was = self.at[own]
-            b = self.bins[own, t.column[was]]
-            self.bins, self.weights = self.bins[own], self.weights[:, own]
-            self.at = t.left[was] + np.where(t.equal[was], b != t.cut[was], b > t.cut[was])
-            number = np.full(len(t), -1)
-            number[tree.open] = np.arange(len(tree.open))
-            place = number[self.at]
-            fewer = np.bincount(place, minlength=len(tree.open)).reshape(-1, 2).argmin(axis=1)
-            rows = np.flatnonzero(place % 2 == fewer[place // 2])
-            counted = self._of(rows, place[rows] // 2, len(fewer))
-            parents = self.have[:, [i for i, node in enumerate(self.nodes) if t.column[node] >= 0]]
-            left = np.where((fewer == 0)[:, None], counted, parents - counted)
-            self.have = np.stack([left, parents - left], axis=2).reshape(2, len(tree.open), -1)
-        self.nodes = list(tree.open)
-        return self.have
-
-    def _of(self, rows: np.ndarray, node: np.ndarray, nodes: int) -> np.ndarray:
-        return self.positions.histogram(self.bins[rows], node, nodes, [w[rows] for w in self.weights])
+            self._down(tree)
+            parents, self.have = self.have, {}
+            for left in tree.open[::2]:
+                fewer, more = sorted((left, left + 1), key=lambda node: len(self.rows[node]))
+                self.have[fewer] = self.codes.sums(self.weights, self.rows[fewer])
+                self.have[more] = parents[tree.left.index(left)] - self.have[fewer]
+        return np.stack([self.have[node] for node in tree.open], axis=1)
+
+    def _down(self, tree: Growing) -> None:
+        for node in [n for n in self.rows if tree.column[n] >= 0]:
+            rows, bins, cut, left = self.rows.pop(node), self.codes.columns[tree.column[node]], tree.cut[node], tree.left[node]
+            b = bins if rows is None else bins.take(rows)
+            right = b != cut if tree.equal[node] else b > cut
+            for child, own in ((left, ~right), (left + 1, right)):
+                self.rows[child] = np.flatnonzero(own) if rows is None else rows[own]
+
+    def moved(self, tree: Growing) -> Block:
+        """The block with the tree's values in its margins."""
+        self._down(tree)
+        added = np.zeros(len(self.block.y))
+        for node, rows in self.rows.items():
+            added[slice(None) if rows is None else rows] = tree.value[node]
+        return Block(self.block.fit, self.block.key, self.block.y, self.block.bins, self.block.margin + added)
 
 
 def _across(blocks: RDD, fits: list[int], positions: Positions, settings: BoostSettings) -> tuple[dict, dict]:

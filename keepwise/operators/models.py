@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from keepwise import constants as K
 from keepwise.functions.literals import literal_table
 from keepwise.functions.staging import staged
-from keepwise.operators.boosting import BLOCK_ROWS, BoostSettings, boost
+from keepwise.operators.boosting import BLOCK_ROWS, WHOLE_ROWS, BoostSettings, boost
 from keepwise.operators.features import feature_columns
 from keepwise.operators.forest import Forest, ForestSettings, grow_forests, load_trees, score_by_own, score_forests
 from keepwise.operators.isotonic import Isotonic, fit_isotonic
@@ -134,7 +134,7 @@ def _fit_trees(train: DataFrame, name: str, num: list[str], cat: list[str], labe
     forest = MODEL_KEYS.get(name, name) == "rf"
     binning = fit_binning(train, num, cat)
     n = sum(class_counts(train, label).values())
-    block_rows = None if forest else BLOCK_ROWS
+    block_rows = None if forest else WHOLE_ROWS if n <= WHOLE_ROWS else BLOCK_ROWS
     blocks = blocks_of(train, binning, n, fits, fold, label, block_rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if forest:

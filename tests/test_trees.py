@@ -250,3 +250,28 @@ def test_a_block_is_binned_in_parts(rows, binning, monkeypatch):
     blocks = trees.blocks_of(rows, binning, 700, 4, block_rows=1000)
     assert sorted((b.fit, len(b.y), len(set(b.key.tolist()))) for b in blocks.collect()) == [(0, 466, 466), (1, 467, 467), (2, 467, 467), (3, 700, 700)]
     assert "(7) " in blocks.toDebugString().decode()  # tasks that bin
+
+
+def test_a_fit_of_many_blocks_is_boosted_in_one_task(rows, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(H, "WHOLE_ROWS", 100)
+    across = H.fit_folds(rows, "Gradient Boosting", ["a", "b"], ["c"], k=3, sizes=H.Sizes(rounds=3))
+    monkeypatch.setattr(H, "WHOLE_ROWS", 700)
+    monkeypatch.setattr(boosting, "_across", None)  # a job a level
+    here = H.fit_folds(rows, "Gradient Boosting", ["a", "b"], ["c"], k=3, sizes=H.Sizes(rounds=3))
+    assert all(map(same, [*across.folds, across.model], [*here.folds, here.model])) and (here.model.trees.column >= 0).any()
+
+
+def test_codes_of_columns_have_the_sums_of_each():
+    rng = np.random.default_rng(8)
+    binning = Binning(("a", "b"), ("c", "d", "e"), (tuple(range(1500)), (0.5,)), (("x",) * 40, ("y", "z"), ()))
+    bins = np.stack([rng.integers(0, w, 500) for w in binning.widths], axis=1).astype(np.uint16)
+    block = Block(0, np.arange(500, dtype=np.uint64), np.zeros(500, np.int8), bins)
+    positions = Positions.of(binning)
+    codes, weights = boosting._Codes(block, positions, boosting.BoostSettings()), [rng.integers(-9, 9, 500).astype(float), rng.integers(0, 5, 500).astype(float)]
+    assert sorted(c for g in codes.together for c in g) == [0, 1, 2, 3, 4] and len(codes.together) == 2
+    for own in (None, np.flatnonzero(rng.random(500) < 0.3), np.zeros(0, np.int64)):
+        at = np.arange(500) if own is None else own
+        want = positions.histogram(bins[at], np.zeros(len(at), np.int64), 1, [w[at] for w in weights])[:, 0]
+        assert (codes.sums(weights, own) == want).all()

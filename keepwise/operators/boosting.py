@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import RDD, StorageLevel
 
-from keepwise.operators.trees import Binning, Block, NodeList, Positions, TreeEnsemble, mixed, places, share_of
+from keepwise.operators.trees import Binning, Block, NodeList, Positions, TreeEnsemble, columns_together, mixed, places, share_of
 
 #: training rows of a block: a level across blocks is a Spark job, a level of this many rows in a task takes less
 BLOCK_ROWS = 250_000
@@ -178,15 +178,7 @@ class _Codes:
     def __init__(self, block: Block, positions: Positions, settings: BoostSettings):
         self.positions, self.seeded = positions, mixed(block.key, settings.seed)
         self.columns = np.ascontiguousarray(block.bins.T.astype(positions.narrow))
-        self.together: list[list[int]] = []
-        size = lambda columns: int(np.prod([positions.widths[c] for c in columns]))
-        for c in np.argsort([-w for w in positions.widths], kind="stable").tolist():
-            room = (g for g in self.together if size([*g, c]) <= CODES)
-            found = next(room, None)
-            if found is None:
-                self.together.append([c])
-            else:
-                found.append(c)
+        self.together = columns_together(list(range(len(positions.widths))), positions.widths, CODES)
         self.shapes = [[positions.widths[c] for c in g] for g in self.together]
         self.codes = [np.ravel_multi_index([self.columns[c] for c in g], shape).astype(np.uint16) for g, shape in zip(self.together, self.shapes)]
 

@@ -136,33 +136,31 @@ def grow_here(block: Block, times: np.ndarray, uid: int, positions: Positions, w
         if not len(parted):
             break
         np.add.at(gains, slot[parted], gain[parted])
-        column, equal = positions.of_slot[0][slot[parted]], positions.of_slot[1][slot[parted]]
+        column, equal = positions.of_slot[0][slot], positions.of_slot[1][slot]
         new = made + 2 * np.arange(len(parted))
-        parents.append((ids[parted], column, cut[parted], equal, new))
+        parents.append((ids[parted], column[parted], cut[parted], equal[parted], new))
         made += 2 * len(parted)
-        total = np.stack([left[:, parted], total[:, parted] - left[:, parted]], axis=2).reshape(2, -1)
-        values.append(_share(total, weight))
+        total = np.stack([left, total - left], axis=2).reshape(2, -1)
+        values.append(_share(total.reshape(2, -1, 2)[:, parted].reshape(2, -1), weight))
         # the rows of children that hold both classes, in the order of these
-        open_ = (total > 0).all(axis=0)
-        if len(parted) < len(ids):
-            rows, sizes = rows[np.repeat(slot >= 0, sizes)], sizes[parted]
-        b = rows.ravel()[np.arange(len(rows)) * rows.shape[1] + np.repeat(column, sizes)]
-        c, e = np.repeat(cut[parted].astype(rows.dtype), sizes), np.repeat(equal, sizes)
-        child = np.repeat(2 * np.arange(len(parted)), sizes) + ((b > c) ^ (e & (b < c)))
+        open_ = (total > 0).all(axis=0) & np.repeat(slot >= 0, 2)
+        number = np.where(open_, np.cumsum(open_) - 1, open_.sum()).astype(np.uint16 if open_.sum() < 65536 else np.int64)
+        b = rows.ravel()[np.arange(0, rows.size, rows.shape[1]) + np.repeat(column, sizes)]
+        c, e = np.repeat(cut.astype(rows.dtype), sizes), np.repeat(equal, sizes)
+        child = np.repeat(2 * np.arange(len(ids)), sizes) + ((b > c) ^ (e & (b < c)))
+        order = np.argsort(number[child], kind="stable")
         sizes = np.bincount(child, minlength=len(open_))[open_]
-        number = np.where(open_, np.cumsum(open_) - 1, len(sizes))[child]
-        order = np.argsort(number.astype(np.uint16) if len(sizes) < 65536 else number, kind="stable")[:sizes.sum()]
-        rows, total = rows.take(order, axis=0), total[:, open_]
-        ids = np.stack([new, new + 1], axis=1).ravel()[open_]
-        uids = children(uids[parted]).ravel()[open_]
+        rows, total = rows.take(order[:sizes.sum()], axis=0), total[:, open_]
+        children_ids = np.zeros((len(slot), 2), np.int64)
+        children_ids[parted] = np.stack([new, new + 1], axis=1)
+        ids, uids = children_ids.ravel()[open_], children(uids).ravel()[open_]
     tree = Tree(uid, positions.slots)
     tree.uid, tree.gain, tree.value = {}, gains, np.concatenate(values, axis=None).tolist()
-    for f, x in zip(("column", "cut", "equal", "left"), (-1, 0, False, 0)):
-        setattr(tree, f, [x] * made)
-    for nodes, *split in parents:
-        for have, x in zip((tree.column, tree.cut, tree.equal, tree.left), split):
-            for node, v in zip(nodes.tolist(), x.tolist()):
-                have[node] = v
+    for i, (f, none) in enumerate((("column", -1), ("cut", 0), ("equal", False), ("left", 0))):
+        have = np.full(made, none)
+        for nodes, *split in parents:
+            have[nodes] = split[i]
+        setattr(tree, f, have.tolist())
     return tree
 
 
@@ -176,17 +174,16 @@ def _splits_here(rows: np.ndarray, sizes: np.ndarray, uids: np.ndarray, total: n
     gain, cut = np.full((k, slots), -np.inf), np.zeros((k, slots), np.int64)  # where a slot parts a node
     left = np.zeros((2, k, slots))
     y, drawn = rows[:, -2], rows[:, -1].astype(np.float64)
-    node = np.repeat(np.arange(k), sizes)
+    node, ends = np.repeat(np.arange(k), sizes), np.cumsum(sizes)
     classed, key = node + y * np.int64(k), np.empty(len(rows), np.int64)
     numbers = np.flatnonzero(~positions.of_slot[1])
     for c in range(len(numbers), len(positions.widths)):  # categories: all their values at once
         w = positions.widths[c]
         np.multiply(classed, w, out=key)
         np.add(key, rows[:, c], out=key)
-        counts = np.bincount(key, drawn, 2 * k * w).reshape(2, k, w)
-        first = positions.first[c]
-        left[:, :, first:first + w - 1] = counts[:, :, 1:]
-        cut[:, first:first + w - 1] = np.arange(1, w)
+        own = slice(positions.first[c], positions.first[c] + w - 1)
+        left[:, :, own] = np.bincount(key, drawn, 2 * k * w).reshape(2, k, w)[:, :, 1:]
+        cut[:, own] = np.arange(1, w)
     if len(numbers) < slots:
         at = slice(len(numbers), None)
         right = total[:, :, None] - left[:, :, at]
@@ -198,7 +195,7 @@ def _splits_here(rows: np.ndarray, sizes: np.ndarray, uids: np.ndarray, total: n
         own = np.flatnonzero(asked)
         if not len(own):
             return
-        at = np.flatnonzero(np.repeat(asked, sizes))
+        at = np.repeat(ends[own] - np.cumsum(sizes[own]), sizes[own]) + np.arange(sizes[own].sum())
         w = positions.widths[c]
         place, counts = _cells(np.repeat(np.arange(len(own)) * w, sizes[own]) + rows[at, c], y[at], drawn[at], len(own) * w)
         which, value = place // w, place % w

@@ -29,7 +29,7 @@ from keepwise import constants as K
 #: training rows of a block, and of those that a task bins
 BLOCK_ROWS = 50_000
 #: pairs of row and tree looked at together
-PAIRS = 2_000_000
+PAIRS = 250_000
 
 
 # --- bins --------------------------------------------------------------------------
@@ -137,6 +137,19 @@ class Positions:
         return np.stack(cells).reshape(len(weights), nodes, size)
 
 
+def columns_together(columns: list[int], widths: list[int], most: int) -> list[list[int]]:
+    """Groups of columns whose bins together have at most ``most`` codes; a wider column is a group."""
+    out: list[list[int]] = []
+    size = lambda group: int(np.prod([widths[c] for c in group]))
+    for c in sorted(columns, key=lambda c: -widths[c]):
+        found = next((g for g in out if size([*g, c]) <= most), None)
+        if found is None:
+            out.append([c])
+        else:
+            found.append(c)
+    return out
+
+
 # --- rows --------------------------------------------------------------------------------
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -256,16 +269,26 @@ def places(tree: Nodes | NodeList, bins: np.ndarray) -> np.ndarray:
 
 def leaves(t: Nodes, roots: np.ndarray, bins: np.ndarray) -> np.ndarray:
     """(rows, trees): the leaf of each tree, whose nodes lie in one set of arrays."""
-    rows, trees = len(bins), len(roots)
-    node = np.tile(roots, (rows, 1)).ravel()
-    going = np.flatnonzero(t.column[node] >= 0)
-    while len(going):
-        at = node[going]
-        b = bins[going // trees, t.column[at]]
-        right = np.where(t.equal[at], b != t.cut[at], b > t.cut[at])
-        node[going] = at = t.left[at] + right
-        going = going[t.column[at] >= 0]
-    return node.reshape(rows, trees)
+    # a node in one number: leaf or not, column, cut, whether it asks for equality, left child (a leaf: itself)
+    split, here = t.column >= 0, np.arange(len(t))
+    code = np.where(split, t.column.astype(np.int64) << 48 | t.cut.astype(np.int64) << 32 | t.equal.astype(np.int64) << 31 | t.left,
+                    np.int64(-1 << 63) | np.int64(0xFFFF << 32) | here)
+    flat, width = bins.ravel(), bins.shape[1]
+    out = np.tile(roots, len(bins))
+    node, row, going = out, np.repeat(np.arange(len(bins)) * width, len(roots)), None
+    while True:
+        x = code.take(node)
+        live = x >= 0
+        n = np.count_nonzero(live)
+        if n == 0 or n < 0.75 * len(x):  # those that have come to a leaf are put away
+            out[slice(None) if going is None else going] = node
+            if n == 0:
+                return out.reshape(len(bins), len(roots))
+            own = np.flatnonzero(live)
+            going = own if going is None else going[own]
+            x, row = x[own], row[own]
+        b, cut = flat.take(row + (x >> 48 & 0x7FFF)), x >> 32 & 0xFFFF
+        node = (x & 0x7FFFFFFF) + ((b > cut) | (b < cut) & (x >> 31 & 1).astype(bool))
 
 
 @dataclass

@@ -336,3 +336,20 @@ def test_learners_take_all_rows(spark, monkeypatch):
         seen.clear()
         H.fit_folds(train, name, ["x"], ["c"], sizes=H.Sizes(trees=3, rounds=3))
         assert [n for rows in seen for n in rows] == [160] * 5 + [200], name
+
+
+def test_a_forest_is_sent_to_slices_of_its_own_rows_only(spark, monkeypatch):
+    import re
+
+    from keepwise.operators import forest
+
+    rows = spark.createDataFrame([(i, float(i % 13), "abc"[i % 3], int(i % 13 > 6), i % 5) for i in range(300)],
+                                 f"{K.ID_COL} long, x double, c string, label int, fold int")
+    fits = H.fit_folds(rows, "Random Forest", ["x"], ["c"], sizes=H.Sizes(trees=5))
+    plans, stage = {}, forest.staged
+    monkeypatch.setattr(forest, "SCORED_ROWS", 60)
+    monkeypatch.setattr(forest, "staged", lambda df, name, *a, **b: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or stage(df, name, *a, **b))
+    assert fits.out_of_fold().count() == 300
+    slices = lambda: re.findall(r"pmod\(xxhash64\([^)]*\), (\d+)\)", plans["scored"])
+    assert set(slices()) == {"1"}  # a fold has 60 rows
+    assert H.predict(fits.model, rows, keep=[K.ID_COL]).count() == 300 and set(slices()) == {"5"}

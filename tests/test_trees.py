@@ -275,3 +275,31 @@ def test_codes_of_columns_have_the_sums_of_each():
         at = np.arange(500) if own is None else own
         want = positions.histogram(bins[at], np.zeros(len(at), np.int64), 1, [w[at] for w in weights])[:, 0]
         assert (codes.sums(weights, own) == want).all()
+
+
+def test_leaves_are_where_each_row_walks():
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 6, (200, 3)).astype(np.uint16)
+    bins[:20, 1] = 65535
+    grown, roots = [], []
+    for t in range(9):
+        tree = trees.NodeList()
+        tree.add()
+        for _ in range(30 * (t % 3)):  # every third one is a leaf
+            node = int(rng.choice([i for i, c in enumerate(tree.column) if c < 0][-3:]))  # some rows go far down
+            tree.split(node, int(rng.integers(0, 3)), int(rng.choice([0, 1, 2, 3, 65535])), bool(rng.random() < 0.5))
+        grown.append(tree.nodes())
+    model = trees.TreeEnsemble.of("forest", None, grown, 0.0, np.zeros(1))
+
+    def walked(tree, row):
+        node = 0
+        while tree.column[node] >= 0:
+            b, cut = row[tree.column[node]], tree.cut[node]
+            node = tree.left[node] + int(b != cut if tree.equal[node] else b > cut)
+        return node
+
+    want = np.array([[walked(tree, row) for tree in grown] for row in bins])
+    assert (trees.leaves(model.trees, model.roots, bins) == want + model.roots).all()
+    assert all((trees.places(tree, bins.astype(np.uint16)) == want[:, t]).all() for t, tree in enumerate(grown))
+    assert trees.leaves(model.trees, model.roots, bins[:0]).shape == (0, 9)
+    assert (trees.leaves(grown[0], np.zeros(1, np.int64), np.zeros((4, 0), np.uint16)) == 0).all()
